@@ -119,7 +119,7 @@ def shingle_hashes(texts: Sequence[str | None], k: int = 5) -> tuple[np.ndarray,
         return np.zeros(0, np.uint64), out_at
     rolled = np.zeros(max(len(h) - k + 1, 0), np.uint64)
     for i in range(k):
-        rolled += h[i : i + len(rolled)] * _STEP[i]
+        rolled = rolled * _P + h[i : i + len(rolled)] * _STEP[i % len(_STEP)]
     owner = np.repeat(np.arange(len(texts)), counts)
     pos = at[owner] + np.arange(len(owner)) - out_at[owner]
     out = np.empty(len(owner), np.uint64)
@@ -127,9 +127,9 @@ def shingle_hashes(texts: Sequence[str | None], k: int = 5) -> tuple[np.ndarray,
     out[full] = rolled[pos[full]]
     for j in np.flatnonzero(~full):
         d = owner[j]
-        x = np.uint64(n[d])
+        x = int(n[d])
         for i, w in enumerate(h[at[d] : at[d + 1]]):
-            x = x * _P + w * _STEP[i]
+            x = (x * int(_P) + int(w) * int(_STEP[i % len(_STEP)])) % (1 << 64)
         out[j] = x
     return mix64(out), out_at
 
