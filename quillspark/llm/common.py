@@ -61,7 +61,7 @@ def lower_ascii(c: Column) -> Column:
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _STEP = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _powers = np.ones(1, np.uint64)
@@ -86,9 +86,22 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverse
 
 
+def is_space(buf: np.ndarray) -> np.ndarray:
+    return _SPACE[buf]
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans."""
+    power, inverse = _power_tables(len(buf) + 1)
+    sums = np.empty(len(buf) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=sums[1:])
+    return mix64((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64) * _STEP[0])
+
+
 def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (A-Z lower-cased, split at SPACES) of all texts, and the position where each text's words begin (one more at the end)."""
-    data = [(t or "").encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
+    data = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES) for t in texts]
     ends = np.cumsum([len(d) + 1 for d in data], dtype=np.int64)
     buf = np.frombuffer(b" ".join(data) + b" ", np.uint8) if data else np.zeros(0, np.uint8)
     if not len(buf):
@@ -98,12 +111,7 @@ def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if not space[0]:
         edge = np.concatenate([[0], edge])
     first, last = edge[0::2], edge[1::2]
-    power, inverse = _power_tables(len(buf) + 1)
-    sums = np.empty(len(buf) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=sums[1:])
-    h = mix64((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * _STEP[0])
-    return h, np.concatenate([[0], np.searchsorted(first, ends)]).astype(np.int64)
+    return span_hashes(buf, first, last), np.concatenate([[0], np.searchsorted(first, ends)]).astype(np.int64)
 
 
 def shingle_hashes(texts: Sequence[str | None], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
