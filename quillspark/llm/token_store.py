@@ -13,6 +13,8 @@ level uint64 entries, its bytes, bitmap (padded to 64 bytes) and uint32 director
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_chunks, materialise
+from .common import in_chunks, is_space, materialise, span_hashes
 
 MAGIC = b"QDAC1\0\0\0"
 BLOCK = 512
@@ -102,21 +104,17 @@ class Segment:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian uint32 bytes, equal to the library's encode(add_special_tokens=False).
-
-    A byte-level tokenizer encodes each piece of its pattern on its own, so pieces are encoded once by
-    the library and remembered (at most `remembered` of them). This path takes texts of characters below
-    U+0250 only, where the pattern's classes are fixed; others, texts with an added token's string in
-    them, and tokenizers of other kinds go to the library whole.
+    """Ids of whole texts, equal to the library's encode(add_special_tokens=False).
+
+    A byte-level tokenizer's pattern never joins a word to what follows it, and of a run of white space
+    only the last character may belong to the next word; a sign after a letter begins anew. So a text is cut at those places into units,
+    each distinct unit is encoded once by the library, and texts are put together from the remembered
+    units by array operations on 64-bit unit hashes. This holds where the white space is known: for texts
+    of characters below U+0240 without U+0085, U+00A0 and control characters. Other texts, texts with an
+    added token's string in them, and tokenizers of other kinds go to the library whole.
     """
 
-    #: The byte-level pattern of the vocabulary.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-    def __init__(self, path: str, remembered: int = 600_000, special_as_text: bool = False):
-        import json
-
-        import regex
+    def __init__(self, path: str, remembered: int = 4_000_000, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -126,66 +124,122 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
         self.added = [] if special_as_text else [t["content"] for t in spec.get("added_tokens", [])]
-        self.pieces = regex.compile(self.PATTERN).findall
-        self.safe = regex.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*").fullmatch
-        self.cache: dict[str, bytes] = {}
+        self.odd = np.zeros(256, bool)
+        self.odd[[*range(9), *range(14, 32), 127, *range(0xC9, 256)]] = True
+        self.letter, self.sign = np.zeros(256, bool), np.zeros(256, bool)
+        self.letter[[*range(65, 91), *range(97, 123)]] = True
+        self.sign[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
         self.remembered = remembered
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces never seen before. Runs of words go to the library as one text, whose word numbers tell them apart."""
-        spaced = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        words = [p for p in pieces if p.isalpha()]
-        rest = [p for p in pieces if not p.isalpha() and not (p[0] == " " and p[1:].isalpha())]
-        for found, between, step in ((spaced, "", 1), (words, "\n", 2)):
-            for k in range(0, len(found), 20_000):
-                part = found[k : k + 20_000]
-                e = self.tokenizer.encode(between.join(part), add_special_tokens=False)
-                ids, number = np.array(e.ids, "<u4"), np.array(e.word_ids)
-                at = np.searchsorted(number, np.arange(0, step * len(part), step))
-                to = np.searchsorted(number, np.arange(0, step * len(part), step), side="right")
-                data = ids.tobytes()
-                self.cache.update((p, data[4 * x : 4 * y]) for p, x, y in zip(part, at.tolist(), to.tolist()))
-        if rest:
-            self.cache.update(zip(rest, self.library(rest)))
-
-    def __call__(self, texts: Sequence[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        slow, cut = [], {}
-        for i, t in enumerate(texts):
-            if self.plain and not any(a in t for a in self.added) and self.safe(t):
-                cut[i] = self.pieces(t)
-            else:
-                slow.append(i)
-        if len(self.cache) > self.remembered:
-            self.cache.clear()
-        new = set().union(*cut.values()).difference(self.cache)
-        if new:
-            self._learn(list(new))
-        get = self.cache.__getitem__
-        for i, pieces in cut.items():
-            out[i] = b"".join(map(get, pieces))
-        for i, ids in zip(slow, self.library([texts[i] for i in slow])):
-            out[i] = ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)  # sorted, with where each unit's ids are
+        self.first = self.count = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _units(self, units: list[str]) -> list[np.ndarray]:
+        """Ids of distinct units. Words with one space before them go to the library as one text."""
+        found: list = [None] * len(units)
+        joined = [i for i, u in enumerate(units) if u[0].isspace() and not u[-1].isspace()]
+        for k in range(0, len(joined), 20_000):
+            part = joined[k : k + 20_000]
+            starts = np.cumsum([0, *(len(units[i]) for i in part)])
+            e = self.tokenizer.encode("".join(units[i] for i in part), add_special_tokens=False)
+            at = np.searchsorted(np.array(e.offsets)[:, 0], starts)
+            for i, ids in zip(part, np.split(np.array(e.ids, np.uint32), at[1:-1])):
+                found[i] = ids
+        alone = [i for i, u in enumerate(found) if u is None]
+        for i, ids in zip(alone, self.library([units[i] for i in alone])):
+            found[i] = ids
+        return found
+
+    def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
+        if len(self.hashes) > self.remembered:
+            self.forget()
+        found = self._units(units)
+        count = np.array([len(x) for x in found], np.int64)
+        first = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.concatenate([self.ids, *found])
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.first, self.count = (np.insert(x, at, y[order]) for x, y in ((self.hashes, hashes), (self.first, first), (self.count, count)))
+
+    def _fast(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        buf = np.frombuffer(b"".join(data), np.uint8)
+        ends = np.cumsum([len(d) for d in data])
+        space = is_space(buf)
+        after = np.append(space[1:], True)
+        after[ends - 1] = True
+        before = np.insert(space[:-1], 0, False)
+        cut = space & (~after | ~before)
+        letter = self.letter[buf]
+        letter[1:] |= (buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+        cut[1:] |= letter[:-1] & self.sign[buf[1:]]
+        cut[ends - [len(d) for d in data]] = True
+        starts = np.flatnonzero(cut)
+        stops = np.append(starts[1:], len(buf))
+        h = span_hashes(buf, starts, stops)
+        distinct, sample, place = np.unique(h, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
+        new = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
+        if new.any():
+            if len(self.hashes) > self.remembered:
+                self.forget()
+                new[:] = True
+            raw = buf.tobytes()
+            self._learn(distinct[new], [raw[starts[i] : stops[i]].decode() for i in sample[new]])
+            at = np.searchsorted(self.hashes, distinct)
+        count = self.count[at][place]
+        upto = np.cumsum(count)
+        ids = self.ids[np.repeat(self.first[at][place] - (upto - count), count) + np.arange(upto[-1])]
+        return ids, np.diff(np.concatenate([[0], upto[np.searchsorted(starts, ends) - 1]]))
+
+    def __call__(self, texts: Sequence[str]) -> list[np.ndarray]:
+        data = [t.encode("utf-8", "replace") for t in texts]
+        buf = np.frombuffer(b"".join(data), np.uint8)
+        odd = self.odd[buf]
+        odd[:-1] |= (buf[:-1] == 0xC2) & (buf[1:] <= 0xA0)
+        bounds = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
+        odd = np.diff(np.concatenate([[0], np.cumsum(odd)])[bounds])
+        out: list = [np.zeros(0, np.uint32)] * len(texts)
+        fast = [i for i, t in enumerate(texts) if t and self.plain and not odd[i] and not any(a in t for a in self.added)]
+        if fast:
+            ids, counts = self._fast([data[i] for i in fast])
+            for i, x in zip(fast, np.split(ids, np.cumsum(counts)[:-1])):
+                out[i] = x
+        taken = set(fast)
+        slow = [i for i, t in enumerate(texts) if t and i not in taken]
+        for i, x in zip(slow, self.library([texts[i] for i in slow])):
+            out[i] = x
         return out
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def shared_encoder(path: str, special_as_text: bool) -> Encoder:
+    """This process's encoder, which keeps what it remembers from task to task."""
+    key = path, special_as_text
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, special_as_text=special_as_text)
+    return _encoders[key]
+
+
 def _segments(path: str, end_id: int, most: int, special_as_text: bool):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, end = Encoder(path, special_as_text=special_as_text), np.array([end_id], "<u4").tobytes()
+        encode, end = shared_encoder(path, special_as_text), np.array([end_id], np.uint32)
         shard, part = TaskContext.get().partitionId(), 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         docs: list[int | None] = []
         held = 0
 
         def segment() -> pd.DataFrame:
-            counts = [len(x) // 4 for x in ids]
-            blob = pack(docs, counts, np.frombuffer(b"".join(ids), "<u4"))
+            counts = [len(x) + 1 for x in ids]
+            blob = pack(docs, counts, np.concatenate([y for x in ids for y in (x, end)]))
             return pd.DataFrame({"shard": [shard], "part": [part], "n_ids": [sum(counts)], "segment": [blob]})
 
         for b in batches:
@@ -194,8 +248,8 @@ def _segments(path: str, end_id: int, most: int, special_as_text: bool):
             for s in in_chunks(texts):
                 for d, x in zip(keys[s], encode(texts[s])):
                     docs.append(d)
-                    ids.append(x + end)
-                    held += len(x) // 4 + 1
+                    ids.append(x)
+                    held += len(x) + 1
                     if held >= most:
                         yield segment()
                         ids, docs, held, part = [], [], 0, part + 1
