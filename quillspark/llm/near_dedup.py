@@ -4,11 +4,11 @@ Two permutations of the 32-bit numbers make the whole signature: one shuffles th
 shifted round by k places, gives coordinate k. Coordinates are grouped into bands; documents that agree
 in a band are candidates, and a link needs the exact Jaccard similarity of the full shingle sets.
 
-Documents with the same shingle set become one class first. Within a bucket every member is compared
-with the bucket's smallest member, and components of the confirmed links are formed; after a few such
-rounds with other members, what is still in different components of one bucket is compared in full.
-Members of one component need no further comparison, so a bucket of thousands of near copies costs
-thousands of comparisons, not their square.
+Documents with the same shingle set become one class first. Small buckets are compared pair by pair,
+each document of a pair once per hub. Members of large buckets form clusters (connected by shared large
+buckets); a cluster is cut into blocks and every pair of blocks is one bounded group, in which an
+inverted index counts all intersections exactly. A group returns a spanning forest of its links, so
+thousands of near copies give thousands of rows, not their square.
 """
 
 from __future__ import annotations
@@ -20,12 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_sets, forget, in_chunks, materialise, mix64, shingle_hashes
+from .common import distinct_sets, in_chunks, materialise, mix64, shingle_hashes
 from .components import connected_components
 
-BANDS, ROWS = 26, 5
-FEW = 16  #: compare open buckets in full where their members have so many bucket fellows on average
+BANDS, ROWS = 40, 7  #: a pair at similarity 0.85 shares no band with a probability of 2e-7
+COLD = 16  #: buckets of at most so many members are compared pair by pair
 BATCH = 256  #: documents compared against one hub in one group
+BLOCK_LEAST, BLOCK_MOST, BLOCKS = 60_000, 2_000_000, 8  #: shingles in a block of a cluster; blocks of a cluster while they hold less than the most
+ID_ROWS = 1_000_000  #: ids up to which the choice of texts to fetch is broadcast
 
 
 def _fmix32(x: np.ndarray) -> np.ndarray:
@@ -78,42 +80,122 @@ def _sketch(bands: int, rows: int, words: int):
     return run
 
 
-def _verify(percent: int, words: int):
-    """Groups arrive as a hub's row, then documents to compare with it."""
+def _links_to_hub(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """The first set is the hub's."""
+    hub, out = sets[0], []
+    for i, x in zip(ids[1:], sets[1:]):
+        both = len(np.intersect1d(hub, x, assume_unique=True))
+        if both and 100 * both >= percent * (len(hub) + len(x) - both):
+            out.append((ids[0], i))
+    return out
+
+
+def _links_in_block(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links; only between the two sides where both are present."""
+    n = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    values, first, count = np.unique(flat[order], return_index=True, return_counts=True)
+    postings = owner[order]
+    across = sides.min() != sides.max()
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i in range(len(sets)):
+        if across and sides[i] != sides[0]:
+            continue
+        at = np.searchsorted(values, sets[i])
+        c = count[at]
+        upto = np.cumsum(c)
+        met = postings[np.repeat(first[at] - (upto - c), c) + np.arange(upto[-1])]
+        both = np.bincount(met, minlength=len(sets))
+        linked = np.flatnonzero((both > 0) & (100 * both >= percent * (n + n[i] - both)))
+        for j in linked:
+            if j != i and (not across or sides[j] != sides[i]) and (a := find(i)) != (b := find(j)):
+                root[a] = b
+                out.append((ids[i], ids[j]))
+    return out
+
+
+def _compare(percent: int, words: int):
+    """Rows arrive by group; a group's texts are read in chunks and kept as sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hub, held = None, np.zeros(0, np.uint64)
+        key, kept = None, []
+
+        def settle() -> list[tuple[int, int]]:
+            usable = [x for x in kept if len(x[2])]
+            if len(usable) < 2 or usable[0] is not kept[0] and key[0] == 0:
+                return []
+            ids, sides, sets = (list(x) for x in zip(*usable))
+            if key[0] == 0:
+                return _links_to_hub(ids, sets, percent)
+            return _links_in_block(ids, np.array(sides), sets, percent)
+
         for b in batches:
-            texts, hubs, docs, first = list(b["text"]), b["hub"].to_numpy(), b["doc"].to_numpy(), b["is_doc"].to_numpy() == 0
-            linked = np.zeros(len(texts), bool)
+            texts, out = list(b["text"]), []
+            keys = list(zip(b["kind"], b["g1"], b["g2"], b["g3"]))
+            nodes, sides = b["node"].tolist(), b["side"].tolist()
             for s in in_chunks(texts):
                 for i, x in zip(range(s.start, s.stop), distinct_sets(*shingle_hashes(texts[s], words))):
-                    if first[i]:
-                        hub, held = hubs[i], x
-                    elif hub == hubs[i] and len(held) and len(x):
-                        both = len(np.intersect1d(held, x, assume_unique=True))
-                        linked[i] = 100 * both >= percent * (len(held) + len(x) - both)
-            yield pd.DataFrame({"a": hubs[linked], "b": docs[linked]})
+                    if keys[i] != key:
+                        if kept:
+                            out += settle()
+                        key, kept = keys[i], []
+                    kept.append((nodes[i], sides[i], x))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        if kept:
+            yield pd.DataFrame(settle(), columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs (hub, doc) whose whole texts' shingle sets are similar enough, as (a, b).
-
-    A hub's documents are dealt into groups of about BATCH, each with the hub's text once.
-    """
-    texts = docs.select(F.col("doc_id").alias("doc"), "text")
+def cold_groups(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs of small buckets' members, dealt into groups of about BATCH documents with their hub."""
+    fits = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    small = entries.where(f"members <= {COLD}")
+    pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & fits)
+    pairs = materialise(pairs.select(F.col("x.node").alias("hub"), F.col("y.node").alias("doc")).distinct(), "pairs")
     groups = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BATCH).cast("int").alias("groups"))
-    members = pairs.join(groups, "hub").select("hub", "doc", F.pmod(F.xxhash64("doc"), F.col("groups")).cast("int").alias("group"), F.lit(1).alias("is_doc"))
-    hubs = groups.select("hub", F.col("hub").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(0).alias("is_doc"))
-    rows = members.unionByName(hubs).join(texts, "doc")
+    members = pairs.join(groups, "hub").select("hub", F.pmod(F.xxhash64("doc"), F.col("groups")).cast("int").alias("g2"), F.lit(1).alias("side"), F.col("doc").alias("node"))
+    hubs = groups.select("hub", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g2"), F.lit(0).alias("side"), F.col("hub").alias("node"))
+    return members.unionByName(hubs).select(F.lit(0).alias("kind"), F.col("hub").alias("g1"), "g2", F.lit(0).alias("g3"), "side", "node")
+
+
+def hot_groups(entries: DataFrame) -> DataFrame:
+    """Clusters of large buckets' members, one group per pair of blocks."""
+    large = entries.where(f"members > {COLD}")
+    stars = large.groupBy("key").agg(F.min("node").alias("hub")).join(large.select("key", "node"), "key").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    clusters = connected_components(stars)
+    sized = clusters.join(large.select("node", "n").distinct(), "node")
+    total = sized.groupBy("component").agg(F.sum("n").alias("total"))
+    share = F.least(F.greatest(F.col("total") / BLOCKS, F.lit(BLOCK_LEAST)), F.lit(BLOCK_MOST))
+    blocks = sized.join(total.withColumn("blocks", F.ceil(F.col("total") / share).cast("int")), "component")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = blocks.select("component", "node", own.alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.select(F.lit(1).alias("kind"), F.col("component").alias("g1"), F.least("side", "other").alias("g2"), F.greatest("side", "other").alias("g3"), "side", "node")
+
+
+def confirmed(groups: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links (a, b) among the groups' documents, by their whole texts."""
+    groups = materialise(groups, "groups")
+    ids = groups.select(F.col("node").alias("doc_id")).distinct()
+    texts = docs.join(F.broadcast(ids) if groups.count() <= ID_ROWS else ids, "doc_id", "left_semi")
+    rows = groups.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "hub", "group").sortWithinPartitions("hub", "group", "is_doc")
-    return dealt.select("hub", "doc", "is_doc", "text").mapInPandas(_verify(percent, words), "a long, b long")
+    key = ["kind", "g1", "g2", "g3"]
+    dealt = rows.repartition(n, *key).sortWithinPartitions(*key, "side")
+    return materialise(dealt.select(*key, "side", "node", "text").mapInPandas(_compare(percent, words), "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: int = BANDS, rows: int = ROWS, hub_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Words are A-Z lower-cased and split at the six white-space characters. Documents link where
@@ -125,49 +207,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = materialise(docs.mapInPandas(_sketch(bands, rows, words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "sketches")
     usable = sketched.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(usable.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
-    sets = usable.join(classes, ["d1", "d2", "n_shingles"]).where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["node", "n"])
-    entries = sets.select(F.explode("bands").alias("key"), "node", "n")
-    shared = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    same = ["d1", "d2", "n_shingles"]
+    classes = materialise(usable.groupBy(*same).agg(F.min("doc_id").alias("node")), "classes")
+    named = usable.drop("bands").join(classes, same)
+    nodes = usable.join(classes.select(F.col("node").alias("doc_id"), *same), ["doc_id", *same], "left_semi")
+    entries = nodes.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n")).distinct()
+    shared = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     entries = materialise(entries.join(shared, "key"), "buckets")
+    links = confirmed(cold_groups(entries, percent).unionByName(hot_groups(entries)), docs, percent, words)
     # Rows of one doc_id with several texts are one node.
-    edges = usable.join(classes, ["d1", "d2", "n_shingles"]).where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    ids = usable.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    edges = edges.join(ids, edges["b"] == ids["doc_id"], "left_semi")
-    links, tested = materialise(edges, "links"), None
-    bound = F.col("x.n") * 100 >= F.col("y.n") * percent
-    fits = bound & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    for turn in range(hub_rounds + 1):
-        found = connected_components(links) if turn else None
-        at = entries.withColumn("component", F.col("node"))
-        if found is not None:
-            at = entries.join(found.withColumnRenamed("component", "c"), "node", "left").select("key", "node", "n", F.coalesce("c", "node").alias("component"))
-            open_keys = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-            at = materialise(at.join(open_keys, "key"), "open")
-            most = at.groupBy("key").agg(F.count("*").alias("members")).agg(F.sum(F.col("members") * F.col("members")), F.sum("members")).first()
-            full = most[0] is None or most[0] <= FEW * most[1]
-        last = turn == hub_rounds or turn > 0 and full
-        if not last:
-            # the smallest member by a hash that differs from round to round
-            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("o") if turn else F.lit(0).alias("o"), "node", "n", "component")
-            hubs = at.groupBy("key").agg(F.min(order).alias("h")).select("key", F.col("h.node").alias("node"), F.col("h.n").alias("n"), F.col("h.component").alias("component"))
-        else:
-            hubs = at
-        x, y = hubs.alias("x"), at.alias("y")
-        other = F.col("x.component") != F.col("y.component")
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & other & fits).select(F.least("x.node", "y.node").alias("hub"), F.greatest("x.node", "y.node").alias("doc")).where("hub <> doc").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["hub", "doc"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        new = materialise(confirmed(pairs, docs, percent, words), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = links.unionByName(new)
-        if last:
-            break
-    found = connected_components(links)
-    named = usable.select("doc_id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"])
-    placed = named.join(found.withColumnRenamed("node", "f"), F.col("node") == F.col("f"), "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    placed = placed.groupBy("doc_id").agg(F.min("component").alias("component"))
+    several = usable.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    ties = named.join(several, "doc_id", "left_semi").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    found = connected_components(links.unionByName(ties)).withColumnRenamed("node", "f")
+    placed = named.join(found, F.col("node") == F.col("f"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component"))
     out = sketched.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
     own = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+
+
+def drop_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
+    """The rows of docs, all columns, that are the kept one of their group; rows with a null doc_id stay."""
+    gone = near_duplicates(docs, percent, words).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
