@@ -13,6 +13,7 @@ thousands of near copies give thousands of rows, not their square.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import distinct_sets, in_chunks, materialise, mix64, shingle_hashes
 from .components import connected_components
 
-BANDS, ROWS = 40, 7  #: a pair at similarity 0.85 shares no band with a probability of 2e-7
+ROWS = 7  #: coordinates in a band
+MISS = 3e-7  #: probability that a pair at the threshold shares no band
 COLD = 16  #: buckets of at most so many members are compared pair by pair
 BATCH = 256  #: documents compared against one hub in one group
 BLOCK_LEAST, BLOCK_MOST, BLOCKS = 60_000, 2_000_000, 8  #: shingles in a block of a cluster; blocks of a cluster while they hold less than the most
@@ -195,7 +197,12 @@ def confirmed(groups: DataFrame, docs: DataFrame, percent: int, words: int) -> D
     return materialise(dealt.select(*key, "side", "node", "text").mapInPandas(_compare(percent, words), "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
+    """Bands that leave a pair at the threshold without a common one with at most the probability miss."""
+    return math.ceil(math.log(miss) / math.log1p(-((percent / 100) ** rows)))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Words are A-Z lower-cased and split at the six white-space characters. Documents link where
@@ -204,7 +211,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: i
     doc_id reachable. Rows that share a doc_id share its component; rows with a null doc_id link with
     nothing and stay. An empty table gives an empty result. Extra columns have no effect.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs, bands = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bands_for(percent, rows)
     sketched = materialise(docs.mapInPandas(_sketch(bands, rows, words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "sketches")
     usable = sketched.where("n_shingles > 0 and doc_id is not null")
     same = ["d1", "d2", "n_shingles"]
