@@ -1,6 +1,636 @@
-"""Registry of the engine's own queries over the driver's tables, and their SQL twins."""
+"""Registry of the engine's own queries over the driver's tables, and their SQL twins.
+
+The tables stand in for survey exports: `documents` for answers with language and source as metadata,
+`conversations` and `events` for vertical tables, `part` and `orders` for wide ones, `embeddings` for
+answers' vectors.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text as X
+from ..functions.words import RELEVANCE_STOPWORDS, STOPWORDS
+from ..operators import assembly, communities, facets, graph, profile, rank, report, store, survey, terms, topics
+from . import manifest as M
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+#: The similarity that gives the driver's random vectors a sparse graph; the default leaves none.
+SIMILARITY = 0.35
+
+
+def query(sql: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    """documents as fragments of one each."""
+    return load(spark, sf, "documents").select(F.col("doc_id").alias("row_number"), F.lit(0).alias("fragment_no"), "text", "lang", "source")
+
+
+# --- SQL parts -----------------------------------------------------------------------------------
+
+
+def _words(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def _fold(c: str) -> str:
+    return f"replace(lower({c}), 'ß', 'ss')"
+
+
+def _tokens(c: str) -> str:
+    return rf"list_filter(regexp_extract_all({_fold(f"coalesce({c}, '')")}, '[\p{{L}}\p{{N}}]+'), lambda w: length(w) > 2 AND NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ({_words(STOPWORDS)}))"
+
+
+def _relevance(c: str) -> str:
+    return f"list_filter(regexp_extract_all({_fold(f"coalesce({c}, '')")}, '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({_words(RELEVANCE_STOPWORDS)}))"
+
+
+def _grams(tokens: str, n: int) -> str:
+    return f"CASE WHEN len({tokens}) >= {n} THEN list_transform(range(1, len({tokens}) - {n - 2}), lambda i: array_to_string({tokens}[i:i + {n - 1}], ' ')) ELSE [] END"
+
+
+def _occurrences(n: int, group: str = "") -> str:
+    """CTEs ending in o(row, group, term)."""
+    g = f"{group}, " if group else ""
+    return f"t AS (SELECT doc_id AS r, {g}text, {_tokens('text')} AS w FROM documents), o AS (SELECT r, {g}unnest({_grams('w', n)}) AS term FROM t)"
+
+
+def _clean(c: str) -> str:
+    return rf"trim(regexp_replace(trim(translate({c}, '‘’`´′' || chr(146) || chr(65279), ''''''''''''''), E' \t\n\r\f\x0b'), '''+$', ''), E' \t\n\r\f\x0b')"
+
+
+# --- text --------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, {_clean("text")} AS c FROM documents),
+    s AS (SELECT doc_id, CASE WHEN {_fold("c")} NOT IN ('', 'n/a', 'na', 'none', 'null', '.', '-', '<na>', 'nan') THEN c END AS cleaned FROM c)
+    SELECT doc_id, md5(cleaned) AS cleaned_md5, length(cleaned) AS cleaned_chars, length(trim(regexp_replace(cleaned, '\\s+', ' ', 'g'))) AS collapsed_chars FROM s"""
+)
+def text_clean(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id", X.clean_cell(F.col("text"), M.NULLS).alias("c"))
+    return d.select("doc_id", F.md5("c").alias("cleaned_md5"), F.char_length("c").cast("long").alias("cleaned_chars"), F.char_length(X.collapse(F.col("c"))).cast("long").alias("collapsed_chars"))
+
+
+PROFILED = {"documents": ("text", "lang", "source"), "part": ("p_name", "p_brand", "p_type")}
+
+
+@query(
+    r"""WITH v AS (SELECT 'documents.' || col AS col, trim(val, E' \t\n\r\f\x0b') AS v FROM (UNPIVOT (SELECT text, lang, source FROM documents) ON text, lang, source INTO NAME col VALUE val)
+        UNION ALL SELECT 'part.' || col, trim(val, E' \t\n\r\f\x0b') FROM (UNPIVOT (SELECT p_name, p_brand, p_type FROM part) ON p_name, p_brand, p_type INTO NAME col VALUE val)),
+    c AS (SELECT col, v, count(*) AS n FROM v WHERE v <> '' GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, v) AS place FROM c)
+    SELECT col AS "column", sum(n)::BIGINT AS n, count(*) AS distinct_n, round_even(sum(n * length(v)) / sum(n), 6) AS mean_length,
+        round_even(sum(CASE WHEN length(v) >= 25 THEN n ELSE 0 END) / sum(n), 6) AS long_ratio,
+        round_even(sum(CASE WHEN try_cast(v AS DOUBLE) IS NOT NULL THEN n ELSE 0 END) / sum(n), 6) AS numeric_ratio,
+        round_even(sum(CASE WHEN regexp_matches(v, '\p{L}') THEN n ELSE 0 END) / sum(n), 6) AS text_ratio,
+        round_even(sum(CASE WHEN place <= 5 THEN n ELSE 0 END) / sum(n), 6) AS top5, round_even(sum(CASE WHEN place <= 10 THEN n ELSE 0 END) / sum(n), 6) AS top10
+    FROM k GROUP BY col"""
+)
+def text_profile(spark, sf):
+    found = None
+    for name, columns in PROFILED.items():
+        df = load(spark, sf, name)
+        one = profile.value_profile(profile.unpivoted(df, columns, df.columns[0])).withColumn("column", F.concat(F.lit(f"{name}."), "column"))
+        found = one if found is None else found.unionByName(one)
+    ratios = ["mean_length", "long_ratio", "numeric_ratio", "text_ratio", "top5", "top10"]
+    return found.select("column", "n", "distinct_n", *[F.bround(c, 6).alias(c) for c in ratios])
+
+
+@query(
+    r"""WITH v AS (SELECT 'pages.url' AS col, trim(url) AS v FROM pages UNION ALL SELECT 'customer.c_name', trim(c_name) FROM customer)
+    SELECT col AS "column", round_even(avg(CASE WHEN v <> '' AND NOT contains(v, ' ') AND (regexp_full_match(lower(v), '[0-9a-f]{6,}(?:-[0-9a-f]{2,}){2,}')
+        OR (length(v) >= 12 AND contains(v, '-') AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]'))) THEN 1.0::DOUBLE ELSE 0 END), 6) AS identifier_ratio FROM v WHERE v <> '' GROUP BY col"""
+)
+def identifier_ratio(spark, sf):
+    long = profile.unpivoted(load(spark, sf, "pages"), ["url"], "page_id").withColumn("column", F.lit("pages.url"))
+    long = long.unionByName(profile.unpivoted(load(spark, sf, "customer"), ["c_name"], "c_custkey").withColumn("column", F.lit("customer.c_name")))
+    return long.groupBy("column").agg(F.bround(F.avg(profile.is_identifier().cast("double")), 6).alias("identifier_ratio"))
+
+
+@query(
+    rf"""WITH c AS (SELECT trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
+    a AS (SELECT CASE WHEN {_fold("t")} NOT IN ('', 'na', 'n/a', 'nan', 'none', 'null', 'nil', '-', '--') THEN t END AS t FROM c),
+    s AS (SELECT t, coalesce(len(list_filter(regexp_extract_all(t, '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}_'']*[\p{{L}}\p{{N}}_])?'), lambda w: trim(w, '_''') <> '')) = 1, false) AS single FROM a)
+    SELECT count(*) AS total, count(*) FILTER (t IS NULL) AS empty_or_placeholder, count(*) FILTER (single) AS single_word, count(*) FILTER (t IS NOT NULL AND NOT single) AS analysed FROM s"""
+)
+def usable_responses(spark, sf):
+    return terms.usable_responses(load(spark, sf, "documents"), "text")
+
+
+@query(
+    rf"""WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
+    a AS (SELECT doc_id, CASE WHEN length(t) > 3000 THEN rtrim(t[1:3000]) ELSE t END AS t FROM c WHERE {_fold("t")} NOT IN ('', 'na', 'n/a', 'nan', 'none', 'null', 'nil', '-', '--')),
+    s AS (SELECT doc_id, t, list_transform(regexp_extract_all(t, '[^.]+\.'), lambda x: trim(x)) AS chunks FROM a),
+    k AS (SELECT doc_id, t, CASE WHEN len(chunks) >= 2 AND array_to_string(chunks, ' ') = t THEN 'sentences' WHEN contains(t, '.') THEN 'whole' ELSE 'commas' END AS kind FROM s)
+    SELECT kind, count(*) AS n, sum(length(t))::BIGINT AS chars FROM k GROUP BY kind"""
+)
+def fragment_kinds(spark, sf):
+    """Which of the three ways of cutting applies to an answer (before chunks are validated)."""
+    a = load(spark, sf, "documents").select(X.capped(X.answer(F.col("text"))).alias("t")).where("t IS NOT NULL")
+    chunks = F.transform(F.regexp_extract_all("t", F.lit(r"[^.]+\."), 0), X.strip)
+    kind = F.when((F.size(chunks) >= 2) & (X.collapse(F.array_join(chunks, " ")) == F.col("t")), "sentences").when(F.col("t").contains("."), "whole").otherwise("commas")
+    return a.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.char_length("t")).alias("chars"))
+
+
+@query()
+def fragments(spark, sf):
+    """Sentences and clauses with continuations merged; checked against a plain statement of the rule in the tests."""
+    return terms.prepare(load(spark, sf, "documents"), "text", order="doc_id")
+
+
+# --- vertical and wide assembly ------------------------------------------------------------------
+
+
+@query("SELECT conv_id, role, arg_max(text, turn) AS answer FROM conversations WHERE conv_id IS NOT NULL AND role IS NOT NULL AND text IS NOT NULL GROUP BY conv_id, role")
+def vertical_dedupe(spark, sf):
+    c = load(spark, sf, "conversations")
+    return assembly.last_answers(assembly.drop_invalid(c, ["conv_id"], "role", "text"), ["conv_id"], "role", "text", "turn").withColumnRenamed("text", "answer")
+
+
+@query(
+    """WITH a AS (SELECT conv_id, role, arg_max(text, turn) AS answer FROM conversations WHERE conv_id IS NOT NULL AND role IS NOT NULL AND text IS NOT NULL GROUP BY conv_id, role),
+    m AS (SELECT conv_id, arg_min(role, turn) AS opener FROM conversations GROUP BY conv_id)
+    SELECT m.conv_id, opener, max(answer) FILTER (role = 'system') AS system, max(answer) FILTER (role = 'user') AS "user", max(answer) FILTER (role = 'assistant') AS assistant
+    FROM m LEFT JOIN a USING (conv_id) GROUP BY m.conv_id, opener"""
+)
+def vertical_pivot(spark, sf):
+    c = load(spark, sf, "conversations")
+    last = assembly.last_answers(assembly.drop_invalid(c, ["conv_id"], "role", "text"), ["conv_id"], "role", "text", "turn")
+    wide = assembly.pivot_answers(last, ["conv_id"], "role", "text", ["system", "user", "assistant"])
+    people = assembly.first_values(c.withColumn("opener", F.col("role")), ["conv_id"], ["opener"], "turn").drop("turn")
+    return people.join(wide, "conv_id", "left")
+
+
+@query(
+    """SELECT user_id, """
+    + ", ".join(f"arg_max(value, event_id) FILTER (event_type = '{t}') AS \"{t}\"" for t in ("click", "error", "purchase", "signup", "view"))
+    + " FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL AND user_id IS NOT NULL GROUP BY user_id"
+)
+def event_pivot(spark, sf):
+    e = load(spark, sf, "events")
+    last = assembly.last_answers(assembly.drop_invalid(e, ["user_id"], "event_type", "value"), ["user_id"], "event_type", "value", "event_id")
+    return assembly.pivot_answers(last, ["user_id"], "event_type", "value", ["click", "error", "purchase", "signup", "view"])
+
+
+@query(
+    """SELECT user_id, arg_min(CASE WHEN event_type <> 'view' THEN event_type END, event_id) FILTER (event_type <> 'view') AS first_type,
+    arg_min(value, event_id) FILTER (value > 50) AS first_large, min(event_id) AS event_id FROM events GROUP BY user_id"""
+)
+def first_non_null(spark, sf):
+    e = load(spark, sf, "events").select("user_id", "event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("first_type"), F.when(F.col("value") > 50, F.col("value")).alias("first_large"))
+    return assembly.first_values(e, ["user_id"], ["first_type", "first_large"], "event_id")
+
+
+@query(
+    """SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END, '__MISSING_TITLE__') AS title FROM orders"""
+)
+def question_coalesce(spark, sf):
+    o = load(spark, sf, "orders").withColumns({"first": F.when(F.col("o_orderstatus") == "F", " nan ").otherwise(F.col("o_orderstatus")), "second": F.when(F.col("o_orderpriority") == "5-LOW", "").otherwise(F.col("o_orderpriority"))})
+    return o.select("o_orderkey", F.coalesce(X.usable_title(F.col("first")), X.usable_title(F.col("second")), F.lit(survey.MISSING_TITLE)).alias("title"))
+
+
+@query("SELECT p_partkey, concat_ws(', ', CASE WHEN p_size > 10 THEN p_brand END, nullif(trim(p_type), ''), nullif(trim(p_name), '')) AS \"Top words\" FROM part")
+def multipart_concat(spark, sf):
+    p = load(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") > 10, F.col("p_brand")).otherwise(" ").alias("24.1: Top words: Word 1"), F.col("p_type").alias("24.2: Top words: Word 2"), F.col("p_name").alias("24.3: Top words: Word 3"))
+    from ..operators.headers import multipart
+
+    return assembly.merge_parts(p, multipart(p.columns[1:], []), "p_partkey")
+
+
+@query(
+    """SELECT p_partkey AS user_id, q AS full_title, trim(v) AS text FROM (UNPIVOT (SELECT p_partkey, p_brand, p_type, p_name FROM part) ON p_brand, p_type, p_name INTO NAME q VALUE v)
+    WHERE lower(trim(v)) NOT IN ('', 'nan', '<na>', 'none')"""
+)
+def unpivot_question(spark, sf):
+    p = load(spark, sf, "part")
+    long = p.unpivot("p_partkey", ["p_brand", "p_type", "p_name"], "full_title_norm", "answer").select(F.col("p_partkey").alias("user_id"), F.lit("About the part").alias("main_title_norm"), "full_title_norm", "answer")
+    return survey.question_records(long, "About the part")
+
+
+@query(
+    """WITH l AS (SELECT doc_id, min(CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END) AS g FROM labels GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(CASE WHEN lang <> 'en' THEN lang END, g) AS career_group FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id"""
+)
+def backfill_join(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id", F.when(F.col("lang") == "en", " ").otherwise(F.col("lang")).alias("career_group"))
+    source = load(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("poor").alias("career_group"))
+    filled = survey.backfill(d, source, ["doc_id"], ["career_group"])
+    return filled.withColumn("career_group", survey.filled(F.col("career_group")))
+
+
+@query(
+    """WITH u AS (SELECT user_id, count(*) AS n, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS a FROM events GROUP BY user_id)
+    SELECT sum(n)::BIGINT AS total_rows, count(user_id) AS total_users, count(*) FILTER (a = 1 AND user_id IS NOT NULL) AS users_with_any_answer, count(*) FILTER (a = 0 AND user_id IS NOT NULL) AS users_with_no_answers FROM u"""
+)
+def answer_coverage(spark, sf):
+    return survey.coverage(load(spark, sf, "events").select("user_id", F.when(F.col("event_type") == "purchase", "yes").otherwise(" ").alias("answer_value")))
+
+
+@query("SELECT c_custkey, c_name, n_name AS country FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE lower(trim(n_name)) = 'nation_3'")
+def country_filter(spark, sf):
+    c = load(spark, sf, "customer").join(F.broadcast(load(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # nations are few by definition
+    return facets.by_country(c.select("c_custkey", "c_name", F.col("n_name").alias("country")), " Nation_3 ")
+
+
+# --- facets, filters, pages -------------------------------------------------------------------
+
+
+@query(
+    """SELECT 'lang' AS "column", lang AS value, count(*) AS n, min(doc_id) AS first_seen FROM documents WHERE trim(lang) <> '' GROUP BY lang
+    UNION ALL SELECT 'source', source, count(*), min(doc_id) FROM documents WHERE trim(source) <> '' GROUP BY source"""
+)
+def facet_counts(spark, sf):
+    return facets.value_counts(load(spark, sf, "documents"), ["lang", "source"], "doc_id")
+
+
+@query(
+    """WITH c AS (SELECT 'c_mktsegment' AS col, 'C Mktsegment' AS display_name, c_mktsegment AS value, count(*) AS n, min(c_custkey) AS f FROM customer GROUP BY c_mktsegment
+        UNION ALL SELECT 'c_nationkey', 'C Nationkey', c_nationkey::VARCHAR, count(*), min(c_custkey) FROM customer GROUP BY c_nationkey
+        UNION ALL SELECT 'c_name', 'C Name', c_name, count(*), min(c_custkey) FROM customer GROUP BY c_name),
+    t AS (SELECT col, count(*) AS v, sum(n) AS r FROM c WHERE trim(value) <> '' GROUP BY col HAVING count(*) BETWEEN 2 AND 120 AND (count(*) < 25 OR count(*) / sum(n) <= 0.45))
+    SELECT col AS "column", display_name, value, n, row_number() OVER (PARTITION BY col ORDER BY f, value)::INTEGER AS place FROM c SEMI JOIN t USING (col)"""
+)
+def facet_definitions(spark, sf):
+    return facets.definitions(load(spark, sf, "customer"), ["c_mktsegment", "c_nationkey", "c_name"], "c_custkey")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority = '1-URGENT'")
+def facet_filter(spark, sf):
+    o = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return facets.apply_filters(o, {"o_orderstatus": ["F", "P", " "], "o_orderpriority": ["1-URGENT"]}, ["o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+def row_page(spark, sf):
+    o = facets.apply_filters(load(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), {"o_orderstatus": ["F"]})
+    return o.orderBy("o_orderkey").offset(100).limit(50)
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 50")
+def keyset_page(spark, sf):
+    return store.after(load(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), 500, 50, "o_orderkey")
+
+
+# --- terms and n-grams ----------------------------------------------------------------------------
+
+
+def _ngram(n: int) -> None:
+    def run(spark, sf):
+        return terms.top_ngrams(answers(spark, sf), n, 12, tie="term")
+
+    run.__name__ = f"ngram_{n}"
+    query(f"WITH {_occurrences(n)} SELECT {n} AS ngram_size, term, count(*) AS n, count(DISTINCT r) AS documents FROM o GROUP BY term ORDER BY n DESC, term LIMIT 12")(run)
+
+
+for _n in (1, 2, 3):
+    _ngram(_n)
+
+
+@query(f"WITH {_occurrences(2)}, b AS (SELECT term FROM o GROUP BY term ORDER BY count(*) DESC, term LIMIT 3) SELECT DISTINCT term, r AS row_number, length(text) AS chars FROM o JOIN t USING (r) WHERE term IN (SELECT term FROM b)")
+def ngram_documents(spark, sf):
+    d = answers(spark, sf)
+    found = terms.ngram_documents(d, 2, terms.top_ngrams(d, 2, 3, tie="term"))
+    return found.select("term", "row_number", F.char_length("text").cast("long").alias("chars"))
+
+
+@query(f"WITH {_occurrences(2)}, b AS (SELECT term FROM o GROUP BY term ORDER BY count(*) DESC, term LIMIT 1) SELECT DISTINCT term, r AS row_number FROM o WHERE term IN (SELECT term FROM b) ORDER BY row_number LIMIT 5 OFFSET 2")
+def ngram_page(spark, sf):
+    d = answers(spark, sf)
+    return terms.ngram_documents(d, 2, terms.top_ngrams(d, 2, 1, tie="term")).select("term", "row_number").orderBy("row_number").offset(2).limit(5)
+
+
+@query(
+    f"""WITH {_occurrences(1, "lang")}, c AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term),
+    k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rank FROM c QUALIFY rank <= 6)
+    SELECT lang, rank::INTEGER AS rank, term, n, round_even(n / max(n) OVER (PARTITION BY lang), 4) AS strength FROM k"""
+)
+def top_terms_by_group(spark, sf):
+    return terms.top_terms(answers(spark, sf), ["lang"], 6, tie="term")
+
+
+@query(
+    f"""WITH {_occurrences(1, "lang")}, p AS (SELECT r, lang, term, row_number() OVER () AS i FROM o),
+    q AS (SELECT lang, r, unnest(list_transform(range(1, len(w) + 1), lambda i: {{'term': w[i], 'pos': i}})) AS x FROM t),
+    c AS (SELECT lang, x.term AS term, count(*) AS n, min((r, x.pos)) AS first FROM q GROUP BY ALL)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY n DESC, first, term)::INTEGER AS rank, term, n FROM c QUALIFY rank <= 6"""
+)
+def top_terms_first_seen(spark, sf):
+    return terms.top_terms(answers(spark, sf), ["lang"], 6).drop("strength")
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id AS r, source, {_tokens("text")} AS w FROM documents),
+    """
+    + ", ".join(
+        f"c{n} AS (SELECT source, term, count(*) AS n FROM (SELECT source, unnest({_grams('w', n)}) AS term FROM t) GROUP BY ALL), b{n} AS (SELECT source, term FROM c{n} WHERE n >= {2 if n > 1 else 1} QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, term) <= {1 if n > 1 else 2})"
+        for n in (1, 2, 3)
+    )
+    + """, u AS (SELECT source, string_agg(term, ' ' ORDER BY n DESC, term) AS uni FROM b1 JOIN c1 USING (source, term) GROUP BY source)
+    SELECT s.source, coalesce(b3.term, b2.term, u.uni, '') AS phrase FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN b3 USING (source) LEFT JOIN b2 USING (source) LEFT JOIN u USING (source)"""
+)
+def top_phrase(spark, sf):
+    return terms.top_phrase(answers(spark, sf), ["source"], tie="term")
+
+
+@query(
+    f"""WITH d AS (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 120), t AS (SELECT doc_id AS r, source, {_tokens("text")} AS w FROM d),
+    z AS (SELECT source, count(*) AS size FROM d GROUP BY source), o AS (SELECT r, source, unnest({_grams("w", 2)}) AS term FROM t),
+    c AS (SELECT source, term, count(*) AS n, count(DISTINCT r) AS documents FROM o WHERE split_part(term, ' ', 1) <> split_part(term, ' ', 2) GROUP BY ALL)
+    SELECT source, row_number() OVER (PARTITION BY source ORDER BY documents DESC, n DESC, term)::INTEGER AS rank, term, n, documents FROM c JOIN z USING (source) WHERE documents >= least(4, size) QUALIFY rank <= 3"""
+)
+def evidence_ngrams(spark, sf):
+    return terms.evidence_ngrams(answers(spark, sf), 2, ["source"], 3)
+
+
+@query()
+def context_phrases(spark, sf):
+    """Checked against a plain statement of the rule in the tests."""
+    return terms.chosen_phrases(terms.context_phrases(answers(spark, sf), ["source"]), ["source"], 8)
+
+
+# --- ranking ---------------------------------------------------------------------------------------
+
+TOPICS = {"en": ("The For And", ["ing", "the", "was"]), "de": ("Der Und Die", ["der", "ung", "die"]), "fr": ("Les Pour Dans", ["les", "pour"]), "es": ("Para Las", ["para", "las"])}
+
+
+def topic_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, label, t) for k, (label, t) in TOPICS.items()], "lang string, label string, terms array<string>")
+
+
+_TOPIC_SQL = "topics(lang, label, terms) AS (VALUES " + ", ".join(f"('{k}', '{label}', [{_words(t)}])" for k, (label, t) in TOPICS.items()) + ")"
+
+
+@query(
+    f"""WITH {_TOPIC_SQL}, s AS (SELECT lang, doc_id, text, {_fold("text")} AS key, len(list_filter(terms, lambda x: contains({_fold("text")}, x))) AS hits, abs(length(text) - 220) AS off FROM documents JOIN topics USING (lang)),
+    o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, key ORDER BY hits DESC, off, doc_id) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY hits DESC, off, doc_id)::INTEGER AS rank, doc_id AS row_number, hits::INTEGER AS hits, text FROM o QUALIFY rank <= 3"""
+)
+def examples(spark, sf):
+    return rank.examples(answers(spark, sf), topic_table(spark).select("lang", "terms"), ["lang"]).drop("fragment_no")
+
+
+def _hits(term: str) -> str:
+    return rf"len(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_\p{{M}}]+'), lambda w: w = {term}))"
+
+
+@query(
+    f"""WITH {_TOPIC_SQL}, h AS (SELECT lang, doc_id, list_transform(terms, lambda x: {_hits("x")}) AS f FROM documents JOIN topics USING (lang))
+    SELECT lang, doc_id AS row_number, len(list_filter(f, lambda n: n > 0))::INTEGER AS hits FROM h"""
+)
+def representativeness_hits(spark, sf):
+    """Distinct terms found in each document, the second key of the representativeness order."""
+    return rank.representativeness(answers(spark, sf), topic_table(spark).select("lang", "terms"), ["lang"]).select("lang", "row_number", "hits")
+
+
+@query()
+def representativeness(spark, sf):
+    """The whole order; checked against a plain statement of the rule in the tests."""
+    return rank.representativeness(answers(spark, sf), topic_table(spark).select("lang", "terms"), ["lang"]).select("lang", "row_number", "hits", "rank")
+
+
+_REL = f"""{_TOPIC_SQL}, d AS (SELECT lang, doc_id, text, {_relevance("text")} AS w, label, terms, {_relevance("label")} AS l FROM documents JOIN topics USING (lang)),
+    g AS (SELECT *, {_grams("w", 2)} AS w2, {_grams("w", 3)} AS w3, {_grams("l", 2)} AS l2, {_grams("l", 3)} AS l3, list_distinct(flatten(list_transform(terms, lambda x: {_relevance("x")}))) AS tw FROM d),
+    s AS (SELECT *, len(list_intersect(list_distinct(w3), l3)) AS trigrams, len(list_intersect(list_distinct(w2), l2)) AS bigrams, len(list_intersect(list_distinct(w), l)) AS words, len(list_intersect(list_distinct(w), tw)) AS term_words FROM g)"""
+
+
+@query(
+    f"""WITH {_REL} SELECT lang, doc_id AS row_number, trigrams::INTEGER AS trigrams, bigrams::INTEGER AS bigrams, words::INTEGER AS words, term_words::INTEGER AS term_words,
+    row_number() OVER (PARTITION BY lang ORDER BY trigrams DESC, bigrams DESC, words DESC, term_words DESC, len(regexp_extract_all(text, '[A-Za-z0-9]+')), length(text), doc_id)::INTEGER AS rank FROM s"""
+)
+def label_relevance(spark, sf):
+    return rank.label_relevance(answers(spark, sf), topic_table(spark), ["lang"]).select("lang", "row_number", "trigrams", "bigrams", "words", "term_words", "rank")
+
+
+@query(f"""WITH {_REL} SELECT lang, doc_id AS row_number, count(*) OVER (PARTITION BY lang) >= 2 AND words + term_words = 0 AS off_topic FROM s""")
+def off_topic(spark, sf):
+    return rank.off_topic(answers(spark, sf), topic_table(spark), ["lang"]).select("lang", "row_number", "off_topic")
+
+
+# --- groups --------------------------------------------------------------------------------------
+
+_SUMMARY = f"""t AS (SELECT doc_id AS r, lang, {_tokens("text")} AS w FROM documents), c AS (SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest(w) AS term FROM t) GROUP BY ALL),
+    k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) <= 6),
+    m AS (SELECT lang, list(term ORDER BY n DESC, term) AS terms, list(round_even(n / x, 4) ORDER BY n DESC, term) AS strengths FROM (SELECT *, max(n) OVER (PARTITION BY lang) AS x FROM k) GROUP BY lang),
+    z AS (SELECT lang, count(*) AS count FROM documents GROUP BY lang)"""
+
+
+@query(f"WITH {_SUMMARY} SELECT lang, count, sum(count) OVER ()::BIGINT AS total_documents, round_even(count / sum(count) OVER (), 4) AS share, array_to_string(terms, ' ') AS terms, array_to_string(strengths, ' ') AS strengths FROM z JOIN m USING (lang)")
+def group_summary(spark, sf):
+    g = topics.summaries(answers(spark, sf), "lang", tie="term")
+    return g.select("lang", "count", "total_documents", "share", F.array_join("terms", " ").alias("terms"), F.array_join(F.transform("strengths", lambda s: s.cast("string")), " ").alias("strengths"))
+
+
+@query(
+    f"""WITH t AS (SELECT source, {_tokens("text")} AS w FROM documents), c AS (SELECT source, term, count(*) AS n FROM (SELECT source, unnest(w) AS term FROM t) GROUP BY ALL),
+    k AS (SELECT source, term FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, term) <= 2),
+    s AS (SELECT source, string_agg(term, '+' ORDER BY term) AS signature FROM k GROUP BY source), z AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
+    SELECT signature, arg_min(source, (-n, source)) AS primary_source, sum(n)::BIGINT AS n, count(*) AS groups FROM s JOIN z USING (source) GROUP BY signature"""
+)
+def signature_merge(spark, sf):
+    """A16 as a distributed aggregation: groups of one signature and the largest of them."""
+    d = answers(spark, sf)
+    two = terms.top_terms(d, ["source"], 2, tie="term").groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("term")), "+").alias("signature"))
+    sizes = d.groupBy("source").agg(F.count("*").alias("n"))
+    return two.join(sizes, "source").groupBy("signature").agg(F.min_by("source", F.struct(-F.col("n"), F.col("source"))).alias("primary_source"), F.sum("n").alias("n"), F.count("*").alias("groups"))
+
+
+@query()
+def merged_topics(spark, sf):
+    """Steps 6 to 11 on sources as groups: final groups with their documents' counts."""
+    d = answers(spark, sf).withColumn("community", F.regexp_extract("source", "[0-9]+", 0).cast("long")).drop("lang", "source")
+    placed, groups, _ = topics.analyse(d)
+    names = spark.createDataFrame([(g.id, g.label) for g in groups if not g.noise] + [(-1, topics.NOISE_LABEL)], "community long, label string")
+    return placed.groupBy("community").agg(F.count("*").alias("n"), F.max("rank").alias("last_rank")).join(names, "community")
+
+
+# --- graph -----------------------------------------------------------------------------------------
+
+
+def vectors(spark, sf, *keep):
+    return graph.unit_vectors(load(spark, sf, "embeddings"), "vec_id", "embedding", *keep)
+
+
+def _near(k: int = 16) -> str:
+    return f"""v AS (SELECT vec_id AS node, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
+    p AS (SELECT a.node AS a, b.node AS b, a.label AS la, b.label AS lb, list_dot_product(a.v, b.v) AS sim FROM v a JOIN v b ON a.node <> b.node),
+    n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM p QUALIFY rank <= {k})"""
+
+
+def _edge_sql(threshold: str) -> str:
+    return f"{_near()}, d AS (SELECT * FROM n WHERE sim >= {threshold}), e AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, min(sim) AS weight FROM d GROUP BY ALL HAVING count(*) = 2)"
+
+
+@query(f"WITH {_near()} SELECT a, b, round_even(sim, 6) AS sim, rank::INTEGER AS rank FROM n")
+def knn_topk(spark, sf):
+    return graph.nearest(vectors(spark, sf)).select("a", "b", F.bround("sim", 6).alias("sim"), "rank")
+
+
+@query(f"WITH {_edge_sql(str(SIMILARITY))} SELECT src, dst, round_even(weight, 6) AS weight FROM e")
+def mutual_edges(spark, sf):
+    return graph.exported(graph.similarity_edges(vectors(spark, sf), SIMILARITY))
+
+
+@query(f"WITH {_near()}, d AS (SELECT * FROM n WHERE sim >= {SIMILARITY}) SELECT least(a, b) AS src, greatest(a, b) AS dst, round_even(min(sim), 6) AS weight FROM d GROUP BY ALL")
+def loose_edges(spark, sf):
+    return graph.exported(graph.similarity_edges(vectors(spark, sf), SIMILARITY, mutual=False))
+
+
+@query(f"WITH {_edge_sql('CASE WHEN la = lb AND la <> 0 THEN 0.78 ELSE ' + str(SIMILARITY) + ' END')} SELECT src, dst, round_even(weight, 6) AS weight FROM e")
+def language_edges(spark, sf):
+    """Label 0 stands for English, the other labels for languages that need the higher similarity."""
+    lang = F.when(F.col("label") == 0, "en").otherwise(F.concat(F.lit("l"), F.col("label").cast("string")))
+    v = vectors(spark, sf, lang.alias("lang"))
+    return graph.exported(graph.similarity_edges(v.select("node", "v"), SIMILARITY, languages=v.select("node", "lang")))
+
+
+@query(f"WITH {_edge_sql(str(SIMILARITY))}, b AS (SELECT src AS node, weight FROM e UNION ALL SELECT dst, weight FROM e) SELECT node, round_even(sum(greatest(weight, 0)), 6) AS degree, count(*) AS neighbours FROM b GROUP BY node")
+def degree(spark, sf):
+    return graph.degrees(graph.similarity_edges(vectors(spark, sf), SIMILARITY)).select("node", F.bround("degree", 6).alias("degree"), "neighbours")
+
+
+_COMPONENTS = f"""{_edge_sql(str(SIMILARITY))}, b AS MATERIALIZED (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e),
+    r(x, m) AS (SELECT x, x FROM b UNION SELECT b.y, r.m FROM r JOIN b ON b.x = r.x), c AS (SELECT v.node, coalesce(min(r.m), v.node) AS component FROM v LEFT JOIN r ON r.x = v.node GROUP BY v.node)"""
+
+
+@query(f"WITH RECURSIVE {_COMPONENTS} SELECT node, component FROM c")
+def components(spark, sf):
+    v = vectors(spark, sf)
+    return graph.components(graph.similarity_edges(v, SIMILARITY), v.select("node"))
+
+
+_NAMED = f"{_COMPONENTS}, z AS (SELECT component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, component) - 1 AS id FROM c GROUP BY component HAVING count(*) >= 3), named AS (SELECT node, coalesce(id, -1) AS community FROM c LEFT JOIN z USING (component))"
+
+
+@query(f"WITH RECURSIVE {_NAMED} SELECT node, community FROM named")
+def noise_groups(spark, sf):
+    v = vectors(spark, sf)
+    found = graph.components(graph.similarity_edges(v, SIMILARITY), v.select("node")).withColumnRenamed("component", "community")
+    return graph.named_communities(found, v.count())
+
+
+@query(f"WITH RECURSIVE {_NAMED}, q AS (SELECT node // 2 AS row_number, max(CASE WHEN community >= 0 THEN 1 ELSE 0 END) AS real FROM named GROUP BY ALL) SELECT count(*) FILTER (real = 1) AS assigned, count(*) FILTER (real = 0) AS unassigned FROM q")
+def assigned_counts(spark, sf):
+    """Two vectors stand for the two fragments of one respondent."""
+    return graph.assigned_counts(noise_groups(spark, sf).select(F.floor(F.col("node") / 2).alias("row_number"), "community"))
+
+
+@query(
+    f"""WITH RECURSIVE {_NAMED} SELECT e.src, e.dst, round_even(weight, 6) AS weight, e.src + 1 AS src_row, s.community AS src_community, e.dst + 1 AS dst_row, d.community AS dst_community
+    FROM e JOIN named s ON s.node = e.src JOIN named d ON d.node = e.dst"""
+)
+def plot_edges(spark, sf):
+    v = vectors(spark, sf)
+    e = graph.similarity_edges(v, SIMILARITY)
+    named = noise_groups(spark, sf)
+    points = graph.plot_points(named, graph.circle(v.select("node")), v.select("node", (F.col("node") + 1).alias("row_number")))
+    return graph.plot_edges(e, points)
+
+
+@query()
+def found_communities(spark, sf):
+    """Modularity communities; the tests check that they partition the nodes and beat components and singletons."""
+    return communities.run(vectors(spark, sf), SIMILARITY)[0]
+
+
+@query("SELECT vec_id AS node, -1::BIGINT AS community FROM embeddings")
+def all_noise(spark, sf):
+    """At the usual similarity random vectors have no edge, so all is noise."""
+    return communities.run(vectors(spark, sf), 0.66)[0]
+
+
+@query("SELECT vec_id AS node, true AS placed FROM embeddings")
+def layout(spark, sf):
+    """Every node gets a place; where exactly is a matter of looks."""
+    return graph.principal_layout(vectors(spark, sf)).select("node", (~F.isnan("x") & ~F.isnan("y")).alias("placed"))
+
+
+# --- views of finished results -------------------------------------------------------------------
+
+
+@query("WITH k AS (SELECT lang, count(*) AS count FROM documents WHERE source IN ('src0', 'src1') GROUP BY lang) SELECT lang, count, sum(count) OVER ()::BIGINT AS total_documents, round_even(count / sum(count) OVER (), 4) AS share FROM k")
+def refilter(spark, sf):
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("row_number"), "lang", "source")
+    return store.refiltered(d, facets.apply_filters(d, {"source": ["src0", "src1"]}), "lang")
+
+
+@query("WITH l AS (SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr')) SELECT d.doc_id AS row_number, coalesce(l.lang, '') AS community_group FROM documents d LEFT JOIN l USING (doc_id)")
+def group_write_back(spark, sf):
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("row_number"), "lang")
+    order = spark.createDataFrame([(0, 0, "de"), (1, 1, "fr")], "community long, place int, label string")
+    placed = d.where(F.col("lang").isin("de", "fr")).select("row_number", F.when(F.col("lang") == "de", 0).otherwise(1).cast("long").alias("community"))
+    return store.with_group(d.select("row_number"), placed, order)
+
+
+@query(
+    f"""WITH {_SUMMARY} SELECT row_number() OVER (ORDER BY count DESC, lang)::INTEGER AS place, lang AS label, count, round_even(count / sum(count) OVER () * 100, 1) AS percent, array_to_string(terms[1:4], ', ') AS top_terms FROM z JOIN m USING (lang)"""
+)
+def report_sections(spark, sf):
+    g = topics.summaries(answers(spark, sf), "lang", tie="term").withColumn("label", F.col("lang"))
+    return report.summary_sections(g).select("place", "label", "count", "percent", "top_terms")
+
+
+@query("SELECT term, n FROM (WITH " + _occurrences(1) + " SELECT term, count(*) AS n FROM o GROUP BY term) ORDER BY n DESC, term LIMIT 10")
+def chart_bars(spark, sf):
+    return report.chart_bars(terms.ngram_counts(answers(spark, sf), 1), "term")
+
+
+@query("SELECT regexp_extract(p_name, '^[a-z]+') AS first_word, upper(p_name[1:1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1:1]) || split_part(p_name, ' ', 2)[2:] AS label, p_partkey FROM part")
+def label_format(spark, sf):
+    p = load(spark, sf, "part")
+    return p.select("p_partkey", F.get(X.label_tokens(F.col("p_name")), 0).alias("first_word"), X.topic_label(F.upper("p_name")).alias("label"))
+
+
+# --- whole ingests -------------------------------------------------------------------------------
+
+
+@query(
+    """WITH a AS (SELECT conv_id, role, arg_max(text, turn) AS answer FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL AND trim(text) <> '' GROUP BY conv_id, role)
+    SELECT conv_id::VARCHAR AS "conv_id__idx_0", md5(max(answer) FILTER (role = 'assistant')) AS assistant, md5(max(answer) FILTER (role = 'system')) AS system, md5(max(answer) FILTER (role = 'user')) AS "user" FROM a GROUP BY conv_id"""
+)
+def ingest_vertical(spark, sf):
+    """conversations as a vertical survey: conv_id is the record, role the question, text the answer."""
+    from ..sources.csv_source import Table
+
+    c = load(spark, sf, "conversations")
+    order = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) + F.col("conv_id") * 1_000_000
+    table = Table(c.select(F.col("conv_id").cast("string").alias("c0"), F.col("role").alias("c1"), F.col("text").alias("c2"), order.cast("long").alias("row_number")), ("conv_id", "role", "text"), "utf-8-sig", ",")
+    m = M.Manifest(M.VERTICAL, (0,), (), M.Assembly((0,), (1,), 2)).validated()
+    out, _ = assembly.transform(table, m)
+    return out.select("conv_id__idx_0", *[F.md5(c).alias(c) for c in ("assistant", "system", "user")])
+
+
+@query(
+    """SELECT p_partkey::VARCHAR AS "user id__idx_0", p_type AS "country__idx_1", concat_ws(', ', p_name, p_brand) AS "Top words" FROM part"""
+)
+def ingest_wide(spark, sf):
+    from ..sources.csv_source import Table
+
+    p = load(spark, sf, "part")
+    table = Table(p.select(F.col("p_partkey").cast("string").alias("c0"), F.col("p_type").alias("c1"), F.col("p_name").alias("c2"), F.col("p_brand").alias("c3"), F.col("p_partkey").alias("row_number")), ("user id", "country", "1. Top words: Word 1", "2. Top words: Word 2"), "utf-8-sig", ",")
+    out, _ = assembly.transform(table, M.Manifest(M.WIDE, (0, 1), (2, 3)).validated())
+    return out.drop("row_number")
+
+
+@query("""SELECT * FROM (VALUES ('user id__idx_0', 'metadata'), ('country__idx_1', 'metadata'), ('Why?__idx_2', 'verbatim'), ('score__idx_3', 'left out')) AS t("column", role)""")
+def column_roles(spark, sf):
+    """documents as a survey: the text is found to be open, the length a number."""
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("row_number"), F.col("doc_id").cast("string").alias("user id__idx_0"), F.col("lang").alias("country__idx_1"), F.col("text").alias("Why?__idx_2"), F.col("n_chars").cast("string").alias("score__idx_3"))
+    metadata, verbatim, left = profile.roles(d)
+    return spark.createDataFrame([(c, "metadata") for c in metadata] + [(c, "verbatim") for c in verbatim] + [(c, "left out") for c in left], "column string, role string")
