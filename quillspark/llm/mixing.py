@@ -34,7 +34,7 @@ def tempered(cells: DataFrame, margin: str, temperature: float) -> DataFrame:
     """Targets of a margin: token shares to the power temperature, scaled to sum to 1."""
     shares = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("t"))
     powered = shares.select(margin, F.pow("t", F.lit(temperature)).alias("target"))
-    return powered.crossJoin(powered.agg(F.sum("target").alias("whole"))).select(margin, (F.col("target") / F.col("whole")).alias(f"{margin}_target"))
+    return powered.crossJoin(powered.agg(F.sum("target").alias("whole"))).select(margin, F.try_divide("target", "whole").alias(f"{margin}_target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, temperature: float = 0.8, sweeps: int = SWEEPS, seed: s
     fitted = rake(cells, {m: tempered(cells, m, temperature) for m in MARGINS}, sweeps)
     factors = fitted.select(*MARGINS, F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).alias("factor"))
     top = factors.agg(F.max("factor").alias("top"))
-    chances = factors.crossJoin(top).select(*MARGINS, F.coalesce(F.bround(F.col("factor") / F.col("top"), 9), F.lit(1.0)).alias("probability"))
+    chances = factors.crossJoin(top).select(*MARGINS, F.coalesce(F.bround(F.try_divide("factor", "top"), 9), F.lit(1.0)).alias("probability"))
     return rows.join(chances, list(MARGINS)).withColumn("kept", draw(seed) < F.col("probability"))
 
 
