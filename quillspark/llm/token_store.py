@@ -114,7 +114,7 @@ class Encoder:
     added token's string in them, and tokenizers of other kinds go to the library whole.
     """
 
-    def __init__(self, path: str, remembered: int = 4_000_000, special_as_text: bool = False):
+    def __init__(self, path: str, remembered: int = 2_000_000, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

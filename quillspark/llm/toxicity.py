@@ -4,8 +4,8 @@ The kernel of two words counts their common subsequences of three letters, each
 DECAY to the power of its span, so letters put between or left out of an insult lower the similarity
 gently. Landmarks are words of the training sentences; the Nystrom map K_LL^(-1/2) k(L, word) feeds a
 linear machine. Training is by sentences: all sentences of clean documents are negative; of a toxic
-document the sentence that scores highest is positive, its best word the witness, and fitting repeats
-until the choice settles. Because the kernel is a dot product of subsequence weights, landmarks and
+document the sentence that scores highest is positive, as are sentences with a word that toxic sentences
+have far more often; their best words are the witnesses, and fitting repeats until the choice settles. Because the kernel is a dot product of subsequence weights, landmarks and
 machine fold into one weight per subsequence and a word's score is a short sum.
 
 A document scores as its best word; a logistic curve fitted on the training documents turns that into
@@ -24,14 +24,21 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_chunks
+
 LENGTH, DECAY = 3, 0.7
 ALPHABET = 32  #: a to z are 1 to 26, any other letter 27
 WINDOW, STEP = 24, 12  #: longer words are read in overlapping windows
-POSITIVES, NEGATIVES = 3000, 6000  #: labelled documents used at most, by smallest hash of doc_id
+POSITIVES, NEGATIVES = 1500, 3000  #: labelled documents used at most, by smallest hash of doc_id
 LANDMARKS, BACKGROUND = 160, 64
+TELLING = 5.0  #: standard errors by which a word's share of toxic sentences exceeds its share of clean ones
+RARER = 0.2  #: share of clean sentences over share of toxic ones that a witness may have
+BENT = 0.5  #: cost of a bent witness in costs of the witness
+SPREAD, HARD = 8_000, 8_000  #: clean words that a fit sees: some of all, and those that score highest
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s+|$)")
 _SPELLED = re.compile(r"(?<!\S)[^\W\d_](?:[\s.\-_*]+[^\W\d_]){2,}(?!\S)")
 _PARTS = re.compile(r"[^\W\d_]+")
@@ -120,28 +127,33 @@ def kernel(words: Sequence[str], landmark_profiles: np.ndarray) -> np.ndarray:
 def _choose(ranked: Sequence[str], most: int, alike: float = 0.85) -> list[str]:
     """The first words of ranked that aren't much like one chosen before."""
     chosen: list[str] = []
-    rows = np.zeros((0, ALPHABET**LENGTH), np.float32)
+    rows = np.zeros((most, ALPHABET**LENGTH), np.float32)
     for w in ranked:
         if len(chosen) == most:
             break
-        p = profiles([w])
-        if not len(rows) or (rows @ p[0]).max() < alike:
+        p = profiles([w])[0]
+        if not chosen or (rows[: len(chosen)] @ p).max() < alike:
+            rows[len(chosen)] = p
             chosen.append(w)
-            rows = np.concatenate([rows, p])
     return chosen
 
 
-def _machine(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+def _machine(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 0.3) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss by Newton steps on the active rows."""
-    x1 = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1).astype(np.float64)
-    w = np.zeros(x1.shape[1])
-    pull = np.eye(len(w)) * ridge
+    n = x.shape[1] + 1
+    w = np.zeros(n)
+    pull = np.eye(n) * ridge
     pull[-1, -1] = 1e-6
     active = np.ones(len(y), bool)
     for _ in range(30):
-        a, ca = x1[active], c[active]
-        w = np.linalg.solve(pull + (a * ca[:, None]).T @ a, (a * ca[:, None]).T @ y[active])
-        now = y * (x1 @ w) < 1
+        gram, moment = pull.copy(), np.zeros(n)
+        for part in np.array_split(np.flatnonzero(active), 16):
+            a = np.concatenate([x[part], np.ones((len(part), 1))], 1)
+            weighted = a * c[part][:, None]
+            gram += weighted.T @ a
+            moment += weighted.T @ y[part]
+        w = np.linalg.solve(gram, moment)
+        now = y * (x @ w[:-1] + w[-1]) < 1
         if (now == active).all():
             break
         active = now
@@ -163,6 +175,15 @@ class Model:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the probability of label 1.
+
+    Where a gap parts nearly all documents of the two labels the curve's middle is the gap's middle, so that
+    insults bent a little out of shape still fall on their side; else it is the likeliest curve.
+    """
+    low, high = np.quantile(x[y == 0], 0.999), np.quantile(x[y == 1], 0.02)
+    if low < high:
+        slope = 8 / (high - low)
+        return float(slope), float(-slope * (low + high) / 2)
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -175,6 +196,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> tuple[float, float
     return float(a), float(b)
 
 
+def bent(word: str, rng: np.random.Generator) -> list[str]:
+    """The word with a letter put in, one doubled and, where it is long, one left out."""
+    at = rng.integers(1, len(word), 4)
+    more = [word[:i] + chr(97 + rng.integers(26)) + word[i:] for i in at[:2]] + [word[: at[2]] + word[at[2] - 1] + word[at[2] :]]
+    return more + [word[: at[3]] + word[at[3] + 1 :]] * (len(word) > 5)
+
+
 def fit(texts: Sequence[str], labels: Sequence[int], shares: tuple[float, float] = (1.0, 1.0), turns: int = 4) -> Model:
     """shares: how many documents each sampled clean and toxic one stands for."""
     y = np.asarray(labels)
@@ -186,11 +214,13 @@ def fit(texts: Sequence[str], labels: Sequence[int], shares: tuple[float, float]
         sentences = [{numbers.setdefault(w, len(numbers)) for k in tokens_of(s) for w in readings(k)} for s in _SENTENCE.split(t or "")]
         bags.append([np.fromiter(s, np.int64, len(s)) for s in sentences if s] or [np.zeros(0, np.int64)])
     words = list(numbers)
-    held = [np.unique(np.concatenate(b)) for b in bags]
     toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    seen = [np.bincount(np.concatenate([held[i] for i in group]), minlength=len(words)) for group in (clean, toxic)]
-    p0, p1 = seen[0] / len(clean), seen[1] / len(toxic)
-    lift = (p1 - p0) / np.sqrt((p0 + p1) / 2 / len(toxic) + (p0 + p1) / 2 / len(clean) + 1e-9)
+    # Equal sentences count once, so copies of a document weigh no more than the document.
+    once = [list({s.tobytes(): s for i in group for s in bags[i] if len(s)}.values()) for group in (clean, toxic)]
+    seen = [np.bincount(np.concatenate(x), minlength=len(words)) if x else np.zeros(len(words), np.int64) for x in once]
+    sizes = [max(1, len(x)) for x in once]
+    p0, p1 = seen[0] / sizes[0], seen[1] / sizes[1]
+    lift = (p1 - p0) / np.sqrt((p0 + p1) / 2 / sizes[1] + (p0 + p1) / 2 / sizes[0] + 1e-12)
     ranked = [words[i] for i in np.argsort(-lift, kind="stable")[:4000] if seen[1][i] > 1]
     landmarks = _choose(ranked, LANDMARKS)
     landmarks += [w for w in _choose([words[i] for i in np.argsort(-seen[0], kind="stable")[:1000]], BACKGROUND) if w not in landmarks]
@@ -199,22 +229,30 @@ def fit(texts: Sequence[str], labels: Sequence[int], shares: tuple[float, float]
     rows = profiles(landmarks)
     value, vector = np.linalg.eigh((rows @ rows.T).astype(np.float64))
     whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    score = lift
+    rare = p0 <= RARER * p1  # witnesses are words that clean sentences hardly have
+    score, floor = lift, TELLING
     present = np.flatnonzero(seen[0])
-    spread = np.random.default_rng(0).permutation(present)[:20_000]
-    witness_before = None
+    spread = np.random.default_rng(0).permutation(present)[:SPREAD]
+    before = None
     for _ in range(turns):
-        witness = [max((s[np.argmax(score[s])] for s in bags[i] if len(s)), key=lambda w: score[w], default=None) for i in toxic]
-        positive = Counter(w for w in witness if w is not None)
-        if witness == witness_before:
+        # positive sentences of a toxic document: the best one, and all with a telling word
+        positive: Counter = Counter()
+        for i in toxic:
+            best = [max(ws, key=lambda w: (lift[w] if lift[w] >= TELLING else 0.0, score[w])) for s in bags[i] if (ws := s[rare[s]].tolist())]
+            if best:
+                top = max(best, key=lambda w: score[w])
+                positive.update({top, *(w for w in best if lift[w] >= TELLING or score[w] >= floor)})
+        if positive == before:
             break
-        witness_before = witness
-        hard = present[np.argsort(-score[present], kind="stable")[:20_000]]
+        before, floor = positive, 0.0
+        hard = present[np.argsort(-score[present], kind="stable")[:HARD]]
         negative = np.union1d(spread, hard)
         index = np.concatenate([np.fromiter(positive, np.int64, len(positive)), negative])
-        x = kernel([words[i] for i in index], rows) @ whiten
-        target = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        cost = np.concatenate([np.fromiter(positive.values(), float, len(positive)), np.sqrt(seen[0][negative])])
+        rng = np.random.default_rng(1)
+        more = [(v, n * BENT) for i, n in positive.items() for v in bent(words[i], rng) if v not in numbers]
+        x = kernel([words[i] for i in index] + [v for v, _ in more], rows) @ whiten
+        target = np.concatenate([np.ones(len(positive)), -np.ones(len(negative)), np.ones(len(more))])
+        cost = np.concatenate([np.fromiter(positive.values(), float, len(positive)), seen[0][negative].astype(float), [n for _, n in more]])
         w, bias = _machine(x, target, cost)
         weights = ((whiten @ w) @ rows).astype(np.float32)
         score = word_scores(words, weights) + bias
@@ -226,29 +264,43 @@ def fit(texts: Sequence[str], labels: Sequence[int], shares: tuple[float, float]
 _known: tuple[bytes, dict[str, float]] = (b"", {})
 
 
-def _score(model: Model, remembered: int = 500_000):
+def probabilities(model: Model, texts: Sequence[str | None], remembered: int = 300_000) -> np.ndarray:
+    """One score per text. Texts are cut into tokens a chunk at a time; tokens stay scored from task to task."""
+    global _known
+    mark = model.weights.tobytes()
+    if _known[0] != mark:
+        _known = mark, {}
+    known, out = _known[1], [np.zeros(0)]
+    for s in in_chunks(texts, 300_000):
+        tokens = [tokens_of(t or "") for t in texts[s]]
+        if len(known) > remembered:
+            known.clear()
+        new = list(set().union(*tokens).difference(known))
+        read = [readings(t) for t in new]
+        words = list({w for r in read for w in r})
+        raw = dict(zip(words, model.raw(words).tolist()))
+        known.update((t, max(map(raw.__getitem__, r), default=model.bias)) for t, r in zip(new, read))
+        out.append(np.array([max(map(known.__getitem__, t), default=model.bias) for t in tokens], float))
+    return model.probability(np.concatenate(out))
+
+
+def _score(model: Model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        global _known
-        mark = model.weights.tobytes()
-        if _known[0] != mark:  # tokens stay scored from task to task
-            _known = mark, {}
-        known = _known[1]
         for b in batches:
-            tokens = [tokens_of(t or "") for t in b["text"]]
-            if len(known) > remembered:
-                known.clear()
-            new = list(set().union(*tokens).difference(known))
-            read = [readings(t) for t in new]
-            words = list({w for r in read for w in r})
-            raw = dict(zip(words, model.raw(words).tolist()))
-            known.update((t, max(map(raw.__getitem__, r), default=model.bias)) for t, r in zip(new, read))
-            best = np.array([max(map(known.__getitem__, t), default=model.bias) for t in tokens], float)
-            p = model.probability(best)
+            p = probabilities(model, list(b["text"]))
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": p, "predicted": (p >= 0.5).astype(np.int32)})
 
     return run
 
 
+def _keep(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(probabilities(model, b["text"].to_pylist()) < 0.5))
+
+    return run
+
+
 def held_out(name: str = "doc_id"):
     """crc32 of the id as text, mod 5, is 0; a null id counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(name).cast("string"), F.lit("")), "UTF-8")) % 5 == 0
@@ -283,5 +335,4 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns, that aren't predicted toxic."""
-    toxic = F.pandas_udf(lambda t: pd.concat([*(x["predicted"] for x in _score(model)(iter([pd.DataFrame({"doc_id": 0, "text": t})])))], ignore_index=True), "int")
-    return docs.where(toxic("text") == 0)
+    return docs.mapInArrow(_keep(model), docs.schema)
