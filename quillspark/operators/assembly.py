@@ -82,8 +82,9 @@ def wide(table: Table, m: Manifest) -> tuple[DataFrame, list[str]]:
     columns = [*m.metadata, *verbatim]
     if not columns:
         raise TransformError("the manifest selects no columns")
+    clean = scoped(table, m)
     names = [H.output_name(table.headers[i], i) for i in columns]
-    return scoped(table, m).select("row_number", *[F.col(f"c{i}").alias(n) for i, n in zip(columns, names)]), names[: len(m.metadata)]
+    return clean.select("row_number", *[F.col(f"c{i}").alias(n) for i, n in zip(columns, names)]), names[: len(m.metadata)]
 
 
 def vertical(table: Table, m: Manifest) -> tuple[DataFrame, list[str]]:
@@ -92,8 +93,8 @@ def vertical(table: Table, m: Manifest) -> tuple[DataFrame, list[str]]:
     The distinct questions are the one thing that must be known before the plan is complete.
     """
     a = m.assembly
-    name = {i: H.output_name(table.headers[i], i) for i in {*m.metadata, *a.keys}}
     clean = scoped(table, m)
+    name = {i: H.output_name(table.headers[i], i) for i in {*m.metadata, *a.keys}}
     keys = [name[i] for i in a.keys]
     values = [name[i] for i in m.metadata if i not in a.keys]
     records = clean.select("row_number", *[F.col(f"c{i}").alias(name[i]) for i in a.keys], F.coalesce(*[X.usable_title(F.col(f"c{i}")) for i in a.questions]).alias("question"), F.col(f"c{a.answer}").alias("answer"))

@@ -76,7 +76,10 @@ def signature(g: Group) -> tuple[str, ...] | None:
 
 def merged(parts: Sequence[Group], first: Group) -> Group:
     """Terms in order of appearance, strengths weighted by counts and scaled to the strongest."""
-    terms = tuple({t.casefold(): t for p in reversed(parts) for t in reversed(p.terms)}.values())[::-1]
+    seen: dict[str, str] = {}
+    for t in (t for p in parts for t in p.terms):
+        seen.setdefault(t.casefold(), t)
+    terms = tuple(seen.values())
     weighted: dict[str, float] = {}
     for p in parts:
         for t, s in p.strengths:
