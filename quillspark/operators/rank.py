@@ -16,8 +16,9 @@ def examples(docs: DataFrame, terms: DataFrame, group: Sequence[str], most: int
 
     terms: group columns and `terms`, an array.
     """
-    scored = docs.join(F.broadcast(terms), list(group)).withColumn("key", X.fold(F.col("text")))
-    hits = F.size(F.filter("terms", lambda t: (t != "") & F.contains(F.col("key"), X.fold(t))))
+    folded = terms.select(*group, F.filter(F.transform("terms", X.fold), lambda t: t != "").alias("terms"))  # one row per group
+    scored = docs.join(F.broadcast(folded), list(group)).withColumn("key", X.fold(F.col("text")))
+    hits = F.size(F.filter("terms", lambda t: F.contains(F.col("key"), t)))
     order = [F.desc("hits"), "off", "row_number", "fragment_no"]
     scored = scored.withColumns({"hits": hits, "off": F.abs(F.char_length("text") - length)})
     once = scored.withColumn("copy", F.row_number().over(Window.partitionBy(*group, "key").orderBy(*order))).where("copy = 1")
@@ -31,18 +32,18 @@ def _pattern(term: Column) -> Column:
     return F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_replace(literal, " ", r"\\\\s+"), F.lit(r"(?!\w)"))
 
 
-def representativeness(docs: DataFrame, terms: DataFrame, group: Sequence[str], edge_scores: DataFrame | None = None) -> DataFrame:
-    """Docs with `rank` in their group.
+def representativeness(docs: DataFrame, terms: DataFrame, group: Sequence[str], edge_scores: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """Docs with `rank` in their group; with most only the first so many, which each task prunes before the shuffle.
 
     Ordered by any hit, distinct terms, matches, matches weighted by the terms' places, fewer words, fewer
     characters, better best term, earlier first match; then weighted degree, neighbours, input order. All
     term evidence is 0 without a hit. edge_scores: row_number, fragment_no, degree, neighbours.
     """
-    d = docs.join(F.broadcast(terms), list(group))
+    d = docs.join(F.broadcast(terms.select(*group, "terms", F.transform("terms", _pattern).alias("__p"))), list(group))  # one row per group
     if edge_scores is not None:
         d = d.join(edge_scores, ["row_number", "fragment_no"], "left")
     degree, near = (F.coalesce(F.col(c), F.lit(0.0)) if edge_scores is not None else F.lit(0.0) for c in ("degree", "neighbours"))
-    found = F.transform("terms", lambda t, i: F.struct(i.alias("i"), F.regexp_count("text", _pattern(t)).alias("n"), F.regexp_instr("text", _pattern(t)).alias("at")))
+    found = F.transform("__p", lambda p, i: F.struct(i.alias("i"), F.regexp_count("text", p).alias("n"), F.regexp_instr("text", p).alias("at")))
     d = d.withColumn("__f", F.filter(found, lambda x: x["n"] > 0)).withColumn("__hit", F.size("__f") > 0)
     total = lambda f: F.aggregate("__f", F.lit(0), lambda s, x: s + f(x).cast("int"))
     if_hit = lambda c: F.when(F.col("__hit"), c).otherwise(0)
@@ -61,7 +62,9 @@ def representativeness(docs: DataFrame, terms: DataFrame, group: Sequence[str],
         F.col("fragment_no").asc(),
     ]
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return d.withColumn("rank", rank).withColumn("hits", F.size("__f")).drop("__f", "__hit", "terms")
+    d = d.withColumn("rank", rank)
+    d = d if most is None else d.where(F.col("rank") <= most)
+    return d.withColumn("hits", F.size("__f")).drop("__f", "__hit", "__p", "terms")
 
 
 def relevance_ngrams(label: Column, n: int) -> Column:
@@ -73,25 +76,24 @@ def topic_tokens(label: Column, terms: Column) -> Column:
     return F.array_distinct(F.concat(X.relevance_tokens(label), F.flatten(F.transform(terms, X.relevance_tokens))))
 
 
-def label_relevance(docs: DataFrame, topics: DataFrame, group: Sequence[str], order: Sequence[str] = ("row_number", "fragment_no")) -> DataFrame:
+def label_relevance(docs: DataFrame, topics: DataFrame, group: Sequence[str], order: Sequence[str] = ("row_number", "fragment_no"), most: int | None = None) -> DataFrame:
     """Docs with `rank` by shared trigrams, bigrams and words with the label, words with the terms, then shorter, then as before.
 
-    topics: group columns, label, terms.
+    topics: group columns, label, terms. most: only the first so many of each group.
     """
-    d = docs.join(F.broadcast(topics), list(group))
-    words = X.relevance_tokens(F.col("text"))
-    shared = lambda a, b: F.size(F.array_intersect(a, b))
-    d = d.withColumn("__w", words).withColumns(
-        {
-            "trigrams": shared(X.ngrams(F.col("__w"), 3), relevance_ngrams(F.col("label"), 3)),
-            "bigrams": shared(X.ngrams(F.col("__w"), 2), relevance_ngrams(F.col("label"), 2)),
-            "words": shared(F.col("__w"), X.relevance_tokens(F.col("label"))),
-            "term_words": shared(F.col("__w"), F.array_distinct(F.flatten(F.transform("terms", X.relevance_tokens)))),
-        }
-    )
+    known = topics.select(
+        *group,
+        *[relevance_ngrams(F.col("label"), n).alias(f"__l{n}") for n in (2, 3)],
+        X.relevance_tokens(F.col("label")).alias("__l"),
+        F.array_distinct(F.flatten(F.transform("terms", X.relevance_tokens))).alias("__t"),
+    )  # one row per group, so labels and terms are cut once
+    d = docs.join(F.broadcast(known), list(group)).withColumn("__w", X.relevance_tokens(F.col("text")))
+    shared = lambda a, b: F.size(F.array_intersect(a, F.col(b)))
+    d = d.withColumns({"trigrams": shared(X.ngrams(F.col("__w"), 3), "__l3"), "bigrams": shared(X.ngrams(F.col("__w"), 2), "__l2"), "words": shared(F.col("__w"), "__l"), "term_words": shared(F.col("__w"), "__t")})
     n_words = F.regexp_count("text", F.lit("[A-Za-z0-9]+"))
     by = [F.desc("trigrams"), F.desc("bigrams"), F.desc("words"), F.desc("term_words"), n_words, F.char_length("text"), *order]
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*by))).drop("__w")
+    d = d.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*by)))
+    return (d if most is None else d.where(F.col("rank") <= most)).drop("__w", "__l", "__l2", "__l3", "__t")
 
 
 def off_topic(docs: DataFrame, topics: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -99,6 +101,8 @@ def off_topic(docs: DataFrame, topics: DataFrame, group: Sequence[str]) -> DataF
 
     Noise groups are not judged: leave them out of topics.
     """
-    d = docs.join(F.broadcast(topics), list(group)).withColumn("size", F.count("*").over(Window.partitionBy(*group)))
-    meets = F.arrays_overlap(X.relevance_tokens(F.col("text")), topic_tokens(F.col("label"), F.col("terms")))
-    return d.withColumn("off_topic", (F.col("size") >= 2) & ~F.coalesce(meets, F.lit(False))).drop("size")
+    known = topics.select(*group, topic_tokens(F.col("label"), F.col("terms")).alias("__k"))  # one row per group
+    sizes = docs.groupBy(*group).agg(F.count("*").alias("__n"))
+    d = docs.join(F.broadcast(known.join(sizes, list(group))), list(group))
+    meets = F.arrays_overlap(X.relevance_tokens(F.col("text")), F.col("__k"))
+    return d.withColumn("off_topic", (F.col("__n") >= 2) & ~F.coalesce(meets, F.lit(False))).drop("__n", "__k")

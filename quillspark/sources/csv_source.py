@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 DELIMITERS = (",", "\t", ";", "|")
 HEAD_BYTES = 65536
@@ -95,10 +96,16 @@ def _head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> bytes:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Give rows consecutive numbers from 1 in the table's order, without moving them to one task."""
-    fields = df.schema.fields
-    schema = T.StructType([*fields, T.StructField("row_number", T.LongType(), False)])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema)
+    """Give rows consecutive numbers from 1 in the table's order: rows per partition are counted, then added up.
+
+    All in the JVM; no row moves. The second scan must see the first one's partitions, as file scans do.
+    """
+    low = (1 << 33) - 1
+    marked = df.withColumn("__id", F.monotonically_increasing_id()).withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(low)})
+    sizes = marked.groupBy("__part").agg((F.max("__at") + 1).alias("__size"))  # one row per partition
+    before = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    return marked.join(F.broadcast(starts), "__part").select(*df.columns, (F.col("__before") + F.col("__at") + 1).alias("row_number"))
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> Table:
@@ -124,8 +131,6 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimi
 
 def from_frame(df: DataFrame, order: str) -> Table:
     """An existing table as survey input: all columns but the unique `order` become strings; rows are numbered by it."""
-    from pyspark.sql.window import Window
-
     columns = [c for c in df.columns if c != order]
     frame = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)], F.row_number().over(Window.orderBy(order)).cast("long").alias("row_number"))
     return Table(frame, tuple(columns), "utf-8-sig", ",")

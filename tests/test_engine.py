@@ -604,3 +604,18 @@ def test_labelling_batches():
 def test_language_guess(spark):
     df = spark.createDataFrame([("The cat and the dog of the house",), ("Der Hund und die Katze",), ("short",)], "t string")
     assert [r[0] for r in df.select(providers.detect_language(F.col("t"))).collect()] == ["en", "de", None]
+
+
+# --- streaming -----------------------------------------------------------------------------------
+
+
+def test_files_are_ingested_as_they_arrive(spark, tmp_path):
+    from quillspark.streaming.ingest import ingest_stream
+
+    (tmp_path / "in").mkdir()
+    m = M.Manifest(M.VERTICAL, (0,), (), M.Assembly((0,), (1,), 2)).validated()
+    for k in range(2):
+        (tmp_path / "in" / f"{k}.csv").write_text(f"id,question,answer\n{k},Why,old\n{k},Why,new {k}\n")
+        ingest_stream(spark, f"file://{tmp_path}/in", ("id", "question", "answer"), m, f"file://{tmp_path}/out", f"file://{tmp_path}/state").awaitTermination(120)
+    got = sorted((r["batch"], r["cells"]["id__idx_0"], r["cells"]["Why"]) for r in spark.read.parquet(f"file://{tmp_path}/out").collect())
+    assert got == [(0, "0", "new 0"), (1, "1", "new 1")]
