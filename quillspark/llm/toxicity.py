@@ -15,8 +15,10 @@ and runs of single letters are also read as one word.
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -209,18 +211,26 @@ def fit(texts: Sequence[str], labels: Sequence[int], shares: tuple[float, float]
     if len(set(labels)) < 2:  # nothing to tell apart: everything scores its one label
         return Model(np.zeros(ALPHABET**LENGTH), 0.0, 0.0, 30.0 if len(y) and y[0] else -30.0)
     numbers: dict[str, int] = {}
-    bags = []  # per document, per sentence: word numbers
-    for t in texts:
-        sentences = [{numbers.setdefault(w, len(numbers)) for k in tokens_of(s) for w in readings(k)} for s in _SENTENCE.split(t or "")]
-        bags.append([np.fromiter(s, np.int64, len(s)) for s in sentences if s] or [np.zeros(0, np.int64)])
-    words = list(numbers)
-    toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    # Equal sentences count once, so copies of a document weigh no more than the document.
-    once = [list({s.tobytes(): s for i in group for s in bags[i] if len(s)}.values()) for group in (clean, toxic)]
-    seen = [np.bincount(np.concatenate(x), minlength=len(words)) if x else np.zeros(len(words), np.int64) for x in once]
-    sizes = [max(1, len(x)) for x in once]
-    p0, p1 = seen[0] / sizes[0], seen[1] / sizes[1]
-    lift = (p1 - p0) / np.sqrt((p0 + p1) / 2 / sizes[1] + (p0 + p1) / 2 / sizes[0] + 1e-12)
+    flat, ends, last = array("i"), array("i", [0]), array("i", [0])  # word numbers; where sentences end; the last sentence of each document
+    counted, fresh, sizes = (array("i"), array("i")), (set(), set()), [0, 0]
+    for t, label in zip(texts, y.tolist()):
+        for sentence in _SENTENCE.split(t or ""):
+            if ids := sorted({numbers.setdefault(w, len(numbers)) for k in tokens_of(sentence) for w in readings(k)}):
+                flat.extend(ids)
+                ends.append(len(flat))
+                # Equal sentences count once, so copies of a document weigh no more than the document.
+                if (mark := hash(tuple(ids))) not in fresh[label]:
+                    fresh[label].add(mark)
+                    counted[label].extend(ids)
+                    sizes[label] += 1
+        last.append(len(ends) - 1)
+    words, flat, ends = list(numbers), np.frombuffer(flat, np.int32), np.frombuffer(ends, np.int32)
+    seen = [np.bincount(np.frombuffer(x, np.int32), minlength=len(words)) if len(x) else np.zeros(len(words), np.int64) for x in counted]
+    del counted, fresh
+    toxic = np.flatnonzero(y == 1)
+    sentences = lambda i: (flat[ends[j] : ends[j + 1]] for j in range(last[i], last[i + 1]))
+    p0, p1 = (n / max(1, size) for n, size in zip(seen, sizes))
+    lift = (p1 - p0) / np.sqrt((p0 + p1) / 2 / max(1, sizes[1]) + (p0 + p1) / 2 / max(1, sizes[0]) + 1e-12)
     ranked = [words[i] for i in np.argsort(-lift, kind="stable")[:4000] if seen[1][i] > 1]
     landmarks = _choose(ranked, LANDMARKS)
     landmarks += [w for w in _choose([words[i] for i in np.argsort(-seen[0], kind="stable")[:1000]], BACKGROUND) if w not in landmarks]
@@ -238,7 +248,7 @@ def fit(texts: Sequence[str], labels: Sequence[int], shares: tuple[float, float]
         # positive sentences of a toxic document: the best one, and all with a telling word
         positive: Counter = Counter()
         for i in toxic:
-            best = [max(ws, key=lambda w: (lift[w] if lift[w] >= TELLING else 0.0, score[w])) for s in bags[i] if (ws := s[rare[s]].tolist())]
+            best = [max(ws, key=lambda w: (lift[w] if lift[w] >= TELLING else 0.0, score[w])) for s in sentences(i) if (ws := s[rare[s]].tolist())]
             if best:
                 top = max(best, key=lambda w: score[w])
                 positive.update({top, *(w for w in best if lift[w] >= TELLING or score[w] >= floor)})
@@ -256,7 +266,7 @@ def fit(texts: Sequence[str], labels: Sequence[int], shares: tuple[float, float]
         w, bias = _machine(x, target, cost)
         weights = ((whiten @ w) @ rows).astype(np.float32)
         score = word_scores(words, weights) + bias
-    best = np.array([max((score[s].max() for s in b if len(s)), default=bias) for b in bags])
+    best = np.array([score[flat[ends[last[i]] : ends[last[i + 1]]]].max() if last[i + 1] > last[i] else bias for i in range(len(y))])
     slope, offset = _logistic(best, y.astype(float), np.where(y == 1, shares[1], shares[0]))
     return Model(weights, bias, slope, offset)
 
@@ -317,9 +327,18 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     order = [F.md5(F.col("doc_id").cast("string")), "doc_id"]
     chosen = [known.where(F.col("toxic") == v).orderBy(*order).limit(n) for v, n in ((0, negatives), (1, positives))]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # bounded by the two parameters
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").orderBy("doc_id", "text").limit(2 * (positives + negatives)).collect()
-    shares = tuple(counts.get(v, 0) / max(1, sum(r["toxic"] == v for r in rows)) for v in (0, 1))
-    return fit([r["text"] or "" for r in rows], [r["toxic"] for r in rows], shares)
+    sample = docs.select("doc_id", "text").join(ids, "doc_id")
+    fitted = sample.repartition(1).mapInPandas(_fit_sample(counts), "model binary").first()  # one task, of a bounded sample
+    return pickle.loads(fitted["model"]) if fitted else fit([], [])
+
+
+def _fit_sample(counts: dict[int, int]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted({(d, t or "", y) for b in batches for d, t, y in zip(b["doc_id"], b["text"], b["toxic"])})
+        shares = tuple(counts.get(v, 0) / max(1, sum(r[2] == v for r in rows)) for v in (0, 1))
+        yield pd.DataFrame({"model": [pickle.dumps(fit([r[1] for r in rows], [r[2] for r in rows], shares))]})
+
+    return run
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
