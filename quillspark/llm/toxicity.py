@@ -15,6 +15,7 @@ and runs of single letters are also read as one word.
 
 from __future__ import annotations
 
+import multiprocessing
 import pickle
 import re
 import unicodedata
@@ -274,7 +275,7 @@ def fit(texts: Sequence[str], labels: Sequence[int], shares: tuple[float, float]
 _known: tuple[bytes, dict[str, float]] = (b"", {})
 
 
-def probabilities(model: Model, texts: Sequence[str | None], remembered: int = 300_000) -> np.ndarray:
+def probabilities(model: Model, texts: Sequence[str | None], remembered: int = 150_000) -> np.ndarray:
     """One score per text. Texts are cut into tokens a chunk at a time; tokens stay scored from task to task."""
     global _known
     mark = model.weights.tobytes()
@@ -336,7 +337,10 @@ def _fit_sample(counts: dict[int, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = sorted({(d, t or "", y) for b in batches for d, t, y in zip(b["doc_id"], b["text"], b["toxic"])})
         shares = tuple(counts.get(v, 0) / max(1, sum(r[2] == v for r in rows)) for v in (0, 1))
-        yield pd.DataFrame({"model": [pickle.dumps(fit([r[1] for r in rows], [r[2] for r in rows], shares))]})
+        # in a process of its own, so that the worker gets its memory back
+        with multiprocessing.get_context("fork").Pool(1) as pool:
+            model = pool.apply(fit, ([r[1] for r in rows], [r[2] for r in rows], shares))
+        yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
     return run
 
