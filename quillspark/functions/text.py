@@ -19,9 +19,9 @@ ACRONYMS = ("ai", "api", "csv", "pdf", "ppt", "pptx", "uk", "us", "usa")
 WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_']*[\p{L}\p{N}_])?"
 
 # Folding differs from lower-casing in characters whose full folding is another text. One-to-one cases go
-# through one translate(); the one-to-many cases that occur in practice are replaced one by one.
+# through one translate(); of the one-to-many cases those that occur in practice are replaced one by one.
 _ONE = {c: f for c in map(chr, range(0x80, 0x2C00)) if len(f := c.casefold()) == 1 and f != c.lower() and len(c.lower()) == 1}
-_MANY = {c: c.casefold() for c in "ßŉǰﬀﬁﬂﬃﬄﬅﬆ"}
+_MANY = {c: c.casefold() for c in "ßﬀﬁﬂ"}
 
 
 def fold(c: Column) -> Column:

@@ -89,6 +89,32 @@ def partition(edges: list[tuple[int, int, float]], total: float, resolution: flo
         coarse = {f: first[c] for f, c in above.items()}
 
 
+def greedy(edges: list[tuple[int, int, float]], resolution: float = 1.0) -> dict[int, int]:
+    """Join the two communities that gain most until no pair gains; ties go to the smallest names."""
+    total = sum(w for *_, w in edges)
+    between: Links = defaultdict(lambda: defaultdict(float))
+    strength: dict[int, float] = defaultdict(float)
+    for a, b, w in edges:
+        between[a][b] += w
+        between[b][a] += w
+        strength[a] += w
+        strength[b] += w
+    community = {n: n for n in between}
+    while True:
+        gains = ((w / total - resolution * strength[a] * strength[b] / (2 * total * total), -a, -b) for a in between for b, w in between[a].items() if a < b)
+        gain, a, b = max(gains, default=(0.0, 0, 0))
+        if gain <= 1e-12:
+            return community
+        a, b = -a, -b
+        for c, w in between.pop(b).items():
+            between[c].pop(b, None)
+            if c != a:
+                between[a][c] += w
+                between[c][a] += w
+        strength[a] += strength.pop(b)
+        community = {n: a if c == b else c for n, c in community.items()}
+
+
 def modularity(edges: list[tuple[int, int, float]], community: dict[int, int], resolution: float) -> float:
     total = sum(w for *_, w in edges)
     inside, strength = 0.0, defaultdict(float)

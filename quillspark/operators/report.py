@@ -137,3 +137,68 @@ def pdf(report: Report, lines_each: int = 48, width: int = 95) -> bytes:
     table = len(out)
     out += f"xref\n0 {len(places) + 1}\n0000000000 65535 f \n".encode() + b"".join(f"{p:010} 00000 n \n".encode() for p in places)
     return bytes(out + f"trailer << /Size {len(places) + 1} /Root 1 0 R >>\nstartxref\n{table}\n%%EOF".encode())
+
+
+def ngram_report(items: DataFrame, documents: DataFrame, title: str, filters: dict[str, Sequence[str]] | None = None) -> Report:
+    """For each size the first of the five leading terms that has documents, with three of them."""
+    rows = items.orderBy("ngram_size", F.desc("n"), "term").collect()  # a few dozen
+    lines = [f"{r['term']}: {r['n']} times in {r['documents']} responses" for r in rows]
+    sections = []
+    for n in (1, 2, 3):
+        lead = [r["term"] for r in rows if r["ngram_size"] == n][:5]
+        for term in lead:
+            texts = [r["text"] for r in documents.where((F.col("ngram_size") == n) & (F.col("term") == term)).orderBy("row_number").limit(EXAMPLES).select(X.shortened(F.col("text"), EXAMPLE_CHARS).alias("text")).collect()]
+            if texts:
+                sections.append((term, texts))
+                break
+    return Report(title, filters_text(filters), lines, sections)
+
+
+_P = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"'
+_TREE = '<p:nvGrpSpPr><p:cNvPr id="1" name=""/><p:cNvGrpSpPr/><p:nvPr/></p:nvGrpSpPr><p:grpSpPr/>'
+_MAP = '<p:clrMap bg1="lt1" tx1="dk1" bg2="lt2" tx2="dk2" accent1="accent1" accent2="accent2" accent3="accent3" accent4="accent4" accent5="accent5" accent6="accent6" hlink="hlink" folHlink="folHlink"/>'
+
+
+def _theme() -> str:
+    colours = "".join(f'<a:{n}><a:srgbClr val="{v}"/></a:{n}>' for n, v in zip(("dk1", "lt1", "dk2", "lt2", *(f"accent{i}" for i in range(1, 7)), "hlink", "folHlink"), ("000000", "FFFFFF", "333333", "EEEEEE", *["4472C4"] * 6, "0563C1", "954F72")))
+    font = '<a:latin typeface="Arial"/><a:ea typeface=""/><a:cs typeface=""/>'
+    fill, line = '<a:solidFill><a:schemeClr val="phClr"/></a:solidFill>' * 3, '<a:ln><a:solidFill><a:schemeClr val="phClr"/></a:solidFill></a:ln>' * 3
+    effect = "<a:effectStyle><a:effectLst/></a:effectStyle>" * 3
+    return f'<a:theme xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" name="Plain"><a:themeElements><a:clrScheme name="Plain">{colours}</a:clrScheme><a:fontScheme name="Plain"><a:majorFont>{font}</a:majorFont><a:minorFont>{font}</a:minorFont></a:fontScheme><a:fmtScheme name="Plain"><a:fillStyleLst>{fill}</a:fillStyleLst><a:lnStyleLst>{line}</a:lnStyleLst><a:effectStyleLst>{effect}</a:effectStyleLst><a:bgFillStyleLst>{fill}</a:bgFillStyleLst></a:fmtScheme></a:themeElements></a:theme>'
+
+
+def _box(number: int, y: int, height: int, size: int, lines: Sequence[str]) -> str:
+    text = "".join(f'<a:p><a:r><a:rPr lang="en" sz="{size}"/><a:t>{escape(x)}</a:t></a:r></a:p>' for x in lines or [""])
+    return f'<p:sp><p:nvSpPr><p:cNvPr id="{number}" name="Text {number}"/><p:cNvSpPr txBox="1"/><p:nvPr/></p:nvSpPr><p:spPr><a:xfrm><a:off x="457200" y="{y}"/><a:ext cx="8229600" cy="{height}"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></p:spPr><p:txBody><a:bodyPr wrap="square"/><a:lstStyle/>{text}</p:txBody></p:sp>'
+
+
+def pptx(report: Report) -> bytes:
+    """Slides of a heading and lines of text."""
+    pages = slides(report)
+    kind = "application/vnd.openxmlformats-officedocument.presentationml."
+    rel = lambda i, what, target: f'<Relationship Id="rId{i}" Type="{_OFFICE}/{what}" Target="{target}"/>'
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    names = [f"ppt/slides/slide{i}.xml" for i in range(1, len(pages) + 1)]
+    types = {"ppt/presentation.xml": "presentation.main+xml", "ppt/slideMasters/slideMaster1.xml": "slideMaster+xml", "ppt/slideLayouts/slideLayout1.xml": "slideLayout+xml", **dict.fromkeys(names, "slide+xml")}
+    overrides = "".join(f'<Override PartName="/{n}" ContentType="{kind}{t}"/>' for n, t in types.items()) + '<Override PartName="/ppt/theme/theme1.xml" ContentType="application/vnd.openxmlformats-officedocument.theme+xml"/>'
+    ids = "".join(f'<p:sldId id="{255 + i}" r:id="rId{i + 1}"/>' for i in range(1, len(pages) + 1))
+    parts = {
+        "[Content_Types].xml": _TYPES.format(overrides),
+        "_rels/.rels": _RELS.format(rel(1, "officeDocument", "ppt/presentation.xml")),
+        "ppt/presentation.xml": f'{head}<p:presentation {_P}><p:sldMasterIdLst><p:sldMasterId id="2147483648" r:id="rId1"/></p:sldMasterIdLst><p:sldIdLst>{ids}</p:sldIdLst><p:sldSz cx="9144000" cy="6858000"/><p:notesSz cx="6858000" cy="9144000"/></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": _RELS.format(rel(1, "slideMaster", "slideMasters/slideMaster1.xml") + "".join(rel(i + 1, "slide", f"slides/slide{i}.xml") for i in range(1, len(pages) + 1))),
+        "ppt/slideMasters/slideMaster1.xml": f'{head}<p:sldMaster {_P}><p:cSld><p:spTree>{_TREE}</p:spTree></p:cSld>{_MAP}<p:sldLayoutIdLst><p:sldLayoutId id="2147483649" r:id="rId1"/></p:sldLayoutIdLst></p:sldMaster>',
+        "ppt/slideMasters/_rels/slideMaster1.xml.rels": _RELS.format(rel(1, "slideLayout", "../slideLayouts/slideLayout1.xml") + rel(2, "theme", "../theme/theme1.xml")),
+        "ppt/slideLayouts/slideLayout1.xml": f'{head}<p:sldLayout {_P}><p:cSld><p:spTree>{_TREE}</p:spTree></p:cSld></p:sldLayout>',
+        "ppt/slideLayouts/_rels/slideLayout1.xml.rels": _RELS.format(rel(1, "slideMaster", "../slideMasters/slideMaster1.xml")),
+        "ppt/theme/theme1.xml": head + _theme(),
+    }
+    for i, (title, lines) in enumerate(pages, 1):
+        body = _box(2, 365760, 914400, 2800, [title]) + _box(3, 1463040, 4937760, 1600, lines)
+        parts[f"ppt/slides/slide{i}.xml"] = f"{head}<p:sld {_P}><p:cSld><p:spTree>{_TREE}{body}</p:spTree></p:cSld></p:sld>"
+        parts[f"ppt/slides/_rels/slide{i}.xml.rels"] = _RELS.format(rel(1, "slideLayout", "../slideLayouts/slideLayout1.xml"))
+    return _package(parts)
+
+
+#: What a report can be written as.
+WRITERS = {"pdf": pdf, "docx": docx, "pptx": pptx}

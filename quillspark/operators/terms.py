@@ -31,6 +31,11 @@ def usable_responses(df: DataFrame, text: str) -> DataFrame:
     return df.agg(F.count("*").alias("total"), F.count_if(t.isNull()).alias("empty_or_placeholder"), F.count_if(single).alias("single_word"), F.count_if(t.isNotNull() & ~single).alias("analysed"))
 
 
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """One row with the number of texts that differ once folded."""
+    return docs.agg(F.count_distinct(X.fold(F.col("text"))).alias("documents"))
+
+
 def occurrences(docs: DataFrame, n: int, group: Sequence[str] = (), stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
     """One row per occurrence: group columns, row_number, fragment_no, pos, term."""
     if "tokens" not in docs.columns:

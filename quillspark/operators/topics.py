@@ -177,6 +177,19 @@ def noise_moved(docs: DataFrame, topics: DataFrame, group: str = "community") ->
     return docs.drop(group).join(placed, ["row_number", "fragment_no"])
 
 
+def evidence(docs: DataFrame, group: str = "community", most: int = 50, chars: int = 220) -> dict[int, list[str]]:
+    """The first responses of each group, collapsed and cut, with its n-grams; bounded by groups and `most`."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy("row_number", "fragment_no"))
+    text = X.rstrip(F.substring(X.collapse(F.col("text")), 1, max(80, chars)))
+    first = docs.withColumn("__p", place).where(F.col("__p") <= most).select(group, text.alias("t"), F.lit(1).alias("k"))
+    for n, top in ((1, 5), (2, 3), (3, 3)):
+        first = first.unionByName(T.evidence_ngrams(docs, n, [group], top).select(group, F.col("term").alias("t"), F.lit(0).alias("k")))
+    out: dict[int, list[str]] = {}
+    for r in first.where("t <> ''").orderBy(group, "k", "t").collect():
+        out.setdefault(r[group], []).append(r["t"])
+    return out
+
+
 Labeler = Callable[[Sequence[Group], DataFrame], dict[int, str]]
 
 

@@ -478,6 +478,12 @@ def test_communities_beat_components_and_singletons():
     assert found == communities.partition(edges[::-1], sum(e[2] for e in edges), 0.9)
 
 
+def test_greedy_joins_what_belongs_together():
+    edges = [(a, b, 1.0) for g in (0, 10) for a, b in ((g, g + 1), (g + 1, g + 2), (g, g + 2))] + [(2, 10, 1.0)]
+    found = communities.greedy(edges)
+    assert {frozenset(n for n in found if found[n] == c) for c in found.values()} == {frozenset({0, 1, 2}), frozenset({10, 11, 12})}
+
+
 def test_communities_partition_the_nodes_whatever_the_partitioning(spark):
     v = graph.unit_vectors(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"), "vec_id", "embedding")
     a = dict(rows_of(communities.run(v, 0.35)[0], "node", "community"))
@@ -619,3 +625,43 @@ def test_files_are_ingested_as_they_arrive(spark, tmp_path):
         ingest_stream(spark, f"file://{tmp_path}/in", ("id", "question", "answer"), m, f"file://{tmp_path}/out", f"file://{tmp_path}/state").awaitTermination(120)
     got = sorted((r["batch"], r["cells"]["id__idx_0"], r["cells"]["Why"]) for r in spark.read.parquet(f"file://{tmp_path}/out").collect())
     assert got == [(0, "0", "new 0"), (1, "1", "new 1")]
+
+
+# --- the whole engine ------------------------------------------------------------------------------
+
+
+def test_engine_from_file_to_report(spark, tmp_path):
+    from quillspark.engine import AnalysisError, Engine, Settings
+
+    good, slow = "The green tea tastes great in the morning", "The internet line is slow every single evening"
+    lines = ["region,country,Please describe your experience"] + [f'{"NS"[i % 3 == 0]},{"UK" if i % 2 else "FR"},"{(good if i < 12 else slow)} number {"abcdefghijklmnopqrstuvwx"[i]}"' for i in range(24)]
+    (tmp_path / "s.csv").write_text("\n".join([*lines, "N,UK,n/a", "N,UK,fine"]) + "\n")
+    engine = Engine(spark, Settings(threshold=0.7))
+    key = engine.ingest(f"file://{tmp_path}/s.csv", owner="me")
+    s = engine.results.get(key)
+    assert s.metadata == ["region__idx_0", "country__idx_1"] and s.verbatim == ["Please describe your experience"]
+    column = s.verbatim[0]
+    found = engine.analyse(key, column)
+    groups = {r["label"]: r["count"] for r in found.groups.collect()}
+    assert sorted(groups.values()) == [12, 12] and any("Tea" in g for g in groups)
+    assert found.edges.count() > 0 and found.points.count() == 24 and any("single-word" in w for w in found.warnings)
+    first = found.groups.orderBy("community").first()["community"]
+    page = engine.group_documents(found, first, 0, 5)
+    assert page.total == 12 and len(page.rows) == 5 and page.has_more
+    narrowed = engine.analyse(key, column, filters={"country__idx_1": ["UK"]})
+    assert sorted(r["count"] for r in narrowed.groups.collect()) == [6, 6]
+    grams = engine.analyse(key, column, "ngrams")
+    top = grams.ngrams.where("ngram_size = 2").orderBy("rank" if "rank" in grams.ngrams.columns else "term").first()
+    assert engine.ngram_documents(grams, 2, top["term"]).total == top["documents"]
+    for kind, mark in (("docx", b"PK"), ("pptx", b"PK"), ("pdf", b"%PDF")):
+        assert engine.report(found, "Tea & line", kind).startswith(mark)
+    assert engine.report(grams, "Terms", "docx").startswith(b"PK")
+    assert engine.translate(["hola"], "es") == ["hola"] and "rule_based" in engine.config()["modes"]
+    with pytest.raises(AnalysisError):
+        engine.analyse(key, "country__idx_1")
+    with pytest.raises(AnalysisError):
+        engine.analyse(key, column, "magic")
+    assert engine.facets(key).where("column = 'country__idx_1'").count() == 2
+    assert engine.rows(key, limit=3).total == 25
+    engine.set_role(key, "country__idx_1", "verbatim")
+    assert engine.delete(key)
