@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat_format, decontamination, exact_dedup, lm_scoring, mixing, near_dedup, sharding, sql, token_store, toxicity, url_rules
 from .common import table
@@ -53,7 +54,8 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1")
-    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), good)
+    scored = lm_scoring.score_documents(table(spark, sf_dir, "documents"), good)
+    return scored.withColumns({c: F.bround(c, 8) for c in ("target_loss", "background_loss", "score")})
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +76,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op8_near_dedup": sql.NEAR_DUPLICATES,
+    "op9_lm_scoring": sql.lm_scores(lm_scoring.VOCABULARY, lm_scoring.SMOOTHING),
     "op2_decontamination": sql.DECONTAMINATION,
     "op3_mixing": sql.mixing(mixing.SWEEPS, 0.8),
     "op4_chat_format": r"""

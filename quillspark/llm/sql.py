@@ -31,3 +31,33 @@ def mixing(sweeps: int, temperature: float) -> str:
     parts.append("c AS (SELECT source, lang, topic, coalesce(round_even(factor / max(factor) OVER (), 9), 1.0) AS probability FROM f)")
     return ",\n".join(parts) + """
         SELECT doc_id, source, lang, topic, n_tokens, probability, ('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < probability AS kept FROM rows_ JOIN c USING (source, lang, topic)"""
+
+
+NEAR_DUPLICATES = r"""
+    WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    e AS MATERIALIZED (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l),
+    r(x, m) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.x),
+    c AS (SELECT x AS doc_id, min(m) AS component_id FROM r GROUP BY x)
+    SELECT c.doc_id, coalesce(n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON c.doc_id = n.doc_id"""
+
+
+def lm_scores(size: int, smoothing: float) -> str:
+    return rf"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    t AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM w),
+    v AS MATERIALIZED (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS id FROM t GROUP BY word QUALIFY id <= {size}),
+    i AS (SELECT doc_id, pos, coalesce(id, 0) AS b FROM t LEFT JOIN v USING (word)),
+    p AS MATERIALIZED (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS a, b FROM i),
+    g AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+    c AS MATERIALIZED (SELECT a, b, count(*)::DOUBLE AS nb, count(g.doc_id)::DOUBLE AS nt FROM p LEFT JOIN g ON p.doc_id = g.doc_id GROUP BY a, b),
+    z AS (SELECT sum(nt) AS t, sum(nt) / sum(nb) AS scale, 1 + (SELECT count(*) FROM v) AS size FROM c),
+    u AS (SELECT b, sum(nb) * any_value(scale) AS ub, sum(nt) AS ut FROM c, z GROUP BY b),
+    h AS (SELECT a, sum(nb) * any_value(scale) AS hb, sum(nt) AS ht FROM c, z GROUP BY a),
+    l AS MATERIALIZED (SELECT a, b, -ln((nt + {smoothing} * ((ut + 1) / (t + size))) / (ht + {smoothing})) AS lt, -ln((nb * scale + {smoothing} * ((ub + 1) / (nb_whole + size))) / (hb + {smoothing})) AS lb
+        FROM (SELECT *, (SELECT sum(nb) FROM c) * scale AS nb_whole FROM c, z) JOIN u USING (b) JOIN h USING (a)),
+    s AS (SELECT doc_id, count(*) AS n, avg(lt) AS lt, avg(lb) AS lb FROM p JOIN l USING (a, b) GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n, 0) AS n_tokens, round_even(lt, 8) AS target_loss, round_even(lb, 8) AS background_loss, round_even(lt - lb, 8) AS score FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id"""
