@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,6 +22,7 @@ from .common import materialise, text_or_empty
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 LEVELS = ("h", "d")
+PIECE_BYTES, MOST_PIECES = 128 << 20, 65_536  #: a shard larger than a piece is exchanged and sorted in several
 
 
 @dataclass
@@ -102,24 +103,18 @@ def find_splitters(keys: DataFrame, shards: int, tolerance: float, probes: int =
     return sorted(s.done for s in splitters)
 
 
-def _compare(boundary: tuple[int, ...]) -> Column:
-    """Is the row's key at or after the boundary?"""
-    at = F.lit(True)
-    for name, v in reversed(list(zip(LEVELS, boundary))):
-        at = (F.col(name) > v) | ((F.col(name) == v) & at) if name != LEVELS[len(boundary) - 1] else F.col(name) >= v
-    return at
+def piece_of(boundaries: Sequence[tuple[int, ...]]):
+    """Column of the number of boundaries at or before (h, d)."""
+    bounds = np.array([(*b, LOW)[:2] for b in boundaries], np.int64).reshape(-1, 2)
 
+    @F.pandas_udf("int")
+    def find(h: pd.Series, d: pd.Series) -> pd.Series:
+        first, last = (np.searchsorted(bounds[:, 0], h.to_numpy(), side) for side in ("left", "right"))
+        for i in np.flatnonzero(last > first):  # boundaries inside one hash value
+            last[i] = first[i] + np.searchsorted(bounds[first[i] : last[i], 1], d.iloc[i], "right")
+        return pd.Series(last.astype(np.int32))
 
-def shard_of(boundaries: Sequence[tuple[int, ...]]) -> Column:
-    """Binary search over the boundaries as nested conditions."""
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(_compare(boundaries[mid]), search(mid + 1, high)).otherwise(search(low, mid))
-
-    return search(0, len(boundaries)).cast("int")
+    return find(F.col("h"), F.col("d"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -130,16 +125,23 @@ def shard_documents(docs: DataFrame, shards: int = 40, tolerance: float = 0.005)
     """doc_id, text, size, shard (0 to shards - 1) and slot (place in the shard, from 0) of every row.
 
     size: UTF-8 bytes of the text (null: none) plus 16. Shard sizes differ from the mean by at most
-    tolerance of it at either end, unless a single row is larger. Null and repeated doc_ids are allowed;
+    tolerance of it at either end, unless a single row is larger. Shards of more than PIECE_BYTES are exchanged
+    in pieces found the same way, so the size of a task follows the piece, not the shard. Null and repeated doc_ids are allowed;
     rows that agree in both text and doc_id stay together, so those alone can exceed the tolerance.
     An empty table gives an empty result. Extra columns have no effect.
     """
     docs = docs.select("doc_id", "text")
     keys = materialise(_keyed(docs).select("h", "d", "size"), "sizes")
-    boundaries = find_splitters(keys, shards, tolerance)
-    placed = _keyed(docs).withColumn("shard", shard_of(boundaries))
-    order = Window.partitionBy("shard").orderBy("h", "d")
-    return placed.withColumn("slot", F.row_number().over(order).cast("long") - 1).select("doc_id", "text", "size", "shard", "slot")
+    whole = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    pieces = max(1, min(MOST_PIECES // shards, -(-whole // (shards * PIECE_BYTES))))
+    piece = piece_of(find_splitters(keys, shards * pieces, tolerance))
+    counts = keys.select(piece.alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))  # at most MOST_PIECES rows
+    shard = F.floor(F.col("piece") / pieces).cast("int")
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.withColumn("shard", shard).select("piece", "shard", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("piece").orderBy("h", "d"))
+    placed = _keyed(docs).withColumn("piece", piece).withColumn("inside", inside).join(F.broadcast(starts), "piece")
+    return placed.select("doc_id", "text", "size", "shard", (F.col("before") + F.col("inside") - 1).alias("slot"))
 
 
 def digest(placed: DataFrame, law: str = "bytes") -> DataFrame:
