@@ -46,11 +46,16 @@ def occurrences(docs: DataFrame, n: int, group: Sequence[str] = (), stopwords: S
 def ngram_counts(docs: DataFrame, n: int, group: Sequence[str] = (), stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
     """Group columns, term, n (occurrences), documents (fragments that have it), first (its first place).
 
-    Occurrences of one fragment combine first, so the shuffle carries a term once per fragment at most.
+    A fragment's terms are sorted within its row, so the first of equal ones is known there and one aggregation,
+    combined before its shuffle, counts both occurrences and fragments.
     """
-    first = F.struct("row_number", "fragment_no", "pos")
-    inside = occurrences(docs, n, group, stopwords).groupBy(*group, "term", "row_number", "fragment_no").agg(F.count("*").alias("c"), F.min("pos").alias("pos"))
-    return inside.groupBy(*group, "term").agg(F.sum("c").alias("n"), F.count("*").alias("documents"), F.min(first).alias("first"))
+    if "tokens" not in docs.columns:
+        docs = docs.withColumn("tokens", X.tokens(F.col("text"), stopwords))
+    made = X.ngrams(F.col("tokens"), n) if n > 1 else F.col("tokens")
+    placed = docs.select(*group, "row_number", "fragment_no", F.array_sort(F.transform(made, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))).alias("s"))
+    lead = lambda x, i: F.struct(x["term"].alias("term"), x["pos"].alias("pos"), ((i == 0) | (F.get("s", i - 1)["term"] != x["term"])).cast("int").alias("lead"))
+    each = placed.select(*group, "row_number", "fragment_no", F.explode(F.transform("s", lead)).alias("o")).select(*group, "row_number", "fragment_no", "o.*")
+    return each.groupBy(*group, "term").agg(F.count("*").alias("n"), F.sum("lead").alias("documents"), F.min(F.struct("row_number", "fragment_no", "pos")).alias("first"))
 
 
 def ranked(counts: DataFrame, group: Sequence[str] = (), tie: str = "first_seen", by: Sequence[Column] = ()) -> DataFrame:
