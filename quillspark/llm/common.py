@@ -31,7 +31,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quillspark/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/quillspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
