@@ -114,7 +114,7 @@ class Encoder:
     added token's string in them, and tokenizers of other kinds go to the library whole.
     """
 
-    def __init__(self, path: str, remembered: int = 2_000_000, special_as_text: bool = False):
+    def __init__(self, path: str, remembered: int = 1_500_000, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -259,7 +259,7 @@ def _segments(path: str, end_id: int, most: int, special_as_text: bool):
     return write
 
 
-def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, ids_per_segment: int = 2_000_000, special_as_text: bool = False) -> DataFrame:
+def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, ids_per_segment: int = 1_000_000, special_as_text: bool = False) -> DataFrame:
     """Write all documents' ids, each followed by end_id, and read the files back: shard, part, n_ids, segment.
 
     Segments in (shard, part) order hold the documents in ascending doc_id order (null doc_ids first,
