@@ -361,7 +361,7 @@ def evidence_ngrams(spark, sf):
 
 @query()
 def context_phrases(spark, sf):
-    """Checked against a plain statement of the rule in the tests."""
+    """Checked by a scenario in the tests."""
     return terms.chosen_phrases(terms.context_phrases(answers(spark, sf), ["source"]), ["source"], 8)
 
 
@@ -401,7 +401,7 @@ def representativeness_hits(spark, sf):
 
 @query()
 def representativeness(spark, sf):
-    """The whole order; checked against a plain statement of the rule in the tests."""
+    """The whole order; checked by a scenario in the tests."""
     return rank.representativeness(answers(spark, sf), topic_table(spark).select("lang", "terms"), ["lang"]).select("lang", "row_number", "hits", "rank")
 
 
