@@ -6,8 +6,9 @@ matched: same order, vocabulary and smoothing, with background counts scaled to
 of tokens. A document's score is the mean over its tokens of target loss less background loss (nats);
 the lower, the more like the target.
 
-Counts cover every token of every document. Only the finished models, two square matrices whose size
-the vocabulary parameter fixes, are broadcast.
+Counts cover every token of every document. With a vocabulary of fixed size only the finished models, two
+square matrices, are broadcast. With all words (size None) the models are sparse: one table of word counts
+and one of losses by word pair, both of which grow with the corpus and meet the documents in plain joins.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, SPACES, lower_ascii, materialise, text_or_empty
+from .common import LOWER_BYTES, SPACES, in_chunks, lower_ascii, materialise, mix64, text_or_empty, word_hashes
 
 VOCABULARY = 1023  #: words besides the unknown one
 SMOOTHING = 64.0  #: tokens of the unigram distribution added to each history
@@ -67,11 +69,16 @@ def _count(words: list[str]):
     return run
 
 
-def pair_counts(docs: DataFrame, target_ids: DataFrame, words: list[str]) -> DataFrame:
-    """pair, n (in all documents), n_target: counts of (history, word) pairs."""
+def _marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """target (whether doc_id is a target's), text."""
     ids = target_ids.select("doc_id", F.lit(True).alias("t")).where("doc_id is not null").distinct()
     marked = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= ID_ROWS else ids, "doc_id", "left")
-    parts = marked.select(F.coalesce("t", F.lit(False)).alias("target"), "text").mapInPandas(_count(words), "target boolean, pair int, n long")
+    return marked.select(F.coalesce("t", F.lit(False)).alias("target"), "text")
+
+
+def pair_counts(docs: DataFrame, target_ids: DataFrame, words: list[str]) -> DataFrame:
+    """pair, n (in all documents), n_target: counts of (history, word) pairs."""
+    parts = _marked(docs, target_ids).mapInPandas(_count(words), "target boolean, pair int, n long")
     return parts.groupBy("pair").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).alias("n_target"))
 
 
@@ -110,16 +117,137 @@ def _score(words, shared):
     return run
 
 
-def score_documents(docs: DataFrame, target_ids: DataFrame, size: int = VOCABULARY) -> DataFrame:
+# --- all words ---------------------------------------------------------------------------------
+
+
+def _tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every token of some texts: hash of its history, its own hash; and where each text begins. A first word's history is START."""
+    h, at = word_hashes(texts)
+    before = np.concatenate([[np.uint64(START)], h[:-1]]) if len(h) else h
+    before[at[:-1][np.diff(at) > 0]] = START
+    return before, h, at
+
+
+def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return (before ^ ((word << np.uint64(1)) | (word >> np.uint64(63)))).view(np.int64)
+
+
+def _pair_column() -> Column:
+    """_pair() of the columns a and b."""
+    b = F.col("b")
+    return F.col("a").bitwiseXOR(F.shiftleft(b, 1).bitwiseOR(F.shiftrightunsigned(b, 63)))
+
+
+def _keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One 64-bit number a text, equal for equal sequences of words."""
+    place = np.arange(len(h), dtype=np.uint64) - np.repeat(at[:-1], np.diff(at)).astype(np.uint64)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(h ^ mix64(place + np.uint64(1))), dtype=np.uint64)])
+    return mix64(sums[at[1:]] - sums[at[:-1]]).view(np.int64)
+
+
+def _sums(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First position of every distinct key, and the columns' sums over it."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return order[starts], *(np.add.reduceat(c[order].astype(np.int64), starts) if len(k) else c.astype(np.int64) for c in columns)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], limit: int = 8_000_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """Tokens of about limit characters at a time: history, word, whether a target's, whether a text's last."""
+    held, chars = [], 0
+    for b in batches:
+        texts, target = b.column("text").to_pylist(), b.column("target").to_numpy(zero_copy_only=False)
+        for part in in_chunks(texts):
+            before, h, at = _tokens(texts[part])
+            last = np.zeros(len(h), bool)
+            last[at[1:][np.diff(at) > 0] - 1] = True
+            held.append((before, h, np.repeat(target[part], np.diff(at)), last))
+            chars += sum(len(t or "") for t in texts[part])
+        if chars >= limit:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, chars = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for before, h, target, last in _gathered(batches):
+        first, n, nt, followed, followed_t = _sums(h, np.ones(len(h), bool), target, ~last, ~last & target)
+        new = before == START
+        yield pa.RecordBatch.from_pydict({
+            "word": np.concatenate([h[first].view(np.int64), [START]]), "n": np.concatenate([n, [0]]), "n_target": np.concatenate([nt, [0]]),
+            "followed": np.concatenate([followed, [new.sum()]]), "followed_target": np.concatenate([followed_t, [(new & target).sum()]]),
+        })
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for before, h, target, _ in _gathered(batches):
+        first, n, nt = _sums(_pair(before, h), np.ones(len(h), bool), target)
+        yield pa.RecordBatch.from_pydict({"a": before[first].view(np.int64), "b": h[first].view(np.int64), "n": n, "n_target": nt})
+
+
+def _document_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        for part in in_chunks(texts):
+            before, h, at = _tokens(texts[part])
+            pair, owner = _pair(before, h), np.repeat(np.arange(len(at) - 1), np.diff(at))
+            order = np.lexsort((pair, owner))
+            pair, owner = pair[order], owner[order]
+            new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])])) if len(pair) else np.zeros(0, np.int64)
+            times = np.diff(np.concatenate([new, [len(pair)]]))
+            yield pa.RecordBatch.from_pydict({"key": _keys(h, at)[owner[new]], "pair": pair[new], "times": times.astype(np.int32)})
+
+
+def _document_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        for part in in_chunks(texts):
+            _, h, at = _tokens(texts[part])
+            n = np.diff(at)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id")[part.start : part.stop], pa.array(_keys(h, at), mask=n == 0), pa.array(n.astype(np.int64))], ["doc_id", "key", "n_tokens"])
+
+
+def sparse_model(docs: DataFrame, target_ids: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
+    """pair, target_loss, background_loss of every pair of words that occurs."""
+    marked = _marked(docs, target_ids)
+    words = marked.mapInArrow(_count_words, "word long, n long, n_target long, followed long, followed_target long")
+    words = materialise(words.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "n_target", "followed", "followed_target"))), "words")
+    whole, target, size = words.agg(F.sum("n"), F.sum("n_target"), F.count_if(F.col("n") > 0)).first()
+    whole, target, size = whole or 0, target or 0, size + 1
+    scale = target / max(1, whole)
+    pairs = marked.mapInArrow(_count_pairs, "a long, b long, n long, n_target long")
+    pairs = pairs.repartition("b").groupBy("b", "a").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    rated = pairs.join(words.select(F.col("word").alias("b"), F.col("n").alias("u"), F.col("n_target").alias("u_target")), "b")
+    rated = rated.select("a", _pair_column().alias("pair"), "n", "n_target", "u", "u_target").join(words.select(F.col("word").alias("a"), "followed", "followed_target"), "a")
+    loss = lambda n, u, followed, k, total: -F.log((F.col(n) * k + smoothing * ((F.col(u) * k + 1) / (total * k + size))) / (F.col(followed) * k + smoothing))
+    return rated.select("pair", loss("n_target", "u_target", "followed_target", 1.0, target).alias("target_loss"), loss("n", "u", "followed", scale, whole).alias("background_loss"))
+
+
+def score_with_all_words(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """score_documents() with every word in the vocabulary. Equal sequences of words are summed together, as their means are equal."""
+    model = sparse_model(docs, target_ids)
+    found = docs.select("text").mapInArrow(_document_pairs, "key long, pair long, times int").join(model, "pair")
+    mean = lambda c: (F.sum(F.col(c) * F.col("times")) / F.sum("times")).alias(c)
+    means = found.groupBy("key").agg(mean("target_loss"), mean("background_loss"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = docs.mapInArrow(_document_keys, f"doc_id {kind}, key long, n_tokens long")
+    return keyed.join(means, "key", "left").select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
+
+
+def score_documents(docs: DataFrame, target_ids: DataFrame, size: int | None = VOCABULARY) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, target_loss, background_loss, score (their difference).
 
     target_ids: doc_ids of the target documents, which count in the background too. Words are A-Z
     lower-cased and split at the six white-space characters. Null and empty texts have no tokens and null
     losses. Without target documents both models are near uniform or the background's own; scores remain defined.
-    Extra columns have no effect.
+    Extra columns have no effect. size: words of the vocabulary besides the unknown one; None for all.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
+    if size is None:
+        return score_with_all_words(docs, target_ids)
     words = vocabulary(docs, size)
     counts = materialise(pair_counts(docs, target_ids, words), "pairs")
     shared = spark.sparkContext.broadcast(models(counts, len(words) + 1))

@@ -294,6 +294,27 @@ def test_lm_scores_of_hard_tables(spark):
     assert lm_scoring.score_documents(d.where("false"), d, 20).count() == 0
 
 
+def test_lm_scores_of_all_words_tell_rare_words_apart(spark):
+    rows = [(i, "one two three") for i in range(1200)] + [(2000, "rare words here"), (2001, "other things there")]
+    rows += [(3000 + i, f"w{i} " * 3) for i in range(1100)]
+    d = docs(spark, rows)
+    out = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(d, d.where("doc_id = 2000"), None).collect()}
+    assert len(out) == len(rows) and out[2000] < out[2001]
+    capped = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(d, d.where("doc_id = 2000"), 3).collect()}
+    assert capped[2000] == capped[2001]
+
+
+def test_lm_scores_of_all_words_equal_those_of_a_vocabulary_that_holds_all(spark):
+    d = docs(spark, [*HARD, (6, "b b c"), (None, "c b")])
+    for target in (d.where("doc_id = 6"), d.where("false")):
+        key = lambda r: (r["doc_id"] or -1, r["n_tokens"], r["target_loss"] or 0)
+        got, want = (sorted(lm_scoring.score_documents(d, target, n).collect(), key=key) for n in (None, 100))
+        assert len(got) == len(want) == len(HARD) + 2
+        for g, w in zip(got, want):
+            assert g[:2] == w[:2] and g[2:] == (pytest.approx(w[2:], abs=1e-9) if w["n_tokens"] else w[2:])
+    assert lm_scoring.score_documents(d.where("false"), d, None).count() == 0
+
+
 # --- 10 ----------------------------------------------------------------------------------------
 
 
