@@ -3,8 +3,8 @@
 Nodes without a path between them only cost modularity when put together, so components are optimised
 independently, with the whole graph's weight in the formula: local moves and refinement until nothing
 improves, then the same on the condensed graph. Node order is fixed, so results don't depend on
-partitioning. A component is one group; its size bounds a task's memory, which is why large similarity
-graphs should use a threshold that keeps components apart.
+partitioning. A component of up to IN_TASK edges is one group; larger ones are solved together by rounds over
+the edge table, in which a share of the nodes moves at once.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from . import graph as G
 
 Links = dict[int, dict[int, float]]
+IN_TASK = 200_000  #: edges up to which a component is solved within one task
+UNIT = 1 << 26  #: weights are whole numbers of 1 / UNIT in rounds, so that sums don't depend on their order
+LEAST_RISE = 1e-6  #: modularity that a round must add to be kept
+STALLS = 8  #: rounds in a row that add nothing, each with half the nodes of the one before, after which moves end
 
 
 def _moved(links: Links, loops: dict[int, float], start: dict[int, int], bound: dict[int, int], total: float, resolution: float) -> dict[int, int]:
@@ -125,14 +129,89 @@ def modularity(edges: list[tuple[int, int, float]], community: dict[int, int], r
     return inside / total - resolution * sum((s / (2 * total)) ** 2 for s in strength.values())
 
 
-def communities(edges: DataFrame, nodes: DataFrame, resolution: float = G.RESOLUTION) -> DataFrame:
-    """Node, community (named by its smallest node) of every node; those without an edge stand alone."""
+def _modularity(both: DataFrame, nodes: DataFrame, total: float, resolution: float) -> float:
+    """Of nodes (node, k, loop, community) and both (x, y, w), as a share of total; nodes outside are left out."""
+    to = nodes.select("node", "community")
+    inside = both.join(to.toDF("x", "cx"), "x").join(to.toDF("y", "cy"), "y").where("cx = cy").agg((F.sum("w") / (2 * total)).alias("q"))
+    own = nodes.groupBy("community").agg(F.sum("k").alias("k"), F.sum("loop").alias("loop")).select((F.col("loop") / total - resolution * (F.col("k") / (2 * total)) ** 2).alias("q"))
+    return inside.unionByName(own).agg(F.sum("q")).first()[0] or 0.0
+
+
+def _moved_by_rounds(both: DataFrame, nodes: DataFrame, total: float, resolution: float) -> DataFrame:
+    """nodes after moves of hashed shares of them to their best communities, for as long as modularity rises. Every round is checkpointed."""
+    value, share, turn, stalls = _modularity(both, nodes, total, resolution), 2, 0, 0
+    while stalls < STALLS:
+        near = both.join(nodes.select("node", "community").toDF("y", "c"), "y").groupBy(F.col("x").alias("node"), "c").agg(F.sum("w").alias("w"))
+        near = near.unionByName(nodes.select("node", F.col("community").alias("c"), F.lit(0).cast("long").alias("w"))).groupBy("node", "c").agg(F.sum("w").alias("w"))
+        weight = nodes.groupBy(F.col("community").alias("c")).agg(F.sum("k").alias("kc"))
+        own = F.col("c") == F.col("community")
+        gain = F.col("w") - resolution * F.col("k") * (F.col("kc") - F.when(own, F.col("k")).otherwise(0)) / (2 * total)
+        rated = near.join(weight, "c").join(nodes, "node").select("node", F.struct(F.round(gain / UNIT, 12).alias("gain"), own.alias("own"), (-F.col("c")).alias("c")).alias("s"))
+        best = rated.groupBy("node").agg((-F.max("s")["c"]).alias("best"))
+        may = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(share)) == 0
+        following = nodes.join(best, "node").select("node", "k", "loop", F.when(may, F.col("best")).otherwise(F.col("community")).alias("community"), (F.col("best") != F.col("community")).alias("wants"), may.alias("may")).checkpoint()
+        turn += 1
+        wanting, moved = following.agg(F.count_if("wants"), F.count_if(F.col("wants") & F.col("may"))).first()
+        if not wanting:
+            break
+        if not moved:
+            share, stalls = max(1, share // 2), stalls + 1
+            continue
+        now = _modularity(both, following, total, resolution)
+        if now - value >= LEAST_RISE:
+            nodes, value, share, stalls = following.drop("wants", "may"), now, max(2, share // 2), 0
+        else:
+            share, stalls = share * 2, stalls + 1
+    return nodes
+
+
+def by_rounds(edges: DataFrame, total: float, resolution: float) -> DataFrame:
+    """node, community of all nodes of edges (component, src, dst, weight), by moves in rounds on ever more condensed graphs.
+
+    Communities without inner paths fall apart at the end, and a component stays whole where that is better: both never lower modularity.
+    """
+    total = total * UNIT
+    e = edges.select("src", "dst", F.bround(F.col("weight") * UNIT).cast("long").alias("w"))
+    turned = lambda e: e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).toDF("x", "y", "w")
+    start = both = turned(e).groupBy("x", "y").agg(F.sum("w").alias("w")).checkpoint()
+    nodes = first = both.groupBy(F.col("x").alias("node")).agg(F.sum("w").alias("k")).select("node", "k", F.lit(0).cast("long").alias("loop"), F.col("node").alias("community")).checkpoint()
+    member = nodes.select("node", F.col("node").alias("at"))
+    while True:
+        nodes = _moved_by_rounds(both, nodes, total, resolution)
+        to = nodes.select("node", "community")
+        member = member.join(to.toDF("at", "community"), "at").select("node", F.col("community").alias("at")).checkpoint()
+        before, after = nodes.count(), to.select("community").distinct().count()
+        if after == before:
+            break
+        between = both.join(to.toDF("x", "cx"), "x").join(to.toDF("y", "cy"), "y").groupBy("cx", "cy").agg(F.sum("w").alias("w")).checkpoint()
+        both = between.where("cx <> cy").toDF("x", "y", "w")
+        inner = between.where("cx = cy").select(F.col("cx").alias("community"), (F.col("w") / 2).cast("long").alias("inner"))
+        merged = nodes.groupBy("community").agg(F.sum("k").alias("k"), F.sum("loop").alias("loop")).join(inner, "community", "left")
+        nodes = merged.select(F.col("community").alias("node"), "k", (F.col("loop") + F.coalesce("inner", F.lit(0))).alias("loop"), "community").checkpoint()
+    inside = start.join(member.toDF("x", "cx"), "x").join(member.toDF("y", "cy"), "y").where("cx = cy and x < y").select(F.col("x").alias("src"), F.col("y").alias("dst"), F.col("w").alias("weight"))
+    parts = G.components(inside, first.select("node")).select("node", F.col("component").alias("community")).checkpoint()
+    # per component, what its parts and what the whole would add
+    of = edges.select(F.col("src").alias("node"), "component").unionByName(edges.select(F.col("dst").alias("node"), "component")).distinct()
+    placed = first.select("node", "k").join(parts, "node").join(of, "node").checkpoint()
+    squares = placed.groupBy("component", "community").agg(F.sum("k").alias("k")).groupBy("component").agg(F.sum(F.col("k").cast("double") ** 2).alias("q"), F.sum("k").alias("k"))
+    kept = inside.join(placed.select(F.col("node").alias("src"), "component"), "src").groupBy("component").agg(F.sum("weight").alias("w"))
+    worth = squares.join(kept, "component", "left").select("component", (F.coalesce("w", F.lit(0)) / total - resolution * F.col("q") / (2 * total) ** 2).alias("parts"), (F.col("k") / 2 / total - resolution * (F.col("k") / (2 * total)) ** 2).alias("one"))
+    return placed.join(worth, "component").select("node", F.when(F.col("one") > F.col("parts"), F.col("component")).otherwise(F.col("community")).alias("community"))
+
+
+def communities(edges: DataFrame, nodes: DataFrame, resolution: float = G.RESOLUTION, in_task: int = IN_TASK) -> DataFrame:
+    """Node, community (named by its smallest node) of every node; those without an edge stand alone.
+
+    Components of more than in_task edges are solved by rounds.
+    """
     resolution = max(0.05, resolution)
     total = edges.agg(F.sum("weight")).first()[0]
     if not total:
         return nodes.select("node", F.col("node").alias("community"))
     whole = G.components(edges)
-    dealt = edges.join(whole.toDF("src", "component"), "src").select("component", "src", "dst", "weight")
+    dealt = edges.join(whole.toDF("src", "component"), "src").select("component", "src", "dst", "weight").checkpoint()
+    large = dealt.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > in_task).select("component").checkpoint()
+    some = not large.isEmpty()
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["src", "dst"])
@@ -142,7 +221,10 @@ def communities(edges: DataFrame, nodes: DataFrame, resolution: float = G.RESOLU
             least.setdefault(found[n], n)
         return pd.DataFrame({"node": list(found), "community": [least[c] for c in found.values()]})
 
-    solved = dealt.groupBy("component").applyInPandas(solve, "node long, community long")
+    small = dealt.join(large, "component", "left_anti") if some else dealt
+    solved = small.groupBy("component").applyInPandas(solve, "node long, community long")
+    if some:
+        solved = solved.unionByName(by_rounds(dealt.join(large, "component", "left_semi"), total, resolution))
     return nodes.select("node").join(solved, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
 
 

@@ -491,6 +491,21 @@ def test_communities_partition_the_nodes_whatever_the_partitioning(spark):
     assert a == b and len(a) == v.count() and len(set(a.values())) > 3
 
 
+def test_communities_of_large_components_by_rounds(spark):
+    rng = np.random.default_rng(2)
+    e = [(g * 12 + i, g * 12 + j, float(rng.uniform(0.4, 0.9))) for g in range(3) for i in range(6) for j in range(i + 1, 6) if rng.random() < 0.6]
+    e += [(g * 12 + int(rng.integers(6)), g * 12 + 12 + int(rng.integers(6)), 0.4) for g in range(2)] + [(200, 201, 0.5)]
+    nodes = {n for x in e for n in x[:2]}
+    frame = spark.createDataFrame(e, "src long, dst long, weight double")
+    n = spark.createDataFrame([(i,) for i in sorted(nodes | {300})], "node long")
+    a, b = (dict(rows_of(communities.communities(f, n, 0.9, in_task=5), "node", "community")) for f in (frame, frame.repartition(7, "dst")))
+    assert a == b and set(a) == nodes | {300} and a[300] == 300 and a[200] == a[201] == 200
+    assert all(c == min(i for i in a if a[i] == c) for c in set(a.values()))
+    q = lambda found: communities.modularity(e, found, 0.9)
+    one = {i: 0 if i < 100 else 200 for i in nodes}
+    assert q(a) >= max(q(one), q({i: i for i in nodes})) and q(a) >= 0.98 * q(communities.partition(e, sum(x[2] for x in e), 0.9))
+
+
 def test_language_split(spark):
     assigned = spark.createDataFrame([(i, 0) for i in range(5)], "node long, community long")
     e = spark.createDataFrame([(0, 1, 0.95), (1, 2, 0.8), (2, 3, 0.95), (3, 4, 0.8)], "src long, dst long, weight double")
