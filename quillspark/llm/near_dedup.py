@@ -2,33 +2,40 @@
 
 Two permutations of the 32-bit numbers make the whole signature: one shuffles the shingles, the other,
 shifted round by k places, gives coordinate k. Coordinates are grouped into bands; documents that agree
-in a band are candidates, and a link needs the exact Jaccard similarity of the full shingle sets.
-
-Documents with the same shingle set become one class first. Small buckets are compared pair by pair,
-each document of a pair once per hub. Members of large buckets form clusters (connected by shared large
-buckets); a cluster is cut into blocks and every pair of blocks is one bounded group, in which an
-inverted index counts all intersections exactly. A group returns a spanning forest of its links, so
-thousands of near copies give thousands of rows, not their square.
+in a band are candidates, and a link needs the exact Jaccard similarity of the full shingle sets, which
+are compared by their words, not by hashes.
+
+Documents with the same shingle set become one class first (by two independent 64-bit digests and the
+set's size). Small buckets are compared pair by pair, each document of a pair once per hub. In a large
+bucket every member is compared with the bucket's hub; members that are connected by then need no more
+comparing. What a large bucket still holds outside its main component is compared, block by block, with
+all its members, so no link between components is lost and near copies of one text cost a few
+comparisons each. A block returns a spanning forest of its links.
+
+Rows meet bucket and class tables through join_by_size(), which sends the few keys that hold a large part of all
+rows by broadcast, so no task gets a whole hot key.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import distinct_sets, in_chunks, materialise, mix64, shingle_hashes
+from .common import LOWER_BYTES, distinct_sets, in_chunks, join_by_size, materialise, mix64, numbered_shingles, partitions, shingle_hashes
 from .components import connected_components
 
 ROWS = 7  #: coordinates in a band
 MISS = 3e-7  #: probability that a pair at the threshold shares no band
 COLD = 16  #: buckets of at most so many members are compared pair by pair
 BATCH = 256  #: documents compared against one hub in one group
-BLOCK_LEAST, BLOCK_MOST, BLOCKS = 60_000, 2_000_000, 8  #: shingles in a block of a cluster; blocks of a cluster while they hold less than the most
+BLOCK_LEAST, BLOCK_MOST, BLOCKS = 60_000, 1_000_000, 8  #: shingles in a block of a cluster; blocks of a cluster while they hold less than the most
 ID_ROWS = 1_000_000  #: ids up to which the choice of texts to fetch is broadcast
 
 
@@ -65,7 +72,8 @@ def _sketch(bands: int, rows: int, words: int):
         for b in batches:
             texts = list(b["text"])
             for s in in_chunks(texts):
-                sets = distinct_sets(*shingle_hashes(texts[s], words))
+                hashes, others, at = shingle_hashes(texts[s], words, (0, 1))
+                sets, other = distinct_sets(hashes, at), distinct_sets(others, at)
                 n = np.array([len(x) for x in sets], np.int64)
                 some = np.flatnonzero(n)
                 flat = np.concatenate(sets) if len(some) else np.zeros(0, np.uint64)
@@ -74,7 +82,7 @@ def _sketch(bands: int, rows: int, words: int):
                 digest = np.zeros((2, len(sets)), np.uint64)
                 if len(some):
                     digest[0, some] = np.add.reduceat(mix64(flat), starts[:-1])
-                    digest[1, some] = np.add.reduceat(mix64(flat ^ np.uint64(0x5851F42D4C957F2D)), starts[:-1])
+                    digest[1] = [mix64(x).sum(dtype=np.uint64) for x in other]
                     for i, row in zip(some, band_keys(signatures(flat, starts, bands * rows), bands, rows)):
                         keys[i] = row
                 yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[s], "n_shingles": n, "d1": digest[0].view(np.int64), "d2": digest[1].view(np.int64), "bands": keys})
@@ -82,107 +90,138 @@ def _sketch(bands: int, rows: int, words: int):
     return run
 
 
-def _links_to_hub(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """The first set is the hub's."""
-    hub, out = sets[0], []
-    for i, x in zip(ids[1:], sets[1:]):
-        both = len(np.intersect1d(hub, x, assume_unique=True))
-        if both and 100 * both >= percent * (len(hub) + len(x) - both):
-            out.append((ids[0], i))
-    return out
+class Words:
+    """Exact numbers of words, equal for equal words of one group."""
+
+    def __init__(self) -> None:
+        self.known: defaultdict[bytes, int] = defaultdict()
+        self.known.default_factory = self.known.__len__
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()  # bytes split at the six characters
+        return np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+
+
+def shingle_sets(words: Sequence[np.ndarray], k: int) -> list[np.ndarray]:
+    at = np.cumsum([0, *map(len, words)])
+    return numbered_shingles(np.concatenate([*words, np.zeros(0, np.int64)]), at, k)
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _links_in_block(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links; only between the two sides where both are present."""
-    n = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets)), n)
-    flat = np.concatenate(sets)
+def links_in_block(nodes: Sequence[int], sides: Sequence[int], parts: Sequence[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links from documents of side 0 to those of side 1 that join parts which nothing has joined before."""
+    nodes, sides, n = np.array(nodes), np.array(sides), np.array([len(x) for x in sets])
+    right, left = np.flatnonzero((sides == 1) & (n > 0)), np.flatnonzero((sides == 0) & (n > 0))
+    if not len(right) or not len(left):
+        return []
+    flat = np.concatenate([sets[j] for j in right])
     order = np.argsort(flat, kind="stable")
     values, first, count = np.unique(flat[order], return_index=True, return_counts=True)
-    postings = owner[order]
-    across = sides.min() != sides.max()
-    root = list(range(len(sets)))
+    postings = np.repeat(np.arange(len(right)), n[right])[order]
+    root = {p: p for p in parts}
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    def find(p: int) -> int:
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
 
     out = []
-    for i in range(len(sets)):
-        if across and sides[i] != sides[0]:
-            continue
-        at = np.searchsorted(values, sets[i])
-        c = count[at]
+    for i in left:
+        at = np.minimum(np.searchsorted(values, sets[i]), len(values) - 1)
+        c = np.where(values[at] == sets[i], count[at], 0)
         upto = np.cumsum(c)
         met = postings[np.repeat(first[at] - (upto - c), c) + np.arange(upto[-1])]
-        both = np.bincount(met, minlength=len(sets))
-        linked = np.flatnonzero((both > 0) & (100 * both >= percent * (n + n[i] - both)))
-        for j in linked:
-            if j != i and (not across or sides[j] != sides[i]) and (a := find(i)) != (b := find(j)):
+        both = np.bincount(met, minlength=len(right))
+        for j in right[(both > 0) & (100 * both >= percent * (n[right] + n[i] - both))]:
+            if (a := find(parts[i])) != (b := find(parts[j])):
                 root[a] = b
-                out.append((ids[i], ids[j]))
+                out.append((nodes[i], nodes[j]))
     return out
 
 
 def _compare(percent: int, words: int):
-    """Rows arrive by group; a group's texts are read in chunks and kept as sets."""
+    """Rows arrive by group, side 0 first. Kind 0: side 0 is the hub (in all its texts), the others meet it a chunk at a time. Kind 1: a pair of blocks, kept as word numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, kept = None, []
+        key, number, kept = None, Words(), []
 
         def settle() -> list[tuple[int, int]]:
-            usable = [x for x in kept if len(x[2])]
-            if len(usable) < 2 or usable[0] is not kept[0] and key[0] == 0:
+            if key is None or key[0] == 0 or not kept:
                 return []
-            ids, sides, sets = (list(x) for x in zip(*usable))
-            if key[0] == 0:
-                return _links_to_hub(ids, sets, percent)
-            return _links_in_block(ids, np.array(sides), sets, percent)
+            nodes, sides, parts, said = zip(*kept)
+            return links_in_block(nodes, sides, parts, shingle_sets(said, words), percent)
+
+        def meet(rows: list[tuple]) -> list[tuple[int, int]]:
+            """Links of the hub's texts, which are kept, with other rows of its group."""
+            sets = shingle_sets([*(x[3] for x in kept), *(x[3] for x in rows)], words)
+            hubs, others = sets[: len(kept)], sets[len(kept) :]
+            return [(kept[0][0], r[0]) for r, x in zip(rows, others) if r[0] != kept[0][0] and any(_alike(h, x, percent) for h in hubs)] if kept else []
 
         for b in batches:
-            texts, out = list(b["text"]), []
+            texts, out, waiting = list(b["text"]), [], []
             keys = list(zip(b["kind"], b["g1"], b["g2"], b["g3"]))
-            nodes, sides = b["node"].tolist(), b["side"].tolist()
+            nodes, sides, parts = b["node"].tolist(), b["side"].tolist(), b["part"].tolist()
             for s in in_chunks(texts):
-                for i, x in zip(range(s.start, s.stop), distinct_sets(*shingle_hashes(texts[s], words))):
+                for i in range(s.start, s.stop):
                     if keys[i] != key:
-                        if kept:
-                            out += settle()
-                        key, kept = keys[i], []
-                    kept.append((nodes[i], sides[i], x))
+                        out += meet(waiting) if waiting else settle()
+                        key, number, kept, waiting = keys[i], Words(), [], []
+                    row = nodes[i], sides[i], parts[i], number(texts[i])
+                    (kept if key[0] or sides[i] == 0 else waiting).append(row)
+                out += meet(waiting) if waiting else []
+                waiting = []
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-        if kept:
-            yield pd.DataFrame(settle(), columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(settle(), columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def cold_groups(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of small buckets' members, dealt into groups of about BATCH documents with their hub."""
-    fits = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+def hub_groups(pairs: DataFrame) -> DataFrame:
+    """pairs(hub, groups, node), dealt into groups of about BATCH documents with their hub."""
+    members = pairs.select("hub", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("g2"), F.lit(1).alias("side"), "node").distinct()
+    hubs = members.select("hub", "g2").distinct().select("hub", "g2", F.lit(0).alias("side"), F.col("hub").alias("node"))
+    return members.unionByName(hubs).select(F.lit(0).alias("kind"), F.col("hub").alias("g1"), "g2", F.lit(0).alias("g3"), "side", "node", F.col("node").alias("part"))
+
+
+def candidate_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """hub, groups, node: all pairs of small buckets' members, and the members of large buckets with their bucket's hub; pairs of too different sizes can't link."""
+    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
     small = entries.where(f"members <= {COLD}")
-    pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & fits)
-    pairs = materialise(pairs.select(F.col("x.node").alias("hub"), F.col("y.node").alias("doc")).distinct(), "pairs")
-    groups = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BATCH).cast("int").alias("groups"))
-    members = pairs.join(groups, "hub").select("hub", F.pmod(F.xxhash64("doc"), F.col("groups")).cast("int").alias("g2"), F.lit(1).alias("side"), F.col("doc").alias("node"))
-    hubs = groups.select("hub", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g2"), F.lit(0).alias("side"), F.col("hub").alias("node"))
-    return members.unionByName(hubs).select(F.lit(0).alias("kind"), F.col("hub").alias("g1"), "g2", F.lit(0).alias("g3"), "side", "node")
-
-
-def hot_groups(entries: DataFrame) -> DataFrame:
-    """Clusters of large buckets' members, one group per pair of blocks."""
-    large = entries.where(f"members > {COLD}")
-    stars = large.groupBy("key").agg(F.min("node").alias("hub")).join(large.select("key", "node"), "key").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    clusters = connected_components(stars)
-    sized = clusters.join(large.select("node", "n").distinct(), "node")
-    total = sized.groupBy("component").agg(F.sum("n").alias("total"))
-    share = F.least(F.greatest(F.col("total") / BLOCKS, F.lit(BLOCK_LEAST)), F.lit(BLOCK_MOST))
-    blocks = sized.join(total.withColumn("blocks", F.ceil(F.col("total") / share).cast("int")), "component")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = blocks.select("component", "node", own.alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return dealt.select(F.lit(1).alias("kind"), F.col("component").alias("g1"), F.least("side", "other").alias("g2"), F.greatest("side", "other").alias("g3"), "side", "node")
+    pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & fits("x.n", "y.n"))
+    pairs = materialise(pairs.select(F.col("x.node").alias("hub"), F.col("y.node").alias("node")).distinct(), "pairs")
+    groups = lambda d, size: d.groupBy("hub").agg(F.ceil(size / BATCH).cast("int").alias("groups"))
+    cold = pairs.join(groups(pairs, F.count("*")), "hub")
+    large = entries.where((F.col("members") > COLD) & (F.col("node") != F.col("hub")) & fits("n", "hub_n"))
+    stars = large.select("hub", F.ceil(F.col("hub_members") / BATCH).cast("int").alias("groups"), "node").distinct()
+    return cold.select("hub", "groups", "node").unionByName(stars)
+
+
+def open_blocks(entries: DataFrame, parts: DataFrame) -> DataFrame:
+    """Groups that compare what lies outside the main part of a large bucket (side 0) with all its members (side 1).
+
+    parts: node, component so far; nodes without one are alone. Large buckets that share members are one cluster.
+    """
+    large = entries.where(f"members > {COLD}").select("key", "node", "n").join(parts, "node", "left")
+    large = large.withColumn("part", F.coalesce("component", "node")).drop("component")
+    shares = large.groupBy("key", "part").agg(F.count("*").alias("held"))
+    torn = shares.groupBy("key").agg(F.sum("held").alias("members"), F.count("*").alias("parts"), F.max(F.struct("held", "part"))["part"].alias("main")).where("parts > 1")
+    left = materialise(join_by_size(large, torn, ["key"]).withColumn("outside", F.col("part") != F.col("main")), "torn")
+    hubs = left.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("hub"))
+    clusters = connected_components(join_by_size(left.select("key", "node"), hubs, ["key"]).select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    nodes = left.groupBy("node", "part", "n").agg(F.max("outside").alias("outside")).join(clusters, "node")
+    sides = nodes.withColumn("side", F.explode(F.when(F.col("outside"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    sizes = sides.groupBy("component").agg(F.count("*").alias("members"), F.sum(F.when(F.col("side") == 0, F.col("n"))).alias("n0"), F.sum(F.when(F.col("side") == 1, F.col("n"))).alias("n1"))
+    blocks = lambda c: F.ceil(F.col(c) / F.least(F.greatest(F.col(c) / BLOCKS, F.lit(BLOCK_LEAST)), F.lit(BLOCK_MOST))).cast("int")
+    dealt = join_by_size(sides, sizes.select("component", "members", blocks("n0").alias("blocks0"), blocks("n1").alias("blocks1")), ["component"])
+    own, other = (F.when(F.col("side") == 0, F.col(f"blocks{i}")).otherwise(F.col(f"blocks{1 - i}")) for i in (0, 1))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), own).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
+    g2, g3 = (F.when(F.col("side") == i, F.col("own")).otherwise(F.col("other")) for i in (0, 1))
+    return dealt.select(F.lit(1).alias("kind"), F.col("component").alias("g1"), g2.alias("g2"), g3.alias("g3"), "side", "node", "part")
 
 
 def confirmed(groups: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
@@ -191,10 +230,9 @@ def confirmed(groups: DataFrame, docs: DataFrame, percent: int, words: int) -> D
     ids = groups.select(F.col("node").alias("doc_id")).distinct()
     texts = docs.join(F.broadcast(ids) if groups.count() <= ID_ROWS else ids, "doc_id", "left_semi")
     rows = groups.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = ["kind", "g1", "g2", "g3"]
-    dealt = rows.repartition(n, *key).sortWithinPartitions(*key, "side")
-    return materialise(dealt.select(*key, "side", "node", "text").mapInPandas(_compare(percent, words), "a long, b long"), "links")
+    dealt = rows.repartition(partitions(docs.sparkSession), *key).sortWithinPartitions(*key, "side")
+    return materialise(dealt.select(*key, "side", "node", "part", "text").mapInPandas(_compare(percent, words), "a long, b long"), "links")
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -215,18 +253,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, rows: in
     sketched = materialise(docs.mapInPandas(_sketch(bands, rows, words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "sketches")
     usable = sketched.where("n_shingles > 0 and doc_id is not null")
     same = ["d1", "d2", "n_shingles"]
-    classes = materialise(usable.groupBy(*same).agg(F.min("doc_id").alias("node")), "classes")
-    named = usable.drop("bands").join(classes, same)
+    classes = materialise(usable.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count("*").alias("members")), "classes")
     nodes = usable.join(classes.select(F.col("node").alias("doc_id"), *same), ["doc_id", *same], "left_semi")
-    entries = nodes.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n")).distinct()
-    shared = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    entries = materialise(entries.join(shared, "key"), "buckets")
-    links = confirmed(cold_groups(entries, percent).unionByName(hot_groups(entries)), docs, percent, words)
+    entries = materialise(nodes.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n")).distinct(), "bands")
+    buckets = entries.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("hub")).where("members > 1")
+    buckets = buckets.select("key", "members", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    buckets = buckets.withColumn("hub_members", F.max("members").over(Window.partitionBy("hub")))  # a hub has at most as many buckets as bands
+    entries = materialise(join_by_size(entries, buckets, ["key"]), "buckets")
+    links = confirmed(hub_groups(candidate_pairs(entries, percent)), docs, percent, words)
     # Rows of one doc_id with several texts are one node.
     several = usable.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    ties = named.join(several, "doc_id", "left_semi").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    found = connected_components(links.unionByName(ties)).withColumnRenamed("node", "f")
-    placed = named.join(found, F.col("node") == F.col("f"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component"))
+    ties = usable.join(several, "doc_id", "left_semi").join(classes, same).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    links = links.unionByName(ties.distinct())
+    parts = connected_components(links)
+    blocks = open_blocks(entries, parts)
+    more = confirmed(blocks, docs, percent, words)
+    if not more.isEmpty():
+        parts = connected_components(links.unionByName(more))
+    found = classes.join(parts, "node", "left").select(*same, "members", F.coalesce("component", "node").alias("component"))
+    placed = join_by_size(usable.select("doc_id", *same), found, same).groupBy("doc_id").agg(F.min("component").alias("component"))
     out = sketched.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
     own = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))

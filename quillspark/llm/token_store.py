@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_chunks, is_space, materialise, span_hashes
+from .common import eights, in_chunks, is_space, materialise, span_hashes
 
 MAGIC = b"QDAC1\0\0\0"
 BLOCK = 512
@@ -109,7 +109,8 @@ class Encoder:
     A byte-level tokenizer's pattern never joins a word to what follows it, and of a run of white space
     only the last character may belong to the next word; a sign after a letter begins anew. So a text is cut at those places into units,
     each distinct unit is encoded once by the library, and texts are put together from the remembered
-    units by array operations on 64-bit unit hashes. This holds where the white space is known: for texts
+    units by array operations. Units are found by a hash, and every hit is compared byte by byte; should two
+    units ever have one hash, the texts go to the library. Cutting holds where the white space is known: for texts
     of characters below U+0240 without U+0085, U+00A0 and control characters. Other texts, texts with an
     added token's string in them, and tokenizers of other kinds go to the library whole.
     """
@@ -133,9 +134,10 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)  # sorted, with where each unit's ids are
-        self.first = self.count = np.zeros(0, np.int64)
+        self.hashes = np.zeros(0, np.uint64)  # sorted, with where each unit's ids and bytes are
+        self.first = self.count = self.place = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.bytes, self.ends = np.zeros(0, np.uint64), np.zeros(1, np.int64)  # every unit in eights of bytes, and where each ends
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -156,18 +158,21 @@ class Encoder:
             found[i] = ids
         return found
 
-    def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
-        if len(self.hashes) > self.remembered:
-            self.forget()
+    def _learn(self, hashes: np.ndarray, units: list[str], size: np.ndarray, eight: np.ndarray) -> None:
+        """Remember units of size[i] eights of bytes each."""
         found = self._units(units)
         count = np.array([len(x) for x in found], np.int64)
         first = len(self.ids) + np.cumsum(count) - count
+        place = len(self.ends) - 1 + np.arange(len(units))
         self.ids = np.concatenate([self.ids, *found])
+        self.bytes, self.ends = np.concatenate([self.bytes, eight]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
         order = np.argsort(hashes)
         at = np.searchsorted(self.hashes, hashes[order])
-        self.hashes, self.first, self.count = (np.insert(x, at, y[order]) for x, y in ((self.hashes, hashes), (self.first, first), (self.count, count)))
+        known = (self.hashes, hashes), (self.first, first), (self.count, count), (self.place, place)
+        self.hashes, self.first, self.count, self.place = (np.insert(x, at, y[order]) for x, y in known)
 
-    def _fast(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _fast(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of all texts and how many each has; None where two different units have one hash."""
         buf = np.frombuffer(b"".join(data), np.uint8)
         ends = np.cumsum([len(d) for d in data])
         space = is_space(buf)
@@ -183,15 +188,20 @@ class Encoder:
         stops = np.append(starts[1:], len(buf))
         h = span_hashes(buf, starts, stops)
         distinct, sample, place = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.hashes) > self.remembered:
+            self.forget()
         at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
         new = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
+        eight, inside, begin = eights(buf, starts, stops)
+        size = np.diff(np.append(begin, len(eight)))
         if new.any():
-            if len(self.hashes) > self.remembered:
-                self.forget()
-                new[:] = True
-            raw = buf.tobytes()
-            self._learn(distinct[new], [raw[starts[i] : stops[i]].decode() for i in sample[new]])
+            raw, chosen = buf.tobytes(), sample[new]
+            wanted = eight[np.repeat(begin[chosen] - (np.cumsum(size[chosen]) - size[chosen]), size[chosen]) + np.arange(int(size[chosen].sum()))]
+            self._learn(distinct[new], [raw[starts[i] : stops[i]].decode() for i in chosen], size[chosen], wanted)
             at = np.searchsorted(self.hashes, distinct)
+        unit = self.place[at][place]
+        if (np.diff(self.ends)[unit] != size).any() or (self.bytes[np.repeat(self.ends[unit], size) + inside] != eight).any():
+            return None
         count = self.count[at][place]
         upto = np.cumsum(count)
         ids = self.ids[np.repeat(self.first[at][place] - (upto - count), count) + np.arange(upto[-1])]
@@ -206,8 +216,10 @@ class Encoder:
         odd = np.diff(np.concatenate([[0], np.cumsum(odd)])[bounds])
         out: list = [np.zeros(0, np.uint32)] * len(texts)
         fast = [i for i, t in enumerate(texts) if t and self.plain and not odd[i] and not any(a in t for a in self.added)]
+        if fast and (found := self._fast([data[i] for i in fast])) is None:
+            fast = []
         if fast:
-            ids, counts = self._fast([data[i] for i in fast])
+            ids, counts = found
             for i, x in zip(fast, np.split(ids, np.cumsum(counts)[:-1])):
                 out[i] = x
         taken = set(fast)

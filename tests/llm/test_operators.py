@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillspark.llm import chat_format, decontamination, exact_dedup, lm_scoring, mixing, near_dedup, queries, sharding, token_store, toxicity, url_rules
-from quillspark.llm.common import distinct_sets, shingle_hashes
+from quillspark.llm.common import distinct_sets, numbered_shingles, shingle_hashes
 from tests.llm import brute
 from tests.oracle import assert_same, connect
 
@@ -233,6 +233,60 @@ def test_near_duplicates_equal_brute_force(spark, percent):
     assert out == brute.near(rows, percent)
 
 
+def mirrored(letters):
+    """Two texts of so many letters a and b, each with a where the other has b, whose sums under any polynomial modulo 2**64 are equal."""
+    a, b = "a", "b"
+    while len(a) < letters:
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("letters", [1024, 2048])
+def test_mirrored_words_are_different(spark, letters):
+    a, b = mirrored(letters)
+    out = near_dedup.near_duplicates(docs(spark, [(1, a), (2, b), (3, f"x {a} y z u"), (4, f"x {b} y z u")])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {1: 1, 2: 2, 3: 3, 4: 4}
+    e = token_store.Encoder(TOKENIZER)
+    assert all(np.array_equal(x, y) for x, y in zip(e.library([a, b, a]), e([a, b, a])))
+
+
+@pytest.mark.parametrize("least", [60_000, 2_000])
+def test_near_duplicates_outside_the_main_part_of_a_bucket(spark, monkeypatch, least):
+    """Many groups of near copies whose members differ too much from the other groups' but share buckets with them."""
+    monkeypatch.setattr(near_dedup, "BLOCK_LEAST", least)
+    monkeypatch.setattr(near_dedup, "BATCH", 20)
+    monkeypatch.setattr(near_dedup, "ROWS", 2)
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(300)]
+    common, rows, n = [rng.choice(vocabulary) for _ in range(120)], [], 0
+    for _ in range(12):
+        own = [rng.choice(vocabulary) for _ in range(40)]
+        for k in range(12):
+            w = common + own
+            w[rng.randrange(160)] = f"odd{k}"
+            rows.append((n := n + 1, " ".join(w)))
+    rng.shuffle(rows)
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs(spark, rows), 85, rows=2).collect()}
+    assert out == brute.near(rows) and len({c for _, c in out.values()}) > 3
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, ""), (1, text), (1, other), (2, text + " more"), (3, other + " more"), (4, "alone in here")]
+    out = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert out == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=9), max_size=6), st.integers(2, 5))
+def test_numbered_shingles_are_the_shingles(texts, k):
+    at = np.cumsum([0, *map(len, texts)])
+    got = numbered_shingles(np.array([w for t in texts for w in t], np.int64), at, k)
+    want = [{tuple(t[i : i + k]) for i in range(len(t) - k + 1)} if len(t) >= k else {tuple(t)} if t else set() for t in texts]
+    assert [[len(set(a) & set(b)) for b in got] for a in map(list, got)] == [[len(a & b) for b in want] for a in want]
+
+
 def test_near_duplicates_of_hard_tables(spark):
     out = near_dedup.near_duplicates(docs(spark, HARD)).collect()
     by = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in out if r["doc_id"] is not None}
