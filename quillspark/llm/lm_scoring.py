@@ -1,255 +1,238 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models, one of the target documents and one of all documents, share one vocabulary: the
-words that occur most often in the whole table, every other word being one unknown word. The models are
-matched: same order, vocabulary and smoothing, with background counts scaled to the target's number
-of tokens. A document's score is the mean over its tokens of target loss less background loss (nats);
-the lower, the more like the target.
-
-Counts cover every token of every document. With a vocabulary of fixed size only the finished models, two
-square matrices, are broadcast. With all words (size None) the models are sparse: one table of word counts
-and one of losses by word pair, both of which grow with the corpus and meet the documents in plain joins.
+Two bigram models, one of the target documents and one of all documents, share one vocabulary: every word
+of the table. The models are matched: same order, vocabulary and smoothing, with background counts scaled to
+the target's number of tokens. Neither model counts the document that it scores, so a target document
+doesn't vouch for itself. A document's score is the mean over its tokens of target loss less background
+loss (nats); the lower, the more like the target.
+
+The models are counts, so scoring is counting in the other direction. Documents are packed into batches of
+some hundred thousand words and written as word numbers. A batch asks once for every distinct word, history
+and pair that it holds, with its own counts; the questions are dealt by key range, each range adds up what all
+batches have and answers every batch in the order it asked, without repeating the keys. A batch then has the
+whole corpus's counts of all it holds and finishes its documents. What is gathered grows with the corpus, a
+frequent word or pair is one question per batch, and no table of the model passes the driver or a broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, SPACES, in_chunks, lower_ascii, materialise, mix64, text_or_empty, word_hashes
+from .common import in_chunks, materialise, mix64, partitions, word_hashes
 
-VOCABULARY = 1023  #: words besides the unknown one
 SMOOTHING = 64.0  #: tokens of the unigram distribution added to each history
+BATCH_CHARS = 2_000_000  #: characters of a batch of documents
+PART_TOKENS = 4_000_000  #: tokens of the corpus for each range of keys
 ID_ROWS = 1_000_000  #: target ids up to which they are broadcast; beyond, documents and ids are shuffled
-START = 0  #: history number before the first word, and the unknown word's number
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The most frequent words, ties by word; number k + 1 is the k-th."""
-    words = docs.select(F.explode(F.split(F.translate(lower_ascii(text_or_empty()), SPACES, " " * len(SPACES)), " ")).alias("word")).where("word <> ''")
-    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r["word"] for r in top.collect()]
-
-
-def _known(words: list[str]) -> dict[bytes, int]:
-    return {w.encode(): i + 1 for i, w in enumerate(words)}
-
-
-def _numbers(text: str | None, known: dict[bytes, int]) -> np.ndarray:
-    words = (text or "").encode("utf-8", "replace").translate(LOWER_BYTES).split()  # bytes split at the six characters
-    return np.fromiter(map(known.get, words, repeat(0)), np.int64, len(words))
-
-
-def _pairs(numbers: np.ndarray, size: int) -> np.ndarray:
-    """history * size + word for every token."""
-    return np.concatenate([[START], numbers[:-1]]) * size + numbers if len(numbers) else numbers
-
-
-def _count(words: list[str]):
-    known, size = _known(words), len(words) + 1
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[bool, np.ndarray] = {}
-        for b in batches:
-            for t, text in zip(b["target"], b["text"]):
-                p = _pairs(_numbers(text, known), size)
-                if t not in total:
-                    total[t] = np.zeros(size * size, np.int32)
-                np.add.at(total[t], p, 1)
-        for t, counts in total.items():
-            pair = np.flatnonzero(counts)
-            yield pd.DataFrame({"target": t, "pair": pair.astype(np.int32), "n": counts[pair].astype(np.int64)})
-
-    return run
+PAIR, WORD, HISTORY = (np.uint64(k) for k in range(3))  #: kinds of key, in its last two bits
+_STEP = np.uint64(0x9FB21C651E98DF25)
 
 
 def _marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """target (whether doc_id is a target's), text."""
+    """doc_id, text, target (whether doc_id is a target's)."""
     ids = target_ids.select("doc_id", F.lit(True).alias("t")).where("doc_id is not null").distinct()
     marked = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= ID_ROWS else ids, "doc_id", "left")
-    return marked.select(F.coalesce("t", F.lit(False)).alias("target"), "text")
-
-
-def pair_counts(docs: DataFrame, target_ids: DataFrame, words: list[str]) -> DataFrame:
-    """pair, n (in all documents), n_target: counts of (history, word) pairs."""
-    parts = _marked(docs, target_ids).mapInPandas(_count(words), "target boolean, pair int, n long")
-    return parts.groupBy("pair").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).alias("n_target"))
-
-
-def losses(counts: np.ndarray, scale: float, smoothing: float = SMOOTHING) -> np.ndarray:
-    """-log p(word | history) of every pair, from a square matrix of counts."""
-    c = counts.astype(np.float64) * scale
-    unigram = (c.sum(0) + 1) / (c.sum() + len(c))
-    return -np.log((c + smoothing * unigram) / (c.sum(1, keepdims=True) + smoothing))
-
-
-def models(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Target and background losses; at most size * size rows are collected."""
-    rows = counts.toArrow()
-    pair = rows["pair"].to_numpy()
-    both = np.zeros((2, size * size), np.int64)
-    both[0][pair], both[1][pair] = rows["n_target"].to_numpy(), rows["n"].to_numpy()
-    scale = both[0].sum() / max(1, both[1].sum())
-    return losses(both[0].reshape(size, size), 1.0), losses(both[1].reshape(size, size), scale)
-
-
-def _score(words, shared):
-    known, size = _known(words), len(words) + 1
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        target, background = (x.ravel() for x in shared.value)
-        for b in batches:
-            pairs = [_pairs(_numbers(t, known), size) for t in b["text"]]
-            n = np.array([len(p) for p in pairs], np.int64)
-            sums = np.array([(target[p].sum(dtype=np.float64), background[p].sum(dtype=np.float64)) for p in pairs]).reshape(-1, 2)
+    return marked.select("doc_id", "text", F.coalesce("t", F.lit(False)).alias("target"))
+
+
+def pack_counts(n: np.ndarray) -> bytes:
+    """One byte a count; those of 255 and more follow in eight."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<i8").tobytes()
+
+
+def unpack_counts(data: bytes, size: int) -> np.ndarray:
+    n = np.frombuffer(data, np.uint8, size).astype(np.int64)
+    n[n == 255] = np.frombuffer(data, "<i8", offset=size)
+    return n
+
+
+class Batch:
+    """Documents as numbers of the batch's words. Words, histories and pairs are known by 64-bit hashes."""
+
+    def __init__(self, sizes: np.ndarray, target: np.ndarray, tokens: np.ndarray, words: np.ndarray):
+        self.sizes, self.target = sizes, target
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.word = tokens.astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        history = np.concatenate([[0], self.word[:-1] + 1]) if len(tokens) else self.word  # 0: the start of a text
+        history[first[sizes > 0]] = 0
+        self.history, size = history, len(words) + 1
+        pairs, self.pair = np.unique(history * size + self.word, return_inverse=True)
+        before = np.concatenate([[np.uint64(0)], words])
+        kinds = words * _STEP ^ WORD, before * _STEP ^ HISTORY, mix64(before)[pairs // size] + words[pairs % size] * _STEP
+        keys = np.concatenate([mix64(k) & ~np.uint64(3) | kind for k, kind in zip(kinds, (WORD, HISTORY, PAIR))])
+        self.order = np.argsort(keys, kind="stable")
+        self.keys, at = keys[self.order], np.empty(len(keys), np.int64)
+        at[self.order] = np.arange(len(keys))  # place of a key in the questions
+        self.at = at[: len(words)], at[len(words) : 2 * len(words) + 1], at[2 * len(words) + 1 :]
+
+    def asked(self) -> np.ndarray:
+        """For every token the places of its word, history and pair."""
+        return np.stack([self.at[0][self.word], self.at[1][self.history], self.at[2][self.pair]])
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The batch's own counts of its keys, in all documents and in target documents."""
+        places, of_target = self.asked(), self.target[self.owner]
+        return tuple(np.bincount(p.ravel(), minlength=len(self.keys)) for p in (places, places[:, of_target]))
+
+    def means(self, n: np.ndarray, n_target: np.ndarray, whole: int, whole_target: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+        """Mean target and background loss of every document under the counts of all other documents."""
+        places = self.asked()
+        own = np.empty_like(places)
+        for own_row, p in zip(own, places):  # how often the document itself has it
+            _, back, times = np.unique(self.owner * len(self.keys) + p, return_inverse=True, return_counts=True)
+            own_row[:] = times[back]
+        scale = whole_target / max(1, whole)
+
+        def mean(counts, mine, k, total):
+            word, history, pair = (counts[places] - mine) * k
+            loss = -np.log((pair + SMOOTHING * ((word + 1) / (total * k + vocabulary))) / (history + SMOOTHING))
             with np.errstate(invalid="ignore", divide="ignore"):
-                mean = np.where(n[:, None] > 0, sums / n[:, None], np.nan)
-            some = pd.Series(n > 0)
-            cols = {"target_loss": mean[:, 0], "background_loss": mean[:, 1], "score": mean[:, 0] - mean[:, 1]}
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": n} | {k: pd.Series(v).astype(object).where(some, None) for k, v in cols.items()})
-
-    return run
-
-
-# --- all words ---------------------------------------------------------------------------------
-
+                return np.bincount(self.owner, loss, len(self.sizes)) / self.sizes
 
-def _tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every token of some texts: hash of its history, its own hash; and where each text begins. A first word's history is START."""
-    h, at = word_hashes(texts)
-    before = np.concatenate([[np.uint64(START)], h[:-1]]) if len(h) else h
-    before[at[:-1][np.diff(at) > 0]] = START
-    return before, h, at
+        return mean(n_target, own * self.target[self.owner], 1.0, whole_target), mean(n, own, scale, whole)
 
 
-def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return (before ^ ((word << np.uint64(1)) | (word >> np.uint64(63)))).view(np.int64)
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per batch of documents."""
+    number = TaskContext.get().partitionId() << 32
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        for s in in_chunks(texts, BATCH_CHARS):
+            h, at = word_hashes(texts[s])
+            words, tokens = np.unique(h, return_inverse=True)
+            n = len(at) - 1
+            lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), b.column(c).slice(s.start, n)) for c in ("doc_id", "target")]
+            sizes = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(np.diff(at), pa.int64()))
+            kind = "<u2" if len(words) <= 65536 else "<u4"
+            yield pa.RecordBatch.from_arrays([pa.array([number]), *lists, sizes, pa.array([tokens.astype(kind).tobytes()]), pa.array([words.astype("<u8").tobytes()])], ["batch", "doc_id", "target", "size", "tokens", "words"])
+            number += 1
 
 
-def _pair_column() -> Column:
-    """_pair() of the columns a and b."""
-    b = F.col("b")
-    return F.col("a").bitwiseXOR(F.shiftleft(b, 1).bitwiseOR(F.shiftrightunsigned(b, 63)))
+def _restored(row: dict) -> Batch:
+    words = np.frombuffer(row["words"], "<u8")
+    tokens = np.frombuffer(row["tokens"], "<u2" if len(words) <= 65536 else "<u4")
+    return Batch(np.array(row["size"], np.int64), np.array(row["target"], bool), tokens, words)
 
 
-def _keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One 64-bit number a text, equal for equal sequences of words."""
-    place = np.arange(len(h), dtype=np.uint64) - np.repeat(at[:-1], np.diff(at)).astype(np.uint64)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(h ^ mix64(place + np.uint64(1))), dtype=np.uint64)])
-    return mix64(sums[at[1:]] - sums[at[:-1]]).view(np.int64)
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(len(b)):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def _ask(ranges: int):
+    """A row per batch and key range: the keys in ascending order and the batch's counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = np.uint64((1 << 64) // ranges + 1)
+        for row in _rows(batches):
+            batch = _restored(row)
+            n, n_target = batch.counts()
+            found, first = np.unique(batch.keys // width, return_index=True)
+            cuts = [*first.tolist(), len(batch.keys)]
+            spans = list(zip(cuts[:-1], cuts[1:]))
+            yield pa.RecordBatch.from_pydict({
+                "range": found.astype(np.int32), "batch": np.full(len(found), row["batch"]), "keys": [batch.keys[a:b].astype("<u8").tobytes() for a, b in spans],
+                "n": [pack_counts(n[a:b]) for a, b in spans], "n_target": [pack_counts(n_target[a:b]) for a, b in spans],
+            })
 
+    return run
 
-def _sums(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """First position of every distinct key, and the columns' sums over it."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return order[starts], *(np.add.reduceat(c[order].astype(np.int64), starts) if len(k) else c.astype(np.int64) for c in columns)
 
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of range. All batches' counts of a range's keys are added up and returned to every batch; distinct words and tokens are counted once a range."""
+    held: list[dict] = []
+
+    def settle() -> pa.RecordBatch:
+        keys = [np.frombuffer(r["keys"], "<u8") for r in held]
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = []
+        for c in ("n", "n_target"):
+            each = np.concatenate([unpack_counts(r[c], len(k)) for r, k in zip(held, keys)])
+            total = np.zeros(len(distinct), np.int64)
+            np.add.at(total, place, each)
+            sums.append(total)
+        word = distinct & np.uint64(3) == WORD
+        cuts = np.cumsum([0, *map(len, keys)])
+        own = [[x[place[a:b]] for a, b in zip(cuts[:-1], cuts[1:])] for x in sums]
+        once = lambda v: [int(v), *[0] * (len(held) - 1)]
+        return pa.RecordBatch.from_pydict({
+            "batch": [r["batch"] for r in held], "range": pa.array([r["range"] for r in held], pa.int32()), "n": [pack_counts(x) for x in own[0]], "n_target": [pack_counts(x) for x in own[1]],
+            "words": once(word.sum()), "tokens": once(sums[0][word].sum()), "target_tokens": once(sums[1][word].sum()),
+        })
 
-def _gathered(batches: Iterator[pa.RecordBatch], limit: int = 8_000_000) -> Iterator[tuple[np.ndarray, ...]]:
-    """Tokens of about limit characters at a time: history, word, whether a target's, whether a text's last."""
-    held, chars = [], 0
-    for b in batches:
-        texts, target = b.column("text").to_pylist(), b.column("target").to_numpy(zero_copy_only=False)
-        for part in in_chunks(texts):
-            before, h, at = _tokens(texts[part])
-            last = np.zeros(len(h), bool)
-            last[at[1:][np.diff(at) > 0] - 1] = True
-            held.append((before, h, np.repeat(target[part], np.diff(at)), last))
-            chars += sum(len(t or "") for t in texts[part])
-        if chars >= limit:
-            yield tuple(np.concatenate(x) for x in zip(*held))
-            held, chars = [], 0
+    for row in _rows(batches):
+        if held and held[0]["range"] != row["range"]:
+            yield settle()
+            held = []
+        held.append(row)
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held))
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for before, h, target, last in _gathered(batches):
-        first, n, nt, followed, followed_t = _sums(h, np.ones(len(h), bool), target, ~last, ~last & target)
-        new = before == START
-        yield pa.RecordBatch.from_pydict({
-            "word": np.concatenate([h[first].view(np.int64), [START]]), "n": np.concatenate([n, [0]]), "n_target": np.concatenate([nt, [0]]),
-            "followed": np.concatenate([followed, [new.sum()]]), "followed_target": np.concatenate([followed_t, [(new & target).sum()]]),
-        })
+        yield settle()
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for before, h, target, _ in _gathered(batches):
-        first, n, nt = _sums(_pair(before, h), np.ones(len(h), bool), target)
-        yield pa.RecordBatch.from_pydict({"a": before[first].view(np.int64), "b": h[first].view(np.int64), "n": n, "n_target": nt})
+def _finish(ranges: int, whole: int, whole_target: int, vocabulary: int):
+    """Rows in order of batch, the documents (range -1) before the answers."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs: dict | None = None
+        answers: list[dict] = []
+        kind = None
 
-def _document_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = b.column("text").to_pylist()
-        for part in in_chunks(texts):
-            before, h, at = _tokens(texts[part])
-            pair, owner = _pair(before, h), np.repeat(np.arange(len(at) - 1), np.diff(at))
-            order = np.lexsort((pair, owner))
-            pair, owner = pair[order], owner[order]
-            new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])])) if len(pair) else np.zeros(0, np.int64)
-            times = np.diff(np.concatenate([new, [len(pair)]]))
-            yield pa.RecordBatch.from_pydict({"key": _keys(h, at)[owner[new]], "pair": pair[new], "times": times.astype(np.int32)})
+        def settle() -> pa.RecordBatch:
+            batch, width = _restored(docs), np.uint64((1 << 64) // ranges + 1)
+            lengths = np.unique(batch.keys // width, return_counts=True)[1]
+            if len(lengths) != len(answers):
+                raise RuntimeError("a batch of documents and its answers differ")
+            n, n_target = (np.concatenate([np.zeros(0, np.int64), *(unpack_counts(a[c], k) for a, k in zip(answers, lengths))]) for c in ("n", "n_target"))
+            target, background = batch.means(n, n_target, whole, whole_target, vocabulary)
+            none = batch.sizes == 0
+            columns = [pa.array(docs["doc_id"], kind), pa.array(batch.sizes), *(pa.array(x, pa.float64(), mask=none) for x in (target, background, target - background))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
+        for b in batches:
+            kind = b.schema.field("doc_id").type.value_type
+            for row in _rows([b]):
+                if row["range"] == -1:
+                    if docs is not None:
+                        yield settle()
+                    docs, answers = row, []
+                else:
+                    answers.append(row)
+        if docs is not None:
+            yield settle()
 
-def _document_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = b.column("text").to_pylist()
-        for part in in_chunks(texts):
-            _, h, at = _tokens(texts[part])
-            n = np.diff(at)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id")[part.start : part.stop], pa.array(_keys(h, at), mask=n == 0), pa.array(n.astype(np.int64))], ["doc_id", "key", "n_tokens"])
-
-
-def sparse_model(docs: DataFrame, target_ids: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
-    """pair, target_loss, background_loss of every pair of words that occurs."""
-    marked = _marked(docs, target_ids)
-    words = marked.mapInArrow(_count_words, "word long, n long, n_target long, followed long, followed_target long")
-    words = materialise(words.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "n_target", "followed", "followed_target"))), "words")
-    whole, target, size = words.agg(F.sum("n"), F.sum("n_target"), F.count_if(F.col("n") > 0)).first()
-    whole, target, size = whole or 0, target or 0, size + 1
-    scale = target / max(1, whole)
-    pairs = marked.mapInArrow(_count_pairs, "a long, b long, n long, n_target long")
-    pairs = pairs.repartition("b").groupBy("b", "a").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    rated = pairs.join(words.select(F.col("word").alias("b"), F.col("n").alias("u"), F.col("n_target").alias("u_target")), "b")
-    rated = rated.select("a", _pair_column().alias("pair"), "n", "n_target", "u", "u_target").join(words.select(F.col("word").alias("a"), "followed", "followed_target"), "a")
-    loss = lambda n, u, followed, k, total: -F.log((F.col(n) * k + smoothing * ((F.col(u) * k + 1) / (total * k + size))) / (F.col(followed) * k + smoothing))
-    return rated.select("pair", loss("n_target", "u_target", "followed_target", 1.0, target).alias("target_loss"), loss("n", "u", "followed", scale, whole).alias("background_loss"))
-
-
-def score_with_all_words(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """score_documents() with every word in the vocabulary. Equal sequences of words are summed together, as their means are equal."""
-    model = sparse_model(docs, target_ids)
-    found = docs.select("text").mapInArrow(_document_pairs, "key long, pair long, times int").join(model, "pair")
-    mean = lambda c: (F.sum(F.col(c) * F.col("times")) / F.sum("times")).alias(c)
-    means = found.groupBy("key").agg(mean("target_loss"), mean("background_loss"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.mapInArrow(_document_keys, f"doc_id {kind}, key long, n_tokens long")
-    return keyed.join(means, "key", "left").select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
+    return run
 
 
-def score_documents(docs: DataFrame, target_ids: DataFrame, size: int | None = VOCABULARY) -> DataFrame:
+def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, target_loss, background_loss, score (their difference).
 
-    target_ids: doc_ids of the target documents, which count in the background too. Words are A-Z
-    lower-cased and split at the six white-space characters. Null and empty texts have no tokens and null
-    losses. Without target documents both models are near uniform or the background's own; scores remain defined.
-    Extra columns have no effect. size: words of the vocabulary besides the unknown one; None for all.
+    target_ids: doc_ids of the target documents, which count in the background too; null ones are left out. Words are
+    A-Z lower-cased and split at the six white-space characters. Each row is a document of its own, also where
+    doc_ids or texts repeat or doc_ids are null: a copy counts for its fellow. Null and empty texts have no tokens and
+    null losses. Without target documents the target model is uniform over the vocabulary. An empty table
+    gives an empty result. Extra columns have no effect.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    if size is None:
-        return score_with_all_words(docs, target_ids)
-    words = vocabulary(docs, size)
-    counts = materialise(pair_counts(docs, target_ids, words), "pairs")
-    shared = spark.sparkContext.broadcast(models(counts, len(words) + 1))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(_score(words, shared), f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    packed = _marked(docs, target_ids).mapInArrow(_pack, f"batch long, doc_id array<{kind}>, target array<boolean>, size array<long>, tokens binary, words binary")
+    packed = materialise(packed, "batches")
+    tokens = packed.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    n = partitions(spark)
+    ranges = max(n, -(-tokens // PART_TOKENS))
+    asked = packed.select("batch", "target", "size", "tokens", "words").mapInArrow(_ask(ranges), "range int, batch long, keys binary, n binary, n_target binary")
+    asked = asked.repartition(n if ranges == n else min(ranges, 100 * n), "range").sortWithinPartitions("range", "batch")
+    answers = materialise(asked.mapInArrow(_answer, "batch long, range int, n binary, n_target binary, words long, tokens long, target_tokens long"), "answers")
+    known = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "target_tokens", "words"))).first()
+    empty = lambda like, *names: [F.lit(None).cast(like.schema[c].dataType).alias(c) for c in names]
+    rows = packed.select("batch", F.lit(-1).alias("range"), "doc_id", "target", "size", "tokens", "words", *empty(answers, "n", "n_target"))
+    rows = rows.unionByName(answers.select("batch", "range", "n", "n_target", *empty(packed, "doc_id", "target", "size", "tokens", "words")))
+    rows = rows.repartition(n, "batch").sortWithinPartitions("batch", "range")
+    return rows.mapInArrow(_finish(ranges, *known), f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")

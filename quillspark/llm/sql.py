@@ -45,19 +45,22 @@ NEAR_DUPLICATES = r"""
     SELECT c.doc_id, coalesce(n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON c.doc_id = n.doc_id"""
 
 
-def lm_scores(size: int, smoothing: float) -> str:
+def lm_scores(smoothing: float) -> str:
     return rf"""
     WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-    t AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM w),
-    v AS MATERIALIZED (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS id FROM t GROUP BY word QUALIFY id <= {size}),
-    i AS (SELECT doc_id, pos, coalesce(id, 0) AS b FROM t LEFT JOIN v USING (word)),
-    p AS MATERIALIZED (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS a, b FROM i),
-    g AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
-    c AS MATERIALIZED (SELECT a, b, count(*)::DOUBLE AS nb, count(g.doc_id)::DOUBLE AS nt FROM p LEFT JOIN g ON p.doc_id = g.doc_id GROUP BY a, b),
-    z AS (SELECT sum(nt) AS t, sum(nt) / sum(nb) AS scale, 1 + (SELECT count(*) FROM v) AS size FROM c),
-    u AS (SELECT b, sum(nb) * any_value(scale) AS ub, sum(nt) AS ut FROM c, z GROUP BY b),
-    h AS (SELECT a, sum(nb) * any_value(scale) AS hb, sum(nt) AS ht FROM c, z GROUP BY a),
-    l AS MATERIALIZED (SELECT a, b, -ln((nt + {smoothing} * ((ut + 1) / (t + size))) / (ht + {smoothing})) AS lt, -ln((nb * scale + {smoothing} * ((ub + 1) / (nb_whole + size))) / (hb + {smoothing})) AS lb
-        FROM (SELECT *, (SELECT sum(nb) FROM c) * scale AS nb_whole FROM c, z) JOIN u USING (b) JOIN h USING (a)),
-    s AS (SELECT doc_id, count(*) AS n, avg(lt) AS lt, avg(lb) AS lb FROM p JOIN l USING (a, b) GROUP BY doc_id)
+    g AS (SELECT DISTINCT doc_id, 1 AS good FROM labels WHERE quality = 1),
+    t AS MATERIALIZED (SELECT doc_id, coalesce(good, 0) AS good, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS b FROM w LEFT JOIN g USING (doc_id)),
+    p AS MATERIALIZED (SELECT doc_id, good, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY pos), '') AS a, b FROM t),
+    d AS MATERIALIZED (SELECT doc_id, good, a, b, count(*) AS times FROM p GROUP BY ALL),
+    du AS (SELECT doc_id, b, sum(times) AS own FROM d GROUP BY ALL),
+    dh AS (SELECT doc_id, a, sum(times) AS own FROM d GROUP BY ALL),
+    c AS MATERIALIZED (SELECT a, b, sum(times) AS n, sum(times * good) AS nt FROM d GROUP BY a, b),
+    u AS (SELECT b, sum(n) AS n, sum(nt) AS nt FROM c GROUP BY b),
+    h AS (SELECT a, sum(n) AS n, sum(nt) AS nt FROM c GROUP BY a),
+    z AS (SELECT sum(n)::DOUBLE AS whole, sum(nt)::DOUBLE AS target, sum(nt)::DOUBLE / sum(n) AS scale, count(*)::DOUBLE AS size FROM u),
+    l AS (SELECT doc_id, times,
+        -ln((c.nt - times * good + {smoothing} * ((u.nt - du.own * good + 1) / (target + size))) / (h.nt - dh.own * good + {smoothing})) AS lt,
+        -ln(((c.n - times) * scale + {smoothing} * (((u.n - du.own) * scale + 1) / (whole * scale + size))) / ((h.n - dh.own) * scale + {smoothing})) AS lb
+        FROM d JOIN c USING (a, b) JOIN u USING (b) JOIN h USING (a) JOIN du USING (doc_id, b) JOIN dh USING (doc_id, a), z),
+    s AS (SELECT doc_id, sum(times)::BIGINT AS n, sum(lt * times) / sum(times) AS lt, sum(lb * times) / sum(times) AS lb FROM l GROUP BY doc_id)
     SELECT d.doc_id, coalesce(n, 0) AS n_tokens, round_even(lt, 8) AS target_loss, round_even(lb, 8) AS background_loss, round_even(lt - lb, 8) AS score FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id"""

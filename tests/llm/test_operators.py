@@ -305,68 +305,49 @@ def test_shingle_hashes_count_shingles(texts):
 # --- 9 -----------------------------------------------------------------------------------------
 
 
-def test_lm_scores_equal_brute_force(spark, sf):
+def lm_brute_force(rows, target):
+    """(n_tokens, target loss, background loss) of each (doc_id, text) row under the counts of all other rows."""
     from collections import Counter
     from math import log
 
-    d = spark.read.parquet(f"{sf}/documents.parquet")
-    good = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1")
-    got = {r["doc_id"]: r for r in lm_scoring.score_documents(d, good, 50).collect()}
-    texts = {r["doc_id"]: brute.WORD.findall((r["text"] or "").translate(brute.LOWER)) for r in d.collect()}
-    target = {r["doc_id"] for r in good.collect()}
-    counts = Counter(w for ws in texts.values() for w in ws)
-    known = {w: i + 1 for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:50])}
-    size = len(known) + 1
-    ids = {k: [known.get(w, 0) for w in ws] for k, ws in texts.items()}
-
-    def model(keys, scale):
-        pair = Counter(p for k in keys for p in zip([0, *ids[k][:-1]], ids[k]))
-        word, history = Counter(), Counter()
-        for (a, b), n in pair.items():
-            word[b] += n * scale
-            history[a] += n * scale
-        whole = sum(word.values())
-        p1 = [(word[b] + 1) / (whole + size) for b in range(size)]
-        return lambda a, b: -log((pair[a, b] * scale + 64 * p1[b]) / (history[a] + 64))
-
-    nt, nb = sum(len(ids[k]) for k in ids if k in target), sum(map(len, ids.values()))
-    t, b = model([k for k in ids if k in target], 1.0), model(ids, nt / nb)
-    for k, x in ids.items():
-        if not x:
-            assert got[k]["score"] is None
-            continue
-        steps = list(zip([0, *x[:-1]], x))
-        want = sum(t(*s) for s in steps) / len(x), sum(b(*s) for s in steps) / len(x)
-        assert got[k]["n_tokens"] == len(x) and abs(got[k]["target_loss"] - want[0]) < 1e-4 and abs(got[k]["background_loss"] - want[1]) < 1e-4
-
-
-def test_lm_scores_of_hard_tables(spark):
-    d = docs(spark, HARD)
-    out = lm_scoring.score_documents(d, d.where("doc_id = 6"), 20).collect()
-    assert len(out) == len(HARD) and all((r["score"] is None) == (r["n_tokens"] == 0) for r in out)
-    assert lm_scoring.score_documents(d, d.where("false"), 20).count() == len(HARD)
-    assert lm_scoring.score_documents(d.where("false"), d, 20).count() == 0
-
-
-def test_lm_scores_of_all_words_tell_rare_words_apart(spark):
-    rows = [(i, "one two three") for i in range(1200)] + [(2000, "rare words here"), (2001, "other things there")]
+    said = [brute.WORD.findall((t or "").translate(brute.LOWER)) for _, t in rows]
+    good = [d in target for d, _ in rows]
+    count = lambda ws: (Counter(zip(["", *ws[:-1]], ws)), Counter(ws), Counter(["", *ws[:-1]]) if ws else Counter())
+    each = [count(ws) for ws in said]
+    both = [[sum((e[k] for e, g in zip(each, good) if g or not of_target), Counter()) for k in range(3)] for of_target in (True, False)]
+    whole, size = [sum(x[1].values()) for x in both], len(both[1][1])
+    out = []
+    for ws, own, g in zip(said, each, good):
+        losses = []
+        for x, total, scale, mine in ((both[0], whole[0], 1.0, g), (both[1], whole[1], whole[0] / max(1, whole[1]), True)):
+            pair, word, history = ([(c[w] - mine * o[w]) * scale for w in keys] for c, o, keys in zip(x, own, (list(zip(["", *ws[:-1]], ws)), ws, ["", *ws[:-1]])))
+            losses.append(sum(-log((p + 64 * ((u + 1) / (total * scale + size))) / (h + 64)) for p, u, h in zip(pair, word, history)) / len(ws) if ws else None)
+        out.append((len(ws), *losses))
+    return out
+
+
+@pytest.mark.parametrize("chars", [2_000_000, 60_000])
+def test_lm_scores_equal_brute_force(spark, sf, monkeypatch, chars):
+    monkeypatch.setattr(lm_scoring, "BATCH_CHARS", chars)
+    monkeypatch.setattr(lm_scoring, "PART_TOKENS", chars // 10)
+    rows = [*HARD, (6, "b b c"), (None, "c b"), (500, "g " * 300 + "a b"), (501, "g " * 290), *((1000 + i, r["text"]) for i, r in enumerate(spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()))]
+    d = docs(spark, rows).repartition(3)
+    for target in ({6, 500, *range(1000, 1030)}, set()):
+        ids = spark.createDataFrame([(i,) for i in (*target, None, 77, *target)], "doc_id long")
+        got = lm_scoring.score_documents(d, ids).collect()
+        want = lm_brute_force(rows, target)
+        shown = lambda d, n, *x: repr((d, n, *(v if v is None else round(v, 6) + 0.0 for v in x)))
+        assert sorted(shown(*r[:4]) for r in got) == sorted(shown(d, *w) for (d, _), w in zip(rows, want))
+        assert all((r["score"] is None) == (r["n_tokens"] == 0) for r in got)
+    assert lm_scoring.score_documents(d.where("false"), ids).count() == 0
+
+
+def test_lm_scores_tell_rare_words_apart(spark):
+    rows = [(i, "one two three") for i in range(1200)] + [(2000, "rare words here"), (2002, "rare words here"), (2001, "other things there")]
     rows += [(3000 + i, f"w{i} " * 3) for i in range(1100)]
     d = docs(spark, rows)
-    out = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(d, d.where("doc_id = 2000"), None).collect()}
-    assert len(out) == len(rows) and out[2000] < out[2001]
-    capped = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(d, d.where("doc_id = 2000"), 3).collect()}
-    assert capped[2000] == capped[2001]
-
-
-def test_lm_scores_of_all_words_equal_those_of_a_vocabulary_that_holds_all(spark):
-    d = docs(spark, [*HARD, (6, "b b c"), (None, "c b")])
-    for target in (d.where("doc_id = 6"), d.where("false")):
-        key = lambda r: (r["doc_id"] or -1, r["n_tokens"], r["target_loss"] or 0)
-        got, want = (sorted(lm_scoring.score_documents(d, target, n).collect(), key=key) for n in (None, 100))
-        assert len(got) == len(want) == len(HARD) + 2
-        for g, w in zip(got, want):
-            assert g[:2] == w[:2] and g[2:] == (pytest.approx(w[2:], abs=1e-9) if w["n_tokens"] else w[2:])
-    assert lm_scoring.score_documents(d.where("false"), d, None).count() == 0
+    out = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(d, d.where("doc_id = 2000")).collect()}
+    assert len(out) == len(rows) and out[2002] < out[2001] < out[0]
 
 
 # --- 10 ----------------------------------------------------------------------------------------
