@@ -54,13 +54,26 @@ def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"page_id": pages["page_id"], "host": pages["host"], "path": pages["path"], "rule": rule, "verdict": verdict})
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default: str = "allow", partitions: int | None = None) -> DataFrame:
+def _copies(lows: list[str], highs: list[str], parts: list[int]):
+    """Each rule once for every partition that its interval of keys meets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            meets = [parts[bisect_left(highs, k) : bisect_right(lows, k + "\U0010ffff")] for k in b["key"]]
+            yield b.assign(part=meets).explode("part").dropna(subset="part").astype({"part": "int32"})[["part", "key", "path", "rule", "verdict"]]
+
+    return run
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str]], default: str = "allow", partitions: int | None = None) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule (host + path of the winner, else null), verdict.
 
-    rules: (host, path, verdict) triples. A rule fits its host and all subdomains where the url's path
+    rules: (host, path, verdict) rows, as a table of any length or a list. A rule fits its host and all subdomains where the url's path
     starts with the rule's path; of those that fit, the longest host + path wins, on equal length the
-    one later in order. A url with an empty path therefore fits no rule whose path is `/`. Null urls and
-    urls without `://` have empty host and path. Repeated rows stay; extra columns have no effect.
+    one later in order, of rules repeated with other verdicts the greatest verdict. Rules with a null host or path fit nothing. A url with an
+    empty path therefore fits no rule whose path is `/`. Null urls and
+    urls without `://` have empty host and path. Repeated rows stay; extra columns have no effect; an empty
+    table of pages gives an empty result, one of rules the default for every page.
     """
     spark = pages.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -68,16 +81,16 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default:
     dealt = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path")).withColumn("key", host_key(F.col("host")))
     dealt = materialise(dealt.repartitionByRange(n, "key", "page_id").withColumn("part", F.spark_partition_id()), "urls")
     bounds = sorted(tuple(r) for r in dealt.groupBy("part").agg(F.min("key"), F.max("key")).collect())  # one row per partition, in key order
-    lows, highs = [x[1] for x in bounds], [x[2] for x in bounds]
-    held = []
-    for host, path, verdict in rules:
-        key = SEP.join(reversed(host.split("."))) + SEP
-        meets = range(bisect_left(highs, key), bisect_right(lows, key + "\U0010ffff"))  # the partitions that the rule's interval meets
-        held += [(bounds[i][0], key, path, host + path, verdict) for i in meets]
-    schema = "part int, key string, path string, rule string, verdict string"
-    rows = dealt.select("part", "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
-    if held:
-        rows = rows.unionByName(spark.createDataFrame(held, schema).select("part", "key", F.lit(0).alias("kind"), F.lit(None).cast(dealt.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("host"), "path", "rule", "verdict"))
+    parts, lows, highs = ([x[i] for x in bounds] for i in range(3))
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    held = rules.where("host is not null and path is not null").select(host_key(F.col("host")).alias("key"), "path", F.concat("host", "path").alias("rule"), "verdict")
+    held = held.groupBy("key", "path", "rule").agg(F.max("verdict").alias("verdict"))
+    held = held.select("key", "path", "rule", "verdict").mapInPandas(_copies(lows, highs, parts), "part int, key string, path string, rule string, verdict string")
+    nothing = lambda c, kind="string": F.lit(None).cast(kind).alias(c)
     kind = dealt.schema["page_id"].dataType.simpleString()
-    swept = rows.repartition(n, "part").sortWithinPartitions("part", "key", "kind", F.length("path")).mapInPandas(sweep, f"page_id {kind}, host string, path string, rule string, verdict string")
+    rows = dealt.select("part", "key", F.lit(1).alias("kind"), "page_id", "host", "path", nothing("rule"), nothing("verdict"))
+    rows = rows.unionByName(held.select("part", "key", F.lit(0).alias("kind"), nothing("page_id", kind), nothing("host"), "path", "rule", "verdict"))
+    rows = rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "key", "kind", F.length("path"))
+    swept = rows.mapInPandas(sweep, f"page_id {kind}, host string, path string, rule string, verdict string")
     return swept.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
