@@ -8,6 +8,9 @@ are the targets on every margin. The draw compares the probability with a hash o
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +19,7 @@ from .common import materialise, text_or_empty
 
 MARGINS = ("source", "lang", "topic")
 SWEEPS, PER_JOB = 20, 5
+TOLERANCE = 1e-3  #: residual of a margin above which rake() warns
 
 
 def n_words(text: str = "text") -> Column:
@@ -34,16 +38,38 @@ def tempered(cells: DataFrame, margin: str, temperature: float) -> DataFrame:
     """Targets of a margin: token shares to the power temperature, scaled to sum to 1."""
     shares = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("t"))
     powered = shares.select(margin, F.pow("t", F.lit(temperature)).alias("target"))
-    return powered.crossJoin(powered.agg(F.sum("target").alias("whole"))).select(margin, F.try_divide("target", "whole").alias(f"{margin}_target"))
+    whole = powered.agg(F.sum("target")).first()[0]
+    return powered.select(margin, F.try_divide("target", F.lit(whole).cast("double")).alias(f"{margin}_target"))
+
+
+def given(cells: DataFrame, margin: str, weights: Mapping[str, float]) -> DataFrame:
+    """Targets of a margin from weights by value, scaled to sum to 1 over the values present; values without a weight get 0."""
+    table = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()] or [(None, 0.0)], f"{margin} string, target double")
+    present = cells.select(margin).distinct().join(table, margin, "left").select(margin, F.coalesce("target", F.lit(0.0)).alias("target"))
+    whole = present.agg(F.sum("target")).first()[0]
+    if not whole and weights:
+        raise ValueError(f"no value of {margin} has a weight")
+    return present.select(margin, F.try_divide("target", F.lit(whole).cast("double")).alias(f"{margin}_target"))
+
+
+def residual(fitted: DataFrame, margins: Sequence[str]) -> float:
+    """The largest difference of a margin's fitted share from its target."""
+    worst = 0.0
+    for m in margins:
+        share = fitted.groupBy(m, f"{m}_target").agg(F.sum("fitted").alias("s"))
+        worst = max(worst, share.agg(F.max(F.abs(F.col("s") - F.col(f"{m}_target")))).first()[0] or 0.0)
+    return worst
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells with `fitted`: weights whose sums over each margin are the margin's targets (they total 1).
 
-    targets: for each margin column a DataFrame (margin, <margin>_target). Cells without tokens stay at 0.
+    targets: for each margin column a DataFrame (margin, <margin>_target); a value without one has the target 0. Cells without
+    tokens stay at 0. Targets that no weights of the present cells can meet, or that so many sweeps don't bring within tolerance, are
+    met as nearly as the last sweep does, with a warning that names the residual.
     """
     for m, t in targets.items():
-        cells = cells.join(t, m)
+        cells = cells.join(t, m, "left").withColumn(f"{m}_target", F.coalesce(f"{m}_target", F.lit(0.0)))
     cells = materialise(cells.withColumn("fitted", F.col("tokens").cast("double")), "cells")
     for s in range(sweeps):
         for m in targets:
@@ -51,6 +77,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
             cells = cells.withColumn("fitted", F.when(whole > 0, F.col("fitted") * F.col(f"{m}_target") / whole).otherwise(0.0))
         if (s + 1) % PER_JOB == 0 or s + 1 == sweeps:
             cells = materialise(cells, "cells")
+    off = residual(cells, list(targets))
+    if off > tolerance and cells.where("tokens > 0").count():
+        warnings.warn(f"margins are off their targets by up to {off:.2g} after {sweeps} sweeps", stacklevel=2)
     return cells
 
 
@@ -59,10 +88,11 @@ def draw(seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, temperature: float = 0.8, sweeps: int = SWEEPS, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, temperature: float = 0.8, sweeps: int = SWEEPS, seed: str = "mix", targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
     """Every row of docs: doc_id, source, lang, topic, n_tokens, probability, kept.
 
-    Tokens are white-space words. Targets are the tempered token shares of source, language and topic.
+    Tokens are white-space words. targets: weights by value for any of the margins source, lang and topic; values without a
+    weight are left out of the mix. Targets of the other margins are the tempered token shares.
     Null sources and languages are a value of their own, written as the empty string. Rows without
     words have probability 1 where their cell has no tokens, else their cell's. Rows with the same doc_id
     and cell share their fate. An empty table gives an empty result. Of extra columns only `topic` has an
@@ -73,14 +103,15 @@ def mix(docs: DataFrame, temperature: float = 0.8, sweeps: int = SWEEPS, seed: s
     rows = rows.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), topic.alias("topic"), F.col("__n").alias("n_tokens"))
     rows = materialise(rows, "rows")  # numbers and labels only
     cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
-    fitted = rake(cells, {m: tempered(cells, m, temperature) for m in MARGINS}, sweeps)
+    wanted = targets or {}
+    fitted = rake(cells, {m: given(cells, m, wanted[m]) if m in wanted else tempered(cells, m, temperature) for m in MARGINS}, sweeps)
     factors = fitted.select(*MARGINS, F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).alias("factor"))
-    top = factors.agg(F.max("factor").alias("top"))
-    chances = factors.crossJoin(top).select(*MARGINS, F.coalesce(F.bround(F.try_divide("factor", "top"), 9), F.lit(1.0)).alias("probability"))
+    top = factors.agg(F.max("factor")).first()[0]
+    chances = factors.select(*MARGINS, F.coalesce(F.bround(F.try_divide("factor", F.lit(top).cast("double")), 9), F.lit(1.0)).alias("probability"))
     return rows.join(chances, list(MARGINS)).withColumn("kept", draw(seed) < F.col("probability"))
 
 
-def sample(docs: DataFrame, temperature: float = 0.8, sweeps: int = SWEEPS, seed: str = "mix") -> DataFrame:
+def sample(docs: DataFrame, temperature: float = 0.8, sweeps: int = SWEEPS, seed: str = "mix", targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
     """The rows of docs, all columns, that mix() keeps."""
-    kept = mix(docs, temperature, sweeps, seed).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = mix(docs, temperature, sweeps, seed, targets).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
