@@ -15,9 +15,11 @@ and runs of single letters are also read as one word.
 
 from __future__ import annotations
 
-import multiprocessing
+import os
 import pickle
 import re
+import subprocess
+import sys
 import unicodedata
 from array import array
 from collections import Counter
@@ -41,7 +43,7 @@ LANDMARKS, BACKGROUND = 160, 64
 TELLING = 5.0  #: standard errors by which a word's share of toxic sentences exceeds its share of clean ones
 RARER = 0.2  #: share of clean sentences over share of toxic ones that a witness may have
 BENT = 0.5  #: cost of a bent witness in costs of the witness
-SPREAD, HARD = 8_000, 8_000  #: clean words that a fit sees: some of all, and those that score highest
+SPREAD, HARD = 8_000, 8_000  #: defaults of fit(): clean words of the sample that a turn sees, some of all and those that score highest
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s+|$)")
 _SPELLED = re.compile(r"(?<!\S)[^\W\d_](?:[\s.\-_*]+[^\W\d_]){2,}(?!\S)")
 _PARTS = re.compile(r"[^\W\d_]+")
@@ -200,14 +202,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> tuple[float, float
 
 
 def bent(word: str, rng: np.random.Generator) -> list[str]:
-    """The word with a letter put in, one doubled and, where it is long, one left out."""
+    """The word with a letter put in, one and two doubled and, where it is long, one left out."""
     at = rng.integers(1, len(word), 4)
     more = [word[:i] + chr(97 + rng.integers(26)) + word[i:] for i in at[:2]] + [word[: at[2]] + word[at[2] - 1] + word[at[2] :]]
+    i, j = np.sort(rng.choice(np.arange(1, len(word) + 1), 2, replace=False))
+    more.append(word[:i] + word[i - 1] + word[i:j] + word[j - 1] + word[j:])
     return more + [word[: at[3]] + word[at[3] + 1 :]] * (len(word) > 5)
 
 
-def fit(texts: Sequence[str], labels: Sequence[int], shares: tuple[float, float] = (1.0, 1.0), turns: int = 4) -> Model:
-    """shares: how many documents each sampled clean and toxic one stands for."""
+def fit(texts: Sequence[str], labels: Sequence[int], shares: tuple[float, float] = (1.0, 1.0), turns: int = 4, spread: int = SPREAD, hard: int = HARD) -> Model:
+    """shares: how many documents each sampled clean and toxic one stands for.
+
+    spread, hard: how many of the sample's distinct clean words a turn of the machine sees, drawn from all and taken from those that
+    score highest; every other clean word is still scored in each turn and enters once it is among the highest. Words bound
+    the memory of the fit together with the sample's size.
+    """
     y = np.asarray(labels)
     if len(set(labels)) < 2:  # nothing to tell apart: everything scores its one label
         return Model(np.zeros(ALPHABET**LENGTH), 0.0, 0.0, 30.0 if len(y) and y[0] else -30.0)
@@ -243,7 +252,7 @@ def fit(texts: Sequence[str], labels: Sequence[int], shares: tuple[float, float]
     rare = p0 <= RARER * p1  # witnesses are words that clean sentences hardly have
     score, floor = lift, TELLING
     present = np.flatnonzero(seen[0])
-    spread = np.random.default_rng(0).permutation(present)[:SPREAD]
+    seen_always = np.random.default_rng(0).permutation(present)[:spread]
     before = None
     for _ in range(turns):
         # positive sentences of a toxic document: the best one, and all with a telling word
@@ -256,8 +265,7 @@ def fit(texts: Sequence[str], labels: Sequence[int], shares: tuple[float, float]
         if positive == before:
             break
         before, floor = positive, 0.0
-        hard = present[np.argsort(-score[present], kind="stable")[:HARD]]
-        negative = np.union1d(spread, hard)
+        negative = np.union1d(seen_always, present[np.argsort(-score[present], kind="stable")[:hard]])
         index = np.concatenate([np.fromiter(positive, np.int64, len(positive)), negative])
         rng = np.random.default_rng(1)
         more = [(v, n * BENT) for i, n in positive.items() for v in bent(words[i], rng) if v not in numbers]
@@ -317,8 +325,8 @@ def held_out(name: str = "doc_id"):
     return F.crc32(F.encode(F.coalesce(F.col(name).cast("string"), F.lit("")), "UTF-8")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> Model:
-    """Fit on at most so many labelled documents of either class that aren't held out.
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, spread: int = SPREAD, hard: int = HARD) -> Model:
+    """Fit on at most so many labelled documents of either class that aren't held out; spread and hard as in fit().
 
     Null labels are left out; a document with several counts as toxic if one of them is 1; documents
     without a label, and labels without a document, have no part in it.
@@ -329,27 +337,36 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     chosen = [known.where(F.col("toxic") == v).orderBy(*order).limit(n) for v, n in ((0, negatives), (1, positives))]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # bounded by the two parameters
     sample = docs.select("doc_id", "text").join(ids, "doc_id")
-    fitted = sample.repartition(1).mapInPandas(_fit_sample(counts), "model binary").first()  # one task, of a bounded sample
+    fitted = sample.repartition(1).mapInPandas(_fit_sample(counts, spread, hard), "model binary").first()  # one task, of a bounded sample
     return pickle.loads(fitted["model"]) if fitted else fit([], [])
 
 
-def _fit_sample(counts: dict[int, int]):
+def _fit_sample(counts: dict[int, int], spread: int, hard: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = sorted({(d, t or "", y) for b in batches for d, t, y in zip(b["doc_id"], b["text"], b["toxic"])})
         shares = tuple(counts.get(v, 0) / max(1, sum(r[2] == v for r in rows)) for v in (0, 1))
-        # in a process of its own, so that the worker gets its memory back
-        with multiprocessing.get_context("fork").Pool(1) as pool:
-            model = pool.apply(fit, ([r[1] for r in rows], [r[2] for r in rows], shares))
-        yield pd.DataFrame({"model": [pickle.dumps(model)]})
+        job = pickle.dumps(([r[1] for r in rows], [r[2] for r in rows], shares, 4, spread, hard))
+        # An interpreter of its own, started anew, so that the worker, which other tasks use again, doesn't keep the fit's memory.
+        env = os.environ | {"PYTHONPATH": os.pathsep.join(p for p in sys.path if p)}
+        done = subprocess.run([sys.executable, "-c", f"from {__name__} import main; main()"], input=job, stdout=subprocess.PIPE, check=True, env=env)
+        yield pd.DataFrame({"model": [done.stdout]})
 
     return run
 
 
+def main() -> None:
+    """Reads fit()'s arguments, pickled, and writes its model."""
+    model = fit(*pickle.loads(sys.stdin.buffer.read()))
+    sys.stdout.buffer.write(pickle.dumps(model))
+
+
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Empty and null texts score as a document without any word that matters. The text alone is read;
-    extra columns, labels included, have no effect.
+    extra columns, labels included, have no effect. Repeated rows and null ids stay and score as any other; an
+    empty table gives an empty result. Letters outside a to z are one symbol to the kernel and words of fewer than three letters are
+    not read, so insults in other scripts, and two-letter ones, can't be told from other words.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", "text").mapInPandas(_score(model), f"doc_id {kind}, score double, predicted int")
