@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import eights, in_chunks, is_space, materialise, span_hashes
+from .common import eights, in_chunks, is_space, materialise, partitions, span_hashes
 
 MAGIC = b"QDAC1\0\0\0"
 BLOCK = 512
@@ -59,10 +59,9 @@ class Segment:
             raise ValueError("not a token segment")
         n, self.size, levels = map(int, np.frombuffer(blob, "<u8", 3, 8))
         at = 32
-        ids = np.frombuffer(blob, "<i8", n, at)
-        known = np.frombuffer(blob, np.uint8, n, at := at + 8 * n)
-        self.doc_ids = [int(d) if k else None for d, k in zip(ids, known)]
-        self.starts = np.frombuffer(blob, "<u8", n + 1, at := at + n).astype(np.int64)
+        self.ids = np.frombuffer(blob, "<i8", n, at)
+        self.known = np.frombuffer(blob, np.uint8, n, at := at + 8 * n)
+        self.starts = np.frombuffer(blob, "<u8", n + 1, at := at + n)
         at += 8 * (n + 1)
         self.levels = []
         for _ in range(levels):
@@ -74,6 +73,16 @@ class Segment:
             at += 4 * (blocks + 1)
             self.levels.append((chunk, bitmap, directory))
 
+    @property
+    def doc_ids(self) -> list[int | None]:
+        return [int(d) if k else None for d, k in zip(self.ids, self.known)]
+
+    def place(self, doc_id: int) -> int | None:
+        """The first document with the id, which are in ascending order after those without one."""
+        first = len(self.known) - int(self.known.sum())
+        k = first + int(np.searchsorted(self.ids[first:], doc_id))
+        return k if k < len(self.ids) and self.ids[k] == doc_id else None
+
     def __len__(self) -> int:
         return self.size
 
@@ -100,7 +109,7 @@ class Segment:
         return value
 
     def document(self, k: int) -> list[int]:
-        return [self[i] for i in range(self.starts[k], self.starts[k + 1])]
+        return [self[i] for i in range(int(self.starts[k]), int(self.starts[k + 1]))]
 
 
 class Encoder:
@@ -115,7 +124,7 @@ class Encoder:
     added token's string in them, and tokenizers of other kinds go to the library whole.
     """
 
-    def __init__(self, path: str, remembered: int = 1_500_000, special_as_text: bool = False):
+    def __init__(self, path: str, remembered: int = 1_000_000, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -252,7 +261,8 @@ def _segments(path: str, end_id: int, most: int, special_as_text: bool):
         def segment() -> pd.DataFrame:
             counts = [len(x) + 1 for x in ids]
             blob = pack(docs, counts, np.concatenate([y for x in ids for y in (x, end)]))
-            return pd.DataFrame({"shard": [shard], "part": [part], "n_ids": [sum(counts)], "segment": [blob]})
+            known = [d for d in docs if d is not None] or [None]
+            return pd.DataFrame({"shard": [shard], "part": [part], "n_ids": [sum(counts)], "first_doc": pd.array(known[:1], "Int64"), "last_doc": pd.array(known[-1:], "Int64"), "segment": [blob]})
 
         for b in batches:
             texts = ["" if t is None else t for t in b["text"]]
@@ -271,18 +281,42 @@ def _segments(path: str, end_id: int, most: int, special_as_text: bool):
     return write
 
 
-def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, ids_per_segment: int = 1_000_000, special_as_text: bool = False) -> DataFrame:
-    """Write all documents' ids, each followed by end_id, and read the files back: shard, part, n_ids, segment.
+def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, ids_per_segment: int = 200_000, special_as_text: bool = False) -> DataFrame:
+    """Write all documents' ids, each followed by end_id, and read the files back: shard, part, n_ids, first_doc, last_doc, segment.
 
     Segments in (shard, part) order hold the documents in ascending doc_id order (null doc_ids first,
-    equal ones by text). Null texts count as empty and have the end id alone. A text longer than a
+    equal ones by text). They lie in the files as they are, without compression, each in a page of its own, under
+    the range of doc_ids that it holds. Null texts count as empty and have the end id alone. A text longer than a
     segment has one of its own size. An empty table gives an empty store. Extra columns have no effect.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "text")
-    order = ["known", "doc_id", "text"]
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "known", "doc_id").sortWithinPartitions(*order)
-    return materialise(rows.mapInPandas(_segments(tokenizer, end_id, ids_per_segment, special_as_text), "shard int, part int, n_ids long, segment binary"), "tokens")
+    rows = rows.withColumn("start", F.substring("text", 1, 40))  # parts rows that share a doc_id or have none
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), "known", "doc_id", "start").sortWithinPartitions("known", "doc_id", "text").drop("start")
+    packed = rows.mapInPandas(_segments(tokenizer, end_id, ids_per_segment, special_as_text), "shard int, part int, n_ids long, first_doc long, last_doc long, segment binary")
+    return materialise(packed, "tokens", **{"compression": "none", "parquet.page.size": "65536", "parquet.page.row.count.limit": "1"})
+
+
+def token(store: DataFrame, doc_id: int, i: int) -> int | None:
+    """Id number i (from 0) of the document, the end id included; None where there is none.
+
+    The scan keeps the pages of the one or few segments whose range of doc_ids holds the document; of a segment the
+    document's place and one byte, bit and rank a level are read, and no other id is decoded.
+    """
+    near = store.where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id)).select("shard", "part", "segment").mapInPandas(_one(doc_id, i), "shard int, part int, value long")
+    found = near.orderBy("shard", "part").first()
+    return found and found["value"]
+
+
+def _one(doc_id: int, i: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for shard, part, blob in zip(b["shard"], b["part"], b["segment"]):
+                s = Segment(blob)
+                k = s.place(doc_id)
+                if k is not None and 0 <= i < int(s.starts[k + 1]) - int(s.starts[k]):
+                    yield pd.DataFrame({"shard": [shard], "part": [part], "value": [s[int(s.starts[k]) + i]]})
+
+    return run
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -292,7 +326,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids = memoryview(s.all().astype("<u4").tobytes())
             bounds = s.starts.tolist()
             crc = [zlib.crc32(ids[4 * x : 4 * y]) for x, y in zip(bounds[:-1], bounds[1:])]
-            yield pd.DataFrame({"shard": shard, "part": part, "doc_id": pd.array(s.doc_ids, "Int64"), "start": s.starts[:-1], "n_tokens": np.diff(s.starts), "ids_crc32": crc})
+            yield pd.DataFrame({"shard": shard, "part": part, "doc_id": pd.array(s.doc_ids, "Int64"), "start": s.starts[:-1].astype(np.int64), "n_tokens": np.diff(s.starts.astype(np.int64)), "ids_crc32": crc})
 
 
 def document_index(store: DataFrame) -> DataFrame:
