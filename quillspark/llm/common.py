@@ -47,11 +47,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a short lineage that outlives executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,11 +67,17 @@ def join_by_size(rows: DataFrame, sizes: DataFrame, keys: list[str], size: str =
     """rows joined (inner) with sizes, which has one row per key and, in the column `size`, the number of rows that have it.
 
     A key with more than 1/share of the mean partition's rows comes by broadcast; there are at most share * partitions
-    of those whatever the data. All others are shuffled, so no task gets much more than its part.
+    of those whatever the data. The first of the largest keys always does, so the plan is the same for all data. All others are
+    shuffled, so no task gets much more than its part.
     """
     sizes = materialise(sizes, "sizes")
-    most = (sizes.agg(F.sum(size)).first()[0] or 0) / (share * partitions(rows.sparkSession))
-    heavy, light = sizes.where(F.col(size) > most), sizes.where(F.col(size) <= most)
+    known = sizes.agg(F.sum(size), F.max(F.struct(size, *keys))).first()
+    most = (known[0] or 0) / (share * partitions(rows.sparkSession))
+    largest = F.lit(True)
+    for k in keys:
+        largest &= F.col(k).eqNullSafe(F.lit(known[1][k] if known[1] else None))
+    large = (F.col(size) > most) | largest
+    heavy, light = sizes.where(large), sizes.where(~large)
     rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
     return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light, keys))
 
