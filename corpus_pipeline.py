@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import decontamination, mixing, near_dedup, token_store, toxicity
-from quillspark.llm.common import materialise, table
+from quillspark.llm.common import materialise
+from quillspark.llm.queries import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
