@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,21 +46,40 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, rf"{WS}+", " "))
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c worked out once however often use() names it."""
+    return F.transform(F.array(c), use)[0]
+
+
 def clean(c: Column) -> Column:
     """No byte-order marks, plain apostrophes, no white space at the ends, no apostrophes at the end."""
-    c = F.translate(c, APOSTROPHES + "﻿", "'" * len(APOSTROPHES))
-    return strip(F.regexp_replace(strip(c), "'+$", ""))
+    c = F.translate(c, APOSTROPHES + "\ufeff", "'" * len(APOSTROPHES))
+    return _bare(once(_bare(c), lambda t: F.when(t.endswith("'"), F.regexp_replace(t, "'+$", "")).otherwise(t)))
+
+
+def _bare(c: Column) -> Column:
+    """strip(), which looks at the whole text only where one of its ends is white space."""
+    return once(c, lambda t: F.when(F.substring(t, 1, 1).rlike(WS) | F.substring(t, -1, 1).rlike(WS), strip(t)).otherwise(t))
+
+
+def _tokens(nulls: Sequence[str]) -> list[str]:
+    return sorted({t.strip().casefold() for t in nulls} | {"", "nan", "<na>"})
 
 
 def scrub(c: Column, nulls: Sequence[str]) -> Column:
     """Null where the stripped, folded text is one of the tokens; survivors stay as they are."""
-    tokens = sorted({t.strip().casefold() for t in nulls} | {"", "nan", "<na>"})
-    return F.when(~fold(strip(c)).isin(tokens), c)
+    return once(c, lambda t: F.when(~_says_nothing(_bare(t), _tokens(nulls)), t))
+
+
+def _says_nothing(stripped: Column, tokens: Sequence[str]) -> Column:
+    """Folding never shortens a text, so one longer than every token need not be folded."""
+    return once(stripped, lambda t: F.when(F.char_length(t) <= max(map(len, tokens)), fold(t).isin(list(tokens))).otherwise(F.when(t.isNotNull(), F.lit(False))))
 
 
 def clean_cell(c: Column, nulls: Sequence[str]) -> Column:
-    """Both cleaning passes in one expression; the second differs only for cells like `na' '`."""
-    return scrub(clean(scrub(clean(c), nulls)), nulls)
+    """Both cleaning passes in one expression; the second differs only for cells that still end in an apostrophe, like `na' '`."""
+    first = scrub(clean(c), nulls)
+    return once(first, lambda t: F.when(t.endswith("'"), scrub(clean(t), nulls)).otherwise(t))
 
 
 def usable_title(c: Column) -> Column:

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
 
 NEIGHBOURS, THRESHOLD, RESOLUTION = 16, 0.89, 0.9
-SMALL = 20_000  #: nodes up to which pairs are compared by a nested-loop join; beyond, block against block
+BLOCK = 2048  #: nodes of a block; two blocks are one matrix product
 #: Fixed values of the language guard.
 LIFT, FLOOR, SPLIT_LIFT, CEILING, GUARD_SIZE, GUARD_SHARE = 0.08, 0.78, 0.06, 0.98, 4, 0.75
 
@@ -34,35 +34,33 @@ def _block_top(k: int):
         if left.empty or right.empty:
             return pd.DataFrame({"a": [], "b": [], "sim": []}).astype({"a": "int64", "b": "int64", "sim": "float64"})
         right = right.sort_values("node")
-        ids = right["node"].to_numpy()
+        ids, nodes = right["node"].to_numpy(), left["node"].to_numpy()
         sims = np.stack(left["v"].to_numpy()) @ np.stack(right["v"].to_numpy()).T
-        sims[left["node"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(left)), order.shape[1])
-        found = pd.DataFrame({"a": left["node"].to_numpy()[rows], "b": ids[order.ravel()], "sim": sims[rows, order.ravel()]})
-        return found[np.isfinite(found["sim"])]
+        sims[nodes[:, None] == ids[None, :]] = -np.inf
+        least = np.partition(sims, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(nodes), -np.inf)
+        row, col = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))  # the k best and all that tie with the last of them
+        order = np.lexsort((col, -sims[row, col], row))
+        row, col = row[order], col[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[place < k], col[place < k]
+        return pd.DataFrame({"a": nodes[row], "b": ids[col], "sim": sims[row, col]})
 
     return run
 
 
-def nearest(vectors: DataFrame, k: int = NEIGHBOURS, nodes: int | None = None, block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = NEIGHBOURS, nodes: int | None = None, block: int = BLOCK) -> DataFrame:
     """(a, b, sim, rank): the k most similar other nodes of each node, ties by node.
 
-    Small sets join every pair in the JVM. Larger ones are dealt into blocks of about `block` nodes by hash;
-    every pair of blocks is one bounded matrix product that returns k rows a node, and a second selection
-    keeps the k best over all blocks.
+    Nodes are dealt into blocks of about `block` by hash; every pair of blocks is one bounded matrix product that
+    returns k rows a node, and a second selection keeps the k best over all blocks.
     """
     nodes = vectors.count() if nodes is None else nodes
-    if nodes <= SMALL:
-        a, b = (vectors.select(F.col("node").alias(n), F.col("v").alias(f"v{n}")) for n in "ab")
-        pairs = a.join(b, F.col("a") != F.col("b")).select("a", "b", X.dot(F.col("va"), F.col("vb")).alias("sim"))
-    else:
-        blocks = -(-nodes // block)
-        placed = vectors.select("node", "v", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("own"))
-        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        left = placed.select("node", "v", F.col("own").alias("i"), every.alias("j"))
-        right = placed.select("node", "v", F.col("own").alias("j"), every.alias("i"))
-        pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(lambda x, y: _block_top(k)(x, y), "a long, b long, sim double")
+    blocks = max(1, -(-nodes // block))
+    placed = vectors.select("node", "v", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = placed.select("node", "v", F.col("own").alias("i"), every.alias("j"))
+    right = placed.select("node", "v", F.col("own").alias("j"), every.alias("i"))
+    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(lambda x, y: _block_top(k)(x, y), "a long, b long, sim double")
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -116,29 +114,38 @@ def degrees(e: DataFrame, assigned: DataFrame | None = None) -> DataFrame:
     return both.groupBy("node").agg(F.sum("w").alias("degree"), F.count("*").alias("neighbours"))
 
 
-def components(e: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 64) -> DataFrame:
-    """node, component (the smallest node reachable): smallest labels spread along edges, with a jump to the label's label each round.
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Let checkpoint() write to the folder that spark.checkpoint.dir names. Where none is set a local master gets a temporary folder; on a cluster that is an error."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
+    spark.sparkContext.setCheckpointDir(base)
 
-    Each round is checkpointed; rounds end when no label changes. nodes adds those without an edge.
+
+def components(e: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node, component (the smallest node reachable), by alternating stars.
+
+    A round hangs every node's greater neighbours on the least of its neighbours, then its lesser ones, so trees get flat in a number of
+    rounds that grows with the logarithm of the size. Each round is checkpointed; rounds end when no edge changes. nodes adds those without an edge.
     """
-    both = e.select(F.col("src").alias("x"), F.col("dst").alias("y")).unionByName(e.select(F.col("dst").alias("x"), F.col("src").alias("y"))).distinct()
-    spark = e.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillspark-')}")
-    both = both.checkpoint()
-    labels = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")).checkpoint()
-    for _ in range(most_rounds):
-        near = both.join(labels.toDF("y", "ly"), "y").groupBy("x").agg(F.min("ly").alias("m"))
-        step = labels.join(near.toDF("node", "m"), "node").select("node", F.least("label", "m").alias("label"))
-        jump = step.join(step.toDF("label", "far"), "label").select("node", F.least("label", "far").alias("label"))
-        following = jump.checkpoint()
-        changed = following.toDF("node", "now").join(labels, "node").where("now <> label").limit(1).count()
-        labels = following
-        if not changed:
-            break
-    found = labels.select("node", F.col("label").alias("component"))
+    shared_checkpoints(e.sparkSession)
+    current = e.select(F.greatest("src", "dst").alias("x"), F.least("src", "dst").alias("y")).where("x <> y").distinct().checkpoint()
+    changed = current.limit(1).count()
+    while changed:
+        both = current.unionByName(current.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct().checkpoint()
+        least = large.groupBy("x").agg(F.min("y").alias("m"))
+        small = large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
+        following = small.unionByName(least.select("x", F.col("m").alias("y"))).distinct().checkpoint()
+        changed = following.exceptAll(current).limit(1).count() + current.exceptAll(following).limit(1).count()
+        current = following
+    roots = current.select(F.col("y").alias("node"), F.col("y").alias("component")).distinct()
+    found = current.select(F.col("x").alias("node"), F.col("y").alias("component")).unionByName(roots)
     if nodes is not None:
         found = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     return found

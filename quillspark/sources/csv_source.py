@@ -6,46 +6,59 @@ import csv
 import io
 import json
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..operators.graph import shared_checkpoints
+
 DELIMITERS = (",", "\t", ";", "|")
-HEAD_BYTES = 65536
+HEAD_BYTES = 65536  #: bytes that show the header and the delimiter
+GUESS_BYTES = 16 << 20  #: bytes from which an encoding is guessed
+JAVA = {"utf-8-sig": "UTF-8", "utf_16": "UTF-16"}  #: encodings that the reader knows; others are read byte for byte as Latin-1 and decoded cell by cell
 
 
 class IngestError(ValueError):
     """The file can't be read as a table."""
 
 
-def decodes(head: bytes, encoding: str) -> bool:
-    """Does the head decode? A code point cut off at its end is no fault."""
+def decodes(data: bytes, encoding: str) -> bool:
     try:
-        import codecs
-
-        codecs.getincrementaldecoder(encoding)(errors="strict").decode(head, final=False)
+        data.decode(encoding)
     except (UnicodeDecodeError, LookupError, UnicodeError):
         return False
     return True
 
 
-def detect_encoding(head: bytes) -> str:
-    """UTF-8 (reported with signature), a guess of charset_normalizer where installed, cp1252, then latin-1."""
-    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return "utf_16"
-    if decodes(head, "utf-8-sig"):
-        return "utf-8-sig"
+def guess(data: bytes) -> list[str]:
+    """What charset_normalizer and chardet, where they are installed, take the bytes for."""
+    found = []
     try:
         from charset_normalizer import from_bytes
 
-        if (best := from_bytes(head).best()) is not None and decodes(head, best.encoding):
-            return best.encoding
+        found.append(best.encoding if (best := from_bytes(data).best()) is not None else None)
     except ImportError:
         pass
-    return "cp1252" if decodes(head, "cp1252") else "latin-1"
+    try:
+        import chardet
+
+        found.append(chardet.detect(data)["encoding"])
+    except ImportError:
+        pass
+    return [e for e in found if e]
+
+
+def detect_encoding(data: bytes) -> str:
+    """UTF-16 by its mark, UTF-8 (reported with signature), a guess that decodes, cp1252, then latin-1."""
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf_16"
+    return next(e for e in ("utf-8-sig", *guess(data), "cp1252", "latin-1") if decodes(data, e))
 
 
 def detect_delimiter(text: str) -> str:
@@ -95,13 +108,84 @@ def _head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> bytes:
         stream.close()
 
 
-def numbered(df: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Survey:
+    """What a scan of the whole file finds; lines are split at line ends, whatever the quotes say."""
+
+    utf8: bool
+    cp1252: bool
+    quotes: int
+    torn: int  #: lines with an odd number of quotes: a quoted cell goes on at the next line
+
+
+def survey(spark: SparkSession, path: str) -> Survey:
+    """One pass over all lines in parallel. No line end lies inside a UTF-8 character, so lines are valid as the file is."""
+    value = F.col("value")
+    raw = F.decode(value.cast("binary"), "ISO-8859-1")
+    quotes = F.char_length(raw) - F.char_length(F.replace(raw, F.lit('"'), F.lit("")))
+    found = spark.read.text(path).agg(
+        F.bool_and(F.is_valid_utf8(value)), F.bool_and(~raw.rlike("[\u0081\u008d\u008f\u0090\u009d]")), F.sum(quotes), F.sum(quotes % 2)
+    ).first()
+    return Survey(found[0] is not False, found[1] is not False, found[2] or 0, found[3] or 0)
+
+
+def recoded(c: Column, encoding: str) -> Column:
+    """Cells read as Latin-1, decoded: by a table of 128 characters, or in Arrow batches where a character takes several bytes."""
+    if encoding.lower().replace("_", "-") in ("latin-1", "iso-8859-1"):
+        return c
+    if all(len(bytes([b, 0xB0]).decode(encoding, "replace")) == 2 for b in range(128, 256)):
+        pairs = [(chr(b), bytes([b]).decode(encoding, "replace")) for b in range(128, 256)]
+        return F.translate(c, "".join(a for a, _ in pairs), "".join(x for _, x in pairs))
+
+    @F.pandas_udf("string")
+    def decoded(cells: pd.Series) -> pd.Series:
+        return cells.map(lambda x: x.encode("latin-1").decode(encoding, "replace"), na_action="ignore")
+
+    return decoded(c)
+
+
+def _all_decode(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether every line decodes. For encodings of one byte a character, or those that keep line ends apart from other characters."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bad = sum(not decodes(x, encoding) for x in b.column("value").to_pylist())
+            yield pa.RecordBatch.from_pydict({"bad": pa.array([bad], pa.int64())})
+
+    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("value"))
+    return not lines.mapInArrow(check, "bad long").agg(F.sum("bad")).first()[0]
+
+
+def file_encoding(spark: SparkSession, path: str, head: bytes, found: Survey) -> str:
+    """S02 for a file of any size: a verdict holds for every byte of it.
+
+    A guess is made from the whole file up to GUESS_BYTES, beyond from as many bytes of its lines that aren't ASCII, and counts only where the whole
+    file decodes by it.
+    """
+    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf_16"
+    if found.utf8:
+        return "utf-8-sig"
+    telling = _head(spark, path, GUESS_BYTES + 1)
+    if len(telling) > GUESS_BYTES:
+        lines = spark.read.text(path).select(F.col("value").cast("binary").alias("line")).where(~F.decode("line", "ISO-8859-1").rlike(r"^[\x00-\x7f]*$"))
+        size = lines.agg(F.sum(F.octet_length("line"))).first()[0]
+        part = lines if size <= GUESS_BYTES else lines.where(F.pmod(F.xxhash64("line"), F.lit(-(-size // GUESS_BYTES))) == 0)
+        telling = b"\n".join(bytes(r["line"]) for r in part.toLocalIterator())
+    for e in guess(telling):
+        if _all_decode(spark, path, e):
+            return e
+    return "cp1252" if found.cp1252 else "latin-1"
+
+
+def numbered(df: DataFrame, ids: str | None = None) -> DataFrame:
     """Give rows consecutive numbers from 1 in the table's order: rows per partition are counted, then added up.
 
-    All in the JVM; no row moves. The second scan must see the first one's partitions, as file scans do.
+    All in the JVM; no row moves. The second scan must see the first one's partitions, as file scans do. ids: a column that
+    holds monotonically_increasing_id() already.
     """
     low = (1 << 33) - 1
-    marked = df.withColumn("__id", F.monotonically_increasing_id()).withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(low)})
+    marked = df.withColumn("__id", F.col(ids) if ids else F.monotonically_increasing_id()).withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(low)})
     sizes = marked.groupBy("__part").agg((F.max("__at") + 1).alias("__size"))  # one row per partition
     before = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
@@ -111,28 +195,45 @@ def numbered(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> Table:
     """Every cell a string, quoted line ends kept, headers by position.
 
-    Empty cells are null. A quote that never ends in the file's head is an error that asks for a new export.
+    Empty cells are null. A quote that never ends is an error that asks for a new export. The file is read in splits
+    unless a quoted cell holds a line end, or its characters are wider than a byte (UTF-16): then it is one task's.
     """
     head = _head(spark, path)
     if not head.strip():
         raise IngestError("The file is empty.")
-    encoding = encoding or detect_encoding(head)
+    found = survey(spark, path)
+    encoding = encoding or file_encoding(spark, path, head, found)
+    encoding = "utf_16" if encoding.lower().replace("-", "_") in ("utf_16", "utf16") else encoding
+    wide = encoding == "utf_16"
+    quotes = found.quotes
+    if wide:
+        whole = F.decode(F.col("content"), JAVA["utf_16"])
+        quotes = spark.read.format("binaryFile").load(path).agg(F.sum(F.char_length(whole) - F.char_length(F.replace(whole, F.lit('"'), F.lit(""))))).first()[0]
+    if quotes % 2:
+        raise IngestError("The file has an unterminated quote; please reexport it.")
     text = head.decode(encoding, "ignore")
     delimiter = delimiter or detect_delimiter(text)
-    if len(head) < HEAD_BYTES and text.count('"') % 2:
-        raise IngestError("The file has an unterminated quote; please reexport it.")
     headers = next(csv.reader(io.StringIO(text), delimiter=delimiter))
-    names = [f"c{i}" for i in range(len(headers))]
-    java = {"utf-8-sig": "UTF-8", "utf_16": "UTF-16", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}.get(encoding, encoding)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    frame = spark.read.schema(schema).options(header=True, enforceSchema=True, multiLine=True, sep=delimiter, encoding=java, quote='"', escape='"', nullValue=None).csv(path)
-    return Table(numbered(frame), tuple(h.replace("﻿", "") for h in headers), encoding, delimiter)
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers))])
+    options = {"header": True, "enforceSchema": True, "multiLine": wide or found.torn > 0, "sep": delimiter, "encoding": JAVA.get(encoding, "ISO-8859-1"), "quote": '"', "escape": '"', "nullValue": None}
+    cells = spark.read.schema(schema).options(**options).csv(path)
+    if encoding not in JAVA:
+        cells = cells.select(*(recoded(F.col(c), encoding).alias(c) for c in cells.columns))
+    return Table(numbered(cells), tuple(h.replace("\ufeff", "") for h in headers), encoding, delimiter)
 
 
 def from_frame(df: DataFrame, order: str) -> Table:
-    """An existing table as survey input: all columns but the unique `order` become strings; rows are numbered by it."""
+    """An existing table as survey input: all columns but the unique `order` become strings; rows are numbered by it.
+
+    Numbers are given within ranges of the order, to which the rows of the ranges before are added.
+    """
     columns = [c for c in df.columns if c != order]
-    frame = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)], F.row_number().over(Window.orderBy(order)).cast("long").alias("row_number"))
+    keys = df.select(F.col(f"`{order}`").alias("__order"))
+    ranged = keys.repartitionByRange("__order").sortWithinPartitions("__order").withColumn("__id", F.monotonically_increasing_id())
+    shared_checkpoints(df.sparkSession)
+    numbers = numbered(ranged.checkpoint(), "__id").select("__order", "row_number")
+    cells = [F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)]
+    frame = df.select(*cells, F.col(f"`{order}`").alias("__order")).join(numbers, "__order").drop("__order")
     return Table(frame, tuple(columns), "utf-8-sig", ",")
 
 

@@ -55,6 +55,35 @@ def test_csv_in_utf16_with_tabs(spark, tmp_path):
     assert rows_of(t.frame.orderBy("row_number"), "c0", "c1", "c2")[0] == ("price, mostly", "né", "1")
 
 
+def test_csv_is_judged_by_all_its_bytes(spark, tmp_path):
+    rows = "".join(f"{i},plain answer\r\n" for i in range(6000))
+    assert len(rows) > csv_source.HEAD_BYTES
+    late = ("id,text\r\n" + rows + "9,caf\u00e9 \u2019 d\u00e9j\u00e0 vu\r\n").encode("cp1252")
+    t = csv_source.read_csv(spark, write(tmp_path, late))
+    assert t.encoding.lower().replace("-", "_") not in ("utf_8_sig", "utf_8") and t.frame.where("c1 like '%\ufffd%'").isEmpty()
+    assert t.frame.where("row_number = 6001").first()["c1"].startswith("caf") and t.frame.count() == 6001
+    with pytest.raises(csv_source.IngestError, match="reexport"):
+        csv_source.read_csv(spark, write(tmp_path, ("id,text\n" + rows + '9,"never ends\n').encode()))
+    t = csv_source.read_csv(spark, write(tmp_path, ("id,text\n" + rows + '9,"two\nlines"\n').encode()))
+    assert t.frame.where("row_number = 6001").first()["c1"] == "two\nlines"
+    with pytest.raises(csv_source.IngestError, match="reexport"):
+        csv_source.read_csv(spark, write(tmp_path, 'a,b\n1,"x\n'.encode("utf-16")))
+
+
+def test_from_frame_numbers_rows_by_order(spark):
+    t = csv_source.from_frame(spark.range(500).selectExpr("500 - id o", "id text"), "o")
+    assert [(r["row_number"], r["c0"]) for r in t.frame.orderBy("row_number").collect()] == [(i + 1, str(499 - i)) for i in range(500)]
+
+
+def test_components_of_a_long_chain(spark):
+    from quillspark.operators import graph
+
+    n = 300
+    order = [(i * 7919) % n for i in range(n)]
+    e = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)], "src long, dst long")
+    assert {r["component"] for r in graph.components(e).collect()} == {0}
+
+
 def test_csv_errors(spark, tmp_path):
     with pytest.raises(csv_source.IngestError, match="reexport"):
         csv_source.read_csv(spark, write(tmp_path, b'id,comment\n1,"never ends\n2,x\n'))
@@ -457,7 +486,7 @@ def test_language_guard(spark):
 def test_blocks_give_the_same_neighbours(spark, sf):
     v = graph.unit_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding")
     a = sorted(rows_of(graph.nearest(v, 5), "a", "b", "rank"))
-    b = sorted(rows_of(graph.nearest(v, 5, nodes=graph.SMALL + 1, block=5000), "a", "b", "rank"))
+    b = sorted(rows_of(graph.nearest(v, 5, block=40), "a", "b", "rank"))
     assert a == b
 
 
