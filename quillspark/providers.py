@@ -206,14 +206,14 @@ def translate(df: DataFrame, translator: Translator, text: str = "text", languag
 # --- labels by a language model --------------------------------------------------------------------
 
 #: Labels that say nothing, and words of placeholders.
-GENERIC = frozenset(
-    x.strip()
-    for x in """feedback, general feedback, general responses, general topics, misc, miscellaneous, mixed, mixed feedback, other, other feedback,
-    other responses, responses, survey feedback, topic, topics, uncategorized, unclear, unclear feedback, unclear responses, unknown""".split(",")
-)
-PLACEHOLDER_WORDS = frozenset("abc blah example foo ipsum lorem placeholder sample test todo tbd xxx".split())
-#: Words that only a stitched list of keywords has together.
-STITCHED = (frozenset({"printed", "bound", "teacher"}),)
+GENERIC = frozenset((
+    "feedback", "general feedback", "general responses", "general topics", "misc", "miscellaneous", "mixed", "mixed feedback", "other",
+    "other feedback", "other responses", "responses", "survey feedback", "topic", "topics", "uncategorized", "unclear", "unclear feedback",
+    "unclear responses", "unknown",
+))
+PLACEHOLDER_WORDS = frozenset(("abc", "blah", "example", "foo", "ipsum", "lorem", "placeholder", "sample", "test", "todo", "tbd", "xxx"))
+#: Sets of words that only a stitched list of keywords has together; none by default, as they belong to one survey.
+STITCHED: tuple[frozenset[str], ...] = ()
 
 
 def label_words(text: str) -> list[str]:

@@ -172,8 +172,8 @@ def file_encoding(spark: SparkSession, path: str, head: bytes, found: Survey) ->
         size = lines.agg(F.sum(F.octet_length("line"))).first()[0]
         part = lines if size <= GUESS_BYTES else lines.where(F.pmod(F.xxhash64("line"), F.lit(-(-size // GUESS_BYTES))) == 0)
         telling = b"\n".join(bytes(r["line"]) for r in part.toLocalIterator())
-    for e in guess(telling):
-        if _all_decode(spark, path, e):
+    for e in guess(telling):  # wide characters have a mark at the start
+        if not e.lower().replace("-", "_").startswith(("utf_16", "utf_32")) and _all_decode(spark, path, e):
             return e
     return "cp1252" if found.cp1252 else "latin-1"
 
