@@ -127,9 +127,13 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: in
     """64-bit hashes of the byte spans, other ones for each seed: every eight bytes pass a mixer of their place before they are added up."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    data, place, first = eights(buf, starts, stops)
-    key = mix64((place + 1).astype(np.uint64) * _STEP[1] + np.uint64(seed))
-    return mix64(np.add.reduceat(mix64(data ^ key), first) + (stops - starts).astype(np.uint64) * _STEP[0])
+    return hash_eights(*eights(buf, starts, stops), stops - starts, seed)
+
+
+def hash_eights(data: np.ndarray, place: np.ndarray, first: np.ndarray, lengths: np.ndarray, seed: int = 0) -> np.ndarray:
+    """span_hashes() of spans that eights() has taken apart."""
+    keys = mix64(np.arange(1, int(place.max(initial=0)) + 2, dtype=np.uint64) * _STEP[1] + np.uint64(seed))
+    return mix64(np.add.reduceat(mix64(data ^ keys[place]), first) + lengths.astype(np.uint64) * _STEP[0])
 
 
 def word_hashes(texts: Sequence[str | None], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:

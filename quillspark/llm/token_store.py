@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import eights, in_chunks, is_space, materialise, partitions, span_hashes
+from .common import eights, hash_eights, in_chunks, is_space, materialise, partitions
 
 MAGIC = b"QDAC1\0\0\0"
 BLOCK = 512
@@ -124,7 +124,7 @@ class Encoder:
     added token's string in them, and tokenizers of other kinds go to the library whole.
     """
 
-    def __init__(self, path: str, remembered: int = 1_000_000, special_as_text: bool = False):
+    def __init__(self, path: str, remembered: int = 1_500_000, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -195,14 +195,14 @@ class Encoder:
         cut[ends - [len(d) for d in data]] = True
         starts = np.flatnonzero(cut)
         stops = np.append(starts[1:], len(buf))
-        h = span_hashes(buf, starts, stops)
+        eight, inside, begin = eights(buf, starts, stops)
+        size = np.diff(np.append(begin, len(eight)))
+        h = hash_eights(eight, inside, begin, stops - starts)
         distinct, sample, place = np.unique(h, return_index=True, return_inverse=True)
         if len(self.hashes) > self.remembered:
             self.forget()
         at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
         new = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
-        eight, inside, begin = eights(buf, starts, stops)
-        size = np.diff(np.append(begin, len(eight)))
         if new.any():
             raw, chosen = buf.tobytes(), sample[new]
             wanted = eight[np.repeat(begin[chosen] - (np.cumsum(size[chosen]) - size[chosen]), size[chosen]) + np.arange(int(size[chosen].sum()))]
