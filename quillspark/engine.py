@@ -14,7 +14,7 @@ from .operators import assembly, communities, facets, graph, profile, report, st
 from .plans import manifest as M
 from .sources import csv_source
 
-NODE = 4096  #: fragments of a row at most; a capped answer has fewer
+NODE = 4096  #: node numbers a row has at least
 
 
 class AnalysisError(ValueError):
@@ -35,6 +35,11 @@ class Settings:
     characters: int = 3000
     sample: int = 25
 
+    @property
+    def nodes(self) -> int:
+        """Node numbers of a row: no answer has more fragments than characters."""
+        return max(NODE, self.characters)
+
 
 @dataclass
 class Analysis:
@@ -132,7 +137,7 @@ class Engine:
     def _community(self, docs: DataFrame, column: str, threshold: float | None, warnings: list[str]) -> Analysis:
         if docs.select(X.fold(F.col("text"))).distinct().limit(2).count() < 2:
             raise AnalysisError("at least two different responses are needed")
-        node = F.col("row_number") * NODE + F.col("fragment_no")
+        node = F.col("row_number") * self.settings.nodes + F.col("fragment_no")
         embedded, self.cache = providers.embed(docs.withColumn("node", node), self.embedder, cache=self.cache)
         self.cache = self._kept(self.cache)
         vectors = self._kept(graph.unit_vectors(embedded, "node", "embedding", "language"))
@@ -148,7 +153,7 @@ class Engine:
         final = final.withColumn("label", F.coalesce("label", F.lit(topics.NOISE_LABEL)))
         final = final.withColumn("comment", X.group_comment(F.col("label"), F.col("count"), F.col("total_documents"), F.col("example_rows")))
         places = graph.circle(v) if edges.isEmpty() else graph.principal_layout(v)
-        nodes = placed.select((F.col("row_number") * NODE + F.col("fragment_no")).alias("node"), "row_number", "community")
+        nodes = placed.select((F.col("row_number") * s.nodes + F.col("fragment_no")).alias("node"), "row_number", "community")
         points = graph.plot_points(nodes.select("node", "community"), places, nodes.select("node", "row_number"))
         return Analysis("community", column, placed, final, points, graph.plot_edges(edges, points), warnings=warnings)
 

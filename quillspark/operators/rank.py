@@ -9,6 +9,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from .graph import shared_checkpoints
+
+
+def ranked(d: DataFrame, group: Sequence[str], order: Sequence[Column | str], most: int | None = None) -> DataFrame:
+    """d with `rank` (long, from 1) in its group; with most only the first so many, which each task prunes before the shuffle.
+
+    Whole groups are ranked without bringing any together: rows go to ranges of (group, order), a row's rank is its place
+    in the group's rows of its range and the group's rows in the ranges before. The sorted rows are checkpointed, so both steps see the same ranges.
+    """
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        return d.withColumn("rank", place.cast("long")).where(F.col("rank") <= most)
+    shared_checkpoints(d.sparkSession)
+    by = [*(F.col(g).asc() for g in group), *(F.col(o).asc() if isinstance(o, str) else o for o in order)]
+    held = d.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("__id", 33).alias("__part")
+    known = [F.coalesce(F.col(g).cast("string"), F.lit("")).alias(f"__g{i}") for i, g in enumerate(group)]
+    known += [F.col(g).isNull().alias(f"__n{i}") for i, g in enumerate(group)]  # a null group is a group
+    keyed = held.select("*", part, *known)
+    keys = ["__part", *(f"__{k}{i}" for i in range(len(group)) for k in "gn")]
+    runs = keyed.groupBy(*keys).agg(F.min("__id").alias("__start"), F.count("*").alias("__size"))  # a row per range and group that meet
+    before = F.sum("__size").over(Window.partitionBy(*keys[1:]).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = runs.select(*keys, "__start", F.coalesce(before, F.lit(0)).alias("__before"))
+    return keyed.join(starts, keys).withColumn("rank", F.col("__before") + F.col("__id") - F.col("__start") + 1).drop("__id", "__start", "__before", *keys)
 
 
 def examples(docs: DataFrame, terms: DataFrame, group: Sequence[str], most: int = 3, length: int = 220) -> DataFrame:
@@ -33,7 +57,7 @@ def _pattern(term: Column) -> Column:
 
 
 def representativeness(docs: DataFrame, terms: DataFrame, group: Sequence[str], edge_scores: DataFrame | None = None, most: int | None = None) -> DataFrame:
-    """Docs with `rank` in their group; with most only the first so many, which each task prunes before the shuffle.
+    """Docs with `rank` in their group; with most only the first so many.
 
     Ordered by any hit, distinct terms, matches, matches weighted by the terms' places, fewer words, fewer
     characters, better best term, earlier first match; then weighted degree, neighbours, input order. All
@@ -61,10 +85,7 @@ def representativeness(docs: DataFrame, terms: DataFrame, group: Sequence[str],
         F.col("row_number").asc(),
         F.col("fragment_no").asc(),
     ]
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    d = d.withColumn("rank", rank)
-    d = d if most is None else d.where(F.col("rank") <= most)
-    return d.withColumn("hits", F.size("__f")).drop("__f", "__hit", "__p", "terms")
+    return ranked(d, group, order, most).withColumn("hits", F.size("__f")).drop("__f", "__hit", "__p", "terms")
 
 
 def relevance_ngrams(label: Column, n: int) -> Column:
@@ -92,8 +113,7 @@ def label_relevance(docs: DataFrame, topics: DataFrame, group: Sequence[str], or
     d = d.withColumns({"trigrams": shared(X.ngrams(F.col("__w"), 3), "__l3"), "bigrams": shared(X.ngrams(F.col("__w"), 2), "__l2"), "words": shared(F.col("__w"), "__l"), "term_words": shared(F.col("__w"), "__t")})
     n_words = F.regexp_count("text", F.lit("[A-Za-z0-9]+"))
     by = [F.desc("trigrams"), F.desc("bigrams"), F.desc("words"), F.desc("term_words"), n_words, F.char_length("text"), *order]
-    d = d.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*by)))
-    return (d if most is None else d.where(F.col("rank") <= most)).drop("__w", "__l", "__l2", "__l3", "__t")
+    return ranked(d.drop("__l", "__l2", "__l3", "__t"), group, by, most).drop("__w")
 
 
 def off_topic(docs: DataFrame, topics: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -16,9 +16,10 @@ from ..functions import text as X
 from ..functions.words import LEADING_TRIM, STOPWORDS, TRAILING_TRIM
 
 
-def prepare(df: DataFrame, text: str, keep: Sequence[str] = (), order: str = "row_number", most: int = 3000) -> DataFrame:
-    """row_number, fragment_no, text, original_text of every usable answer's fragments."""
-    usable = df.select(F.col(order).alias("row_number"), *keep, X.capped(X.answer(F.col(f"`{text}`")), most).alias("original_text"))
+def prepare(df: DataFrame, text: str, keep: Sequence[str] = (), order: str = "row_number", most: int | None = 3000) -> DataFrame:
+    """row_number, fragment_no, text, original_text of every usable answer's fragments. most: characters kept (X10); None keeps whole answers."""
+    said = X.answer(F.col(f"`{text}`"))
+    usable = df.select(F.col(order).alias("row_number"), *keep, (said if most is None else X.capped(said, most)).alias("original_text"))
     usable = usable.where(F.col("original_text").isNotNull() & ~X.is_single_word(F.col("original_text")))
     split = usable.select("row_number", *keep, "original_text", F.posexplode(X.fragments(F.col("original_text"))).alias("fragment_no", "text"))
     return split.select("row_number", "fragment_no", *keep, "text", "original_text")

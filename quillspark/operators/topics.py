@@ -205,5 +205,5 @@ def analyse(docs: DataFrame, group: str = "community", labeler: Labeler | None =
     topics = topics_frame(docs.sparkSession, groups, group)
     placed = noise_moved(relabelled(docs, aliases, group), topics, group)
     ranked = R.label_relevance(placed, topics, [group]).select("row_number", "fragment_no", group, "text", "rank")
-    noise = placed.where(F.col(group) == -1).select("row_number", "fragment_no", group, "text", F.row_number().over(Window.partitionBy(group).orderBy("row_number", "fragment_no")).alias("rank"))
+    noise = R.ranked(placed.where(F.col(group) == -1), [group], ["row_number", "fragment_no"]).select("row_number", "fragment_no", group, "text", "rank")
     return ranked.unionByName(noise), groups, aliases

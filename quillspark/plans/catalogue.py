@@ -136,14 +136,14 @@ def usable_responses(spark, sf):
 
 @query(
     rf"""WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
-    a AS (SELECT doc_id, CASE WHEN length(t) > 3000 THEN rtrim(t[1:3000]) ELSE t END AS t FROM c WHERE {_fold("t")} NOT IN ('', 'na', 'n/a', 'nan', 'none', 'null', 'nil', '-', '--')),
+    a AS (SELECT doc_id, t FROM c WHERE {_fold("t")} NOT IN ('', 'na', 'n/a', 'nan', 'none', 'null', 'nil', '-', '--')),
     s AS (SELECT doc_id, t, list_transform(regexp_extract_all(t, '[^.]+\.'), lambda x: trim(x)) AS chunks FROM a),
     k AS (SELECT doc_id, t, CASE WHEN len(chunks) >= 2 AND array_to_string(chunks, ' ') = t THEN 'sentences' WHEN contains(t, '.') THEN 'whole' ELSE 'commas' END AS kind FROM s)
     SELECT kind, count(*) AS n, sum(length(t))::BIGINT AS chars FROM k GROUP BY kind"""
 )
 def fragment_kinds(spark, sf):
     """Which of the three ways of cutting applies to an answer (before chunks are validated)."""
-    a = load(spark, sf, "documents").select(X.capped(X.answer(F.col("text"))).alias("t")).where("t IS NOT NULL")
+    a = load(spark, sf, "documents").select(X.answer(F.col("text")).alias("t")).where("t IS NOT NULL")
     chunks = F.transform(F.regexp_extract_all("t", F.lit(r"[^.]+\."), 0), X.strip)
     kind = F.when((F.size(chunks) >= 2) & (X.collapse(F.array_join(chunks, " ")) == F.col("t")), "sentences").when(F.col("t").contains("."), "whole").otherwise("commas")
     return a.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.char_length("t")).alias("chars"))
@@ -151,8 +151,8 @@ def fragment_kinds(spark, sf):
 
 @query()
 def fragments(spark, sf):
-    """Sentences and clauses with continuations merged; checked against a plain statement of the rule in the tests."""
-    return terms.prepare(load(spark, sf, "documents"), "text", order="doc_id")
+    """Sentences and clauses of whole answers with continuations merged; checked against a plain statement of the rule in the tests."""
+    return terms.prepare(load(spark, sf, "documents"), "text", order="doc_id", most=None)
 
 
 # --- vertical and wide assembly ------------------------------------------------------------------
@@ -415,7 +415,7 @@ _REL = f"""{_TOPIC_SQL}, d AS (SELECT lang, doc_id, text, {_relevance("text")} A
     row_number() OVER (PARTITION BY lang ORDER BY trigrams DESC, bigrams DESC, words DESC, term_words DESC, len(regexp_extract_all(text, '[A-Za-z0-9]+')), length(text), doc_id)::INTEGER AS rank FROM s"""
 )
 def label_relevance(spark, sf):
-    return rank.label_relevance(answers(spark, sf), topic_table(spark), ["lang"]).select("lang", "row_number", "trigrams", "bigrams", "words", "term_words", "rank")
+    return rank.label_relevance(answers(spark, sf), topic_table(spark), ["lang"]).select("lang", "row_number", "trigrams", "bigrams", "words", "term_words", F.col("rank").cast("int").alias("rank"))
 
 
 @query(f"""WITH {_REL} SELECT lang, doc_id AS row_number, count(*) OVER (PARTITION BY lang) >= 2 AND words + term_words = 0 AS off_topic FROM s""")

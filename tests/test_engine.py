@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspark import providers
 from quillspark.functions import text as X
@@ -153,13 +154,20 @@ def plain_fragments(text):
 
 
 def test_fragments_equal_the_plain_rule_on_documents(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").select("doc_id", X.capped(X.answer(F.col("text"))).alias("t")).where("t is not null")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").select("doc_id", X.answer(F.col("text")).alias("t")).where("t is not null")
     extra = ["One two three four. Five six seven eight.", "one two three four, five six seven eight", "It was good. But it was far too dear. We left early that day.", "a, b", "No stop here! It goes on. Yes", "x", "one two three four, because five six seven, and eight nine ten eleven"]
     docs = docs.unionByName(spark.createDataFrame([(-i - 1, t) for i, t in enumerate(extra)], "doc_id long, t string"))
     for r in docs.select("t", X.fragments(F.col("t")).alias("f")).collect():
         assert r["f"] == plain_fragments(r["t"])
 
 
+def test_whole_answers_are_cut_into_fragments(spark):
+    said = " ".join(f"This is sentence number {i} of the answer." for i in range(500))
+    df = spark.createDataFrame([(1, said)], "row_number long, text string")
+    assert terms.prepare(df, "text", most=None).count() == 500
+    assert terms.prepare(df, "text").agg(F.sum(F.char_length("text"))).first()[0] <= 3000
+
+
 def test_cleaning_and_nulls(spark):
     cells = ["  ‘quoted’' ", "N/A", " <NA> ", "﻿ok", "na' '", "None of it", None, " x ", "it´s"]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i long, c string")
@@ -454,6 +462,18 @@ def test_representativeness(spark):
     assert rows_of(rank.representativeness(d, t, ["community"], scores).orderBy("rank"), "row_number") == [(2,), (1,), (5,), (4,), (3,)]
 
 
+def test_ranks_equal_a_window_over_whole_groups(spark):
+    rows = [(None if i % 11 == 0 else ("hot" if i % 3 else f"g{i % 7}"), i % 5, i) for i in range(600)]
+    d = spark.createDataFrame(rows, "g string, score int, row_number long").repartition(6)
+    order = [F.desc("score"), "row_number"]
+    want = d.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order)).cast("long"))
+    got = rank.ranked(d, ["g"], order)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert rank.ranked(d, ["g"], order, 2).exceptAll(want.where("rank <= 2")).isEmpty()
+    assert rank.ranked(d.where("false"), ["g"], order).isEmpty()
+
+
 def test_off_topic(spark):
     d = answers(spark, ["tea leaves", "weather", "alone"], community=[0, 0, 1])
     t = spark.createDataFrame([(0, "Tea", ["leaves"]), (1, "Coffee", ["beans"])], "community long, label string, terms array<string>")
