@@ -126,6 +126,12 @@ def shared_checkpoints(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(base)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The application's own folder below the shared one."""
+    shared_checkpoints(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def components(e: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, component (the smallest node reachable), by alternating stars.
 

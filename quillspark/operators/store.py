@@ -76,7 +76,7 @@ def refiltered_edges(edges: DataFrame, surviving_nodes: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, metadata: Sequence[str], verbatim: Sequence[str], scope: str = "clean_data", filters: Mapping[str, Sequence[str]] | None = None) -> None:
-    """The table or its verbatim columns as CSV files with headers, in row order; each file begins with a byte-order mark."""
+    """The table or its verbatim columns as CSV files with headers, in row order; each file begins with a byte-order mark; cells keep their white space."""
     if scope not in ("clean_data", "verbatim_only"):
         raise ValueError(f"unknown scope {scope!r}")
     if scope == "verbatim_only" and not verbatim:
@@ -85,7 +85,7 @@ def write_csv(df: DataFrame, path: str, metadata: Sequence[str], verbatim: Seque
     columns = [c for c in df.columns if c != "row_number"] if scope == "clean_data" else list(verbatim)
     ordered = chosen.orderBy("row_number").select(*map(q, columns))
     named = ordered.toDF("﻿" + columns[0], *columns[1:])  # the mark is part of the first header
-    named.write.option("header", True).option("escape", '"').option("encoding", "UTF-8").mode("errorifexists").csv(path)
+    named.write.option("header", True).option("escape", '"').option("encoding", "UTF-8").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).mode("errorifexists").csv(path)
 
 
 def export_name(source: str | None, scope: str, filtered: bool) -> str:

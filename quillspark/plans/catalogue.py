@@ -7,13 +7,17 @@ answers' vectors.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import providers
 from ..functions import text as X
 from ..functions.words import RELEVANCE_STOPWORDS, STOPWORDS
 from ..operators import assembly, communities, facets, graph, profile, rank, report, store, survey, terms, topics
+from ..sources import csv_source
 from . import manifest as M
 
 QUERIES: dict = {}
@@ -155,6 +159,163 @@ def fragments(spark, sf):
     return terms.prepare(load(spark, sf, "documents"), "text", order="doc_id", most=None)
 
 
+@query(
+    r"""WITH a AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
+    SELECT doc_id, md5(CASE WHEN length(t) > 3000 THEN rtrim(t[1:3000]) ELSE t END) AS capped_md5, md5(CASE WHEN length(t) <= 160 THEN t ELSE rtrim(t[1:157]) || '...' END) AS short_md5,
+        length(CASE WHEN length(t) <= 160 THEN t ELSE rtrim(t[1:157]) || '...' END) AS short_chars FROM a"""
+)
+def capped_answers(spark, sf):
+    """Answers at the setting's limit of characters, and as a report shows them."""
+    d = load(spark, sf, "documents").select("doc_id", X.capped(X.collapse(F.col("text"))).alias("capped"), X.shortened(F.col("text"), 160).alias("short"))
+    return d.select("doc_id", F.md5("capped").alias("capped_md5"), F.md5("short").alias("short_md5"), F.char_length("short").cast("long").alias("short_chars"))
+
+
+@query(
+    r"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_](?:[\p{L}\p{N}_'']*[\p{L}\p{N}_])?')) AS words FROM documents"""
+)
+def word_counts(spark, sf):
+    """X13."""
+    return load(spark, sf, "documents").select("doc_id", X.word_count(F.col("text")).cast("long").alias("words"))
+
+
+@query(
+    """SELECT p_partkey, trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
+        CASE WHEN p_size % 5 = 0 THEN 'auto' WHEN p_size % 5 = 1 THEN 'zh-CN' WHEN p_size % 5 = 2 THEN 'zh-TW' WHEN p_size % 5 = 3 THEN 'pt' ELSE 'De' END AS language,
+        sha256('local' || chr(31) || p_type || chr(31) || p_size || chr(31) || p_name) AS cache_key FROM part"""
+)
+def names_and_keys(spark, sf):
+    """Cache keys, language codes, and names for files."""
+    code = F.element_at(F.array(*[F.lit(x) for x in (" auto ", "ZH-cn", "zh-TW", "pt-BR", " De ")]), F.col("p_size").cast("int") % 5 + 1)
+    name = F.concat_ws(" / ", "p_name", "p_brand")
+    return load(spark, sf, "part").select("p_partkey", X.slug(name).alias("slug"), X.language_code(code).alias("language"), X.cache_key(F.lit("local"), F.col("p_type"), F.col("p_size"), F.col("p_name")).alias("cache_key"))
+
+
+@query(
+    """WITH w AS (SELECT doc_id, ' ' || replace(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))), 'ß', 'ss') || ' ' AS t, text FROM documents),
+    n AS (SELECT doc_id, text, len(regexp_extract_all(t, ' the ')) + len(regexp_extract_all(t, ' and ')) + len(regexp_extract_all(t, ' of ')) AS en, len(regexp_extract_all(t, ' der ')) + len(regexp_extract_all(t, ' die ')) + len(regexp_extract_all(t, ' und ')) AS de,
+        len(regexp_extract_all(t, ' le ')) + len(regexp_extract_all(t, ' les ')) + len(regexp_extract_all(t, ' et ')) AS fr, len(regexp_extract_all(t, ' el ')) + len(regexp_extract_all(t, ' los ')) + len(regexp_extract_all(t, ' y ')) AS es FROM w)
+    SELECT doc_id, CASE WHEN length(trim(text, E' \\t\\n\\r\\f\\x0b')) < 8 OR text IS NULL OR greatest(en, de, fr, es) = 0 THEN NULL WHEN en = greatest(en, de, fr, es) THEN 'en' WHEN de = greatest(en, de, fr, es) THEN 'de' WHEN fr = greatest(en, de, fr, es) THEN 'fr' ELSE 'es' END AS guess FROM n"""
+)
+def language_guess(spark, sf):
+    """The default detector by function words."""
+    return load(spark, sf, "documents").select("doc_id", providers.detect_language(F.col("text")).alias("guess"))
+
+
+@query(
+    """WITH c AS (SELECT doc_id, lang, CASE WHEN lang = 'en' OR doc_id % 2 = 0 THEN source ELSE lang END AS community FROM documents),
+    z AS (SELECT community, count(*) AS size FROM c GROUP BY community), b AS (SELECT community, lang, count(*) AS n FROM c WHERE lang NOT IN ('', 'auto', 'en') GROUP BY community, lang QUALIFY row_number() OVER (PARTITION BY community ORDER BY n DESC, lang DESC) = 1)
+    SELECT community, lang FROM b JOIN z USING (community) WHERE size >= 4 AND n >= 0.75 * size"""
+)
+def dominant_languages(spark, sf):
+    """The languages other than English that rule a community."""
+    d = load(spark, sf, "documents").withColumn("node", F.col("doc_id"))
+    own = F.when((F.col("lang") == "en") | (F.col("doc_id") % 2 == 0), F.col("source")).otherwise(F.col("lang"))
+    return graph.dominant_language(d.select("node", own.alias("community")), d.select("node", "lang"))
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY 31 * c_custkey + c_nationkey) AS row_number FROM customer")
+def renumbered_rows(spark, sf):
+    """Row numbers with gaps become consecutive."""
+    return assembly.renumber(load(spark, sf, "customer").select("c_custkey", (31 * F.col("c_custkey") + F.col("c_nationkey")).cast("long").alias("row_number")))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_custkey % 4 < 2 THEN o_custkey END::BIGINT AS user_id,
+        CASE o_custkey % 3 WHEN 0 THEN o_orderpriority WHEN 1 THEN o_orderstatus ELSE '__MISSING_TITLE__' END AS full_title_norm, CASE WHEN o_custkey % 3 = 2 THEN '__MISSING_MAIN__' ELSE o_orderstatus END AS main_title_norm FROM orders"""
+)
+def survey_titles(spark, sf):
+    """User ids that aren't whole numbers are null, titles fall back and are normalised."""
+    k = F.col("o_custkey")
+    user = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, F.concat(k.cast("string"), F.lit(".0"))).when(k % 4 == 2, F.concat(k.cast("string"), F.lit(".5"))).otherwise(F.lit("x"))
+    full = F.when(k % 3 == 0, F.concat(F.lit(" "), "o_orderpriority", F.lit("’")))
+    main = F.when(k % 3 == 2, F.lit("  ")).otherwise(F.concat(F.col("o_orderstatus"), F.lit("﻿ ")))
+    return survey.prepared(load(spark, sf, "orders").select("o_orderkey", user.alias("user_id"), full.alias("full_title"), main.alias("main_title"))).select("o_orderkey", "user_id", "full_title_norm", "main_title_norm")
+
+
+def survey_events(spark, sf) -> DataFrame:
+    """events as a long survey: country from the user, two main titles, the type as full title; small values count as no answer."""
+    e = load(spark, sf, "events")
+    country = F.when(F.col("user_id") % 5 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("country "), (F.col("user_id") % 5).cast("string")))
+    main = F.when(F.col("event_type").isin("click", "view"), "Use").otherwise("Other")
+    return e.select(F.col("event_id").alias("row_number"), "user_id", country.alias("country"), main.alias("main_title_norm"), F.col("event_type").alias("full_title_norm"), F.when(F.col("value") > 5, F.col("value").cast("string")).alias("answer_value"))
+
+
+_SURVEY = """l AS (SELECT user_id, 'country ' || (user_id % 5) AS country, CASE WHEN event_type IN ('click', 'view') THEN 'Use' ELSE 'Other' END AS main_title_norm, event_type AS full_title_norm,
+    arg_max(value, event_id) AS answer FROM events WHERE user_id % 5 <> 0 AND value > 5 GROUP BY ALL)"""
+
+
+@query(f"WITH {_SURVEY} SELECT user_id, country, main_title_norm, full_title_norm, answer FROM l")
+def survey_answers(spark, sf):
+    """P18 in long form."""
+    return survey.answers_long(survey_events(spark, sf)).withColumn("answer", F.col("answer").cast("double"))
+
+
+@query(
+    f"""WITH {_SURVEY} SELECT user_id, country, max(answer) FILTER (full_title_norm = 'click') AS "Use | click", max(answer) FILTER (full_title_norm = 'error') AS "Other | error", max(answer) FILTER (full_title_norm = 'purchase') AS "Other | purchase",
+    max(answer) FILTER (full_title_norm = 'signup') AS "Other | signup", max(answer) FILTER (full_title_norm = 'view') AS "Use | view" FROM l GROUP BY user_id, country"""
+)
+def survey_answers_wide(spark, sf):
+    """P18 for export."""
+    titles = [("Use", "click"), ("Other", "error"), ("Other", "purchase"), ("Other", "signup"), ("Use", "view")]
+    made = survey.answers_wide(survey.answers_long(survey_events(spark, sf)), titles)
+    return made.select("user_id", "country", *[F.col(f"`{' | '.join(t)}`").cast("double").alias(" | ".join(t)) for t in titles])
+
+
+@query(f"WITH {_SURVEY} SELECT user_id, full_title_norm AS full_title, answer FROM l WHERE main_title_norm = 'Use'")
+def survey_question_texts(spark, sf):
+    """One main question chosen, its texts by user."""
+    chosen = survey.select_questions(survey.answers_long(survey_events(spark, sf)), [" Use' "])
+    return survey.question_texts(chosen, "Use ").select("user_id", "full_title", F.col("text").cast("double").alias("answer"))
+
+
+@query("SELECT doc_id, source, md5(text) AS text_md5 FROM documents WHERE trim(text, E' \\t\\n\\r\\f\\x0b') <> ''")
+def analysis_rows(spark, sf):
+    """The role columns of rows that have an answer."""
+    return profile.analysis_table(load(spark, sf, "documents"), ["source"], ["text"], True, "doc_id").select("doc_id", "source", F.md5("text").alias("text_md5"))
+
+
+@query(
+    """WITH p AS (SELECT md5(p_name || '/' || p_type || '/' || p_size) AS key, p_partkey, p_size FROM part), h AS (SELECT DISTINCT key FROM p WHERE p_size > 25)
+    SELECT key, 'miss' AS state, min(p_partkey) AS partkey FROM p WHERE key NOT IN (SELECT key FROM h) GROUP BY key
+    UNION ALL SELECT key, CASE WHEN key IN (SELECT key FROM h) THEN 'hit' ELSE 'none' END, p_partkey FROM p"""
+)
+def cache_lookup(spark, sf):
+    """Texts that must be sent, once each, and every text with what the cache holds of it."""
+    p = load(spark, sf, "part").select(F.md5(F.concat_ws("/", "p_name", "p_type", "p_size")).alias("key"), "p_partkey", "p_size")
+    known = p.where("p_size > 25").select("key", F.lit("hit").alias("state")).distinct()
+    misses = store.cache_misses(p, known).select("key").join(p.groupBy("key").agg(F.min("p_partkey").alias("partkey")), "key").select("key", F.lit("miss").alias("state"), "partkey")
+    return misses.unionByName(store.cached(p, known).select("key", F.coalesce("state", F.lit("none")).alias("state"), F.col("p_partkey").alias("partkey")))
+
+
+class Bracketed:
+    """A stand-in for a translation service."""
+
+    def translate(self, texts):
+        return [f"[{t}]" for t in texts]
+
+
+@query(
+    """SELECT doc_id AS row_number, CASE WHEN lang <> 'en' THEN md5(trim(regexp_replace('[' || text || ']', '\\s+', ' ', 'g'))) ELSE md5(text) END AS translated_md5, lang <> 'en' AS translated FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL"""
+)
+def translated_answers(spark, sf):
+    """Distinct foreign texts go through the translator in batches; a stand-in puts brackets round them."""
+    d = load(spark, sf, "documents").where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("doc_id").alias("row_number"), "text", F.col("lang").alias("language"))
+    return providers.translate(d, Bracketed()).select("row_number", F.md5("translated_text").alias("translated_md5"), "translated")
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, md5(nullif(text, '')) AS text_md5, source, (SELECT count(*) FROM documents) AS rows, (SELECT count(*) FROM documents) AS last_row FROM documents")
+def csv_round_trip(spark, sf):
+    """The table as a CSV export, read back with its encoding, separator and headers found; row numbers are consecutive."""
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("row_number"), "doc_id", "text", "source")
+    path = f"{graph.shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    store.write_csv(d, path, ["source"], ["text"])
+    table = csv_source.read_csv(spark, path)
+    cells = table.frame.select("row_number", *[F.col(f"c{i}").alias(h) for i, h in enumerate(table.headers)])
+    numbers = cells.agg(F.count_distinct("row_number").alias("rows"), F.max("row_number").alias("last_row"))  # one row
+    n = numbers.first()
+    return cells.select("doc_id", F.md5("text").alias("text_md5"), "source", F.lit(n["rows"]).alias("rows"), F.lit(n["last_row"]).alias("last_row"))
+
+
 # --- vertical and wide assembly ------------------------------------------------------------------
 
 

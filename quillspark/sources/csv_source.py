@@ -98,10 +98,16 @@ class Table:
 
 
 def _head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> bytes:
-    """The first bytes, through Spark's own file systems."""
+    """The first bytes, through Spark's own file systems; of a folder, those of its first file that isn't empty."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(p).isDirectory():
+        files = [f.getPath() for f in fs.listStatus(p) if f.isFile() and f.getLen() and f.getPath().getName()[0] not in "._"]
+        if not files:
+            return b""
+        p = min(files, key=lambda f: f.getName())
+    stream = fs.open(p)
     try:
         return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
     finally:
@@ -195,6 +201,7 @@ def numbered(df: DataFrame, ids: str | None = None) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> Table:
     """Every cell a string, quoted line ends kept, headers by position.
 
+    path: a file, or a folder of files with the same header, whose rows are numbered in the order Spark reads the files.
     Empty cells are null. A quote that never ends is an error that asks for a new export. The file is read in splits
     unless a quoted cell holds a line end, or its characters are wider than a byte (UTF-16): then it is one task's.
     """
