@@ -157,36 +157,32 @@ def capped(c: Column, most: int = 3000) -> Column:
 
 
 def _merged(chunks: Column) -> Column:
-    """A chunk that begins with a continuation word joins the one before it."""
+    """A chunk that begins with a continuation word joins the one before it. Collapsed texts have no line ends, so one can part chunks."""
+    first = lambda c: F.regexp_extract(fold(F.regexp_extract(c, WORD, 0)), WORD, 0)
+    marked = F.transform(chunks, lambda c, i: F.concat(F.when((i > 0) & first(c).isin(list(CONTINUATIONS)), " ").otherwise("\n"), c))
+    return F.transform(F.split(F.substring(F.array_join(marked, ""), 2, 1 << 30), "\n"), strip)
 
-    def step(held: Column, chunk: Column) -> Column:
-        first = F.regexp_extract(fold(chunk), WORD, 0)
-        joins = (F.size(held) > 0) & first.isin(list(CONTINUATIONS))
-        last = F.coalesce(F.get(held, F.size(held) - 1), F.lit(""))
-        longer = F.concat(F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0))), F.array(strip(F.concat_ws(" ", last, chunk))))
-        return F.when(joins, longer).otherwise(F.concat(held, F.array(chunk)))
 
-    return F.aggregate(chunks, F.array().cast("array<string>"), step)
+def _valid(chunks: Column, text: Column) -> Column:
+    good = lambda m: (F.size(m) >= 2) & F.forall(m, lambda s: word_count(s) > 3)
+    return once(_merged(chunks), lambda m: F.when(good(m), m).otherwise(F.array(text)))
 
 
-def _valid(chunks: Column, text: Column) -> Column:
-    merged = _merged(chunks)
-    good = (F.size(merged) >= 2) & F.forall(merged, lambda s: word_count(s) > 3)
-    return F.when(good, merged).otherwise(F.array(text))
+def sentences(text: Column) -> Column:
+    """Runs up to a full stop. A run begins at the start or after a stop, so a text without stops is looked through once."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?<![^.])[^.]+\."), 0), strip)
+
+
+def covers(parts: Column, text: Column) -> Column:
+    return (F.size(parts) >= 2) & (collapse(F.array_join(parts, " ")) == collapse(text))
 
 
 def fragments(text: Column) -> Column:
     """X11: the sentences of a collapsed text, or its comma clauses, or the text itself."""
-    sentences = F.transform(F.regexp_extract_all(text, F.lit(r"[^.]+\."), 0), strip)
     clauses = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^,]+,?"), 0), strip), lambda s: s != "")
-    covers = lambda parts: collapse(F.array_join(parts, " ")) == collapse(text)
-    bare = F.transform(clauses, lambda s: F.when(s.endswith(","), strip(F.regexp_replace(s, ",$", ""))).otherwise(s))
-    return (
-        F.when((F.size(sentences) >= 2) & covers(sentences), _valid(sentences, text))
-        .when(text.contains("."), F.array(text))
-        .when((F.size(clauses) >= 2) & covers(clauses), _valid(bare, text))
-        .otherwise(F.array(text))
-    )
+    bare = lambda parts: F.transform(parts, lambda s: F.when(s.endswith(","), strip(F.regexp_replace(s, ",$", ""))).otherwise(s))
+    by_clauses = once(clauses, lambda c: F.when(covers(c, text), _valid(bare(c), text)).otherwise(F.array(text)))
+    return F.when(text.contains("."), once(sentences(text), lambda s: F.when(covers(s, text), _valid(s, text)).otherwise(F.array(text)))).otherwise(by_clauses)
 
 
 # --- labels and sentences about groups ---------------------------------------------------------

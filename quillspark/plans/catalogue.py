@@ -148,8 +148,7 @@ def usable_responses(spark, sf):
 def fragment_kinds(spark, sf):
     """Which of the three ways of cutting applies to an answer (before chunks are validated)."""
     a = load(spark, sf, "documents").select(X.answer(F.col("text")).alias("t")).where("t IS NOT NULL")
-    chunks = F.transform(F.regexp_extract_all("t", F.lit(r"[^.]+\."), 0), X.strip)
-    kind = F.when((F.size(chunks) >= 2) & (X.collapse(F.array_join(chunks, " ")) == F.col("t")), "sentences").when(F.col("t").contains("."), "whole").otherwise("commas")
+    kind = F.when(X.covers(X.sentences(F.col("t")), F.col("t")), "sentences").when(F.col("t").contains("."), "whole").otherwise("commas")
     return a.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.char_length("t")).alias("chars"))
 
 

@@ -155,11 +155,9 @@ def detect_language(c, known=None):
     """The given language where it isn't `auto`; else null for texts under eight characters, and a plain guess by function words."""
     t = F.concat(F.lit(" "), X.fold(X.collapse(F.coalesce(c, F.lit("")))), F.lit(" "))
     words = {"en": (" the ", " and ", " of "), "de": (" der ", " die ", " und "), "fr": (" le ", " les ", " et "), "es": (" el ", " los ", " y ")}
-    hits = {k: sum((F.regexp_count(t, F.lit(w)) for w in ws), F.lit(0)) for k, ws in words.items()}
-    best = F.greatest(*hits.values())
-    guess = F.when(best == 0, F.lit(None).cast("string"))
-    for k, n in hits.items():
-        guess = guess.when(n == best, k)
+    hits = X.once(t, lambda s: F.array(*[sum((F.regexp_count(s, F.lit(w)) for w in ws), F.lit(0)) for ws in words.values()]))
+    codes = F.array(*map(F.lit, words))
+    guess = X.once(hits, lambda h: F.when(F.array_max(h) > 0, F.element_at(codes, F.array_position(h, F.array_max(h)).cast("int"))))
     guess = F.when(F.char_length(X.strip(c)) >= 8, guess)
     return guess if known is None else F.when(~F.lower(F.coalesce(known, F.lit(""))).isin("", "auto"), known).otherwise(guess)
 
