@@ -627,6 +627,17 @@ def test_embedding_uses_the_cache_and_keeps_rows(spark):
     assert got[1] == got[2] and got[4] is None and abs(math.fsum(x * x for x in got[3]) - 1) < 1e-6
 
 
+def test_the_second_embedder_serves_where_the_first_fails():
+    class Failing(providers.HashedEmbedder):
+        def embed(self, texts):
+            raise providers.classified(self.dimensions)
+
+    own = providers.HashedEmbedder(8)
+    assert (providers.FallbackEmbedder(Failing(401), own).embed(["good tea"]) == own.embed(["good tea"])).all()
+    with pytest.raises(providers.ProviderError):
+        providers.FallbackEmbedder(Failing(429), own).embed(["good tea"])
+
+
 def test_retries_and_quotas():
     waits, calls = [], []
 
