@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,7 +152,7 @@ class Engine:
         final = topics.summaries(placed.select("row_number", "fragment_no", "community", "text"), top=s.top_terms, examples=s.examples).drop("label").join(F.broadcast(label), "community", "left")
         final = final.withColumn("label", F.coalesce("label", F.lit(topics.NOISE_LABEL)))
         final = final.withColumn("comment", X.group_comment(F.col("label"), F.col("count"), F.col("total_documents"), F.col("example_rows")))
-        places = graph.circle(v) if edges.isEmpty() else graph.principal_layout(v)
+        places = graph.circle(v) if edges.isEmpty() else graph.pulled_layout(graph.principal_layout(v), edges)
         nodes = placed.select((F.col("row_number") * s.nodes + F.col("fragment_no")).alias("node"), "row_number", "community")
         points = graph.plot_points(nodes.select("node", "community"), places, nodes.select("node", "row_number"))
         return Analysis("community", column, placed, final, points, graph.plot_edges(edges, points), warnings=warnings)
@@ -167,6 +167,16 @@ class Engine:
 
         return run
 
+    def translate_outputs(self, analysis: Analysis) -> Analysis:
+        """The analysis with labels and terms translated for display; the comments follow the labels."""
+        groups, ngrams = analysis.groups, analysis.ngrams
+        if groups is not None and "comment" in groups.columns:
+            groups = providers.translate_outputs(groups, self.translator, "label", F.col("label") == topics.NOISE_LABEL)
+            groups = groups.withColumn("comment", X.group_comment(F.col("label"), F.col("count"), F.col("total_documents"), F.col("example_rows")))
+        if ngrams is not None:
+            ngrams = providers.translate_outputs(ngrams, self.translator, "term")
+        return replace(analysis, groups=groups, ngrams=ngrams)
+
     # --- results -------------------------------------------------------------------------------------
 
     def group_documents(self, analysis: Analysis, community: int, offset: int = 0, limit: int = 100) -> store.Page:

@@ -14,6 +14,9 @@ from ..sources.csv_source import Table
 from . import headers as H
 
 
+MOST_QUESTIONS = 10_000  #: questions, thus columns, of a vertical table
+
+
 class TransformError(ValueError):
     pass
 
@@ -90,7 +93,8 @@ def wide(table: Table, m: Manifest) -> tuple[DataFrame, list[str]]:
 def vertical(table: Table, m: Manifest) -> tuple[DataFrame, list[str]]:
     """One row per record key: consolidated metadata, left-joined with the pivoted last answers.
 
-    The distinct questions are the one thing that must be known before the plan is complete.
+    The distinct questions are the one thing that must be known before the plan is complete. More than MOST_QUESTIONS
+    are an error: then a column of free text was taken for the question.
     """
     a = m.assembly
     clean = scoped(table, m)
@@ -100,7 +104,9 @@ def vertical(table: Table, m: Manifest) -> tuple[DataFrame, list[str]]:
     records = clean.select("row_number", *[F.col(f"c{i}").alias(name[i]) for i in a.keys], F.coalesce(*[X.usable_title(F.col(f"c{i}")) for i in a.questions]).alias("question"), F.col(f"c{a.answer}").alias("answer"))
     answers = last_answers(drop_invalid(records, keys, "question", "answer"), keys, "question", "answer", "row_number")
     people = first_values(clean.select("row_number", *[F.col(f"c{i}").alias(n) for i, n in name.items()]), keys, values, "row_number")
-    questions = sorted(r[0] for r in answers.select("question").distinct().collect())
+    questions = sorted(r[0] for r in answers.select("question").distinct().limit(MOST_QUESTIONS + 1).collect())
+    if len(questions) > MOST_QUESTIONS:
+        raise TransformError(f"more than {MOST_QUESTIONS} questions: the question column holds free text")
     metadata = [name[i] for i in m.metadata]
     wide_answers = pivot_answers(answers, keys, "question", "answer", questions)
     clashing = {n: (n if n not in {"row_number", *metadata} else f"{n} (question)") for n in questions}

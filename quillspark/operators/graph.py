@@ -215,28 +215,61 @@ def circle(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.cos(turn).alias("x"), F.sin(turn).alias("y"))
 
 
-def principal_layout(vectors: DataFrame) -> DataFrame:
-    """The two principal directions of the vectors, from the d x d moment matrix."""
-    d = len(vectors.first()["v"])
-
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = np.zeros((d + 1, d + 1))
-        for b in batches:
-            x = np.hstack([np.stack(b["v"].to_numpy()), np.ones((len(b), 1))])
-            m += x.T @ x
-        yield pd.DataFrame({"i": np.repeat(np.arange(d + 1), d + 1), "j": np.tile(np.arange(d + 1), d + 1), "m": m.ravel()})
-
-    rows = vectors.select("v").mapInPandas(moments, "i int, j int, m double").groupBy("i", "j").agg(F.sum("m").alias("m")).collect()  # (d + 1) squared rows
-    m = np.zeros((d + 1, d + 1))
-    for r in rows:
-        m[r["i"], r["j"]] = r["m"]
-    n = m[d, d]
-    mean = m[:d, d] / n
-    _, axes = np.linalg.eigh(m[:d, :d] / n - np.outer(mean, mean))
-    x, y = (F.array(*[F.lit(float(v)) for v in axes[:, -k] * (1 if axes[np.argmax(np.abs(axes[:, -k])), -k] > 0 else -1)]) for k in (1, 2))
+def principal_layout(vectors: DataFrame, width: int = 8, passes: int = 6) -> DataFrame:
+    """Places by the two principal directions of the vectors, found by subspace iteration.
+
+    A pass multiplies the vectors' covariance by `width` directions within the tasks, so d rows of `width` sums come to
+    the driver, whatever the number of vectors. No vectors: no rows.
+    """
+    head = vectors.select("v").first()
+    if head is None:
+        return vectors.select("node", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    d = len(head["v"])
+    width = min(width, d)
+    columns = [f"m{j}" for j in range(width + 1)]
+
+    def times(basis: np.ndarray) -> np.ndarray:
+        """The covariance matrix times the basis."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums, n = np.zeros((d + 1, width + 1)), 0
+            for b in batches:
+                x = np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, d))
+                sums[:d, :width] += x.T @ (x @ basis)
+                sums[:d, width] += x.sum(axis=0)
+                n += len(x)
+            sums[d, width] = n
+            if n:
+                yield pd.DataFrame(sums, columns=columns).assign(i=np.arange(d + 1, dtype="int32"))
+
+        made = vectors.select("v").mapInPandas(run, ", ".join(f"{c} double" for c in columns) + ", i int")
+        m = made.groupBy("i").agg(*[F.sum(c).alias(c) for c in columns]).orderBy("i").toPandas()[columns].to_numpy()  # d + 1 rows
+        n = m[d, width]
+        mean = m[:d, width] / n
+        return m[:d, :width] / n - np.outer(mean, mean @ basis)
+
+    basis = np.linalg.qr(np.random.default_rng(0).standard_normal((d, width)))[0]
+    for _ in range(passes):
+        basis = np.linalg.qr(times(basis))[0]
+    axes = basis @ np.linalg.eigh(basis.T @ times(basis))[1]
+    picked = [axes[:, -min(k, width)] for k in (1, 2)]
+    x, y = (F.array(*[F.lit(float(v)) for v in a * (1 if a[np.argmax(np.abs(a))] > 0 else -1)]) for a in picked)
     return vectors.select("node", X.dot(F.col("v"), x).alias("x"), X.dot(F.col("v"), y).alias("y"))
 
 
+def pulled_layout(places: DataFrame, e: DataFrame, rounds: int = 2, pull: float = 0.5) -> DataFrame:
+    """Places after each edge has pulled its ends: a node goes `pull` of the way to the weighted mean of its neighbours, every round.
+
+    Nodes without an edge of positive weight stay. A round is one aggregation over the edges.
+    """
+    both = e.select("src", "dst", "weight").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("weight > 0")
+    for _ in range(rounds):
+        near = both.join(places.toDF("dst", "__x", "__y"), "dst").groupBy("src").agg(*[(F.sum(F.col("weight") * F.col(f"__{c}")) / F.sum("weight")).alias(f"__{c}") for c in "xy"])
+        moved = [F.coalesce(F.col(c) + pull * (F.col(f"__{c}") - F.col(c)), F.col(c)).alias(c) for c in "xy"]
+        places = places.join(near.withColumnRenamed("src", "node"), "node", "left").select("node", *moved)
+    return places
+
+
 def similarity_edges(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS, mutual: bool = True, languages: DataFrame | None = None, compat: bool = False) -> DataFrame:
     return edges(directed(nearest(vectors, k), threshold, languages), mutual, compat)
 

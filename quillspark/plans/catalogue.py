@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from .. import providers
 from ..functions import text as X
-from ..functions.words import RELEVANCE_STOPWORDS, STOPWORDS
+from ..functions.words import LEADING_TRIM, RELEVANCE_STOPWORDS, STOPWORDS, TRAILING_TRIM
 from ..operators import assembly, communities, facets, graph, profile, rank, report, store, survey, terms, topics
 from ..sources import csv_source
 from . import manifest as M
@@ -519,10 +519,26 @@ def evidence_ngrams(spark, sf):
     return terms.evidence_ngrams(answers(spark, sf), 2, ["source"], 3)
 
 
-@query()
+def _from_first(words: str, stop) -> str:
+    """words from the first on that isn't in stop; the last one where all are."""
+    return f"{words}[coalesce(nullif(list_position(list_transform({words}, lambda x: x NOT IN ({_words(stop)})), true), 0), len({words})):]"
+
+
+@query(
+    rf"""WITH RECURSIVE d AS (SELECT * FROM (SELECT doc_id, source, text FROM documents QUALIFY row_number() OVER (PARTITION BY source, {_fold("text")} ORDER BY doc_id) = 1) QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 120),
+    t AS (SELECT doc_id, source, list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) > 1), lambda x: {_fold("x")}) AS w FROM d),
+    g AS (SELECT doc_id, source, 2 AS n, unnest(range(1, len(w))) AS i, w FROM t UNION ALL SELECT doc_id, source, 3, unnest(range(1, len(w) - 1)), w FROM t),
+    a AS (SELECT doc_id, source, n, i, w[i:i + n - 1] AS w FROM g), l AS (SELECT doc_id, source, n, i, list_reverse({_from_first("w", LEADING_TRIM)}) AS w FROM a),
+    f AS (SELECT doc_id, source, n, i, array_to_string(list_reverse({_from_first("w", TRAILING_TRIM)}), ' ') AS term FROM l),
+    o AS (SELECT doc_id, source, term, min((n, i)) AS pos FROM f WHERE contains(term, ' ') GROUP BY ALL),
+    k AS (SELECT source, term, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, min((doc_id, pos)), term) AS k FROM o GROUP BY source, term HAVING count(*) >= 2),
+    r(source, k, held) AS (SELECT DISTINCT source, 0::BIGINT, []::VARCHAR[] FROM k
+        UNION ALL SELECT r.source, k.k, CASE WHEN len(held) < 8 AND len(list_filter(held, lambda h: contains(h, term) OR contains(term, h))) = 0 THEN list_append(held, term) ELSE held END FROM r JOIN k ON k.source = r.source AND k.k = r.k + 1)
+    SELECT source, array_to_string(arg_max(held, k), '; ') AS phrases FROM r GROUP BY source"""
+)
 def context_phrases(spark, sf):
-    """Checked by a scenario in the tests."""
-    return terms.chosen_phrases(terms.context_phrases(answers(spark, sf), ["source"]), ["source"], 8)
+    chosen = terms.chosen_phrases(terms.context_phrases(answers(spark, sf), ["source"]), ["source"], 8)
+    return chosen.select("source", F.array_join("phrases", "; ").alias("phrases"))
 
 
 # --- ranking ---------------------------------------------------------------------------------------
@@ -559,9 +575,21 @@ def representativeness_hits(spark, sf):
     return rank.representativeness(answers(spark, sf), topic_table(spark).select("lang", "terms"), ["lang"]).select("lang", "row_number", "hits")
 
 
-@query()
+def _place(term: str) -> str:
+    """Where a whole word starts first, from 1."""
+    return rf"length(regexp_extract(lower(text), '(?s)^((?:.*?[^\p{{L}}\p{{N}}_\p{{M}}])?)' || {term} || '(?:[^\p{{L}}\p{{N}}_\p{{M}}]|$)', 1)) + 1"
+
+
+@query(
+    rf"""WITH {_TOPIC_SQL}, h AS (SELECT lang, doc_id, text, list_transform(terms, lambda x: {_hits("x")}) AS f, list_transform(terms, lambda x: {_place("x")}) AS places,
+        len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}_'']*[\p{{L}}\p{{N}}_])?')) AS n_words FROM documents JOIN topics USING (lang)),
+    s AS (SELECT *, len(list_filter(f, lambda n: n > 0)) AS hits, list_sum(f) AS matches, list_sum(list_transform(f, lambda n, i: n * (len(f) + 1 - i))) AS weighted,
+        list_position(list_transform(f, lambda n: n > 0), true) AS best, list_min(list_filter(list_transform(f, lambda n, i: CASE WHEN n > 0 THEN places[i] END), lambda p: p IS NOT NULL)) AS first FROM h)
+    SELECT lang, doc_id AS row_number, hits::INTEGER AS hits, row_number() OVER (PARTITION BY lang ORDER BY hits > 0 DESC, hits DESC, matches DESC, weighted DESC,
+        CASE WHEN hits > 0 THEN n_words ELSE 0 END, CASE WHEN hits > 0 THEN length(text) ELSE 0 END, CASE WHEN hits > 0 THEN best ELSE 0 END, CASE WHEN hits > 0 THEN first ELSE 0 END, doc_id) AS rank FROM s"""
+)
 def representativeness(spark, sf):
-    """The whole order; checked by a scenario in the tests."""
+    """The whole order."""
     return rank.representativeness(answers(spark, sf), topic_table(spark).select("lang", "terms"), ["lang"]).select("lang", "row_number", "hits", "rank")
 
 
@@ -611,15 +639,51 @@ def signature_merge(spark, sf):
     return two.join(sizes, "source").groupBy("signature").agg(F.min_by("source", F.struct(-F.col("n"), F.col("source"))).alias("primary_source"), F.sum("n").alias("n"), F.count("*").alias("groups"))
 
 
-@query()
+_ACRONYMS = _words(X.ACRONYMS)
+_KNOWN_GROUPS = (
+    f"""t AS (SELECT doc_id AS r, regexp_extract(source, '[0-9]+')::BIGINT AS c, text, {_tokens("text")} AS w FROM documents), z AS (SELECT c, count(*) AS n FROM t GROUP BY c), """
+    + ", ".join(
+        f"""x{n} AS (SELECT c, r, unnest(list_transform({_grams("w", n)}, lambda g, i: {{'term': g, 'pos': i}})) AS x FROM t),
+        k{n} AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n DESC, first, term) AS k FROM (SELECT c, x.term AS term, count(*) AS n, min((r, x.pos)) AS first FROM x{n} GROUP BY ALL))"""
+        for n in (1, 2, 3)
+    )
+    + f""", b AS (SELECT z.c, z.n, coalesce(u.terms, []) AS terms, coalesce(k3.term, k2.term, array_to_string(u.terms[1:2], ' '), '') AS phrase
+        FROM z LEFT JOIN (SELECT c, list(term ORDER BY k) AS terms FROM k1 WHERE k <= 6 GROUP BY c) u USING (c) LEFT JOIN k3 ON k3.c = z.c AND k3.k = 1 AND k3.n >= 2 LEFT JOIN k2 ON k2.c = z.c AND k2.k = 1 AND k2.n >= 2),
+    g AS (SELECT c, n, terms, CASE WHEN phrase = '' THEN 'Community ' || c ELSE array_to_string(list_transform(string_split(phrase, ' '), lambda p: CASE WHEN p IN ({_ACRONYMS}) THEN upper(p) ELSE upper(p[1:1]) || p[2:] END), ' ') END AS label,
+        CASE WHEN len(terms) >= 2 THEN array_to_string(list_sort(terms[1:2]), '+') ELSE '-' || c END AS signature FROM b),
+    s AS (SELECT *, first_value(c) OVER (PARTITION BY signature ORDER BY n DESC, c::VARCHAR) AS c1 FROM g)"""
+)
+_MERGED = f"""{_KNOWN_GROUPS}, s1 AS (SELECT c1, sum(n) AS n, flatten(list(terms)) AS terms FROM s GROUP BY c1),
+    m AS (SELECT s1.*, g.label, row_number() OVER (ORDER BY s1.n DESC, c1::VARCHAR) AS i, list_filter(regexp_extract_all(lower(g.label), '[a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN ({_words(w for w in RELEVANCE_STOPWORDS if w != "too")})) AS w FROM s1 JOIN g ON g.c = c1),
+    y AS (SELECT i, 'label ' || lower(label) AS key FROM m UNION SELECT i, unnest({_grams("w", 2)}) FROM m UNION SELECT i, unnest({_grams("w", 3)}) FROM m),
+    p AS MATERIALIZED (SELECT DISTINCT a.i AS a, b.i AS b FROM y a JOIN y b USING (key)), v(i, j) AS (SELECT i, i FROM m UNION SELECT p.b, v.j FROM v JOIN p ON p.a = v.i),
+    e AS (SELECT i, min(j) AS j FROM v GROUP BY i), f AS (SELECT h.c1 AS c2, any_value(h.label) AS label, flatten(list(m.terms)) AS terms FROM m JOIN e USING (i) JOIN m h ON h.i = e.j GROUP BY h.c1),
+    d AS (SELECT t.r, t.text, h.c1 AS c2 FROM t JOIN s USING (c) JOIN m ON m.c1 = s.c1 JOIN e USING (i) JOIN m h ON h.i = e.j),
+    q AS (SELECT d.r, d.c2, f.label, count(*) OVER (PARTITION BY d.c2) AS size, len(list_intersect({_relevance("d.text")}, list_concat({_relevance("f.label")}, flatten(list_transform(f.terms, lambda x: {_relevance("x")}))))) AS shared FROM d JOIN f USING (c2))"""
+
+
+@query(
+    f"""WITH RECURSIVE {_MERGED} SELECT CASE WHEN size >= 2 AND shared = 0 THEN -1 ELSE c2 END AS community, CASE WHEN size >= 2 AND shared = 0 THEN '{topics.NOISE_LABEL}' ELSE label END AS label, count(*) AS n, count(*) AS last_rank FROM q GROUP BY ALL"""
+)
 def merged_topics(spark, sf):
-    """Steps 6 to 11 on sources as groups: final groups with their documents' counts."""
+    """Steps 6 to 11 on sources as groups: merged by terms and by label, off-topic documents among the noise, with counts and last ranks."""
     d = answers(spark, sf).withColumn("community", F.regexp_extract("source", "[0-9]+", 0).cast("long")).drop("lang", "source")
     placed, groups, _ = topics.analyse(d)
     names = spark.createDataFrame([(g.id, g.label) for g in groups if not g.noise] + [(-1, topics.NOISE_LABEL)], "community long, label string")
     return placed.groupBy("community").agg(F.count("*").alias("n"), F.max("rank").alias("last_rank")).join(names, "community")
 
 
+@query(
+    f"""WITH {_KNOWN_GROUPS} SELECT c AS community, '[' || label || ']' AS label, label AS source_label, true AS translated, n FROM g WHERE c % 2 = 0
+    UNION ALL SELECT c, label, NULL, false, n FROM g WHERE c % 2 = 1"""
+)
+def translated_labels(spark, sf):
+    """Labels of groups translated for display, but for those that are done (odd numbers); a stand-in puts brackets round them."""
+    d = answers(spark, sf).withColumn("community", F.regexp_extract("source", "[0-9]+", 0).cast("long")).drop("lang", "source")
+    g = topics.summaries(d).select("community", "label", F.col("count").alias("n"))
+    return providers.translate_outputs(g, Bracketed(), "label", F.col("community") % 2 == 1)
+
+
 # --- graph -----------------------------------------------------------------------------------------
 
 
@@ -675,6 +739,20 @@ def components(spark, sf):
     return graph.components(graph.similarity_edges(v, SIMILARITY), v.select("node"))
 
 
+@query(
+    f"""WITH RECURSIVE {_COMPONENTS}, w AS (SELECT component FROM c GROUP BY component HAVING count(*) >= 4 AND count(*) FILTER (node % 5 <> 0) >= 0.75 * count(*)),
+    sb AS MATERIALIZED (SELECT src AS x, dst AS y FROM e WHERE weight >= {graph.split_threshold(SIMILARITY)} UNION SELECT dst, src FROM e WHERE weight >= {graph.split_threshold(SIMILARITY)}),
+    sr(x, m) AS (SELECT x, x FROM sb UNION SELECT sb.y, sr.m FROM sr JOIN sb ON sb.x = sr.x), least AS (SELECT x, min(m) AS m FROM sr GROUP BY x)
+    SELECT c.node, CASE WHEN w.component IS NULL THEN c.component ELSE coalesce(least.m, c.node) END AS community FROM c LEFT JOIN w USING (component) LEFT JOIN least ON least.x = c.node"""
+)
+def language_split(spark, sf):
+    """Components that one language rules fall apart; four nodes of five stand for Spanish, the fifth for English."""
+    v = vectors(spark, sf)
+    e = graph.similarity_edges(v, SIMILARITY)
+    found = graph.components(e, v.select("node")).withColumnRenamed("component", "community")
+    return graph.split_by_language(found, e, v.select("node", F.when(F.col("node") % 5 == 0, "en").otherwise("es").alias("lang")), SIMILARITY)
+
+
 _NAMED = f"{_COMPONENTS}, z AS (SELECT component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, component) - 1 AS id FROM c GROUP BY component HAVING count(*) >= 3), named AS (SELECT node, coalesce(id, -1) AS community FROM c LEFT JOIN z USING (component))"
 
 
@@ -721,6 +799,21 @@ def layout(spark, sf):
     return graph.principal_layout(vectors(spark, sf)).select("node", (~F.isnan("x") & ~F.isnan("y")).alias("placed"))
 
 
+_PULL = """{after} AS (SELECT p.node, coalesce(p.x + 0.5 * (n.x - p.x), p.x) AS x, coalesce(p.y + 0.5 * (n.y - p.y), p.y) AS y FROM {before} p LEFT JOIN
+    (SELECT b.src AS node, sum(weight * x) / sum(weight) AS x, sum(weight * y) / sum(weight) AS y FROM both_ways b JOIN {before} q ON q.node = b.dst GROUP BY b.src) n USING (node))"""
+
+
+@query(
+    f"""WITH {_edge_sql(str(SIMILARITY))}, both_ways AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e), p0 AS (SELECT node, v[1] AS x, v[2] AS y FROM v),
+    {_PULL.format(before="p0", after="p1")}, {_PULL.format(before="p1", after="p2")} SELECT node, round_even(x, 6) AS x, round_even(y, 6) AS y FROM p2"""
+)
+def pulled_layout(spark, sf):
+    """Where edges pull the nodes, from their vectors' first two coordinates."""
+    v = vectors(spark, sf)
+    start = v.select("node", F.get("v", 0).alias("x"), F.get("v", 1).alias("y"))
+    return graph.pulled_layout(start, graph.similarity_edges(v, SIMILARITY)).select("node", F.bround("x", 6).alias("x"), F.bround("y", 6).alias("y"))
+
+
 # --- views of finished results -------------------------------------------------------------------
 
 

@@ -196,11 +196,24 @@ def translate(df: DataFrame, translator: Translator, text: str = "text", languag
             yield pd.DataFrame({"source": b["source"], "found": out})
 
     made = foreign.mapInPandas(run, "source string, found string")
-    joined = df.join(made, df[text] == made["source"], "left")
+    joined = df.join(made, (df[text] == made["source"]) & df[language].isNotNull() & (df[language] != "en"), "left")
     changed = F.col("found").isNotNull() & (X.fold(X.collapse(F.col("found"))) != X.fold(X.collapse(F.col(text))))
     return joined.select(*[df[c] for c in df.columns], F.when(changed, F.col("found")).otherwise(F.col(text)).alias("translated_text"), changed.alias("translated"))
 
 
+def translate_outputs(df: DataFrame, translator: Translator, text: str = "label", done=None) -> DataFrame:
+    """Df with the text translated for display, `source_<text>` (the text before, null where nothing changed) and `translated`.
+
+    For labels of groups, terms of n-grams and the texts that represent them. Rows for which the condition `done` holds
+    (labels a model wrote, texts translated before) and blank texts stay; equal texts are sent once.
+    """
+    said = X.strip(F.col(text))
+    wanted = said != "" if done is None else (said != "") & ~F.coalesce(done, F.lit(False))
+    made = translate(df.withColumns({"__said": said, "__language": F.when(wanted, "auto")}), translator, "__said", "__language")
+    shown = F.when(F.col("translated"), F.col("translated_text")).otherwise(F.col(text)).alias(text)
+    return made.select(*[shown if c == text else F.col(c) for c in df.columns], F.when(F.col("translated"), F.col("__said")).alias(f"source_{text}"), "translated")
+
+
 # --- labels by a language model --------------------------------------------------------------------
 
 #: Labels that say nothing, and words of placeholders.

@@ -744,3 +744,62 @@ def test_engine_from_file_to_report(spark, tmp_path):
     assert engine.rows(key, limit=3).total == 25
     engine.set_role(key, "country__idx_1", "verbatim")
     assert engine.delete(key)
+
+
+def test_principal_layout_equals_the_decomposition(spark):
+    import numpy as np
+
+    from quillspark.operators import graph
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 12)) * np.array([9, 5, 2, *[1] * 9])
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "node long, v array<double>")
+    got = np.array([(r["x"], r["y"]) for r in graph.principal_layout(v).orderBy("node").collect()])
+    axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:2]
+    for k in (0, 1):
+        want = x @ axes[k] * np.sign(axes[k][np.argmax(np.abs(axes[k]))])
+        assert np.allclose(got[:, k], want, atol=1e-2)
+    assert graph.principal_layout(v.where("false")).count() == 0
+    one = spark.createDataFrame([(1, [0.5])], "node long, v array<double>")
+    assert graph.principal_layout(one).count() == 1
+
+
+def test_outputs_are_translated_for_display(spark):
+    from quillspark import providers
+
+    class Loud:
+        def translate(self, texts):
+            return [t + " x" for t in texts]
+
+    df = spark.createDataFrame([(1, " eins ", False), (2, "zwei", True), (3, "  ", None), (4, None, None), (5, "eins", None)], "id int, label string, ai boolean")
+    from pyspark.sql import functions as F
+
+    out = {r["id"]: (r["label"], r["source_label"], r["translated"]) for r in providers.translate_outputs(df, Loud(), "label", F.col("ai")).collect()}
+    assert out == {1: ("eins x", "eins", True), 2: ("zwei", None, False), 3: ("  ", None, False), 4: (None, None, False), 5: ("eins x", "eins", True)}
+    assert providers.translate_outputs(df.where("false"), Loud()).count() == 0
+
+
+def test_equal_texts_in_english_are_not_translated(spark):
+    from quillspark import providers
+
+    class Loud:
+        def translate(self, texts):
+            return [t + " x" for t in texts]
+
+    df = spark.createDataFrame([(1, "chat", "en"), (2, "chat", "fr")], "id int, text string, language string")
+    assert {r["id"]: r["translated_text"] for r in providers.translate(df, Loud()).collect()} == {1: "chat", 2: "chat x"}
+
+
+def test_too_many_questions_are_an_error(spark, monkeypatch, tmp_path):
+    from quillspark.operators import assembly
+    from quillspark.plans import manifest as M
+    from quillspark.sources.csv_source import read_csv
+
+    path = tmp_path / "v.csv"
+    path.write_text("respondent id,question,answer\n" + "".join(f"{i},question {i},some answer {i}\n" for i in range(6)))
+    table = read_csv(spark, f"file://{path}")
+    m = M.Manifest(layout=M.VERTICAL, metadata=(0,), assembly=M.Assembly(keys=(0,), questions=(1,), answer=2))
+    assert len(assembly.vertical(table, m)[0].columns) > 6
+    monkeypatch.setattr(assembly, "MOST_QUESTIONS", 5)
+    with pytest.raises(assembly.TransformError):
+        assembly.vertical(table, m)
