@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, common, decontamination, exact_dedup, lm_scoring, mixing, near_dedup, sharding, sql, token_store, toxicity, url_rules
+from . import chat_format, common, decontamination, exact_dedup, filter_audit, lm_scoring, mixing, near_dedup, sharding, sql, token_store, toxicity, url_rules
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -67,6 +67,10 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.document_index(token_store.write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -78,9 +82,11 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_token_store": op10_token_store,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE = {
+    "op12_filter_audit": sql.FILTER_AUDIT,
     "op8_near_dedup": sql.NEAR_DUPLICATES,
     "op9_lm_scoring": sql.lm_scores(lm_scoring.SMOOTHING),
     "op2_decontamination": sql.DECONTAMINATION,

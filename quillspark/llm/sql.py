@@ -64,3 +64,21 @@ def lm_scores(smoothing: float) -> str:
         FROM d JOIN c USING (a, b) JOIN u USING (b) JOIN h USING (a) JOIN du USING (doc_id, b) JOIN dh USING (doc_id, a), z),
     s AS (SELECT doc_id, sum(times)::BIGINT AS n, sum(lt * times) / sum(times) AS lt, sum(lb * times) / sum(times) AS lb FROM l GROUP BY doc_id)
     SELECT d.doc_id, coalesce(n, 0) AS n_tokens, round_even(lt, 8) AS target_loss, round_even(lb, 8) AS background_loss, round_even(lt - lb, 8) AS score FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id"""
+
+
+FILTER_AUDIT = r"""
+    WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+    l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, MAP {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+        'C': 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t), 'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(d.doc_id > least, false)} AS fails
+        FROM d JOIN s USING (t) LEFT JOIN l ON d.doc_id = l.doc_id),
+    c AS MATERIALIZED (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+    orders(o) AS (SELECT '' UNION ALL SELECT o || x FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE strpos(o, x) = 0),
+    steps AS (SELECT o AS filter_order, step::INTEGER AS step, substr(o, step, 1) AS x, string_split(substr(o, 1, step - 1), '') AS earlier FROM orders, (VALUES (1), (2), (3), (4), (5)) k(step) WHERE length(o) = 5),
+    r AS MATERIALIZED (SELECT part, filter_order, step, x, n, good, toxic, fails[x] AS failing, step > 1 AND list_bool_or(list_transform(earlier, lambda e: coalesce(fails[e], false))) AS gone,
+        NOT list_bool_or(list_transform(list_filter(['A', 'B', 'C', 'D', 'E'], lambda e: e <> x), lambda e: fails[e])) AS no_other FROM c, steps),
+    a AS (SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND failing), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (gone AND failing), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (failing AND no_other), 0)::BIGINT AS unique_fails,
+        coalesce(sum(n) FILTER (NOT gone AND failing AND good = 1), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (NOT gone AND failing AND toxic = 1), 0)::BIGINT AS toxic_lost FROM r GROUP BY ALL)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM a"""
