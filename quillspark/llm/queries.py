@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, common, decontamination, exact_dedup, filter_audit, lm_scoring, mixing, near_dedup, sharding, sql, token_store, toxicity, url_rules
+from . import chat_format, common, decontamination, exact_dedup, filter_audit, lm_scoring, mixing, near_dedup, sharding, sql, token_store, toxicity, url_rules, whitening
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -71,6 +71,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -83,6 +87,7 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_token_store": op10_token_store,
     "op12_filter_audit": op12_filter_audit,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE = {
