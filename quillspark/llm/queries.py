@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, common, decontamination, exact_dedup, filter_audit, lm_scoring, mixing, near_dedup, sharding, sql, token_store, toxicity, url_rules, whitening
+from . import chat_format, common, decontamination, exact_dedup, filter_audit, lm_scoring, mixing, near_dedup, quality, sharding, sql, token_store, toxicity, url_rules, whitening
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -67,6 +67,11 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.document_index(token_store.write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_token_store": op10_token_store,
+    "op11_quality": op11_quality,
     "op12_filter_audit": op12_filter_audit,
     "op13_whitening": op13_whitening,
 }
