@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, text_or_empty
+from .common import join_by_size, materialise, text_or_empty
 
 MARGINS = ("source", "lang", "topic")
 SWEEPS, PER_JOB = 20, 5
+MOST_CELLS = 100_000  #: cells whose probabilities are broadcast to sample()
 TOLERANCE = 1e-3  #: residual of a margin above which rake() warns
 
 
@@ -88,6 +89,22 @@ def draw(seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def _cells_of(docs: DataFrame, words: Column) -> list[Column]:
+    """The cell of a row of docs, a column for each margin."""
+    topic = F.coalesce(F.col("topic").cast("string"), F.lit("")) if "topic" in docs.columns else form_topic(words)
+    return [F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), topic.alias("topic")]
+
+
+def cell_chances(rows: DataFrame, temperature: float, sweeps: int, targets: Mapping[str, Mapping[str, float]] | None) -> DataFrame:
+    """A row for each cell of rows (source, lang, topic, n_tokens): its probability, and its number of rows as `members`."""
+    cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("members"))
+    wanted = targets or {}
+    fitted = rake(cells, {m: given(cells, m, wanted[m]) if m in wanted else tempered(cells, m, temperature) for m in MARGINS}, sweeps)
+    factors = fitted.select(*MARGINS, "members", F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).alias("factor"))
+    top = factors.agg(F.max("factor")).first()[0]
+    return factors.select(*MARGINS, "members", F.coalesce(F.bround(F.try_divide("factor", F.lit(top).cast("double")), 9), F.lit(1.0)).alias("probability"))
+
+
 def mix(docs: DataFrame, temperature: float = 0.8, sweeps: int = SWEEPS, seed: str = "mix", targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
     """Every row of docs: doc_id, source, lang, topic, n_tokens, probability, kept.
 
@@ -99,19 +116,27 @@ def mix(docs: DataFrame, temperature: float = 0.8, sweeps: int = SWEEPS, seed: s
     effect: where present it is used.
     """
     rows = docs.withColumn("__n", n_words())
-    topic = F.coalesce(F.col("topic").cast("string"), F.lit("")) if "topic" in docs.columns else form_topic(F.col("__n"))
-    rows = rows.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), topic.alias("topic"), F.col("__n").alias("n_tokens"))
+    rows = rows.select("doc_id", *_cells_of(docs, F.col("__n")), F.col("__n").alias("n_tokens"))
     rows = materialise(rows, "rows")  # numbers and labels only
-    cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
-    wanted = targets or {}
-    fitted = rake(cells, {m: given(cells, m, wanted[m]) if m in wanted else tempered(cells, m, temperature) for m in MARGINS}, sweeps)
-    factors = fitted.select(*MARGINS, F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).alias("factor"))
-    top = factors.agg(F.max("factor")).first()[0]
-    chances = factors.select(*MARGINS, F.coalesce(F.bround(F.try_divide("factor", F.lit(top).cast("double")), 9), F.lit(1.0)).alias("probability"))
+    chances = cell_chances(rows, temperature, sweeps, targets).drop("members")
     return rows.join(chances, list(MARGINS)).withColumn("kept", draw(seed) < F.col("probability"))
 
 
 def sample(docs: DataFrame, temperature: float = 0.8, sweeps: int = SWEEPS, seed: str = "mix", targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
-    """The rows of docs, all columns, that mix() keeps."""
-    kept = mix(docs, temperature, sweeps, seed, targets).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    """The rows of docs, all columns, that mix() keeps.
+
+    Every row is judged by its own cell's probability, so rows of one doc_id in different cells part as mix() says. Up to
+    MOST_CELLS cells are broadcast with their probabilities; of more, only the cells with many rows are, and rows of the others are
+    shuffled by cell. Nulls, repeated rows and empty tables as in mix().
+    """
+    rows = docs.withColumn("__n", n_words())
+    rows = rows.withColumns({f"__{m}": c for m, c in zip(MARGINS, _cells_of(rows, F.col("__n")))})
+    keys = [f"__{m}" for m in MARGINS]
+    counted = rows.select(*(F.col(f"__{m}").alias(m) for m in MARGINS), F.col("__n").alias("n_tokens"))
+    chances = cell_chances(counted, temperature, sweeps, targets).select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("members").alias("__members"), F.col("probability").alias("__probability"))
+    chances = materialise(chances, "chances")
+    if chances.count() <= MOST_CELLS:
+        judged = rows.join(F.broadcast(chances), keys)
+    else:
+        judged = join_by_size(rows, chances, keys, size="__members")
+    return judged.where(draw(seed) < F.col("__probability")).select(*docs.columns)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, common, decontamination, exact_dedup, filter_audit, lm_scoring, mixing, near_dedup, quality, sharding, sql, token_store, toxicity, url_rules, whitening
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 

@@ -2,7 +2,7 @@
 
 The key of a host is its labels in reverse order, each followed by U+0001 (`www.example.net` becomes
 `net.example.www.` with U+0001 for the dots), so a host and all its subdomains are one interval of keys
-and rules nest like brackets. Pages are range-partitioned by (key, page_id), which also spreads a host
+and rules nest like brackets; under a host, paths nest the same way. Pages are range-partitioned by (key, page_id), which also spreads a host
 with many pages, every rule is copied to the partitions its interval meets, and each partition is
 swept once in key order with a stack of the rules whose interval is open.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, materialise
 
-SEP = "\x01"
+SEP, ESCAPE = "\x01", "\x02"
 
 
 def host_of(url: Column) -> Column:
@@ -32,24 +32,53 @@ def path_of(url: Column) -> Column:
 
 
 def host_key(host: Column) -> Column:
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), SEP), F.lit(SEP))
+    """Reversed labels, each ended by SEP. A U+0001 or U+0002 of a host is written as two other characters, so no label holds SEP and keys are prefixes of each other only where labels are."""
+    safe = F.replace(F.replace(host, F.lit(ESCAPE), F.lit(ESCAPE + "b")), F.lit(SEP), F.lit(ESCAPE + "a"))
+    return F.concat(F.array_join(F.reverse(F.split(safe, r"\.", -1)), SEP), F.lit(SEP))
+
+
+class HostRules:
+    """The rules of one host, added in the order of their paths. Each knows the longest rule before it whose path begins its own."""
+
+    def __init__(self, key: str):
+        self.key, self.paths, self.rules, self.outer = key, [], [], []
+
+    def add(self, path: str, name: str, verdict: str) -> None:
+        i = len(self.paths) - 1
+        while i >= 0 and not path.startswith(self.paths[i]):
+            i = self.outer[i]
+        self.paths.append(path)
+        self.rules.append((name, verdict))
+        self.outer.append(i)
+
+    def longest(self, path: str) -> tuple[str, str] | None:
+        """The rule of the longest path that begins this one: the last path not after it in order, or one of those that path is nested in."""
+        i = bisect_right(self.paths, path) - 1
+        while i >= 0 and not path.startswith(self.paths[i]):
+            i = self.outer[i]
+        return self.rules[i] if i >= 0 else None
 
 
 def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in (part, key, kind) order, rules (kind 0) before the pages (kind 1) they may cover."""
-    stack: list[tuple[str, str, str, str]] = []  # key, path, rule, verdict; each key a prefix of the next
+    """Rows in (part, key, kind, path) order, rules (kind 0) before the pages (kind 1) they may cover.
+
+    The stack holds the hosts whose interval of keys is open, each key a prefix of the next. A page asks every one of them for
+    its longest path by bisection, so a page costs the host's labels times the logarithm of the rules.
+    """
+    stack: list[HostRules] = []
     for b in batches:
         rule, verdict = [], []
         for kind, key, path, name, v in zip(b["kind"], b["key"], b["path"], b["rule"], b["verdict"]):
-            while stack and not key.startswith(stack[-1][0]):
+            while stack and not key.startswith(stack[-1].key):
                 stack.pop()
             if kind == 0:
-                stack.append((key, path, name, v))
+                if not stack or stack[-1].key != key:
+                    stack.append(HostRules(key))
+                stack[-1].add(path, name, v)
                 continue
-            fits = [r for r in stack if path.startswith(r[1])]
-            best = max(fits, key=lambda r: (len(r[2]), r[2]), default=None)
-            rule.append(best and best[2])
-            verdict.append(best and best[3])
+            best = max((r for h in stack if (r := h.longest(path))), key=lambda r: (len(r[0]), r[0]), default=None)
+            rule.append(best and best[0])
+            verdict.append(best and best[1])
         pages = b[b["kind"] == 1]
         yield pd.DataFrame({"page_id": pages["page_id"], "host": pages["host"], "path": pages["path"], "rule": rule, "verdict": verdict})
 
@@ -91,6 +120,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str
     kind = dealt.schema["page_id"].dataType.simpleString()
     rows = dealt.select("part", "key", F.lit(1).alias("kind"), "page_id", "host", "path", nothing("rule"), nothing("verdict"))
     rows = rows.unionByName(held.select("part", "key", F.lit(0).alias("kind"), nothing("page_id", kind), nothing("host"), "path", "rule", "verdict"))
-    rows = rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "key", "kind", F.length("path"))
+    rows = rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "key", "kind", "path")
     swept = rows.mapInPandas(sweep, f"page_id {kind}, host string, path string, rule string, verdict string")
     return swept.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
