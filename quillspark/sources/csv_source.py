@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ from pyspark.sql.window import Window
 from ..operators.graph import shared_checkpoints
 
 DELIMITERS = (",", "\t", ";", "|")
-HEAD_BYTES = 65536  #: bytes that show the header and the delimiter
+HEAD_BYTES = 65536  #: bytes that show the delimiter, and the headers where they are no longer
 GUESS_BYTES = 16 << 20  #: bytes from which an encoding is guessed
 JAVA = {"utf-8-sig": "UTF-8", "utf_16": "UTF-16"}  #: encodings that the reader knows; others are read byte for byte as Latin-1 and decoded cell by cell
 
@@ -114,6 +115,21 @@ def _head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> bytes:
         stream.close()
 
 
+#: A record and its line end; line ends inside quotes don't end it.
+_RECORD = re.compile(r'(?:[^"\r\n]++|"[^"]*+")*+[\r\n]')
+
+
+def header_record(spark: SparkSession, path: str, head: bytes, encoding: str) -> str:
+    """The first record, whatever its length: the file's first bytes, four times as many each time, until they hold its end or all of the file."""
+    size = HEAD_BYTES
+    while True:
+        text = head.decode(encoding, "ignore")
+        if (found := _RECORD.match(text)) is not None or len(head) < size:
+            return found.group() if found is not None else text
+        size *= 4
+        head = _head(spark, path, size)
+
+
 @dataclass(frozen=True)
 class Survey:
     """What a scan of the whole file finds; lines are split at line ends, whatever the quotes say."""
@@ -202,7 +218,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimi
     """Every cell a string, quoted line ends kept, headers by position.
 
     path: a file, or a folder of files with the same header, whose rows are numbered in the order Spark reads the files.
-    Empty cells are null. A quote that never ends is an error that asks for a new export. The file is read in splits
+    Headers may be of any length and number; blank lines before them aren't skipped. Empty cells are null. A quote that never ends is an error that asks for a new export. The file is read in splits
     unless a quoted cell holds a line end, or its characters are wider than a byte (UTF-16): then it is one task's.
     """
     head = _head(spark, path)
@@ -220,9 +236,11 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimi
         raise IngestError("The file has an unterminated quote; please reexport it.")
     text = head.decode(encoding, "ignore")
     delimiter = delimiter or detect_delimiter(text)
-    headers = next(csv.reader(io.StringIO(text), delimiter=delimiter))
+    record = header_record(spark, path, head, encoding)
+    csv.field_size_limit(max(csv.field_size_limit(), len(record)))
+    headers = next(csv.reader(io.StringIO(record, newline=""), delimiter=delimiter))
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers))])
-    options = {"header": True, "enforceSchema": True, "multiLine": wide or found.torn > 0, "sep": delimiter, "encoding": JAVA.get(encoding, "ISO-8859-1"), "quote": '"', "escape": '"', "nullValue": None}
+    options = {"header": True, "enforceSchema": True, "multiLine": wide or found.torn > 0, "sep": delimiter, "encoding": JAVA.get(encoding, "ISO-8859-1"), "quote": '"', "escape": '"', "nullValue": None, "maxColumns": max(20480, len(headers) + 1)}
     cells = spark.read.schema(schema).options(**options).csv(path)
     if encoding not in JAVA:
         cells = cells.select(*(recoded(F.col(c), encoding).alias(c) for c in cells.columns))

@@ -1,5 +1,6 @@
 """Scenarios of the survey engine: small tables, exact results."""
 
+import csv
 import math
 import re
 import unicodedata
@@ -483,6 +484,16 @@ def test_off_topic(spark):
 # --- graph ---------------------------------------------------------------------------------------
 
 
+def test_headers_of_any_length_and_number(spark, tmp_path):
+    heads = [f'Question number {i}, "quoted"\nand in two lines' for i in range(3000)]
+    for name, rows in (("many", [heads, [str(i) for i in range(3000)]]), ("long", [["x" * 300_000, "b"], ["1", "2"]])):
+        with open(tmp_path / f"{name}.csv", "w", newline="") as f:
+            csv.writer(f).writerows(rows)
+        table = csv_source.read_csv(spark, f"file://{tmp_path}/{name}.csv")
+        assert list(table.headers) == rows[0]
+        assert [list(r)[:-1] for r in table.frame.collect()] == rows[1:]
+
+
 def unit(spark, vectors):
     return graph.unit_vectors(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "i long, v array<float>"), "i", "v")
 
