@@ -1,15 +1,19 @@
-"""Communities of the similarity graph by modularity with a resolution, one connected component at a time.
+"""Communities of the similarity graph by modularity with a resolution: local moves, refinement and condensation in rounds over tables.
 
-Nodes without a path between them only cost modularity when put together, so components are optimised
-independently, with the whole graph's weight in the formula: local moves and refinement until nothing
-improves, then the same on the condensed graph. Node order is fixed, so results don't depend on
-partitioning. A component of up to IN_TASK edges is one group; larger ones are solved together by rounds over
-the edge table, in which a share of the nodes moves at once.
+Nodes are dealt by hash into blocks of a bounded number of edges. In a round each block is one group: its nodes move, one after
+the other until none gains, to the neighbouring community with the highest gain, are condensed and move again, while the rest of the graph
+stands as the round found it. A round in which several blocks moved counts only if modularity rose; else fewer blocks move at once. When no
+round gains, communities are refined: every node starts anew on its own and may join others of its community
+only, and what it joins to is condensed to a node of the next, smaller graph, which starts from the communities found so far.
+So a graph of any size and shape takes the same steps; a graph of one block is a round whose moves see everything.
+
+Weights are whole numbers, blocks follow from nodes, and nodes move in order, so results don't depend on partitioning.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,109 +21,139 @@ from pyspark.sql import functions as F
 
 from . import graph as G
 
-Links = dict[int, dict[int, float]]
-IN_TASK = 200_000  #: edges up to which a component is solved within one task
-UNIT = 1 << 26  #: weights are whole numbers of 1 / UNIT in rounds, so that sums don't depend on their order
-LEAST_RISE = 1e-6  #: modularity that a round must add to be kept
-STALLS = 8  #: rounds in a row that add nothing, each with half the nodes of the one before, after which moves end
-
-
-def _moved(links: Links, loops: dict[int, float], start: dict[int, int], bound: dict[int, int], total: float, resolution: float) -> dict[int, int]:
-    """Move nodes to the neighbouring community with the highest gain until none gains; bound: only within the same value."""
-    community = dict(start)
-    strength = {n: sum(links[n].values()) + 2 * loops[n] for n in links}
-    weight: dict[int, float] = defaultdict(float)
-    for n, c in community.items():
-        weight[c] += strength[n]
-    queue, queued = deque(sorted(links)), set(links)
-    while queue:
-        n = queue.popleft()
-        queued.discard(n)
-        own = community[n]
-        weight[own] -= strength[n]
-        near: dict[int, float] = defaultdict(float)
-        for m, w in links[n].items():
-            if bound[m] == bound[n]:
+BLOCK_EDGES = 100_000  #: directed edges of a block of nodes, on average
+UNIT = 1 << 26  #: weights are whole numbers of 1 / UNIT, so that sums don't depend on their order
+LEAST_RISE = 1e-6  #: modularity that a round must add
+STALLS = 4  #: rounds in a row that add nothing, each with half the blocks of the one before, after which moves end
+LEVELS = 30  #: graphs that are condensed in turn at most; each has fewer nodes than the one before
+
+
+class Block:
+    """A block's nodes, or what they are condensed to, as items 0, 1, ...: their links to each other and to communities of the rest of the graph, which stands still."""
+
+    def __init__(self, strength: list[float], community: list[int], links: list[dict[int, float]], outer: list[dict[int, float]], weight: dict[int, float], scale: float):
+        self.strength, self.community, self.links, self.outer, self.weight = strength, community, links, outer, weight
+        self.scale = scale  #: resolution / (2 * total)
+
+    def move(self) -> bool:
+        """Items go to the neighbouring community with the highest gain, until none gains."""
+        weight, community, any_moved = self.weight, self.community, False
+        queue, queued = deque(range(len(community))), [True] * len(community)
+        while queue:
+            n = queue.popleft()
+            queued[n] = False
+            own, k = community[n], self.strength[n]
+            near: dict[int, float] = defaultdict(float, self.outer[n])
+            near[own] += 0
+            for m, w in self.links[n].items():
                 near[community[m]] += w
-        gain = lambda c, near=near, n=n: near[c] - resolution * strength[n] * weight[c] / (2 * total)
-        best = max(sorted({*near, own}), key=lambda c: (round(gain(c), 12), c == own, -c))
-        community[n] = best
-        weight[best] += strength[n]
-        if best != own:
-            for m in sorted(links[n]):
-                if community[m] != best and m not in queued:
-                    queue.append(m)
-                    queued.add(m)
-    return community
-
-
-def _condensed(links: Links, loops: dict[int, float], community: dict[int, int]) -> tuple[Links, dict[int, float]]:
-    out: Links = {c: defaultdict(float) for c in set(community.values())}
-    inner: dict[int, float] = defaultdict(float)
-    for n, near in links.items():
-        inner[community[n]] += loops[n]
-        for m, w in near.items():
-            if community[m] == community[n]:
-                inner[community[n]] += w / 2
-            else:
-                out[community[n]][community[m]] += w
-    return out, {c: inner[c] for c in out}
-
-
-def partition(edges: list[tuple[int, int, float]], total: float, resolution: float) -> dict[int, int]:
-    """node -> community; communities are named by one of their nodes. total: weight of the whole graph."""
-    links: Links = defaultdict(dict)
-    for a, b, w in edges:
-        links[a][b] = links[a].get(b, 0.0) + w
-        links[b][a] = links[b].get(a, 0.0) + w
-    links = dict(links)
-    loops = {n: 0.0 for n in links}
-    member = {n: n for n in links}
-    coarse = {n: n for n in links}
-    while True:
-        coarse = _moved(links, loops, coarse, dict.fromkeys(links, 0), total, resolution)
-        if len(set(coarse.values())) == len(links):
-            return {n: coarse[m] for n, m in member.items()}
-        # refinement: communities may fall apart into well-joined parts before they are condensed
-        fine = _moved(links, loops, {n: n for n in links}, coarse, total, resolution)
-        if len(set(fine.values())) == len(links):
-            fine = coarse
-        name = {c: min(n for n in fine if fine[n] == c) for c in set(fine.values())}
-        fine = {n: name[c] for n, c in fine.items()}
-        above = {c: coarse[c] for c in set(fine.values())}
-        links, loops = _condensed(links, loops, fine)
-        member = {n: fine[m] for n, m in member.items()}
-        first = {c: min(f for f in above if above[f] == c) for c in set(above.values())}
-        coarse = {f: first[c] for f, c in above.items()}
-
-
-def greedy(edges: list[tuple[int, int, float]], resolution: float = 1.0) -> dict[int, int]:
-    """Join the two communities that gain most until no pair gains; ties go to the smallest names."""
-    total = sum(w for *_, w in edges)
-    between: Links = defaultdict(lambda: defaultdict(float))
-    strength: dict[int, float] = defaultdict(float)
-    for a, b, w in edges:
-        between[a][b] += w
-        between[b][a] += w
-        strength[a] += w
-        strength[b] += w
-    community = {n: n for n in between}
+            weight[own] -= k
+            best = max(near, key=lambda c: (round((near[c] - k * weight[c] * self.scale) / UNIT, 12), c == own, -c))
+            weight[best] += k
+            if best != own:
+                community[n], any_moved = best, True
+                for m in self.links[n]:
+                    if community[m] != best and not queued[m]:
+                        queue.append(m)
+                        queued[m] = True
+        return any_moved
+
+    def move_alone(self) -> None:
+        """Refinement across blocks: every item that is alone in its community joins the one it gains most by."""
+        size: dict[int, int] = defaultdict(int)
+        for c in self.community:
+            size[c] += 1
+        for n, k in enumerate(self.strength):
+            own = self.community[n]
+            if size[own] > 1:
+                continue
+            near: dict[int, float] = defaultdict(float, self.outer[n])
+            for m, w in self.links[n].items():
+                near[self.community[m]] += w
+            gain = {c: round((w - k * self.weight[c] * self.scale) / UNIT, 12) for c, w in near.items() if c != own}
+            best = max(gain, key=lambda c: (gain[c], -c), default=own)
+            if best != own and gain[best] > 0:
+                self.community[n] = best
+                self.weight[own] -= k
+                self.weight[best] += k
+                size[own] -= 1
+                size[best] += 1
+
+    def parts(self) -> list[int]:
+        """Refinement: items start on their own, and each that still is may join the part of its community it gains most by. A part is called after an item."""
+        part, size = list(range(len(self.strength))), list(self.strength)
+        alone = [True] * len(part)
+        for n, k in enumerate(self.strength):
+            if not alone[n]:
+                continue
+            near: dict[int, float] = defaultdict(float)
+            for m, w in self.links[n].items():
+                if self.community[m] == self.community[n]:
+                    near[part[m]] += w
+            gain = {c: round((w - k * size[c] * self.scale) / UNIT, 12) for c, w in near.items() if c != n}
+            best = max(gain, key=lambda c: (gain[c], -c), default=n)
+            if best != n and gain[best] > 0:
+                part[n], alone[best] = best, False
+                size[best] += k
+        return part
+
+    def condensed(self, part: list[int]) -> tuple[Block, list[int]]:
+        """The block of the parts, and the item that each item is now in."""
+        number = {c: i for i, c in enumerate(sorted(set(part)))}
+        to = [number[c] for c in part]
+        strength, community = [0.0] * len(number), [0] * len(number)
+        links: list[dict[int, float]] = [defaultdict(float) for _ in number]
+        outer: list[dict[int, float]] = [defaultdict(float) for _ in number]
+        for n, t in enumerate(to):
+            strength[t] += self.strength[n]
+            community[t] = self.community[n]
+            for m, w in self.links[n].items():
+                if to[m] != t:
+                    links[t][to[m]] += w
+            for c, w in self.outer[n].items():
+                outer[t][c] += w
+        return Block(strength, community, links, outer, self.weight, self.scale), to
+
+
+def moved(nodes: pd.DataFrame, edges: pd.DataFrame, total: float, resolution: float, refine: bool) -> list[int]:
+    """The communities of a block's nodes after moves, or with refine their parts, in the order of nodes.
+
+    nodes: node, k (strength), community, kc (strength of that community), home (the community that a refined node may not leave), in the order of node.
+    edges: x (of the block), y, w, and the community, its strength and the home of y. Without refine the block is moved, refined and condensed
+    until its items don't get fewer.
+    """
+    names = nodes["node"].tolist()
+    at = {n: i for i, n in enumerate(names)}
+    own = nodes["community"].tolist()
+    home = nodes["home"].tolist()
+    weight = dict(zip(own, nodes["kc"].tolist()))
+    weight.update(zip(edges["cy"].tolist(), edges["kcy"].tolist()))
+    links: list[dict[int, float]] = [{} for _ in names]
+    outer: list[dict[int, float]] = [defaultdict(float) for _ in names]
+    for x, y, w, cy, hy in zip(edges["x"].tolist(), edges["y"].tolist(), edges["w"].tolist(), edges["cy"].tolist(), edges["hy"].tolist()):
+        n = at[x]
+        if refine and hy != home[n]:
+            continue
+        if y in at:
+            links[n][at[y]] = w
+        else:
+            outer[n][cy] += w
+    block = Block(nodes["k"].astype(float).tolist(), own, links, outer, weight, resolution / (2 * total))
+    if refine:
+        block.move_alone()
+        return block.community
+    item = list(range(len(names)))
     while True:
-        gains = ((w / total - resolution * strength[a] * strength[b] / (2 * total * total), -a, -b) for a in between for b, w in between[a].items() if a < b)
-        gain, a, b = max(gains, default=(0.0, 0, 0))
-        if gain <= 1e-12:
-            return community
-        a, b = -a, -b
-        for c, w in between.pop(b).items():
-            between[c].pop(b, None)
-            if c != a:
-                between[a][c] += w
-                between[c][a] += w
-        strength[a] += strength.pop(b)
-        community = {n: a if c == b else c for n, c in community.items()}
+        block.move()
+        smaller, to = block.condensed(block.parts())
+        item = [to[i] for i in item]
+        if len(smaller.strength) == len(block.strength):
+            return [block.community[i] for i in item]
+        block = smaller
 
 
 def modularity(edges: list[tuple[int, int, float]], community: dict[int, int], resolution: float) -> float:
+    """Of a small graph; the tables' is modularity_of()."""
     total = sum(w for *_, w in edges)
     inside, strength = 0.0, defaultdict(float)
     for a, b, w in edges:
@@ -129,118 +163,149 @@ def modularity(edges: list[tuple[int, int, float]], community: dict[int, int], r
     return inside / total - resolution * sum((s / (2 * total)) ** 2 for s in strength.values())
 
 
-def _modularity(both: DataFrame, nodes: DataFrame, total: float, resolution: float) -> float:
-    """Of nodes (node, k, loop, community) and both (x, y, w), as a share of total; nodes outside are left out."""
+def modularity_of(edges: DataFrame, assigned: DataFrame, resolution: float = G.RESOLUTION) -> DataFrame:
+    """One row, `modularity`, of edges (src, dst, weight) and assigned (node, community); null without edges."""
+    s, d = (assigned.select(F.col("node").alias(n), F.col("community").alias(f"c_{n}")) for n in ("src", "dst"))
+    placed = edges.join(s, "src").join(d, "dst")
+    ends = placed.select("weight", F.explode(F.array("c_src", "c_dst")).alias("c"))
+    squares = ends.groupBy("c").agg(F.sum("weight").alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("squares"))
+    whole = placed.agg(F.sum("weight").alias("total"), F.sum(F.when(F.col("c_src") == F.col("c_dst"), F.col("weight")).otherwise(0.0)).alias("inside"))
+    return whole.join(squares).select((F.col("inside") / F.col("total") - resolution * F.col("squares") / (4 * F.col("total") * F.col("total"))).alias("modularity"))  # one row each
+
+
+def _value(both: DataFrame, nodes: DataFrame, total: float, resolution: float) -> float:
+    """Modularity of nodes (node, k, loop, community) and both (x, y, w: each edge in both directions)."""
     to = nodes.select("node", "community")
     inside = both.join(to.toDF("x", "cx"), "x").join(to.toDF("y", "cy"), "y").where("cx = cy").agg((F.sum("w") / (2 * total)).alias("q"))
     own = nodes.groupBy("community").agg(F.sum("k").alias("k"), F.sum("loop").alias("loop")).select((F.col("loop") / total - resolution * (F.col("k") / (2 * total)) ** 2).alias("q"))
     return inside.unionByName(own).agg(F.sum("q")).first()[0] or 0.0
 
 
-def _moved_by_rounds(both: DataFrame, nodes: DataFrame, total: float, resolution: float) -> DataFrame:
-    """nodes after moves of hashed shares of them to their best communities, for as long as modularity rises. Every round is checkpointed."""
-    value, share, turn, stalls = _modularity(both, nodes, total, resolution), 2, 0, 0
+def _round(both: DataFrame, nodes: DataFrame, blocks: int, turn: int, share: int, total: float, resolution: float, refine: bool) -> DataFrame:
+    """nodes with `moved`, after one round in which every share-th block moves. nodes: node, k, loop, community, home."""
+    block = F.pmod(F.xxhash64("node"), F.lit(blocks))
+    may = F.pmod(F.xxhash64(block, F.lit(turn)), F.lit(share)) == 0
+    weights = nodes.groupBy("community").agg(F.sum("k").alias("kc"))
+    known = nodes.join(weights, "community")
+    others = known.select(F.col("node").alias("y"), F.col("community").alias("cy"), F.col("kc").alias("kcy"), F.col("home").alias("hy"))
+    left = known.where(may).select(block.alias("block"), "node", "k", "loop", "community", "kc", "home")
+    right = both.withColumn("node", F.col("x")).where(may).join(others, "y").select(block.alias("block"), "x", "y", "w", "cy", "kcy", "hy")
+
+    def run(own: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("node", ignore_index=True)
+        found = moved(own, edges.sort_values(["x", "y"]), total, resolution, refine)
+        return own[["node", "k", "loop"]].assign(community=found, home=own["home"], moved=own["community"] != found)
+
+    changed = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(lambda a, b: run(a, b), "node long, k long, loop long, community long, home long, moved boolean")
+    still = nodes.where(~may).select("node", "k", "loop", "community", "home", F.lit(False).alias("moved"))
+    return G.written(changed.unionByName(still), "nodes")
+
+
+def _settled(both: DataFrame, nodes: DataFrame, blocks: int, total: float, resolution: float, refine: bool = False) -> tuple[DataFrame, bool]:
+    """nodes after rounds for as long as modularity rises, and whether any moved. Of one block a round leaves nothing to gain."""
+    if blocks == 1:
+        found = _round(both, nodes, 1, 0, 1, total, resolution, refine)
+        return found.drop("moved"), not found.where("moved").isEmpty()
+    value, share, turn, stalls, any_moved = _value(both, nodes, total, resolution), 1, 0, 0, False
     while stalls < STALLS:
-        near = both.join(nodes.select("node", "community").toDF("y", "c"), "y").groupBy(F.col("x").alias("node"), "c").agg(F.sum("w").alias("w"))
-        near = near.unionByName(nodes.select("node", F.col("community").alias("c"), F.lit(0).cast("long").alias("w"))).groupBy("node", "c").agg(F.sum("w").alias("w"))
-        weight = nodes.groupBy(F.col("community").alias("c")).agg(F.sum("k").alias("kc"))
-        own = F.col("c") == F.col("community")
-        gain = F.col("w") - resolution * F.col("k") * (F.col("kc") - F.when(own, F.col("k")).otherwise(0)) / (2 * total)
-        rated = near.join(weight, "c").join(nodes, "node").select("node", F.struct(F.round(gain / UNIT, 12).alias("gain"), own.alias("own"), (-F.col("c")).alias("c")).alias("s"))
-        best = rated.groupBy("node").agg((-F.max("s")["c"]).alias("best"))
-        may = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(share)) == 0
-        following = nodes.join(best, "node").select("node", "k", "loop", F.when(may, F.col("best")).otherwise(F.col("community")).alias("community"), (F.col("best") != F.col("community")).alias("wants"), may.alias("may")).checkpoint()
+        following = _round(both, nodes, blocks, turn, share, total, resolution, refine)
         turn += 1
-        wanting, moved = following.agg(F.count_if("wants"), F.count_if(F.col("wants") & F.col("may"))).first()
-        if not wanting:
-            break
-        if not moved:
+        if following.where("moved").isEmpty():
+            if share == 1:
+                break
             share, stalls = max(1, share // 2), stalls + 1
             continue
-        now = _modularity(both, following, total, resolution)
+        now = _value(both, following, total, resolution)
         if now - value >= LEAST_RISE:
-            nodes, value, share, stalls = following.drop("wants", "may"), now, max(2, share // 2), 0
+            nodes, value, share, stalls, any_moved = following.drop("moved"), now, max(1, share // 2), 0, True
         else:
             share, stalls = share * 2, stalls + 1
-    return nodes
+    return nodes, any_moved
 
 
-def by_rounds(edges: DataFrame, total: float, resolution: float) -> DataFrame:
-    """node, community of all nodes of edges (component, src, dst, weight), by moves in rounds on ever more condensed graphs.
+def communities(edges: DataFrame, nodes: DataFrame, resolution: float = G.RESOLUTION, block_edges: int = BLOCK_EDGES) -> DataFrame:
+    """Node, community (named by its smallest node) of every node; those without an edge stand alone. Every community is connected.
 
-    Communities without inner paths fall apart at the end, and a component stays whole where that is better: both never lower modularity.
+    edges: src < dst, weight; edges of no positive weight count for nothing. A graph in which nodes moved is condensed by its refined
+    communities; one in which none did by the communities themselves, and where that changes nothing either they are final.
     """
-    total = total * UNIT
-    e = edges.select("src", "dst", F.bround(F.col("weight") * UNIT).cast("long").alias("w"))
-    turned = lambda e: e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).toDF("x", "y", "w")
-    start = both = turned(e).groupBy("x", "y").agg(F.sum("w").alias("w")).checkpoint()
-    nodes = first = both.groupBy(F.col("x").alias("node")).agg(F.sum("w").alias("k")).select("node", "k", F.lit(0).cast("long").alias("loop"), F.col("node").alias("community")).checkpoint()
-    member = nodes.select("node", F.col("node").alias("at"))
-    while True:
-        nodes = _moved_by_rounds(both, nodes, total, resolution)
-        to = nodes.select("node", "community")
-        member = member.join(to.toDF("at", "community"), "at").select("node", F.col("community").alias("at")).checkpoint()
-        before, after = nodes.count(), to.select("community").distinct().count()
-        if after == before:
+    resolution = max(0.05, resolution)
+    e = edges.select("src", "dst", F.bround(F.col("weight") * UNIT).cast("long").alias("w")).where("w > 0")
+    start = both = G.written(e.toDF("x", "y", "w").unionByName(e.toDF("y", "x", "w")).groupBy("x", "y").agg(F.sum("w").alias("w")), "links")
+    first = G.written(both.groupBy(F.col("x").alias("node")).agg(F.sum("w").alias("k")), "first")
+    total = float((first.agg(F.sum("k")).first()[0] or 0) / 2)
+    if not total:
+        return nodes.select("node", F.col("node").alias("community"))
+    at = first.select("node", "k", F.lit(0).cast("long").alias("loop"), F.col("node").alias("community"), F.col("node").alias("home"))
+    member = first.select("node", F.col("node").alias("at"))
+    for _ in range(LEVELS):
+        blocks = max(1, -(-both.count() // block_edges))
+        coarse, any_moved = _settled(both, at, blocks, total, resolution)
+        fine = coarse
+        if any_moved:
+            fine, joined = _settled(both, coarse.withColumns({"home": F.col("community"), "community": F.col("node")}), blocks, total, resolution, refine=True)
+            any_moved = joined
+        fine = fine if any_moved else coarse.withColumn("home", F.col("community"))
+        to = fine.select("node", "community")
+        member = G.written(member.join(to.toDF("at", "community"), "at").select("node", F.col("community").alias("at")), "member")
+        if not any_moved and to.where("node <> community").isEmpty():
             break
-        between = both.join(to.toDF("x", "cx"), "x").join(to.toDF("y", "cy"), "y").groupBy("cx", "cy").agg(F.sum("w").alias("w")).checkpoint()
+        between = G.written(both.join(to.toDF("x", "cx"), "x").join(to.toDF("y", "cy"), "y").groupBy("cx", "cy").agg(F.sum("w").alias("w")), "between")
         both = between.where("cx <> cy").toDF("x", "y", "w")
         inner = between.where("cx = cy").select(F.col("cx").alias("community"), (F.col("w") / 2).cast("long").alias("inner"))
-        merged = nodes.groupBy("community").agg(F.sum("k").alias("k"), F.sum("loop").alias("loop")).join(inner, "community", "left")
-        nodes = merged.select(F.col("community").alias("node"), "k", (F.col("loop") + F.coalesce("inner", F.lit(0))).alias("loop"), "community").checkpoint()
-    inside = start.join(member.toDF("x", "cx"), "x").join(member.toDF("y", "cy"), "y").where("cx = cy and x < y").select(F.col("x").alias("src"), F.col("y").alias("dst"), F.col("w").alias("weight"))
-    parts = G.components(inside, first.select("node")).select("node", F.col("component").alias("community")).checkpoint()
-    # per component, what its parts and what the whole would add
-    of = edges.select(F.col("src").alias("node"), "component").unionByName(edges.select(F.col("dst").alias("node"), "component")).distinct()
-    placed = first.select("node", "k").join(parts, "node").join(of, "node").checkpoint()
-    squares = placed.groupBy("component", "community").agg(F.sum("k").alias("k")).groupBy("component").agg(F.sum(F.col("k").cast("double") ** 2).alias("q"), F.sum("k").alias("k"))
-    kept = inside.join(placed.select(F.col("node").alias("src"), "component"), "src").groupBy("component").agg(F.sum("weight").alias("w"))
-    worth = squares.join(kept, "component", "left").select("component", (F.coalesce("w", F.lit(0)) / total - resolution * F.col("q") / (2 * total) ** 2).alias("parts"), (F.col("k") / 2 / total - resolution * (F.col("k") / (2 * total)) ** 2).alias("one"))
-    return placed.join(worth, "component").select("node", F.when(F.col("one") > F.col("parts"), F.col("component")).otherwise(F.col("community")).alias("community"))
-
-
-def communities(edges: DataFrame, nodes: DataFrame, resolution: float = G.RESOLUTION, in_task: int = IN_TASK) -> DataFrame:
-    """Node, community (named by its smallest node) of every node; those without an edge stand alone.
-
-    Components of more than in_task edges are solved by rounds.
+        merged = fine.groupBy("community").agg(F.sum("k").alias("k"), F.sum("loop").alias("loop"), F.min("home").alias("home")).join(inner, "community", "left")
+        # a community is called after the least of the parts it is made of
+        named = merged.groupBy("home").agg(F.min("community").alias("name"))
+        at = merged.join(named, "home").select(F.col("community").alias("node"), "k", (F.col("loop") + F.coalesce("inner", F.lit(0))).alias("loop"), F.col("name").alias("community"), F.col("name").alias("home"))
+        at = G.written(at, "nodes")
+    assigned = member.select("node", F.col("at").alias("community"))
+    s, d = (assigned.select(F.col("node").alias(n), F.col("community").alias(f"c_{n}")) for n in ("src", "dst"))
+    inside = start.where("x < y").select(F.col("x").alias("src"), F.col("y").alias("dst")).join(s, "src").join(d, "dst").where("c_src = c_dst").select("src", "dst")
+    return G.components(inside, nodes).withColumnRenamed("component", "community")  # what no inner path holds together falls apart, which never lowers modularity
+
+
+def greedy(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """Node, community (named by its smallest node), by joining communities pairwise until no join gains.
+
+    In a round every community picks the neighbour that a join with gains most (ties: the smallest names); pairs that pick
+    each other join. The pair that gains most of all is always such a pair, so every round joins one at least, and often a share of all.
     """
-    resolution = max(0.05, resolution)
-    total = edges.agg(F.sum("weight")).first()[0]
-    if not total:
-        return nodes.select("node", F.col("node").alias("community"))
-    whole = G.components(edges)
-    dealt = edges.join(whole.toDF("src", "component"), "src").select("component", "src", "dst", "weight").checkpoint()
-    large = dealt.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > in_task).select("component").checkpoint()
-    some = not large.isEmpty()
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["src", "dst"])
-        found = partition(list(zip(rows["src"].tolist(), rows["dst"].tolist(), rows["weight"].tolist())), total, resolution)
-        least: dict[int, int] = {}
-        for n in sorted(found):
-            least.setdefault(found[n], n)
-        return pd.DataFrame({"node": list(found), "community": [least[c] for c in found.values()]})
-
-    small = dealt.join(large, "component", "left_anti") if some else dealt
-    solved = small.groupBy("component").applyInPandas(solve, "node long, community long")
-    if some:
-        solved = solved.unionByName(by_rounds(dealt.join(large, "component", "left_semi"), total, resolution))
-    return nodes.select("node").join(solved, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
-
-
-def run(vectors: DataFrame, threshold: float | None = None, k: int = G.NEIGHBOURS, resolution: float = G.RESOLUTION, mutual: bool = True, languages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    at = edges.select("src", "dst", F.bround(F.col("weight") * UNIT).cast("long").alias("w")).where("w > 0 and src <> dst")
+    between = G.written(at.toDF("x", "y", "w").unionByName(at.toDF("y", "x", "w")).groupBy("x", "y").agg(F.sum("w").alias("w")), "between")
+    strength = G.written(between.groupBy(F.col("x").alias("c")).agg(F.sum("w").alias("k")), "strength")
+    total = float((strength.agg(F.sum("k")).first()[0] or 0) / 2)
+    member = strength.select(F.col("c").alias("node"), F.col("c").alias("community"))
+    while total:
+        gain = F.round(F.col("w") / total - resolution * F.col("kx").cast("double") * F.col("ky") / (2 * total * total), 12)
+        rated = between.join(strength.toDF("x", "kx"), "x").join(strength.toDF("y", "ky"), "y").select("x", "y", gain.alias("gain")).where("gain > 0")
+        key = F.struct("gain", (-F.least("x", "y")).alias("a"), (-F.greatest("x", "y")).alias("b"), "y")
+        best = rated.groupBy("x").agg(F.max(key)["y"].alias("y"))
+        pairs = G.written(best.join(best.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"]).where("x < y").select(F.col("y").alias("c"), F.col("x").alias("to")), "pairs")
+        if pairs.isEmpty():
+            break
+        renamed = lambda df, c: df.join(pairs.withColumnRenamed("c", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        member = G.written(renamed(member, "community"), "member")
+        between = G.written(renamed(renamed(between, "x"), "y").where("x <> y").groupBy("x", "y").agg(F.sum("w").alias("w")), "between")
+        strength = G.written(renamed(strength, "c").groupBy("c").agg(F.sum("k").alias("k")), "strength")
+    return nodes.select("node").join(member, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
+
+
+Solver = Callable[[DataFrame, DataFrame, float], DataFrame]
+
+
+def run(vectors: DataFrame, threshold: float | None = None, k: int = G.NEIGHBOURS, resolution: float = G.RESOLUTION, mutual: bool = True, languages: DataFrame | None = None, solver: Solver = communities) -> tuple[DataFrame, DataFrame]:
     """(assigned, edges). assigned: node, community, with -1 for noise, which is all nodes where there is no edge.
 
-    vectors: node, v (unit length); languages: node, lang.
+    vectors: node, v (unit length); languages: node, lang. solver: communities() or greedy().
     """
     limit = G.clamp(threshold, low=0.0)
     nodes = vectors.select("node")
     count = vectors.count()
-    edges = G.similarity_edges(vectors, limit, k, mutual, languages).checkpoint() if count > 1 else None
+    edges = G.written(G.similarity_edges(vectors, limit, k, mutual, languages), "edges") if count > 1 else None
     if edges is None or edges.isEmpty():
         empty = vectors.sparkSession.createDataFrame([], "src long, dst long, weight double")
         return nodes.select("node", F.lit(-1).cast("long").alias("community")), edges if edges is not None else empty
-    found = communities(edges, nodes, resolution)
+    found = solver(edges, nodes, resolution)
     if languages is not None:
         found = G.split_by_language(found, edges, languages, limit)
     return G.named_communities(found, count), edges

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,17 +29,19 @@ def unit_vectors(df: DataFrame, node: str, vector: str, *keep: str) -> DataFrame
     return df.select(F.col(node).alias("node"), X.unit(F.col(vector)).alias("v"), *keep)
 
 
-def _block_top(k: int):
-    """Top k of the right block for every node of the left, in double precision; ties go to the lower node."""
+def block_top(k: int, lowest: float | None = None):
+    """Top k of the right block for every node of the left, in double precision; ties go to the lower node. lowest: only pairs at least as similar."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"a": [], "b": [], "sim": []}).astype({"a": "int64", "b": "int64", "sim": "float64"})
         right = right.sort_values("node")
         ids, nodes = right["node"].to_numpy(), left["node"].to_numpy()
-        sims = np.stack(left["v"].to_numpy()) @ np.stack(right["v"].to_numpy()).T
+        sims = np.round(np.stack(left["v"].to_numpy()) @ np.stack(right["v"].to_numpy()).T, 12)  # a product's last bits depend on the block; equal vectors must tie
         sims[nodes[:, None] == ids[None, :]] = -np.inf
         least = np.partition(sims, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(nodes), -np.inf)
+        if lowest is not None:
+            least = np.maximum(least, lowest)
         row, col = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))  # the k best and all that tie with the last of them
         order = np.lexsort((col, -sims[row, col], row))
         row, col = row[order], col[order]
@@ -60,7 +64,7 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, nodes: int | None = None, b
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = placed.select("node", "v", F.col("own").alias("i"), every.alias("j"))
     right = placed.select("node", "v", F.col("own").alias("j"), every.alias("i"))
-    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(lambda x, y: _block_top(k)(x, y), "a long, b long, sim double")
+    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(lambda x, y: block_top(k)(x, y), "a long, b long, sim double")
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -132,24 +136,32 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, with a short lineage that outlives executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def components(e: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, component (the smallest node reachable), by alternating stars.
 
     A round hangs every node's greater neighbours on the least of its neighbours, then its lesser ones, so trees get flat in a number of
-    rounds that grows with the logarithm of the size. Each round is checkpointed; rounds end when no edge changes. nodes adds those without an edge.
+    rounds that grows with the logarithm of the size. Each round is written once; rounds end when every node hangs on a node that hangs on none. nodes adds those without an edge.
     """
-    shared_checkpoints(e.sparkSession)
-    current = e.select(F.greatest("src", "dst").alias("x"), F.least("src", "dst").alias("y")).where("x <> y").distinct().checkpoint()
-    changed = current.limit(1).count()
-    while changed:
+    current = written(e.select(F.greatest("src", "dst").alias("x"), F.least("src", "dst").alias("y")).where("x <> y").distinct(), "stars")
+    while True:
         both = current.unionByName(current.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct().checkpoint()
+        large = written(both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct(), "large")
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        following = small.unionByName(least.select("x", F.col("m").alias("y"))).distinct().checkpoint()
-        changed = following.exceptAll(current).limit(1).count() + current.exceptAll(following).limit(1).count()
-        current = following
+        current = written(small.unionByName(least.select("x", F.col("m").alias("y"))).distinct(), "stars")
+        # stars: no node hangs on two, and what nodes hang on hangs on nothing
+        open_ = current.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x").unionByName(current.select(F.col("y").alias("x")).join(current.select("x"), "x", "left_semi"))
+        if open_.isEmpty():
+            break
     roots = current.select(F.col("y").alias("node"), F.col("y").alias("component")).distinct()
     found = current.select(F.col("x").alias("node"), F.col("y").alias("component")).unionByName(roots)
     if nodes is not None:
@@ -215,17 +227,17 @@ def circle(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.cos(turn).alias("x"), F.sin(turn).alias("y"))
 
 
-def principal_layout(vectors: DataFrame, width: int = 8, passes: int = 6) -> DataFrame:
-    """Places by the two principal directions of the vectors, found by subspace iteration.
+def principal_axes(vectors: DataFrame, count: int, width: int | None = None, passes: int = 6) -> np.ndarray | None:
+    """The `count` principal directions of the vectors as columns, the strongest last, found by subspace iteration; None where there is no vector.
 
     A pass multiplies the vectors' covariance by `width` directions within the tasks, so d rows of `width` sums come to
-    the driver, whatever the number of vectors. No vectors: no rows.
+    the driver, whatever the number of vectors.
     """
     head = vectors.select("v").first()
     if head is None:
-        return vectors.select("node", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+        return None
     d = len(head["v"])
-    width = min(width, d)
+    width = min(width or count + 6, d)
     columns = [f"m{j}" for j in range(width + 1)]
 
     def times(basis: np.ndarray) -> np.ndarray:
@@ -252,7 +264,15 @@ def principal_layout(vectors: DataFrame, width: int = 8, passes: int = 6) -> Dat
     for _ in range(passes):
         basis = np.linalg.qr(times(basis))[0]
     axes = basis @ np.linalg.eigh(basis.T @ times(basis))[1]
-    picked = [axes[:, -min(k, width)] for k in (1, 2)]
+    return axes[:, -min(count, width) :]
+
+
+def principal_layout(vectors: DataFrame, width: int = 8, passes: int = 6) -> DataFrame:
+    """Places by the two principal directions of the vectors. No vectors: no rows."""
+    axes = principal_axes(vectors, 2, width, passes)
+    if axes is None:
+        return vectors.select("node", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    picked = [axes[:, -min(k, axes.shape[1])] for k in (1, 2)]
     x, y = (F.array(*[F.lit(float(v)) for v in a * (1 if a[np.argmax(np.abs(a))] > 0 else -1)]) for a in picked)
     return vectors.select("node", X.dot(F.col("v"), x).alias("x"), X.dot(F.col("v"), y).alias("y"))
 
@@ -271,5 +291,7 @@ def pulled_layout(places: DataFrame, e: DataFrame, rounds: int = 2, pull: float
 
 
 def similarity_edges(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS, mutual: bool = True, languages: DataFrame | None = None, compat: bool = False) -> DataFrame:
-    return edges(directed(nearest(vectors, k), threshold, languages), mutual, compat)
+    """Edges of all pairs at the threshold that are among their k nearest; cells that can't hold such a pair aren't compared."""
+    from .neighbours import neighbours_above
 
+    return edges(directed(neighbours_above(vectors, threshold, k), threshold, languages), mutual, compat)

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from .. import providers
 from ..functions import text as X
 from ..functions.words import LEADING_TRIM, RELEVANCE_STOPWORDS, STOPWORDS, TRAILING_TRIM
-from ..operators import assembly, communities, facets, graph, profile, rank, report, store, survey, terms, topics
+from ..operators import assembly, communities, facets, graph, neighbours, profile, rank, report, store, survey, terms, topics
 from ..sources import csv_source
 from . import manifest as M
 
@@ -724,6 +724,12 @@ def knn_topk(spark, sf):
     return graph.nearest(vectors(spark, sf)).select("a", "b", F.bround("sim", 6).alias("sim"), "rank")
 
 
+@query()
+def knn_index(spark, sf):
+    """J03, W02, G02 by cells of principal directions at a recall of 0.95; the tests measure it against knn_topk."""
+    return neighbours.neighbours_by_recall(vectors(spark, sf)).select("a", "b", F.bround("sim", 6).alias("sim"), "rank")
+
+
 @query(f"WITH {_edge_sql(str(SIMILARITY))} SELECT src, dst, round_even(weight, 6) AS weight FROM e")
 def mutual_edges(spark, sf):
     return graph.exported(graph.similarity_edges(vectors(spark, sf), SIMILARITY))
@@ -805,6 +811,37 @@ def found_communities(spark, sf):
     return communities.run(vectors(spark, sf), SIMILARITY)[0]
 
 
+_PROPERTIES = f"""WITH RECURSIVE {_COMPONENTS}, k AS (SELECT node, sum(weight) AS k FROM (SELECT src AS node, weight FROM e UNION ALL SELECT dst, weight FROM e) GROUP BY node),
+    q AS (SELECT 1 - {graph.RESOLUTION} * sum(s * s) / (4 * pow((SELECT sum(weight) FROM e), 2)) AS q FROM (SELECT sum(k) AS s FROM c JOIN k USING (node) GROUP BY component))
+    SELECT (SELECT count(*) FROM embeddings) AS nodes, (SELECT count(*) FROM e) AS edges, round_even(q, 6) AS modularity_of_components, true AS connected, true AS named_by_least, true AS not_below_components FROM q"""
+
+
+def _properties(spark, sf, solver) -> DataFrame:
+    v = vectors(spark, sf)
+    e = graph.written(graph.similarity_edges(v, SIMILARITY), "edges")
+    found = graph.written(solver(e, v.select("node"), graph.RESOLUTION), "found")
+    s, d = (found.select(F.col("node").alias(n), F.col("community").alias(f"c_{n}")) for n in ("src", "dst"))
+    parts = graph.components(e.join(s, "src").join(d, "dst").where("c_src = c_dst").select("src", "dst"), v.select("node"))
+    same = found.join(parts, "node").agg(F.bool_and(F.col("community") == F.col("component")).alias("connected"), F.count("*").alias("nodes"))
+    named = found.groupBy("community").agg(F.min("node").alias("least")).agg(F.bool_and(F.col("community") == F.col("least")).alias("named_by_least"))
+    whole = communities.modularity_of(e, graph.components(e, v.select("node")).withColumnRenamed("component", "community")).withColumnRenamed("modularity", "of_components")
+    ours = communities.modularity_of(e, found)
+    row = same.join(named).join(whole).join(ours).join(e.agg(F.count("*").alias("edges")))  # one row each
+    return row.select("nodes", "edges", F.bround("of_components", 6).alias("modularity_of_components"), "connected", "named_by_least", (F.col("modularity") >= F.col("of_components") - 1e-9).alias("not_below_components"))
+
+
+@query(_PROPERTIES)
+def community_properties(spark, sf):
+    """Communities are connected, named by their smallest node, and at least as good as the components, whose modularity SQL gives too."""
+    return _properties(spark, sf, communities.communities)
+
+
+@query(_PROPERTIES)
+def greedy_properties(spark, sf):
+    """G06 under the same questions."""
+    return _properties(spark, sf, communities.greedy)
+
+
 @query("SELECT vec_id AS node, -1::BIGINT AS community FROM embeddings")
 def all_noise(spark, sf):
     """At the usual similarity random vectors have no edge, so all is noise."""

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from quillspark import providers
 from quillspark.functions import text as X
 from quillspark.functions.words import STOPWORDS
-from quillspark.operators import assembly, communities, facets, graph, headers, profile, rank, report, store, survey, terms, topics
+from quillspark.operators import assembly, communities, facets, graph, headers, neighbours, profile, rank, report, store, survey, terms, topics
 from quillspark.plans import manifest as M
 from quillspark.sources import csv_source
 
@@ -525,27 +525,89 @@ def test_blocks_give_the_same_neighbours(spark, sf):
     assert a == b
 
 
+def test_cells_lose_no_pair_above_the_threshold(spark):
+    """Vectors anywhere, vectors in groups, very many copies and one of length 0; cells and blocks of any size."""
+    rng = np.random.default_rng(0)
+    middles = rng.normal(size=(20, 12))
+    grouped = middles[rng.integers(20, size=500)] + 0.2 * rng.normal(size=(500, 12))
+    v = unit(spark, np.concatenate([rng.normal(size=(200, 12)), grouped, np.repeat(grouped[:1], 120, 0)]))
+    exact = sorted(rows_of(graph.nearest(v, 7), "a", "b", "sim", "rank"))
+    for least in (0.5, 0.89, 1.0):
+        want = [(a, b, r) for a, b, s, r in exact if s >= least]
+        for cell, block in ((820, 2048), (40, 64)):
+            assert sorted(rows_of(neighbours.neighbours_above(v, least, 7, cell=cell, block=block), "a", "b", "rank")) == want
+    assert neighbours.neighbours_above(v.where("node = 1"), 0.5).count() == 0 and neighbours.neighbours_above(v.where("false"), 0.5).count() == 0
+
+
+@pytest.mark.parametrize("spread", [0.25, 50.0])
+def test_index_reaches_its_recall(spark, spread):
+    """Where vectors lie in groups few cells are asked, where they lie anywhere nearly all; similarities are exact."""
+    rng = np.random.default_rng(1)
+    made = rng.normal(size=(30, 48))[rng.integers(30, size=2000)] + spread * rng.normal(size=(2000, 48))
+    v = unit(spark, made)
+    found = neighbours.neighbours_by_recall(v, 8, cell=64).toPandas()
+    exact = graph.nearest(v, 8).toPandas()
+    assert len(set(zip(found["a"], found["b"])) & set(zip(exact["a"], exact["b"]))) >= 0.9 * len(exact)
+    x = made.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert np.allclose((x[found["a"]] * x[found["b"]]).sum(1), found["sim"], atol=1e-9)
+    q = neighbours.quantiser(v, 2000, 64, 30)
+    assert q.basis.shape == (48, 30) and (neighbours.probes_for(v, 2000, q, 8, 0.95) < len(q.centres) / 3) == (spread < 1)
+    assert neighbours.neighbours_by_recall(v.where("node < 1")).count() == 0
+
+
 def test_noise_and_single_nodes(spark):
     assert rows_of(communities.run(unit(spark, [[1, 0]]), 0.8)[0], "community") == [(-1,)]
     v = unit(spark, [[1, 0], [1, 0.01], [0, 1], [0.01, 1], [0, 1.01], [-1, 0]])
     assert sorted(rows_of(communities.run(v, 0.9, 3)[0], "node", "community")) == [(0, -1), (1, -1), (2, 0), (3, 0), (4, 0), (5, -1)]
 
 
-def test_communities_beat_components_and_singletons():
-    rng = np.random.default_rng(1)
-    edges = [(g * 10 + i, g * 10 + j, 1.0) for g in range(4) for i in range(10) for j in range(i + 1, 10) if rng.random() < 0.6] + [(g * 10, g * 10 + 10, 1.0) for g in range(3)]
-    nodes = {n for e in edges for n in e[:2]}
-    found = communities.partition(edges, sum(e[2] for e in edges), 0.9)
-    best = communities.modularity(edges, found, 0.9)
-    assert set(found) == nodes and best >= communities.modularity(edges, dict.fromkeys(nodes, 0), 0.9)
-    assert best >= communities.modularity(edges, {n: n // 10 for n in nodes}, 0.9) - 1e-9
-    assert found == communities.partition(edges[::-1], sum(e[2] for e in edges), 0.9)
+def plain_greedy(edges):
+    """Joins of the two communities that gain most, until none gains."""
+    total = sum(e[2] for e in edges)
+    community = {n: n for e in edges for n in e[:2]}
+    while True:
+        w, k = {}, {}
+        for a, b, x in edges:
+            a, b = community[a], community[b]
+            k[a], k[b] = k.get(a, 0) + x, k.get(b, 0) + x
+            if a != b:
+                w[min(a, b), max(a, b)] = w.get((min(a, b), max(a, b)), 0) + x
+        best = max(((x / total - k[a] * k[b] / (2 * total * total), -a, -b) for (a, b), x in w.items()), default=(0, 0, 0))
+        if best[0] <= 1e-12:
+            return community
+        community = {n: -best[1] if c == -best[2] else c for n, c in community.items()}
+
+
+def planted(groups=4, size=10, seed=1):
+    rng = np.random.default_rng(seed)
+    e = [(g * 20 + i, g * 20 + j, round(float(rng.uniform(0.4, 0.9)), 3)) for g in range(groups) for i in range(size) for j in range(i + 1, size) if rng.random() < 0.6]
+    return e + [(g * 20 + int(rng.integers(size)), g * 20 + 20 + int(rng.integers(size)), 0.4) for g in range(groups - 1)] + [(900, 901, 0.5)]
+
+
+@pytest.mark.parametrize("block", [100_000, 30])
+def test_communities_of_one_block_and_of_many(spark, block):
+    """The same whatever the partitioning; connected, named by the smallest node, near the best; blocks of few edges come near it too."""
+    e = planted()
+    nodes = sorted({n for x in e for n in x[:2]} | {950})
+    frame, n = spark.createDataFrame(e, "src long, dst long, weight double"), spark.createDataFrame([(i,) for i in nodes], "node long")
+    a, b = (dict(rows_of(communities.communities(f, n, 0.9, block_edges=block), "node", "community")) for f in (frame, frame.repartition(7, "dst")))
+    assert a == b and sorted(a) == nodes and a[950] == 950 and a[900] == a[901] == 900
+    assert all(c == min(i for i in a if a[i] == c) for c in set(a.values()))
+    q = lambda found: communities.modularity(e, found, 0.9)
+    truth = {i: i // 20 for i in nodes}
+    one = {i: 0 if i < 900 else 900 for i in nodes}
+    assert q(a) >= max(q(one), q({i: i for i in nodes})) and q(a) >= (1.0 if block > 1000 else 0.95) * q(truth) - 1e-9
+    assert abs(communities.modularity_of(frame, spark.createDataFrame(list(a.items()), "node long, community long")).first()[0] - q(a)) < 1e-9
 
 
-def test_greedy_joins_what_belongs_together():
-    edges = [(a, b, 1.0) for g in (0, 10) for a, b in ((g, g + 1), (g + 1, g + 2), (g, g + 2))] + [(2, 10, 1.0)]
-    found = communities.greedy(edges)
-    assert {frozenset(n for n in found if found[n] == c) for c in found.values()} == {frozenset({0, 1, 2}), frozenset({10, 11, 12})}
+def test_greedy_joins_what_belongs_together(spark):
+    e = [(a, b, 1.0) for g in (0, 10) for a, b in ((g, g + 1), (g + 1, g + 2), (g, g + 2))] + [(2, 10, 1.0)]
+    for edges, share in ((e, 1.0), (planted(3, 8), 0.97)):
+        nodes = sorted({n for x in edges for n in x[:2]})
+        found = dict(rows_of(communities.greedy(spark.createDataFrame(edges, "src long, dst long, weight double"), spark.createDataFrame([(i,) for i in nodes], "node long")), "node", "community"))
+        assert communities.modularity(edges, found, 1.0) >= share * communities.modularity(edges, plain_greedy(edges), 1.0) - 1e-9
+        assert all(c == min(i for i in found if found[i] == c) for c in set(found.values()))
 
 
 def test_communities_partition_the_nodes_whatever_the_partitioning(spark):
@@ -555,21 +617,6 @@ def test_communities_partition_the_nodes_whatever_the_partitioning(spark):
     assert a == b and len(a) == v.count() and len(set(a.values())) > 3
 
 
-def test_communities_of_large_components_by_rounds(spark):
-    rng = np.random.default_rng(2)
-    e = [(g * 12 + i, g * 12 + j, float(rng.uniform(0.4, 0.9))) for g in range(3) for i in range(6) for j in range(i + 1, 6) if rng.random() < 0.6]
-    e += [(g * 12 + int(rng.integers(6)), g * 12 + 12 + int(rng.integers(6)), 0.4) for g in range(2)] + [(200, 201, 0.5)]
-    nodes = {n for x in e for n in x[:2]}
-    frame = spark.createDataFrame(e, "src long, dst long, weight double")
-    n = spark.createDataFrame([(i,) for i in sorted(nodes | {300})], "node long")
-    a, b = (dict(rows_of(communities.communities(f, n, 0.9, in_task=5), "node", "community")) for f in (frame, frame.repartition(7, "dst")))
-    assert a == b and set(a) == nodes | {300} and a[300] == 300 and a[200] == a[201] == 200
-    assert all(c == min(i for i in a if a[i] == c) for c in set(a.values()))
-    q = lambda found: communities.modularity(e, found, 0.9)
-    one = {i: 0 if i < 100 else 200 for i in nodes}
-    assert q(a) >= max(q(one), q({i: i for i in nodes})) and q(a) >= 0.98 * q(communities.partition(e, sum(x[2] for x in e), 0.9))
-
-
 def test_language_split(spark):
     assigned = spark.createDataFrame([(i, 0) for i in range(5)], "node long, community long")
     e = spark.createDataFrame([(0, 1, 0.95), (1, 2, 0.8), (2, 3, 0.95), (3, 4, 0.8)], "src long, dst long, weight double")
