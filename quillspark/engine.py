@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,8 +149,8 @@ class Engine:
         labeler = self._labeler(warnings) if self.labels is not None else None
         placed, groups, aliases = topics.analyse(grouped, labeler=labeler, top=s.top_terms)
         placed = self._kept(placed)
-        label = self.spark.createDataFrame([(g.id, topics.NOISE_LABEL if g.noise else g.label) for g in groups] or [(-1, topics.NOISE_LABEL)], "community long, label string").dropDuplicates(["community"])
-        final = topics.summaries(placed.select("row_number", "fragment_no", "community", "text"), top=s.top_terms, examples=s.examples).drop("label").join(F.broadcast(label), "community", "left")
+        label = groups.select(F.col("id").alias("community"), F.when(F.col("noise"), topics.NOISE_LABEL).otherwise(F.col("label")).alias("label"))
+        final = topics.summaries(placed.select("row_number", "fragment_no", "community", "text"), top=s.top_terms, examples=s.examples).drop("label").join(label, "community", "left")
         final = final.withColumn("label", F.coalesce("label", F.lit(topics.NOISE_LABEL)))
         final = final.withColumn("comment", X.group_comment(F.col("label"), F.col("count"), F.col("total_documents"), F.col("example_rows")))
         places = graph.circle(v) if edges.isEmpty() else graph.pulled_layout(graph.principal_layout(v), edges)
@@ -160,10 +161,14 @@ class Engine:
     def _labeler(self, warnings: list[str]):
         labelling = providers.Labelling(self.labels, warnings=warnings)
 
-        def run(groups: Sequence[topics.Group], docs: DataFrame) -> dict[int, str]:
-            texts = topics.evidence(docs)
-            given = [{"group_id": g.id, "terms": list(g.terms), "texts": [*g.terms, *texts.get(g.id, [])]} for g in groups if not g.noise]
-            return {int(k): v for k, v in labelling(given).items()}
+        def run(groups: DataFrame, docs: DataFrame) -> DataFrame:
+            """A row a group; groups reach the service, which answers the driver, a batch at a time."""
+            known = groups.where(~F.col("noise")).join(topics.evidence(docs).withColumnRenamed("community", "id"), "id", "left").select("id", "terms", "texts").orderBy("id")
+            found: dict[str, str] = {}
+            rows = known.toLocalIterator()
+            while part := list(islice(rows, labelling.batch)):
+                found |= labelling([{"group_id": r["id"], "terms": list(r["terms"]), "texts": [*r["terms"], *(r["texts"] or ())]} for r in part])
+            return self.spark.createDataFrame([(int(k), v) for k, v in found.items()], "id long, label string")
 
         return run
 

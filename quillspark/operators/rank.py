@@ -41,7 +41,7 @@ def examples(docs: DataFrame, terms: DataFrame, group: Sequence[str], most: int
     terms: group columns and `terms`, an array.
     """
     folded = terms.select(*group, F.filter(F.transform("terms", X.fold), lambda t: t != "").alias("terms"))  # one row per group
-    scored = docs.join(F.broadcast(folded), list(group)).withColumn("key", X.fold(F.col("text")))
+    scored = docs.join(folded, list(group)).withColumn("key", X.fold(F.col("text")))
     hits = F.size(F.filter("terms", lambda t: F.contains(F.col("key"), t)))
     order = [F.desc("hits"), "off", "row_number", "fragment_no"]
     scored = scored.withColumns({"hits": hits, "off": F.abs(F.char_length("text") - length)})
@@ -108,7 +108,7 @@ def label_relevance(docs: DataFrame, topics: DataFrame, group: Sequence[str], or
         X.relevance_tokens(F.col("label")).alias("__l"),
         F.array_distinct(F.flatten(F.transform("terms", X.relevance_tokens))).alias("__t"),
     )  # one row per group, so labels and terms are cut once
-    d = docs.join(F.broadcast(known), list(group)).withColumn("__w", X.relevance_tokens(F.col("text")))
+    d = docs.join(known, list(group)).withColumn("__w", X.relevance_tokens(F.col("text")))
     shared = lambda a, b: F.size(F.array_intersect(a, F.col(b)))
     d = d.withColumns({"trigrams": shared(X.ngrams(F.col("__w"), 3), "__l3"), "bigrams": shared(X.ngrams(F.col("__w"), 2), "__l2"), "words": shared(F.col("__w"), "__l"), "term_words": shared(F.col("__w"), "__t")})
     n_words = F.regexp_count("text", F.lit("[A-Za-z0-9]+"))

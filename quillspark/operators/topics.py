@@ -1,39 +1,26 @@
 """Groups of documents: assembly, merges, labels and noise.
 
-Groups are few (tens), documents many: counting and ranking stay distributed, decisions about groups run
-on the driver over one row per group. The order assemble, merge by terms, label, merge by label, rank,
+Groups are rows of a table, and merges are aggregations and joins over it, so there may be many. The order assemble, merge by terms, label, merge by label, rank,
 noise is part of the result.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, replace
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.words import RELEVANCE_STOPWORDS
+from . import graph as G
 from . import rank as R
 from . import terms as T
 
 NOISE_LABEL = "Unassigned responses"
 
 
-@dataclass(frozen=True)
-class Group:
-    id: int
-    label: str
-    count: int
-    terms: tuple[str, ...]
-    strengths: tuple[tuple[str, float], ...]
-    noise: bool = False
-    ai: bool = False
-
-
 def summaries(docs: DataFrame, group: str = "community", top: int = 6, tie: str = "first_seen", examples: int = 3) -> DataFrame:
     """One row per group: count, share, terms, strengths, label, comment, example rows; most documents first.
 
@@ -60,112 +47,88 @@ def summaries(docs: DataFrame, group: str = "community", top: int = 6, tie: str
     return g.withColumn("comment", X.group_comment(F.col("label"), F.col("count"), F.col("total_documents"), F.col("example_rows")))
 
 
-def collected(groups: DataFrame, group: str = "community") -> list[Group]:
-    """Group records by (size descending, id); one row per group comes to the driver."""
-    rows = groups.select(group, "label", "count", "terms", "strengths").collect()
-    made = [Group(r[0], r["label"], r["count"], tuple(r["terms"]), tuple(zip(r["terms"], r["strengths"])), r[0] == -1) for r in rows]
-    return sorted(made, key=lambda g: (-g.count, g.id))
-
-
-def signature(g: Group) -> tuple[str, ...] | None:
-    """The two strongest terms, folded and in order."""
-    place = dict(g.strengths)
-    ranked = sorted((t for t in g.terms if t.strip()), key=lambda t: (-place.get(t, 0.0), g.terms.index(t)))
-    return tuple(sorted(t.casefold() for t in ranked[:2])) if len(ranked) >= 2 and not g.noise else None
-
-
-def merged(parts: Sequence[Group], first: Group) -> Group:
-    """Terms in order of appearance, strengths weighted by counts and scaled to the strongest."""
-    seen: dict[str, str] = {}
-    for t in (t for p in parts for t in p.terms):
-        seen.setdefault(t.casefold(), t)
-    terms = tuple(seen.values())
-    weighted: dict[str, float] = {}
-    for p in parts:
-        for t, s in p.strengths:
-            weighted[t] = weighted.get(t, 0.0) + s * max(1, p.count)
-    top = max((weighted.get(t, 0.0) for t in terms), default=0.0)
-    strengths = tuple((t, round(weighted[t] / top, 4)) for t in terms if weighted.get(t, 0.0) > 0) if top else ()
-    return replace(first, count=sum(p.count for p in parts), terms=terms, strengths=strengths, ai=any(p.ai for p in parts))
-
-
-def _ordered(groups: Iterable[Group], noise_last: bool) -> list[Group]:
-    """Most documents first; ids compare as texts."""
-    return sorted(groups, key=lambda g: (noise_last and g.noise, -g.count, str(g.id)))
-
-
-def merge_by_terms(groups: Sequence[Group]) -> tuple[list[Group], dict[int, int]]:
-    """Groups of one signature become the largest of them; noise and groups of fewer than two terms stay."""
-    by: dict[tuple[str, ...], list[Group]] = {}
-    out = []
-    for g in groups:
-        if (s := signature(g)) is None:
-            out.append(g)
-        else:
-            by.setdefault(s, []).append(g)
-    aliases = {}
-    for same in by.values():
-        same.sort(key=lambda g: (-g.count, str(g.id)))
-        aliases |= {g.id: same[0].id for g in same}
-        out.append(merged(same, same[0]) if len(same) > 1 else same[0])
-    return _ordered(out, noise_last=True), aliases
-
-
-def label_ngrams(label: str) -> set[str]:
-    stop = set(RELEVANCE_STOPWORDS) - {"too"}
-    words = [w.casefold() for w in re.findall("[A-Za-z0-9]+", label) if len(w) > 2 and w.casefold() not in stop]
-    return {" ".join(words[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1)}
-
-
-def merge_by_label(groups: Sequence[Group]) -> tuple[list[Group], dict[int, int]]:
-    """Groups with the same label or a common two- or three-word run, noise among itself; the first of each set names it."""
-    root = list(range(len(groups)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    seen: dict[tuple, int] = {}
-    for i, g in enumerate(groups):
-        label = re.sub(r"\s+", " ", g.label.strip().casefold())
-        for key in [("label", g.noise, label or str(g.id)), *(("words", g.noise, w) for w in sorted(label_ngrams(label)))]:
-            j = find(seen.setdefault(key, i))
-            if j != find(i):
-                root[find(i)] = j
-    sets: dict[int, list[Group]] = {}
-    for i, g in enumerate(groups):
-        sets.setdefault(find(i), []).append(g)
-    aliases = {g.id: s[0].id for s in sets.values() for g in s}
-    return _ordered((merged(s, s[0]) if len(s) > 1 else s[0] for s in sets.values()), noise_last=False), aliases
-
-
-def composed(*maps: dict[int, int]) -> dict[int, int]:
-    """Where each id ends after all the merges."""
-    steps: dict[int, int] = {}
-    for m in maps:
-        steps |= m
-
-    def end(x: int) -> int:
-        seen = set()
-        while x in steps and x not in seen and steps[x] != x:
-            seen.add(x)
-            x = steps[x]
-        return x
-
-    return {k: end(v) for k, v in steps.items()}
-
-
-def relabelled(docs: DataFrame, aliases: dict[int, int], group: str = "community") -> DataFrame:
+def records(groups: DataFrame, group: str = "community") -> DataFrame:
+    """What merges work on, of summaries(): id, label, count, terms, strengths (of structs term, strength), noise, ai."""
+    pairs = F.zip_with("terms", "strengths", lambda t, s: F.struct(t.alias("term"), s.alias("strength")))
+    return groups.select(F.col(group).alias("id"), "label", "count", "terms", pairs.alias("strengths"), (F.col(group) == -1).alias("noise"), F.lit(False).alias("ai"))
+
+
+def place(noise_last: bool) -> Column:
+    """The order of groups: most documents first; ids compare as texts."""
+    parts = [(-F.col("count")).alias("c"), F.col("id").cast("string").alias("i")]
+    return F.struct(*([F.col("noise").alias("n")] if noise_last else []), *parts)
+
+
+def signature() -> Column:
+    """The two strongest terms, folded and in order; null for noise and for fewer than two terms."""
+    strength = lambda t: F.coalesce(F.try_element_at(F.filter("strengths", lambda x: x["term"] == t), F.lit(-1))["strength"], F.lit(0.0))
+    ranked = F.array_sort(F.transform(F.filter("terms", lambda t: X.strip(t) != ""), lambda t: F.struct((-strength(t)).alias("s"), F.array_position("terms", t).alias("i"), t.alias("t"))))
+    two = F.array_sort(F.transform(F.slice(ranked, 1, 2), lambda x: X.fold(x["t"])))
+    return F.when((F.size(two) == 2) & ~F.col("noise"), two)
+
+
+def merged(groups: DataFrame, order: Column) -> DataFrame:
+    """The groups of each `to` as one: id, label and noise of the first, counts added up, terms in order of appearance, strengths weighted by counts and scaled to the strongest.
+
+    A group alone stays as it is. All steps are aggregations by set, and by set and term.
+    """
+    g = groups.withColumn("__at", order)
+    sets = g.groupBy("to").agg(F.min(F.struct("__at", "id", "label", "noise", "terms", "strengths")).alias("f"), F.sum("count").alias("count"), F.count("*").alias("parts"), F.bool_or("ai").alias("ai"))
+    several = g.join(sets.where("parts > 1").select("to"), "to")
+    seen = several.select("to", "__at", F.posexplode("terms").alias("pos", "term")).groupBy("to", X.fold(F.col("term")).alias("folded")).agg(F.min(F.struct("__at", "pos", "term")).alias("s")).select("to", "s.*")
+    weights = several.select("to", "count", F.explode("strengths").alias("x")).groupBy("to", F.col("x.term").alias("term")).agg(F.sum(F.col("x.strength") * F.greatest(F.lit(1), "count")).alias("weight"))
+    made = seen.join(weights, ["to", "term"], "left").groupBy("to").agg(F.array_sort(F.collect_list(F.struct("__at", "pos", "term", "weight"))).alias("t"), F.max("weight").alias("top"))
+    scaled = F.transform(F.filter("t", lambda x: x["weight"] > 0), lambda x: F.struct(x["term"].alias("term"), F.bround(x["weight"] / F.col("top"), 4).alias("strength")))
+    made = made.select("to", F.transform("t", lambda x: x["term"]).alias("__terms"), scaled.alias("__strengths"))
+    return sets.join(made, "to", "left").select("f.id", "f.label", "count", F.coalesce("__terms", "f.terms").alias("terms"), F.coalesce("__strengths", "f.strengths").alias("strengths"), "f.noise", "ai")
+
+
+def merge_by_terms(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups of one signature become the largest of them; noise and groups of fewer than two terms stay. Groups, and (id, to) of those with a signature."""
+    signed = groups.withColumn("signature", signature())
+    firsts = signed.where("signature is not null").groupBy("signature").agg(F.min_by("id", place(False)).alias("to"))
+    placed = G.written(signed.join(firsts, "signature", "left").withColumn("to", F.coalesce("to", "id")), "signed")
+    return merged(placed.drop("signature"), place(False)), placed.where("signature is not null").select("id", "to")
+
+
+def label_keys() -> Column:
+    """What a group can share with another: its label, or the group itself where that is blank, and the label's runs of two and three words."""
+    label = X.collapse(X.fold(F.coalesce(F.col("label"), F.lit(""))))
+    stop = sorted(set(RELEVANCE_STOPWORDS) - {"too"})
+    words = F.filter(F.regexp_extract_all(label, F.lit("[a-z0-9]+"), 0), lambda w: (F.char_length(w) > 2) & ~w.isin(stop))
+    runs = F.transform(F.concat(X.ngrams(words, 2), X.ngrams(words, 3)), lambda r: F.concat(F.lit("words "), r))
+    own = F.concat(F.lit("label "), F.when(label == "", F.col("id").cast("string")).otherwise(label))
+    return F.array_distinct(F.concat(F.array(own), runs))
+
+
+def merge_by_label(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups with the same label or a common two- or three-word run, noise among itself; the first of each set names it. Groups, and (id, to) of all.
+
+    Groups and keys are a bipartite graph; every key hangs its groups on the least of them, and sets are the components.
+    """
+    groups = G.written(groups, "groups")
+    keyed = groups.select("id", "noise", F.explode(label_keys()).alias("key"))
+    least = keyed.groupBy("noise", "key").agg(F.min("id").alias("src"))
+    edges = keyed.join(least, ["noise", "key"]).where("src <> id").select("src", F.col("id").alias("dst")).distinct()
+    sets = groups.join(G.components(edges, groups.select(F.col("id").alias("node"))).withColumnRenamed("node", "id"), "id")
+    firsts = sets.groupBy("component").agg(F.min_by("id", place(True)).alias("to"))
+    placed = G.written(sets.join(firsts, "component").drop("component"), "sets")
+    return merged(placed, place(True)), placed.select("id", "to")
+
+
+def composed(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(id, to): where each id ends after both merges."""
+    half = first.select("id", F.col("to").alias("mid")).unionByName(second.join(first.select("id"), "id", "left_anti").select("id", F.col("id").alias("mid")))
+    return half.join(second.select(F.col("id").alias("mid"), "to"), "mid", "left").select("id", F.coalesce("to", "mid").alias("to"))
+
+
+def relabelled(docs: DataFrame, aliases: DataFrame, group: str = "community") -> DataFrame:
     """Documents with their groups' final ids."""
-    if not aliases:
-        return docs
-    table = docs.sparkSession.createDataFrame(list(aliases.items()), f"{group} long, __to long")
-    return docs.join(F.broadcast(table), group, "left").withColumn(group, F.coalesce("__to", group)).drop("__to")
+    return docs.join(aliases.select(F.col("id").alias(group), F.col("to").alias("__to")), group, "left").withColumn(group, F.coalesce("__to", group)).drop("__to")
 
 
-def topics_frame(spark, groups: Sequence[Group], group: str = "community") -> DataFrame:
-    return spark.createDataFrame([(g.id, g.label, list(g.terms)) for g in groups if not g.noise], f"{group} long, label string, terms array<string>")
+def topics_frame(groups: DataFrame, group: str = "community") -> DataFrame:
+    return groups.where(~F.col("noise")).select(F.col("id").alias(group), "label", "terms")
 
 
 def noise_moved(docs: DataFrame, topics: DataFrame, group: str = "community") -> DataFrame:
@@ -177,32 +140,31 @@ def noise_moved(docs: DataFrame, topics: DataFrame, group: str = "community") ->
     return docs.drop(group).join(placed, ["row_number", "fragment_no"])
 
 
-def evidence(docs: DataFrame, group: str = "community", most: int = 50, chars: int = 220) -> dict[int, list[str]]:
-    """The first responses of each group, collapsed and cut, with its n-grams; bounded by groups and `most`."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy("row_number", "fragment_no"))
+def evidence(docs: DataFrame, group: str = "community", most: int = 50, chars: int = 220) -> DataFrame:
+    """Group, texts: the n-grams of each group and its first `most` responses, collapsed and cut, in order of their kind and text. A row a group, of at most `most` + 11 texts."""
+    at = F.row_number().over(Window.partitionBy(group).orderBy("row_number", "fragment_no"))
     text = X.rstrip(F.substring(X.collapse(F.col("text")), 1, max(80, chars)))
-    first = docs.withColumn("__p", place).where(F.col("__p") <= most).select(group, text.alias("t"), F.lit(1).alias("k"))
+    first = docs.withColumn("__p", at).where(F.col("__p") <= most).select(group, text.alias("t"), F.lit(1).alias("k"))
     for n, top in ((1, 5), (2, 3), (3, 3)):
         first = first.unionByName(T.evidence_ngrams(docs, n, [group], top).select(group, F.col("term").alias("t"), F.lit(0).alias("k")))
-    out: dict[int, list[str]] = {}
-    for r in first.where("t <> ''").orderBy(group, "k", "t").collect():
-        out.setdefault(r[group], []).append(r["t"])
-    return out
+    return first.where("t <> ''").groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]).alias("texts"))
 
 
-Labeler = Callable[[Sequence[Group], DataFrame], dict[int, str]]
+Labeler = Callable[[DataFrame, DataFrame], DataFrame]  #: groups and documents to (id, label)
 
 
-def analyse(docs: DataFrame, group: str = "community", labeler: Labeler | None = None, top: int = 6) -> tuple[DataFrame, list[Group], dict[int, int]]:
-    """Steps 6 to 11: documents with final groups and ranks, the groups, and the alias map."""
-    groups = collected(summaries(docs, group, top), group)
-    groups, by_terms = merge_by_terms(groups)
+def analyse(docs: DataFrame, group: str = "community", labeler: Labeler | None = None, top: int = 6) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Steps 6 to 11: documents with final groups and ranks, the groups, and the aliases (id, to)."""
+    groups, by_terms = merge_by_terms(records(summaries(docs, group, top), group))
     if labeler is not None:
-        names = labeler(groups, relabelled(docs, by_terms, group))
-        groups = [replace(g, label=names[g.id], ai=True) if names.get(g.id) and names[g.id] != g.label else g for g in groups]
+        groups = G.written(groups, "groups")
+        named = labeler(groups, relabelled(docs, by_terms, group)).select("id", F.col("label").alias("__label"))
+        fresh = (F.col("__label") != "") & (F.col("__label") != F.col("label"))
+        groups = groups.join(named, "id", "left").withColumns({"ai": F.col("ai") | F.coalesce(fresh, F.lit(False)), "label": F.when(fresh, F.col("__label")).otherwise(F.col("label"))}).drop("__label")
     groups, by_label = merge_by_label(groups)
+    groups = G.written(groups, "groups")
     aliases = composed(by_terms, by_label)
-    topics = topics_frame(docs.sparkSession, groups, group)
+    topics = topics_frame(groups, group)
     placed = noise_moved(relabelled(docs, aliases, group), topics, group)
     ranked = R.label_relevance(placed, topics, [group]).select("row_number", "fragment_no", group, "text", "rank")
     noise = R.ranked(placed.where(F.col(group) == -1), [group], ["row_number", "fragment_no"]).select("row_number", "fragment_no", group, "text", "rank")

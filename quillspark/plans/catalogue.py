@@ -687,7 +687,7 @@ def merged_topics(spark, sf):
     """Steps 6 to 11 on sources as groups: merged by terms and by label, off-topic documents among the noise, with counts and last ranks."""
     d = answers(spark, sf).withColumn("community", F.regexp_extract("source", "[0-9]+", 0).cast("long")).drop("lang", "source")
     placed, groups, _ = topics.analyse(d)
-    names = spark.createDataFrame([(g.id, g.label) for g in groups if not g.noise] + [(-1, topics.NOISE_LABEL)], "community long, label string")
+    names = topics.topics_frame(groups).select("community", "label").unionByName(spark.createDataFrame([(-1, topics.NOISE_LABEL)], "community long, label string"))
     return placed.groupBy("community").agg(F.count("*").alias("n"), F.max("rank").alias("last_rank")).join(names, "community")
 
 

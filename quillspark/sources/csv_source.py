@@ -244,6 +244,12 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimi
     cells = spark.read.schema(schema).options(**options).csv(path)
     if encoding not in JAVA:
         cells = cells.select(*(recoded(F.col(c), encoding).alias(c) for c in cells.columns))
+    if found.torn and "\r" in record[-1:] and "\n" in record:
+        # the reader took the line end inside a header for the file's, so the last cells still have their carriage return, and quotes before it
+        last = F.regexp_replace(F.col(cells.columns[-1]), "\r$", "")
+        bare = F.replace(F.expr(f"substring({cells.columns[-1]}, 2, char_length({cells.columns[-1]}) - 3)"), F.lit('""'), F.lit('"'))
+        quoted = F.col(cells.columns[-1]).rlike('(?s)^".*"\r$')
+        cells = cells.withColumn(cells.columns[-1], F.nullif(F.when(quoted, bare).otherwise(last), F.lit("")))
     return Table(numbered(cells), tuple(h.replace("\ufeff", "") for h in headers), encoding, delimiter)
 
 

@@ -486,9 +486,10 @@ def test_off_topic(spark):
 
 def test_headers_of_any_length_and_number(spark, tmp_path):
     heads = [f'Question number {i}, "quoted"\nand in two lines' for i in range(3000)]
-    for name, rows in (("many", [heads, [str(i) for i in range(3000)]]), ("long", [["x" * 300_000, "b"], ["1", "2"]])):
+    quoted = [["a\nb", "c"], ["1", 'say ""hm"", "ok"'], ["2", "x,y"], ["3\r\n4", "z"]]
+    for name, rows, quoting in (("many", [heads, [str(i) for i in range(3000)]], csv.QUOTE_MINIMAL), ("long", [["x" * 300_000, "b"], ["1", "2"]], csv.QUOTE_MINIMAL), ("quoted", quoted, csv.QUOTE_ALL)):
         with open(tmp_path / f"{name}.csv", "w", newline="") as f:
-            csv.writer(f).writerows(rows)
+            csv.writer(f, quoting=quoting).writerows(rows)
         table = csv_source.read_csv(spark, f"file://{tmp_path}/{name}.csv")
         assert list(table.headers) == rows[0]
         assert [list(r)[:-1] for r in table.frame.collect()] == rows[1:]
@@ -627,32 +628,46 @@ def test_language_split(spark):
 # --- topics and reports ----------------------------------------------------------------------------
 
 
-def group(i, label, count, terms_, noise=False):
-    return topics.Group(i, label, count, tuple(terms_), tuple((t, 1.0 / (k + 1)) for k, t in enumerate(terms_)), noise)
+def groups_of(spark, *rows):
+    """(id, label, count, terms, noise) with falling strengths."""
+    made = [(i, label, n, t, [(x, 1.0 / (k + 1)) for k, x in enumerate(t)], bool(noise), False) for i, label, n, t, *noise in rows]
+    return spark.createDataFrame(made, "id long, label string, count long, terms array<string>, strengths array<struct<term string, strength double>>, noise boolean, ai boolean")
 
 
-def test_merging_by_terms():
-    groups = [group(0, "A", 5, ["tea", "milk", "cup"]), group(1, "B", 3, ["Milk", "tea", "pot"]), group(2, "C", 9, ["one"]), group(-1, "N", 2, ["tea", "milk"], True)]
+def test_merging_by_terms(spark):
+    groups = groups_of(spark, (0, "A", 5, ["tea", "milk", "cup"]), (1, "B", 3, ["Milk", "tea", "pot"]), (2, "C", 9, ["one"]), (-1, "N", 2, ["tea", "milk"], True))
     merged, aliases = topics.merge_by_terms(groups)
-    assert [(g.id, g.count) for g in merged] == [(2, 9), (0, 8), (-1, 2)] and aliases == {0: 0, 1: 0}
-    assert merged[1].terms == ("tea", "milk", "cup", "pot")
+    found = {r["id"]: r for r in merged.collect()}
+    assert {i: r["count"] for i, r in found.items()} == {2: 9, 0: 8, -1: 2} and dict(rows_of(aliases, "id", "to")) == {0: 0, 1: 0}
+    assert found[0]["terms"] == ["tea", "milk", "cup", "pot"] and found[0]["label"] == "A" and found[2]["terms"] == ["one"]
+    # tea 5 + 3/2, milk 5/2 ("Milk" is another spelling), cup 5/3, pot 3/3, each over the strongest
+    assert [tuple(x) for x in found[0]["strengths"]] == [("tea", 1.0), ("milk", 0.3846), ("cup", 0.2564), ("pot", 0.1538)]
 
 
-def test_merging_by_label():
-    groups = [group(0, "Great Lesson Plans", 5, ["a", "b"]), group(1, "Other Thing", 4, ["c"]), group(2, "New Lesson Plans", 3, ["d"]), group(3, "other  thing", 2, ["e"])]
+def test_merging_by_label(spark):
+    groups = groups_of(spark, (0, "Great Lesson Plans", 5, ["a", "b"]), (1, "Other Thing", 4, ["c"]), (2, "New Lesson Plans", 3, ["d"]), (3, "other  thing", 2, ["e"]), (4, "", 1, []), (5, " ", 1, []), (-1, "Other thing", 9, [], True))
     merged, aliases = topics.merge_by_label(groups)
-    assert [(g.id, g.count) for g in merged] == [(0, 8), (1, 6)] and aliases == {0: 0, 1: 1, 2: 0, 3: 1}
-    assert topics.composed({5: 0}, aliases) == {5: 0, 0: 0, 1: 1, 2: 0, 3: 1}
+    to = {0: 0, 1: 1, 2: 0, 3: 1, 4: 4, 5: 5, -1: -1}
+    assert dict(rows_of(merged, "id", "count")) == {0: 8, 1: 6, 4: 1, 5: 1, -1: 9} and dict(rows_of(aliases, "id", "to")) == to
+    first = spark.createDataFrame([(7, 0), (0, 0)], "id long, to long")
+    assert dict(rows_of(topics.composed(first, aliases), "id", "to")) == to | {7: 0}
+    chain = groups_of(spark, *((i, f"alpha{i} beta{i} alpha{i + 1} beta{i + 1}", 100 - i, [str(i)]) for i in range(12)))
+    joined, _ = topics.merge_by_label(chain)
+    assert [(r["id"], r["count"], r["terms"]) for r in joined.collect()] == [(0, sum(range(89, 101)), [str(i) for i in range(12)])]
 
 
 def test_analysis_of_groups(spark):
     texts = ["green tea tastes great"] * 3 + ["green tea leaves steep slowly", "weather was awful"] + ["slow internet line", "slow internet again", "internet line slow"]
     d = answers(spark, [f"{t} {i}" for i, t in enumerate(texts)], community=[0] * 5 + [1] * 3)
     placed, groups, _ = topics.analyse(d)
-    assert [g.label.split()[0] for g in groups] == ["Green", "Slow"]
+    assert [r["label"].split()[0] for r in groups.orderBy("id").collect()] == ["Green", "Slow"]
     assert sorted(rows_of(placed.where("community = -1"), "row_number")) == [(5,)]
     s = {r["community"]: r for r in topics.summaries(d).collect()}
     assert (s[0]["count"], s[0]["share"], s[0]["terms"][0]) == (5, 0.625, "green") and s[0]["comment"].startswith("Green Tea")
+    e = {r["community"]: r["texts"] for r in topics.evidence(d, most=2).collect()}
+    assert e[1][-2:] == ["slow internet again 6", "slow internet line 5"] and "internet" in e[1] and len(e[0]) <= 13
+    named, fresh, _ = topics.analyse(d, labeler=lambda g, docs: spark.createDataFrame([(0, "Warm drinks people like"), (1, "")], "id long, label string"))
+    assert {r["id"]: (r["label"].split()[0], r["ai"]) for r in fresh.collect()} == {0: ("Warm", True), 1: ("Slow", False)}
 
 
 def test_report_files():
