@@ -133,6 +133,7 @@ def sample(docs: DataFrame, temperature: float = 0.8, sweeps: int = SWEEPS, seed
     rows = rows.withColumns({f"__{m}": c for m, c in zip(MARGINS, _cells_of(rows, F.col("__n")))})
     keys = [f"__{m}" for m in MARGINS]
     counted = rows.select(*(F.col(f"__{m}").alias(m) for m in MARGINS), F.col("__n").alias("n_tokens"))
+    counted = materialise(counted, "rows")  # numbers and labels only; the cells are summed up from them several times
     chances = cell_chances(counted, temperature, sweeps, targets).select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("members").alias("__members"), F.col("probability").alias("__probability"))
     chances = materialise(chances, "chances")
     if chances.count() <= MOST_CELLS:
