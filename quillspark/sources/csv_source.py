@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..operators.graph import shared_checkpoints
+from ..operators.graph import shared_checkpoints, written
+from . import quoted_lines
 
 DELIMITERS = (",", "\t", ";", "|")
 HEAD_BYTES = 65536  #: bytes that show the delimiter, and the headers where they are no longer
@@ -116,7 +117,7 @@ def _head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> bytes:
 
 
 #: A record and its line end; line ends inside quotes don't end it.
-_RECORD = re.compile(r'(?:[^"\r\n]++|"[^"]*+")*+[\r\n]')
+_RECORD = re.compile(r'(?:[^"\r\n]++|"[^"]*+")*+(?:\r\n|\n|\r(?=[^\n]))')
 
 
 def header_record(spark: SparkSession, path: str, head: bytes, encoding: str) -> str:
@@ -218,8 +219,9 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimi
     """Every cell a string, quoted line ends kept, headers by position.
 
     path: a file, or a folder of files with the same header, whose rows are numbered in the order Spark reads the files.
-    Headers may be of any length and number; blank lines before them aren't skipped. Empty cells are null. A quote that never ends is an error that asks for a new export. The file is read in splits
-    unless a quoted cell holds a line end, or its characters are wider than a byte (UTF-16): then it is one task's.
+    Headers may be of any length and number; blank lines before them aren't skipped. Empty cells are null. A quote that never ends is an error that asks for a new export.
+    The file is read in splits, also where quoted cells hold line ends: its records are then cut by `quoted_lines`, written once, and a folder's rows are
+    numbered by its files' paths. Only UTF-16 files are one task's.
     """
     head = _head(spark, path)
     if not head.strip():
@@ -240,17 +242,33 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimi
     csv.field_size_limit(max(csv.field_size_limit(), len(record)))
     headers = next(csv.reader(io.StringIO(record, newline=""), delimiter=delimiter))
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers))])
-    options = {"header": True, "enforceSchema": True, "multiLine": wide or found.torn > 0, "sep": delimiter, "encoding": JAVA.get(encoding, "ISO-8859-1"), "quote": '"', "escape": '"', "nullValue": None, "maxColumns": max(20480, len(headers) + 1)}
-    cells = spark.read.schema(schema).options(**options).csv(path)
-    if encoding not in JAVA:
-        cells = cells.select(*(recoded(F.col(c), encoding).alias(c) for c in cells.columns))
-    if found.torn and "\r" in record[-1:] and "\n" in record:
+    names = tuple(h.replace("\ufeff", "") for h in headers)
+    reading = {"sep": delimiter, "quote": '"', "escape": '"', "maxColumns": max(20480, len(headers) + 1)}
+    if found.torn and not wide:
+        line_end = "\r" if record.endswith("\r") else "\n"
+        return Table(_recoded(_torn_cells(spark, path, encoding, delimiter, line_end, schema, reading), encoding), names, encoding, delimiter)
+    cells = _recoded(spark.read.schema(schema).options(header=True, enforceSchema=True, multiLine=wide, encoding=JAVA.get(encoding, "ISO-8859-1"), **reading).csv(path), encoding)
+    if found.torn and record.rstrip("\n").endswith("\r") and "\n" in record.rstrip("\r\n"):
         # the reader took the line end inside a header for the file's, so the last cells still have their carriage return, and quotes before it
         last = F.regexp_replace(F.col(cells.columns[-1]), "\r$", "")
         bare = F.replace(F.expr(f"substring({cells.columns[-1]}, 2, char_length({cells.columns[-1]}) - 3)"), F.lit('""'), F.lit('"'))
         quoted = F.col(cells.columns[-1]).rlike('(?s)^".*"\r$')
         cells = cells.withColumn(cells.columns[-1], F.nullif(F.when(quoted, bare).otherwise(last), F.lit("")))
-    return Table(numbered(cells), tuple(h.replace("\ufeff", "") for h in headers), encoding, delimiter)
+    return Table(numbered(cells), names, encoding, delimiter)
+
+
+def _recoded(cells: DataFrame, encoding: str) -> DataFrame:
+    return cells if encoding in JAVA else cells.select(*(F.col(c) if c == "row_number" else recoded(F.col(c), encoding).alias(c) for c in cells.columns))
+
+
+def _torn_cells(spark: SparkSession, path: str, encoding: str, delimiter: str, line_end: str, schema: T.StructType, reading: dict) -> DataFrame:
+    """Cells and row_number of a file whose quoted cells hold line ends. The records are written once, so all that follows sees the same splits."""
+    text = F.make_valid_utf8("value") if encoding in JAVA else F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    lines = quoted_lines.split_lines(spark, path, text, line_end)
+    begins = quoted_lines.beginnings(quoted_lines.effects(lines, delimiter))
+    pieces = written(quoted_lines.parts(lines, begins, delimiter, line_end), "records")
+    cells = F.from_csv("text", ", ".join(f"{c} string" for c in schema.names), {k: str(v) for k, v in reading.items()})
+    return quoted_lines.records(pieces, line_end).select(cells.alias("cells"), "row_number").select("cells.*", "row_number")
 
 
 def from_frame(df: DataFrame, order: str) -> Table:

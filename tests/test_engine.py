@@ -2,6 +2,7 @@
 
 import csv
 import math
+import random
 import re
 import unicodedata
 
@@ -495,6 +496,50 @@ def test_headers_of_any_length_and_number(spark, tmp_path):
         assert [list(r)[:-1] for r in table.frame.collect()] == rows[1:]
 
 
+def torn_rows(n, seed=3):
+    r = random.Random(seed)
+    odd = ['plain', '', 'two\nlines', 'a "b" c', '"', '5" pipe', '\n', '\n\n"\n', 'x,y\n"z",', '",\n"', 'é\n' * 40, 'c\r\nd', '""', ' " ']
+    return [[str(i), r.choice(odd), r.choice(odd) + r.choice(odd)] for i in range(n)]
+
+
+@pytest.mark.parametrize("end, encoding", [("\n", "utf-8"), ("\r\n", "utf-8"), ("\n", "cp1252")])
+def test_cells_over_line_ends_are_read_in_splits(spark, tmp_path, end, encoding):
+    rows = [["n\no", "text", "more, \"text\""], *torn_rows(400)]
+    with open(tmp_path / "torn.csv", "w", newline="", encoding=encoding) as f:
+        csv.writer(f, lineterminator=end).writerows(rows)
+        f.write(end + "401,5\" pipe,6\" pipe" + end + end)  # quotes inside cells that aren't quoted, and empty lines
+    want = [(i + 1, *(c or None for c in r)) for i, r in enumerate([*rows[1:], ["401", '5" pipe', '6" pipe']])]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for most in ("1500", size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            t = csv_source.read_csv(spark, f"file://{tmp_path}/torn.csv", None if encoding == "utf-8" else encoding)
+            assert list(t.headers) == rows[0] and t.delimiter == ","
+            got = rows_of(t.frame.orderBy("row_number"), "row_number", "c0", "c1", "c2")
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        assert got == want
+
+
+def test_splits_inside_one_cell_and_folders_of_torn_files(spark, tmp_path):
+    for name, body in (("b", 'k,v\n1,"' + "long\n" * 200 + '"\n2,x\n'), ("a", '\ufeff"k",v\n"3\n",y\n4,"z\n\n"'), ("c", "k,v\n")):
+        (tmp_path / f"{name}.csv").write_bytes(body.encode())
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        got = rows_of(csv_source.read_csv(spark, f"file://{tmp_path}").frame.orderBy("row_number"), "row_number", "c0", "c1")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == [(1, "3\n", "y"), (2, "4", "z\n\n"), (3, "1", "long\n" * 200), (4, "2", "x")]
+
+
+@pytest.mark.parametrize("line, inside, after", [('a,"b', False, True), ('b",c', True, False), ('a,5" b', False, False), ('""",x', True, False), ('""', True, True), ('"a""', False, True), ("a,b", True, True), ('x" y,"z', True, True)])
+def test_open_cells_at_line_ends(line, inside, after):
+    from quillspark.sources import quoted_lines
+
+    assert quoted_lines.open_after(line, inside, quoted_lines.closed_line(",")) is after
+
+
 def unit(spark, vectors):
     return graph.unit_vectors(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "i long, v array<float>"), "i", "v")
 
