@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from . import providers
 from .functions import text as X
 from .operators import assembly, communities, facets, graph, profile, report, store, terms, topics
+from .operators import languages as L
+from .operators.result_tables import ResultTables
 from .plans import manifest as M
 from .sources import csv_source
 
@@ -58,10 +60,12 @@ class Analysis:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, settings: Settings | None = None, embedder: providers.Embedder | None = None, translator: providers.Translator | None = None, labels: providers.LabelService | None = None, diagnoser: M.Diagnoser | None = None):
-        self.spark, self.settings, self.results = spark, settings or Settings(), store.Results()
+    def __init__(self, spark: SparkSession, settings: Settings | None = None, embedder: providers.Embedder | None = None, translator: providers.Translator | None = None, labels: providers.LabelService | None = None, diagnoser: M.Diagnoser | None = None, folder: str | None = None, languages: L.Model | None = None):
+        """folder: a shared folder in which results outlive this session; without it they end with it. languages: a fitted model; without it function words tell."""
+        self.spark, self.settings = spark, settings or Settings()
+        self.results = store.Results() if folder is None else ResultTables(spark, folder)
         self.embedder, self.translator = embedder or providers.HashedEmbedder(), translator or providers.SameText()
-        self.labels, self.diagnoser = labels, diagnoser
+        self.labels, self.diagnoser, self.languages = labels, diagnoser, languages
         self.cache: DataFrame | None = None
 
     def config(self) -> dict:
@@ -109,7 +113,10 @@ class Engine:
         if counts["analysed"] < 5:
             warnings.append("Fewer than five responses: groups say little.")
         docs = terms.prepare(rows, column, most=self.settings.characters)
-        docs = docs.withColumn("language", providers.detect_language(F.col("text"), F.lit(language)))
+        if self.languages is not None and language.lower() in ("", "auto"):
+            docs = L.detected(docs, self.languages, ["row_number", "fragment_no"])
+        else:
+            docs = docs.withColumn("language", providers.detect_language(F.col("text"), F.lit(language)))
         translated = providers.translate(docs, self.translator)
         return translated.withColumns({"source_text": F.col("text"), "text": F.col("translated_text")}).drop("translated_text"), warnings
 

@@ -16,7 +16,8 @@ from pyspark.sql.window import Window
 from .. import providers
 from ..functions import text as X
 from ..functions.words import LEADING_TRIM, RELEVANCE_STOPWORDS, STOPWORDS, TRAILING_TRIM
-from ..operators import assembly, communities, facets, graph, neighbours, profile, rank, report, store, survey, terms, topics
+from ..operators import assembly, communities, facets, graph, languages, neighbours, profile, rank, report, store, survey, terms, topics
+from ..operators.result_tables import ResultTables
 from ..sources import csv_source
 from . import manifest as M
 
@@ -302,6 +303,23 @@ def translated_answers(spark, sf):
     return providers.translate(d, Bracketed()).select("row_number", F.md5("translated_text").alias("translated_md5"), "translated")
 
 
+@query(
+    r"""WITH t AS (SELECT doc_id, lang, length(trim(text)) AS size, string_split(regexp_replace(' ' || regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g') || ' ', ' +', ' ', 'g'), '') AS c FROM documents),
+    g AS (SELECT doc_id, lang, size, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM t),
+    n AS (SELECT lang, gram, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY ALL),
+    v AS (SELECT DISTINCT gram FROM (SELECT gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM n) WHERE r <= 2000),
+    a AS (SELECT l.lang, v.gram, coalesce(n.n, 0) AS n FROM v CROSS JOIN (SELECT DISTINCT lang FROM n) l LEFT JOIN n ON n.gram = v.gram AND n.lang = l.lang),
+    w AS (SELECT lang, gram, round(1000 * ln((n + 1) / (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang))))::BIGINT AS w FROM a),
+    s AS (SELECT doc_id, w.lang, sum(w) AS s FROM g JOIN w USING (gram) WHERE size >= 8 GROUP BY ALL),
+    b AS (SELECT doc_id, min(lang) AS guess FROM (SELECT *, max(s) OVER (PARTITION BY doc_id) AS top FROM s) WHERE s = top GROUP BY doc_id)
+    SELECT doc_id, guess FROM documents LEFT JOIN b USING (doc_id)"""
+)
+def language_model(spark, sf):
+    """The language of every whole text by a model of letter triples fitted on all labelled texts."""
+    d = load(spark, sf, "documents").select("doc_id", "text", "lang")
+    return languages.detected(d, languages.fit(d, language="lang"), ["doc_id"], name="guess").select("doc_id", "guess")
+
+
 @query("SELECT doc_id::VARCHAR AS doc_id, md5(nullif(text, '')) AS text_md5, source, (SELECT count(*) FROM documents) AS rows, (SELECT count(*) FROM documents) AS last_row FROM documents")
 def csv_round_trip(spark, sf):
     """The table as a CSV export, read back with its encoding, separator and headers found; row numbers are consecutive."""
@@ -878,6 +896,17 @@ def refilter(spark, sf):
     return store.refiltered(d, facets.apply_filters(d, {"source": ["src0", "src1"]}), "lang")
 
 
+@query(ORACLE["refilter"])
+def kept_results(spark, sf):
+    """A table and a finished analysis that one store saved, narrowed by a filter through another that knows only the folder."""
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("row_number"), "lang", "source")
+    folder = f"{graph.shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    saving = ResultTables(spark, folder)
+    key = saving.save(d, ["lang", "source"], ["text"])
+    saving.snapshot(key, "community", "text", None, d.select("row_number", F.col("lang").alias("community")), None)
+    return ResultTables(spark, folder).narrowed(key, "community", "text", None, {"source": ["src0", "src1"]}).withColumnRenamed("community", "lang")
+
+
 @query("WITH l AS (SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr')) SELECT d.doc_id AS row_number, coalesce(l.lang, '') AS community_group FROM documents d LEFT JOIN l USING (doc_id)")
 def group_write_back(spark, sf):
     d = load(spark, sf, "documents").select(F.col("doc_id").alias("row_number"), "lang")

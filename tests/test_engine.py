@@ -402,6 +402,37 @@ def test_snapshots_serve_narrower_filters_only(spark):
     assert got == [(0, 1, 0.3333), (1, 2, 0.6667)]
 
 
+def test_results_outlive_their_session(spark, tmp_path):
+    from quillspark.operators.result_tables import ResultTables
+
+    now = [1000.0]
+    folder = f"file://{tmp_path}/results"
+    first, second = (ResultTables(s, folder, most=2, seconds=500, clock=lambda: now[0]) for s in (spark, spark.newSession()))
+    df = spark.createDataFrame([(i, "ab"[i % 2], f"t{i}") for i in range(1, 8)], "row_number long, team string, why string")
+    assert first.expire() == 0
+    a = first.save(df, ["team"], ["why"], owner="me")
+    first.snapshot(a, "community", "why", 0.9, df.select("row_number", F.lit(0).alias("community")), {"team": ["a", "b"]})
+    p = second.page(a, offset=2, limit=2, filters={"team": ["b"]})
+    assert [r["row_number"] for r in p.rows] == [5, 7] and (p.total, p.unfiltered, p.has_more) == (4, 7, False)
+    assert second.narrowed(a, "community", "why", 0.9, {}) is None and second.narrowed(a, "community", "why", 0.8, {"team": ["a"]}) is None
+    assert rows_of(second.narrowed(a, "community", "why", 0.9, {"team": ["a"]}), "community", "count") == [(0, 3)]
+    assert second.set_role(a, "team", "verbatim").verbatim == ["team", "why"] and first.get(a).metadata == []
+    assert first.narrowed(a, "community", "why", 0.9, {"team": ["a"]}) is None  # the roles changed
+    with pytest.raises(KeyError):
+        first.get("*")
+    now[0] += 100
+    b = second.save(df, [], ["why"], owner="you")
+    now[0] += 100
+    first.get(a)  # so b is the one not used for longest
+    c = second.save(df, [], ["why"], owner="they")
+    assert {r["key"] for r in first.catalogue().collect()} == {a, c}
+    with pytest.raises(KeyError):
+        first.get(b)
+    now[0] += 350
+    assert second.expire() == 1 and {r["key"] for r in first.catalogue().collect()} == {c}
+    assert first.delete(c) and not first.delete(c) and not [x for x in (tmp_path / "results").iterdir()]
+
+
 def test_csv_export(spark, tmp_path):
     df = spark.createDataFrame([(2, "UK", 'say "x"'), (1, "FR", "é")], "row_number long, country string, why string")
     store.write_csv(df, f"file://{tmp_path}/out", ["country"], ["why"], "verbatim_only")
@@ -812,6 +843,22 @@ def test_language_guess(spark):
 # --- streaming -----------------------------------------------------------------------------------
 
 
+def test_language_model_on_rows_it_did_not_see(spark):
+    from quillspark.operators import languages
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.col("lang").alias("language"))
+    model = languages.fit(d.where("crc32(cast(doc_id as string)) % 5 <> 0"))
+    assert model.languages == ("de", "en", "es", "fr") and model.table.count() <= 8000
+    held = d.where("crc32(cast(doc_id as string)) % 5 = 0")
+    right = languages.detected(held.withColumnRenamed("language", "truth"), model, ["doc_id"]).where("char_length(text) >= 8")
+    assert right.agg(F.avg((F.coalesce("language", F.lit("")) == F.col("truth")).cast("int"))).first()[0] > 0.95
+    odd = spark.createDataFrame([(1, "the"), (None, "Die Heit und der Schacht"), (2, None), (3, "12345678 ##"), (4, "the and thing of " * 3000), (5, "the nothing anding")], "k long, text string")
+    got = {r["k"]: r["language"] for r in languages.detected(odd, model, ["k"]).collect()}
+    assert got == {1: None, None: "de", 2: None, 3: None, 4: "en", 5: "en"}
+    none = languages.detected(odd, languages.fit(d.limit(0)), ["k"])
+    assert none.where("language is not null").isEmpty() and none.count() == 6
+
+
 def test_files_are_ingested_as_they_arrive(spark, tmp_path):
     from quillspark.streaming.ingest import ingest_stream
 
