@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import providers
 from .functions import text as X
-from .operators import assembly, communities, facets, graph, profile, report, store, terms, topics
+from .operators import assembly, communities, facets, graph, layout, profile, report, store, terms, topics
 from .operators import languages as L
 from .operators.result_tables import ResultTables
 from .plans import manifest as M
@@ -160,7 +160,7 @@ class Engine:
         final = topics.summaries(placed.select("row_number", "fragment_no", "community", "text"), top=s.top_terms, examples=s.examples).drop("label").join(label, "community", "left")
         final = final.withColumn("label", F.coalesce("label", F.lit(topics.NOISE_LABEL)))
         final = final.withColumn("comment", X.group_comment(F.col("label"), F.col("count"), F.col("total_documents"), F.col("example_rows")))
-        places = graph.circle(v) if edges.isEmpty() else graph.pulled_layout(graph.principal_layout(v), edges)
+        places = graph.circle(v) if edges.isEmpty() else layout.forced_layout(graph.principal_layout(v), edges)
         nodes = placed.select((F.col("row_number") * s.nodes + F.col("fragment_no")).alias("node"), "row_number", "community")
         points = graph.plot_points(nodes.select("node", "community"), places, nodes.select("node", "row_number"))
         return Analysis("community", column, placed, final, points, graph.plot_edges(edges, points), warnings=warnings)

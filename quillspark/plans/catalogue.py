@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from .. import providers
 from ..functions import text as X
 from ..functions.words import LEADING_TRIM, RELEVANCE_STOPWORDS, STOPWORDS, TRAILING_TRIM
-from ..operators import assembly, communities, facets, graph, languages, neighbours, profile, rank, report, store, survey, terms, topics
+from ..operators import assembly, communities, facets, graph, languages, layout as forces, neighbours, profile, rank, report, store, survey, terms, topics
 from ..operators.result_tables import ResultTables
 from ..sources import csv_source
 from . import manifest as M
@@ -887,6 +887,27 @@ def pulled_layout(spark, sf):
     return graph.pulled_layout(start, graph.similarity_edges(v, SIMILARITY)).select("node", F.bround("x", 6).alias("x"), F.bround("y", 6).alias("y"))
 
 
+@query(
+    f"""WITH {_edge_sql(str(SIMILARITY))}, both_ways AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e), p0 AS (SELECT node, v[1] AS x, v[2] AS y FROM v),
+    box AS (SELECT min(x) AS x0, min(y) AS y0, greatest(max(x) - min(x), max(y) - min(y)) AS side, greatest(max(x) - min(x), max(y) - min(y)) ** 2 / count(*) AS k2 FROM p0),
+    marks AS (SELECT node, x, y, least(floor((x - x0) / side * 32), 31) AS cx, least(floor((y - y0) / side * 32), 31) AS cy FROM p0, box),
+    cells AS (SELECT cx, cy, count(*) AS n, sum(x) AS sx, sum(y) AS sy FROM marks m GROUP BY cx, cy),
+    gaps AS (SELECT m.node, c.n, m.x - c.sx / c.n AS dx, m.y - c.sy / c.n AS dy FROM marks m JOIN cells c ON m.cx <> c.cx OR m.cy <> c.cy
+        UNION ALL SELECT m.node, c.n - 1, m.x - (c.sx - m.x) / (c.n - 1), m.y - (c.sy - m.y) / (c.n - 1) FROM marks m JOIN cells c USING (cx, cy) WHERE c.n > 1),
+    push AS (SELECT node, sum(k2 * n * dx / (dx * dx + dy * dy + k2 / 100)) AS fx, sum(k2 * n * dy / (dx * dx + dy * dy + k2 / 100)) AS fy FROM gaps, box GROUP BY node),
+    pull AS (SELECT b.src AS node, sum(weight * (q.x - p.x)) AS px, sum(weight * (q.y - p.y)) AS py FROM both_ways b JOIN p0 p ON p.node = b.src JOIN p0 q ON q.node = b.dst GROUP BY b.src),
+    forces AS (SELECT node, x, y, side, coalesce(fx, 0) + coalesce(px, 0) AS mx, coalesce(fy, 0) + coalesce(py, 0) AS my FROM p0 LEFT JOIN push USING (node) LEFT JOIN pull USING (node), box),
+    moves AS (SELECT *, least(1, 0.1::DOUBLE * side / greatest(sqrt(mx * mx + my * my), 1e-300)) AS part FROM forces f)
+    SELECT node, round_even(x + part * mx, 6) AS x, round_even(y + part * my, 6) AS y FROM moves g"""
+)
+def forced_layout(spark, sf):
+    """One round of forces, from the vectors' first two coordinates: edges pull, the cells of a grid push."""
+    v = vectors(spark, sf)
+    start = graph.written(v.select("node", F.get("v", 0).alias("x"), F.get("v", 1).alias("y")), "places")
+    moved = forces.force_round(start, graph.similarity_edges(v, SIMILARITY))
+    return moved.select("node", F.bround("x", 6).alias("x"), F.bround("y", 6).alias("y"))
+
+
 # --- views of finished results -------------------------------------------------------------------
 
 

@@ -929,6 +929,46 @@ def test_principal_layout_equals_the_decomposition(spark):
     assert graph.principal_layout(one).count() == 1
 
 
+def test_forces_show_the_graph_better_than_the_axes(spark):
+    from quillspark.operators import layout
+
+    r, groups, size = np.random.default_rng(5), 5, 16
+    n = groups * size
+    centres = r.normal(size=(groups, 12))
+    v = unit(spark, [centres[i // size] + r.normal(scale=0.3, size=12) for i in range(n)])
+    links = {(i, g * size + (i + step) % size) for i in range(n) for g in [i // size] for step in (1, 3)} | {(g * size, g * size + size + 4) for g in range(groups - 1)}
+    e = spark.createDataFrame([(min(a, b), max(a, b), 1.0) for a, b in sorted(links)], "src long, dst long, weight double").dropDuplicates(["src", "dst"])
+    far = np.full((n, n), np.inf)
+    np.fill_diagonal(far, 0)
+    for a, b in links:
+        far[a, b] = far[b, a] = 1
+    for k in range(n):
+        far = np.minimum(far, far[:, k : k + 1] + far[k : k + 1])
+
+    def stress(places):
+        at = np.array([list(x) for x in rows_of(places.orderBy("node"), "x", "y")])
+        d, upper = np.hypot(*(at[:, None] - at[None]).transpose(2, 0, 1)), np.triu_indices(n, 1)
+        d, want = d[upper], far[upper]
+        scale = (d / want).sum() / (d * d / want**2).sum()
+        return float((((scale * d - want) / want) ** 2).mean())
+
+    axes = graph.principal_layout(v)
+    before, pulled, after = stress(axes), stress(graph.pulled_layout(axes, e)), stress(layout.forced_layout(axes, e))
+    print("stress", before, pulled, after)
+    assert after < 0.8 * min(before, pulled)
+
+
+def test_forces_at_the_edges(spark):
+    from quillspark.operators import layout
+
+    e = spark.createDataFrame([(1, 2, 1.0), (5, 6, 1.0)], "src long, dst long, weight double")
+    assert layout.forced_layout(spark.createDataFrame([], "node long, x double, y double"), e, rounds=1).count() == 0
+    one = spark.createDataFrame([(7, 2.0, 3.0)], "node long, x double, y double")
+    assert rows_of(layout.force_round(one, e), "node", "x", "y") == [(7, 2.0, 3.0)]
+    same = spark.createDataFrame([(k, 1.0, 1.0) for k in range(30)], "node long, x double, y double")
+    assert layout.forced_layout(same, e, rounds=2).select("x", "y").distinct().count() == 30
+
+
 def test_outputs_are_translated_for_display(spark):
     from quillspark import providers
 
