@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -144,6 +144,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+MOST_GROUPS = 50_000  #: rows of a table of groups up to which it is broadcast
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows joined (inner) with a table of one row per key.
+
+    Up to MOST_GROUPS rows the table is broadcast. Beyond, keys with more than an eighth of a mean partition's rows come by
+    broadcast (there are at most eight a partition, whatever the data), all others by a shuffle, so no hot key is one task.
+    """
+    keys = list(keys)
+    groups = written(groups, "groups")
+    if groups.count() <= MOST_GROUPS:
+        return rows.join(F.broadcast(groups), keys)
+    sizes = written(rows.groupBy(*keys).agg(F.count("*").alias("__n")), "sizes")
+    most = (sizes.agg(F.sum("__n")).first()[0] or 0) / (8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = F.broadcast(sizes.where(F.col("__n") > most).select(*keys))
+    return rows.join(F.broadcast(groups.join(hot, keys, "left_semi")), keys).unionByName(rows.join(hot, keys, "left_anti").join(groups, keys))
+
+
 def components(e: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, component (the smallest node reachable), by alternating stars.
 

@@ -6,33 +6,38 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from .graph import shared_checkpoints
+from .graph import join_groups, written
 
 
-def ranked(d: DataFrame, group: Sequence[str], order: Sequence[Column | str], most: int | None = None) -> DataFrame:
+def ranked(d: DataFrame, group: Sequence[str], order: Sequence[Column | str], most: int | None = None, payload: Sequence[str] = ()) -> DataFrame:
     """d with `rank` (long, from 1) in its group; with most only the first so many, which each task prunes before the shuffle.
 
     Whole groups are ranked without bringing any together: rows go to ranges of (group, order), a row's rank is its place
-    in the group's rows of its range and the group's rows in the ranges before. The sorted rows are checkpointed, so both steps see the same ranges.
+    in the group's rows of its range and the group's rows in the ranges before. d is written once, and the sorted rows once, so
+    all steps see the same. payload: columns (texts, say) that order doesn't use; they don't travel to the ranges, ranks come back to them by a row's number. Ties keep d's order.
     """
     if most is not None:
         place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
         return d.withColumn("rank", place.cast("long")).where(F.col("rank") <= most)
-    shared_checkpoints(d.sparkSession)
-    by = [*(F.col(g).asc() for g in group), *(F.col(o).asc() if isinstance(o, str) else o for o in order)]
-    held = d.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    held = written(d.withColumn("__row", F.monotonically_increasing_id()), "unranked")
+    by = [*(F.col(g).asc() for g in group), *(F.col(o).asc() if isinstance(o, str) else o for o in order), F.col("__row")]
+    ordered = held.drop(*payload).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__id", F.monotonically_increasing_id())
     part = F.shiftright("__id", 33).alias("__part")
     known = [F.coalesce(F.col(g).cast("string"), F.lit("")).alias(f"__g{i}") for i, g in enumerate(group)]
     known += [F.col(g).isNull().alias(f"__n{i}") for i, g in enumerate(group)]  # a null group is a group
-    keyed = held.select("*", part, *known)
+    keyed = written(ordered, "ranges").select("*", part, *known)
     keys = ["__part", *(f"__{k}{i}" for i in range(len(group)) for k in "gn")]
     runs = keyed.groupBy(*keys).agg(F.min("__id").alias("__start"), F.count("*").alias("__size"))  # a row per range and group that meet
     before = F.sum("__size").over(Window.partitionBy(*keys[1:]).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     starts = runs.select(*keys, "__start", F.coalesce(before, F.lit(0)).alias("__before"))
-    return keyed.join(starts, keys).withColumn("rank", F.col("__before") + F.col("__id") - F.col("__start") + 1).drop("__id", "__start", "__before", *keys)
+    ranks = keyed.join(starts, keys).withColumn("rank", F.col("__before") + F.col("__id") - F.col("__start") + 1)
+    if payload:
+        ranks = ranks.join(held.select("__row", *payload), "__row")
+    return ranks.select(*d.columns, "rank")
 
 
 def examples(docs: DataFrame, terms: DataFrame, group: Sequence[str], most: int = 3, length: int = 220) -> DataFrame:
@@ -56,14 +61,23 @@ def _pattern(term: Column) -> Column:
     return F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_replace(literal, " ", r"\\\\s+"), F.lit(r"(?!\w)"))
 
 
-def representativeness(docs: DataFrame, terms: DataFrame, group: Sequence[str], edge_scores: DataFrame | None = None, most: int | None = None) -> DataFrame:
+def _texts(docs: DataFrame, group: Sequence[str]) -> list[str]:
+    """Columns of docs whose values may be long: all but numbers and the group."""
+    return [f.name for f in docs.schema if f.name not in group and not isinstance(f.dataType, (NumericType, BooleanType))]
+
+
+def representativeness(
+    docs: DataFrame, terms: DataFrame, group: Sequence[str], edge_scores: DataFrame | None = None, most: int | None = None, texts: bool = True
+) -> DataFrame:
     """Docs with `rank` in their group; with most only the first so many.
 
     Ordered by any hit, distinct terms, matches, matches weighted by the terms' places, fewer words, fewer
     characters, better best term, earlier first match; then weighted degree, neighbours, input order. All
-    term evidence is 0 without a hit. edge_scores: row_number, fragment_no, degree, neighbours.
+    term evidence is 0 without a hit. edge_scores: row_number, fragment_no, degree, neighbours. texts: False leaves out
+    docs' columns other than numbers and the group, so that no text is kept or moved.
     """
-    d = docs.join(F.broadcast(terms.select(*group, "terms", F.transform("terms", _pattern).alias("__p"))), list(group))  # one row per group
+    long = _texts(docs, group)
+    d = join_groups(docs, terms.select(*group, "terms", F.transform("terms", _pattern).alias("__p")), group)
     if edge_scores is not None:
         d = d.join(edge_scores, ["row_number", "fragment_no"], "left")
     degree, near = (F.coalesce(F.col(c), F.lit(0.0)) if edge_scores is not None else F.lit(0.0) for c in ("degree", "neighbours"))
@@ -71,21 +85,20 @@ def representativeness(docs: DataFrame, terms: DataFrame, group: Sequence[str],
     d = d.withColumn("__f", F.filter(found, lambda x: x["n"] > 0)).withColumn("__hit", F.size("__f") > 0)
     total = lambda f: F.aggregate("__f", F.lit(0), lambda s, x: s + f(x).cast("int"))
     if_hit = lambda c: F.when(F.col("__hit"), c).otherwise(0)
-    order = [
-        F.desc("__hit"),
-        F.size("__f").desc(),
-        total(lambda x: x["n"]).desc(),
-        total(lambda x: x["n"] * (F.size("terms") - x["i"])).desc(),
-        if_hit(X.word_count(F.col("text"))).asc(),
-        if_hit(F.char_length("text")).asc(),
-        if_hit(F.array_min(F.transform("__f", lambda x: x["i"]))).asc(),
-        if_hit(F.array_min(F.transform("__f", lambda x: x["at"]))).asc(),
-        F.bround(degree, 6).desc(),
-        near.desc(),
-        F.col("row_number").asc(),
-        F.col("fragment_no").asc(),
-    ]
-    return ranked(d, group, order, most).withColumn("hits", F.size("__f")).drop("__f", "__hit", "__p", "terms")
+    keys = {
+        "__matches": total(lambda x: x["n"]),
+        "__weighted": total(lambda x: x["n"] * (F.size("terms") - x["i"])),
+        "__words": if_hit(X.word_count(F.col("text"))),
+        "__chars": if_hit(F.char_length("text")),
+        "__best": if_hit(F.array_min(F.transform("__f", lambda x: x["i"]))),
+        "__at": if_hit(F.array_min(F.transform("__f", lambda x: x["at"]))),
+        "__degree": F.bround(degree, 6),
+        "__near": near,
+        "hits": F.size("__f"),
+    }
+    d = d.withColumns(keys).drop("__f", "__p", "terms", *(() if texts else long))
+    order = [F.desc("__hit"), F.desc("hits"), F.desc("__matches"), F.desc("__weighted"), "__words", "__chars", "__best", "__at", F.desc("__degree"), F.desc("__near"), "row_number", "fragment_no"]
+    return ranked(d, group, order, most, long if texts else ()).drop(*(k for k in keys if k != "hits"), "__hit")
 
 
 def relevance_ngrams(label: Column, n: int) -> Column:
@@ -97,23 +110,29 @@ def topic_tokens(label: Column, terms: Column) -> Column:
     return F.array_distinct(F.concat(X.relevance_tokens(label), F.flatten(F.transform(terms, X.relevance_tokens))))
 
 
-def label_relevance(docs: DataFrame, topics: DataFrame, group: Sequence[str], order: Sequence[str] = ("row_number", "fragment_no"), most: int | None = None) -> DataFrame:
+def label_relevance(
+    docs: DataFrame, topics: DataFrame, group: Sequence[str], order: Sequence[str] = ("row_number", "fragment_no"), most: int | None = None, texts: bool = True
+) -> DataFrame:
     """Docs with `rank` by shared trigrams, bigrams and words with the label, words with the terms, then shorter, then as before.
 
-    topics: group columns, label, terms. most: only the first so many of each group.
+    topics: group columns, label, terms. most: only the first so many of each group. texts: False leaves out docs' columns
+    other than numbers and the group, so that no text is kept or moved.
     """
+    long = [c for c in _texts(docs, group) if c not in order]
     known = topics.select(
         *group,
         *[relevance_ngrams(F.col("label"), n).alias(f"__l{n}") for n in (2, 3)],
         X.relevance_tokens(F.col("label")).alias("__l"),
         F.array_distinct(F.flatten(F.transform("terms", X.relevance_tokens))).alias("__t"),
     )  # one row per group, so labels and terms are cut once
-    d = docs.join(known, list(group)).withColumn("__w", X.relevance_tokens(F.col("text")))
+    d = join_groups(docs, known, group).withColumn("__w", X.relevance_tokens(F.col("text")))
     shared = lambda a, b: F.size(F.array_intersect(a, F.col(b)))
-    d = d.withColumns({"trigrams": shared(X.ngrams(F.col("__w"), 3), "__l3"), "bigrams": shared(X.ngrams(F.col("__w"), 2), "__l2"), "words": shared(F.col("__w"), "__l"), "term_words": shared(F.col("__w"), "__t")})
-    n_words = F.regexp_count("text", F.lit("[A-Za-z0-9]+"))
-    by = [F.desc("trigrams"), F.desc("bigrams"), F.desc("words"), F.desc("term_words"), n_words, F.char_length("text"), *order]
-    return ranked(d.drop("__l", "__l2", "__l3", "__t"), group, by, most).drop("__w")
+    runs = lambda n: F.when(F.size(f"__l{n}") > 0, shared(X.ngrams(F.col("__w"), n), f"__l{n}")).otherwise(0)
+    scores = {"trigrams": runs(3), "bigrams": runs(2), "words": shared(F.col("__w"), "__l"), "term_words": shared(F.col("__w"), "__t")}
+    lengths = {"__n": F.regexp_count("text", F.lit("[A-Za-z0-9]+")), "__chars": F.char_length("text")}
+    d = d.withColumns(scores | lengths).drop("__l", "__l2", "__l3", "__t", "__w", *(() if texts else long))
+    by = [*(F.desc(c) for c in scores), *lengths, *order]
+    return ranked(d, group, by, most, long if texts else ()).drop(*lengths)
 
 
 def off_topic(docs: DataFrame, topics: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -123,6 +142,6 @@ def off_topic(docs: DataFrame, topics: DataFrame, group: Sequence[str]) -> DataF
     """
     known = topics.select(*group, topic_tokens(F.col("label"), F.col("terms")).alias("__k"))  # one row per group
     sizes = docs.groupBy(*group).agg(F.count("*").alias("__n"))
-    d = docs.join(F.broadcast(known.join(sizes, list(group))), list(group))
+    d = join_groups(docs, known.join(sizes, list(group)), group)
     meets = F.arrays_overlap(X.relevance_tokens(F.col("text")), F.col("__k"))
     return d.withColumn("off_topic", (F.col("__n") >= 2) & ~F.coalesce(meets, F.lit(False))).drop("__n", "__k")

@@ -7,6 +7,8 @@ Ties go to the first occurrence (`first_seen`) or to the term in order (`term`).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,15 +85,35 @@ def ngram_documents(docs: DataFrame, n: int, terms: DataFrame) -> DataFrame:
     return having.join(docs.select("row_number", "fragment_no", "text"), ["row_number", "fragment_no"]).select("term", "row_number", "fragment_no", "text")
 
 
+def best_ngrams(docs: DataFrame, group: Sequence[str], top: int, tie: str = "first_seen", stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
+    """Per group its size and its best n-grams of one, two and three words: group columns, ngram_size, rank, term, n.
+
+    One scan cuts each text once, and one aggregation counts all sizes. The row of ngram_size 0 holds the group's documents. Single
+    words go down to rank `top`; of two and three words there is the best, if it occurs twice.
+    """
+    if "tokens" not in docs.columns:
+        docs = docs.withColumn("tokens", X.tokens(F.col("text"), stopwords))
+    each = docs.select(*group, "row_number", "fragment_no", "tokens", F.posexplode_outer("tokens").alias("pos", "one"))
+    after = lambda i: F.get("tokens", F.col("pos") + i)
+    two = F.concat("one", F.lit(" "), after(1))
+    grams = [F.when(F.coalesce("pos", F.lit(0)) == 0, ""), F.col("one"), two, F.concat(two, F.lit(" "), after(2))]  # null where a text has no more words
+    each = each.select(*group, "row_number", "fragment_no", "pos", F.posexplode(F.array(*grams)).alias("ngram_size", "term")).where("term is not null")
+    found = [F.count("*").alias("n")] + ([F.min(F.struct("row_number", "fragment_no", "pos")).alias("first")] if tie == "first_seen" else [])
+    counts = each.groupBy(*group, "ngram_size", "term").agg(*found).where("ngram_size < 2 or n >= 2")
+    return ranked(counts, [*group, "ngram_size"], tie).where(f"rank <= {top} and (rank = 1 or ngram_size = 1)").select(*group, "ngram_size", "rank", "term", "n")
+
+
+def phrase(best: DataFrame, group: Sequence[str], *more: Column) -> DataFrame:
+    """A10 of best_ngrams(): per group the best trigram that occurs twice, else the best such bigram, else the two top terms; more: further aggregates."""
+    of = lambda n: F.max(F.when(F.col("ngram_size") == n, F.col("term")))
+    two = F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("ngram_size") == 1) & (F.col("rank") <= 2), F.struct("rank", "term")))), lambda x: x["term"]), " ")
+    return best.groupBy(*group).agg(F.coalesce(of(3), of(2), two, F.lit("")).alias("phrase"), *more)
+
+
 def top_phrase(docs: DataFrame, group: Sequence[str], tie: str = "first_seen", stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
-    """A10: per group the best trigram that occurs twice, else the best such bigram, else the two top terms."""
-    docs = docs.withColumn("tokens", X.tokens(F.col("text"), stopwords))
-    groups = docs.select(*group).distinct()
-    for n, name in ((3, "tri"), (2, "bi")):
-        best = ranked(ngram_counts(docs, n, group).where("n >= 2"), group, tie).where("rank = 1").select(*group, F.col("term").alias(name))
-        groups = groups.join(best, list(group), "left")
-    two = ranked(ngram_counts(docs, 1, group), group, tie).where("rank <= 2").groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), " ").alias("uni"))
-    return groups.join(two, list(group), "left").select(*group, F.coalesce("tri", "bi", "uni", F.lit("")).alias("phrase"))
+    """A10: per group the best trigram that occurs twice, else the best such bigram, else the two top terms; none for documents without a group."""
+    known = [F.col(g).isNotNull() for g in group]
+    return phrase(best_ngrams(docs, group, 2, tie, stopwords), group).withColumn("phrase", F.when(reduce(and_, known), F.col("phrase")).otherwise(""))
 
 
 def evidence_ngrams(docs: DataFrame, n: int, group: Sequence[str], top: int, limit: int = 120, least: int = 4, stopwords: Sequence[str] = STOPWORDS) -> DataFrame:

@@ -26,22 +26,21 @@ def summaries(docs: DataFrame, group: str = "community", top: int = 6, tie: str
 
     docs: group column, row_number, fragment_no, text. Group -1 is noise.
     """
-    docs = docs.withColumn("tokens", X.tokens(F.col("text")))
-    sizes = docs.groupBy(group).agg(F.count("*").alias("count"))
-    total = F.sum("count").over(Window.partitionBy(F.lit(0)))  # one row per group
-    best = T.top_terms(docs, [group], top, tie).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", "term", "strength"))).alias("t"))
-    phrases = T.top_phrase(docs, [group], tie)
-    g = sizes.withColumn("total_documents", total).join(best, group, "left").join(phrases, group, "left")
+    best = G.written(T.best_ngrams(docs, [group], max(top, 2), tie), "best")
+    listed = F.array_sort(F.collect_list(F.when((F.col("ngram_size") == 1) & (F.col("rank") <= top), F.struct("rank", "term", "n"))))
+    g = T.phrase(best, [group], listed.alias("t"), F.max(F.when(F.col("ngram_size") == 0, F.col("n"))).alias("count"))
+    total = best.where("ngram_size = 0").agg(F.sum("n")).first()[0] or 0
+    g = g.withColumn("total_documents", F.lit(total).cast("long"))
     g = g.select(
         group,
         "count",
         "total_documents",
         F.bround(F.col("count") / F.col("total_documents"), 4).alias("share"),
-        F.coalesce(F.transform("t", lambda x: x["term"]), F.array().cast("array<string>")).alias("terms"),
-        F.coalesce(F.transform("t", lambda x: x["strength"]), F.array().cast("array<double>")).alias("strengths"),
+        F.transform("t", lambda x: x["term"]).alias("terms"),
+        F.transform("t", lambda x: F.bround(x["n"] / F.get("t", F.lit(0))["n"], 4)).alias("strengths"),
         F.when(F.col(group).cast("string") == "-1", NOISE_LABEL).when(F.col("phrase") != "", X.topic_label(F.col("phrase"))).otherwise(F.concat(F.lit("Community "), F.col(group).cast("string"))).alias("label"),
     )
-    shown = R.examples(docs.drop("tokens"), g.select(group, "terms"), [group], examples)
+    shown = R.examples(docs, g.select(group, "terms"), [group], examples)
     shown = shown.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "row_number"))), lambda x: x["row_number"]).alias("example_rows"))
     g = g.join(shown, group, "left").withColumn("example_rows", F.coalesce("example_rows", F.array().cast("array<bigint>")))
     return g.withColumn("comment", X.group_comment(F.col("label"), F.col("count"), F.col("total_documents"), F.col("example_rows")))

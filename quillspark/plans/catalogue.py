@@ -608,7 +608,7 @@ def _hits(term: str) -> str:
 )
 def representativeness_hits(spark, sf):
     """Distinct terms found in each document, the second key of the representativeness order."""
-    return rank.representativeness(answers(spark, sf), topic_table(spark).select("lang", "terms"), ["lang"]).select("lang", "row_number", "hits")
+    return rank.representativeness(answers(spark, sf), topic_table(spark).select("lang", "terms"), ["lang"], texts=False).select("lang", "row_number", "hits")
 
 
 def _place(term: str) -> str:
@@ -626,7 +626,7 @@ def _place(term: str) -> str:
 )
 def representativeness(spark, sf):
     """The whole order."""
-    return rank.representativeness(answers(spark, sf), topic_table(spark).select("lang", "terms"), ["lang"]).select("lang", "row_number", "hits", "rank")
+    return rank.representativeness(answers(spark, sf), topic_table(spark).select("lang", "terms"), ["lang"], texts=False).select("lang", "row_number", "hits", "rank")
 
 
 _REL = f"""{_TOPIC_SQL}, d AS (SELECT lang, doc_id, text, {_relevance("text")} AS w, label, terms, {_relevance("label")} AS l FROM documents JOIN topics USING (lang)),
@@ -639,7 +639,7 @@ _REL = f"""{_TOPIC_SQL}, d AS (SELECT lang, doc_id, text, {_relevance("text")} A
     row_number() OVER (PARTITION BY lang ORDER BY trigrams DESC, bigrams DESC, words DESC, term_words DESC, len(regexp_extract_all(text, '[A-Za-z0-9]+')), length(text), doc_id)::INTEGER AS rank FROM s"""
 )
 def label_relevance(spark, sf):
-    return rank.label_relevance(answers(spark, sf), topic_table(spark), ["lang"]).select("lang", "row_number", "trigrams", "bigrams", "words", "term_words", F.col("rank").cast("int").alias("rank"))
+    return rank.label_relevance(answers(spark, sf), topic_table(spark), ["lang"], texts=False).select("lang", "row_number", "trigrams", "bigrams", "words", "term_words", F.col("rank").cast("int").alias("rank"))
 
 
 @query(f"""WITH {_REL} SELECT lang, doc_id AS row_number, count(*) OVER (PARTITION BY lang) >= 2 AND words + term_words = 0 AS off_topic FROM s""")

@@ -1008,3 +1008,25 @@ def test_too_many_questions_are_an_error(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(assembly, "MOST_QUESTIONS", 5)
     with pytest.raises(assembly.TransformError):
         assembly.vertical(table, m)
+
+
+def test_ranks_come_back_to_texts_and_tables_of_groups_of_any_size(spark, monkeypatch):
+    rows = [("hot" if i % 3 else f"g{i % 50}", i % 5, i, f"text {i % 9}") for i in range(600)]
+    d = spark.createDataFrame(rows, "g string, score int, row_number long, text string").repartition(5)
+    want = d.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("score"), "row_number")).cast("long"))
+    got = rank.ranked(d, ["g"], [F.desc("score"), "row_number"], payload=["text"])
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    same = spark.createDataFrame([("a", "x")] * 7, "g string, text string")
+    assert sorted(r["rank"] for r in rank.ranked(same, ["g"], [], payload=["text"]).collect()) == list(range(1, 8))
+    groups = spark.createDataFrame([(f"g{i}", i) for i in range(0, 50, 3)] + [("hot", -1), ("none", 0)], "g string, k int")
+    joined = sorted(map(str, d.join(groups, "g").collect()))
+    assert sorted(map(str, graph.join_groups(d, groups, ["g"]).collect())) == joined
+    monkeypatch.setattr(graph, "MOST_GROUPS", 3)
+    assert sorted(map(str, graph.join_groups(d, groups, ["g"]).collect())) == joined
+
+
+def test_best_ngrams_of_one_scan(spark):
+    d = answers(spark, ["red green blue", "red green blue", "", "of the", "red"], community=[0, 0, 0, 1, 0])
+    got = rows_of(terms.best_ngrams(d, ["community"], 2).orderBy("community", "ngram_size", "rank"), "community", "ngram_size", "rank", "term", "n")
+    assert got == [(0, 0, 1, "", 4), (0, 1, 1, "red", 3), (0, 1, 2, "green", 2), (0, 2, 1, "red green", 2), (0, 3, 1, "red green blue", 2), (1, 0, 1, "", 1)]
+    assert sorted(rows_of(terms.top_phrase(d, ["community"]), "community", "phrase")) == [(0, "red green blue"), (1, "")]
