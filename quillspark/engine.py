@@ -138,9 +138,8 @@ class Engine:
         return found
 
     def _kept(self, df: DataFrame) -> DataFrame:
-        """Written in the shared folder where there is one, so plans stay short and lost executors cost nothing done."""
-        defined = self.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-        return df.checkpoint() if defined else df.persist()
+        """Written once in the shared folder, so plans stay short and lost executors cost nothing done; a cluster without such a folder is an error."""
+        return graph.written(df, "kept")
 
     def _community(self, docs: DataFrame, column: str, threshold: float | None, warnings: list[str]) -> Analysis:
         if docs.select(X.fold(F.col("text"))).distinct().limit(2).count() < 2:

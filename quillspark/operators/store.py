@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from . import facets, profile
 from .assembly import q
+from .graph import join_groups
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,7 @@ def community_rows(rows: DataFrame, documents: DataFrame, group_order: DataFrame
 
     documents: row_number, community; group_order: community, place, label.
     """
-    last = documents.join(F.broadcast(group_order), "community").groupBy("row_number").agg(F.max_by("community", "place").alias("community_id"), F.max_by("label", "place").alias("community_label"))
+    last = join_groups(documents, group_order, ["community"]).groupBy("row_number").agg(F.max_by("community", "place").alias("community_id"), F.max_by("label", "place").alias("community_label"))
     return rows.join(last, "row_number")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.words import LEADING_TRIM, STOPWORDS, TRAILING_TRIM
+from .graph import join_groups
 
 
 def prepare(df: DataFrame, text: str, keep: Sequence[str] = (), order: str = "row_number", most: int | None = 3000) -> DataFrame:
@@ -81,7 +82,7 @@ def top_terms(docs: DataFrame, group: Sequence[str], top: int = 6, tie: str = "f
 
 def ngram_documents(docs: DataFrame, n: int, terms: DataFrame) -> DataFrame:
     """The fragments of each given term, one row each: term, row_number, fragment_no, text."""
-    having = occurrences(docs, n).join(F.broadcast(terms.select("term")), "term", "left_semi").select("term", "row_number", "fragment_no").distinct()
+    having = join_groups(occurrences(docs, n), terms.select("term").distinct(), ["term"]).select("term", "row_number", "fragment_no").distinct()
     return having.join(docs.select("row_number", "fragment_no", "text"), ["row_number", "fragment_no"]).select("term", "row_number", "fragment_no", "text")
 
 

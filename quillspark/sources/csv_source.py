@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..operators.graph import shared_checkpoints, written
+from ..operators.graph import written
 from . import quoted_lines
 
 DELIMITERS = (",", "\t", ";", "|")
@@ -279,8 +279,7 @@ def from_frame(df: DataFrame, order: str) -> Table:
     columns = [c for c in df.columns if c != order]
     keys = df.select(F.col(f"`{order}`").alias("__order"))
     ranged = keys.repartitionByRange("__order").sortWithinPartitions("__order").withColumn("__id", F.monotonically_increasing_id())
-    shared_checkpoints(df.sparkSession)
-    numbers = numbered(ranged.checkpoint(), "__id").select("__order", "row_number")
+    numbers = numbered(written(ranged, "numbers"), "__id").select("__order", "row_number")
     cells = [F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)]
     frame = df.select(*cells, F.col(f"`{order}`").alias("__order")).join(numbers, "__order").drop("__order")
     return Table(frame, tuple(columns), "utf-8-sig", ",")
