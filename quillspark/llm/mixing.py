@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import join_by_size, materialise, text_or_empty
+from .common import SPACES, join_by_size, materialise, text_or_empty
 
 MARGINS = ("source", "lang", "topic")
 SWEEPS, PER_JOB = 20, 5
@@ -24,15 +24,23 @@ TOLERANCE = 1e-3  #: residual of a margin above which rake() warns
 
 
 def n_words(text: str = "text") -> Column:
-    return F.regexp_count(text_or_empty(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    """Words of a text, each put down as one byte: regexp_count() would hold a list of all words, many times the text's size."""
+    dots = F.regexp_replace(F.ltrim(text_or_empty(text), F.lit(SPACES)), r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", ".")
+    return F.octet_length(dots).cast("long")
+
+
+def n_signs(t: Column, signs: str) -> Column:
+    """How often any of the ASCII signs is in t, by bytes: translate() would make a string of each character."""
+    rest = t
+    for s in signs:
+        rest = F.replace(rest, F.lit(s), F.lit(""))
+    return F.octet_length(t) - F.octet_length(rest)
 
 
 def form_topic(words: Column, text: str = "text") -> Column:
     """A topic by form, for tables without a topic column: tabular, symbolic, or prose by length."""
     t = text_or_empty(text)
-    bars = F.char_length(t) - F.char_length(F.translate(t, "|", ""))
-    signs = F.char_length(t) - F.char_length(F.translate(t, "#$%&*", ""))
-    return F.when(bars * 10 > words, "tabular").when(signs * 4 > words, "symbolic").when(words < 100, "note").when(words < 600, "article").otherwise("essay")
+    return F.when(n_signs(t, "|") * 10 > words, "tabular").when(n_signs(t, "#$%&*") * 4 > words, "symbolic").when(words < 100, "note").when(words < 600, "article").otherwise("essay")
 
 
 def tempered(cells: DataFrame, margin: str, temperature: float) -> DataFrame:

@@ -1,6 +1,9 @@
 """Operators 11 to 13, and the mends of mixing and url rules, against plain code."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
 from itertools import permutations
 
@@ -29,6 +32,30 @@ def test_sample_holds_the_rows_that_mix_keeps(spark, monkeypatch, most):
     assert mixing.sample(d.where("false")).count() == 0
 
 
+def test_words_and_signs_are_counted_as_plain_code_does(spark):
+    texts = [None, "", " \t\r\n\x0b\x0c", "a", " a", "a ", "\n a\x0bb\tc ", "ü\u00a0ü  |\U0001f600| #$ %&*", "\x1c \x85", "$1 \\1 .", "x" * 100_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    t = mixing.text_or_empty()
+    got = rows.select("id", mixing.n_words(), mixing.n_signs(t, "|"), mixing.n_signs(t, "#$%&*")).collect()
+    plain = {i: (len(brute.WORD.findall(t or "")), (t or "").count("|"), sum(map((t or "").count, "#$%&*"))) for i, t in enumerate(texts)}
+    assert {r[0]: tuple(r[1:]) for r in got} == plain
+
+
+def test_long_texts_of_a_mix_need_little_memory():
+    """A text of six million words, counted and put into its cell, in a heap in which a list of the words has no room."""
+    code = """
+from pyspark.sql import SparkSession, functions as F
+from quillspark.llm import mixing
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+rows = spark.range(1).select(F.repeat(F.concat(F.lit("ab "), F.substring(F.col("id").cast("string"), 2, 1)), F.lit(6_000_000)).alias("text"))
+rows = rows.withColumn("n", mixing.n_words()).withColumn("topic", mixing.form_topic(F.col("n")))
+print("FOUND", *rows.select("n", "topic").first())
+"""
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--driver-memory 480m pyspark-shell"}
+    run = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert "FOUND 6000000 essay" in run.stdout, run.stderr[-2000:]
+
+
 def test_url_rules_equal_a_plain_search(spark):
     rng = random.Random(3)
     label = lambda: rng.choice(["a", "b", "net", "\x01", "\x02a", "a\x01", "x\x02", ""])
