@@ -139,46 +139,55 @@ class Encoder:
         self.letter, self.sign = np.zeros(256, bool), np.zeros(256, bool)
         self.letter[[*range(65, 91), *range(97, 123)]] = True
         self.sign[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+        self.width = np.zeros(1 + max(self.tokenizer.get_vocab().values(), default=0), np.int64)  # bytes of each id: a byte-level token has a character for each
+        for t, i in self.tokenizer.get_vocab().items():
+            self.width[i] = len(t)
         self.remembered = remembered
         self.forget()
 
     def forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)  # sorted, with where each unit's ids and bytes are
-        self.first = self.count = self.place = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted, with each unit's number
+        self.ids, self.upto = np.zeros(0, np.uint32), np.zeros(1, np.int64)  # by number: every unit's ids, and where they end
         self.bytes, self.ends = np.zeros(0, np.uint64), np.zeros(1, np.int64)  # every unit in eights of bytes, and where each ends
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _units(self, units: list[str]) -> list[np.ndarray]:
-        """Ids of distinct units. Words with one space before them go to the library as one text."""
-        found: list = [None] * len(units)
-        joined = [i for i, u in enumerate(units) if u[0].isspace() and not u[-1].isspace()]
-        for k in range(0, len(joined), 20_000):
-            part = joined[k : k + 20_000]
-            starts = np.cumsum([0, *(len(units[i]) for i in part)])
-            e = self.tokenizer.encode("".join(units[i] for i in part), add_special_tokens=False)
-            at = np.searchsorted(np.array(e.offsets)[:, 0], starts)
-            for i, ids in zip(part, np.split(np.array(e.ids, np.uint32), at[1:-1])):
-                found[i] = ids
-        alone = [i for i, u in enumerate(found) if u is None]
-        for i, ids in zip(alone, self.library([units[i] for i in alone])):
-            found[i] = ids
-        return found
-
-    def _learn(self, hashes: np.ndarray, units: list[str], size: np.ndarray, eight: np.ndarray) -> None:
-        """Remember units of size[i] eights of bytes each."""
-        found = self._units(units)
-        count = np.array([len(x) for x in found], np.int64)
-        first = len(self.ids) + np.cumsum(count) - count
-        place = len(self.ends) - 1 + np.arange(len(units))
-        self.ids = np.concatenate([self.ids, *found])
+    def _joined(self, buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of distinct units with one space before a word, which go to the library as one text, and how many each has."""
+        ids, counts = [], []
+        for k in range(0, len(starts), 20_000):
+            length = stops[k : k + 20_000] - starts[k : k + 20_000]
+            ends = np.cumsum(length)
+            raw = buf[np.repeat(starts[k : k + 20_000] - (ends - length), length) + np.arange(ends[-1])].tobytes()
+            found = self.library([raw.decode()])[0]
+            upto = np.cumsum(self.width[found])
+            last = np.minimum(np.searchsorted(upto, ends), len(found) - 1)
+            if len(found) and upto[-1] == ends[-1] and (upto[last] == ends).all():
+                ids.append(found)
+                counts.append(np.diff(last, prepend=-1))
+            else:  # a tokenizer that leaves bytes out, or joins units
+                alone = self.library([raw[b - n : b].decode() for b, n in zip(ends.tolist(), length.tolist())])
+                ids += alone
+                counts.append(np.array([len(x) for x in alone], np.int64))
+        return ids, counts
+
+    def _learn(self, hashes: np.ndarray, buf: np.ndarray, starts: np.ndarray, stops: np.ndarray, size: np.ndarray, eight: np.ndarray) -> None:
+        """Remember units, those of _joined() first, of size[i] eights of bytes each."""
+        joined = int(self._is_joined(buf, starts, stops).sum())
+        ids, counts = self._joined(buf, starts[:joined], stops[:joined])
+        alone = self.library([buf[a:b].tobytes().decode() for a, b in zip(starts[joined:].tolist(), stops[joined:].tolist())])
+        count = np.concatenate([*counts, np.array([len(x) for x in alone], np.int64)])
+        place = len(self.ends) - 1 + np.arange(len(hashes))
+        self.ids, self.upto = np.concatenate([self.ids, *ids, *alone]), np.concatenate([self.upto, self.upto[-1] + np.cumsum(count)])
         self.bytes, self.ends = np.concatenate([self.bytes, eight]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
         order = np.argsort(hashes)
         at = np.searchsorted(self.hashes, hashes[order])
-        known = (self.hashes, hashes), (self.first, first), (self.count, count), (self.place, place)
-        self.hashes, self.first, self.count, self.place = (np.insert(x, at, y[order]) for x, y in known)
+        self.hashes, self.place = np.insert(self.hashes, at, hashes[order]), np.insert(self.place, at, place[order])
+
+    @staticmethod
+    def _is_joined(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return is_space(buf[starts]) & ~is_space(buf[stops - 1])
 
     def _fast(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of all texts and how many each has; None where two different units have one hash."""
@@ -204,16 +213,18 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
         new = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
         if new.any():
-            raw, chosen = buf.tobytes(), sample[new]
+            chosen, hashes = sample[new], distinct[new]
+            order = np.argsort(~self._is_joined(buf, starts[chosen], stops[chosen]), kind="stable")
+            chosen, hashes = chosen[order], hashes[order]
             wanted = eight[np.repeat(begin[chosen] - (np.cumsum(size[chosen]) - size[chosen]), size[chosen]) + np.arange(int(size[chosen].sum()))]
-            self._learn(distinct[new], [raw[starts[i] : stops[i]].decode() for i in chosen], size[chosen], wanted)
+            self._learn(hashes, buf, starts[chosen], stops[chosen], size[chosen], wanted)
             at = np.searchsorted(self.hashes, distinct)
         unit = self.place[at][place]
-        if (np.diff(self.ends)[unit] != size).any() or (self.bytes[np.repeat(self.ends[unit], size) + inside] != eight).any():
+        if (self.ends[unit + 1] - self.ends[unit] != size).any() or (self.bytes[np.repeat(self.ends[unit], size) + inside] != eight).any():
             return None
-        count = self.count[at][place]
+        count = self.upto[unit + 1] - self.upto[unit]
         upto = np.cumsum(count)
-        ids = self.ids[np.repeat(self.first[at][place] - (upto - count), count) + np.arange(upto[-1])]
+        ids = self.ids[np.repeat(self.upto[unit] - (upto - count), count) + np.arange(upto[-1])]
         return ids, np.diff(np.concatenate([[0], upto[np.searchsorted(starts, ends) - 1]]))
 
     def __call__(self, texts: Sequence[str]) -> list[np.ndarray]:

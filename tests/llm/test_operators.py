@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -421,6 +422,33 @@ def test_segments_round_trip(ids):
     assert s.all().tolist() == ids and [s[i] for i in range(len(s))] == ids and s.document(0) + s.document(1) == ids and s.doc_ids == [7, None]
 
 
+def test_encoder_learns_units_without_a_call_for_each():
+    e, calls = token_store.Encoder(TOKENIZER), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(17_000)) + "  (end)\n"
+    sys.setprofile(count)
+    try:
+        got = e([text])[0]
+    finally:
+        sys.setprofile(None)
+    assert len(e.hashes) > 17_000 and calls < 2_000
+    assert got.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_with_a_tokenizer_that_leaves_bytes_out(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.BPE({"a": 0, "b": 1, "ab": 2, "\u0120": 3}, [("a", "b")]))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    t.save(path := str(tmp_path / "t.json"))
+    texts = ["ab xab a bx xx  ab", " x", "x", "ab ab", "ab xyz"]
+    assert [x.tolist() for x in token_store.Encoder(path)(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_tokens_are_read_one_by_one_from_the_files(spark):
     from tokenizers import Tokenizer
 
