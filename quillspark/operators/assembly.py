@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..plans.manifest import VERTICAL, Manifest
 from ..sources.csv_source import Table
 from . import headers as H
+from .graph import written
 
 
 MOST_QUESTIONS = 10_000  #: questions, thus columns, of a vertical table
@@ -134,9 +135,10 @@ def transform(table: Table, m: Manifest) -> tuple[DataFrame, list[str]]:
 
 
 def renumber(df: DataFrame) -> DataFrame:
-    """Consecutive row numbers in the old ones' order: counts per range partition, then places within it."""
-    parts = df.repartitionByRange("row_number").withColumn("__part", F.spark_partition_id())
-    inside = parts.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy("row_number")))
-    sizes = inside.groupBy("__part").agg(F.max("__at").alias("__size"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inside.join(F.broadcast(before), "__part").withColumn("row_number", (F.col("__before") + F.col("__at")).cast("long")).drop("__part", "__at", "__size", "__before")
+    """Consecutive row numbers in the old ones' order: rows are sorted in ranges and written once, so that a range's size and the places
+    within it are of the same ranges; a row's number is its place and the rows in the ranges before."""
+    ordered = df.repartitionByRange("row_number").sortWithinPartitions("row_number").withColumn("__id", F.monotonically_increasing_id())
+    inside = written(ordered, "renumbered").withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND((1 << 33) - 1) + 1})
+    sizes = inside.groupBy("__part").agg(F.count("*").alias("__size"))  # a row a range
+    before = sizes.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return inside.join(F.broadcast(before), "__part").withColumn("row_number", (F.col("__before") + F.col("__at")).cast("long")).drop("__id", "__part", "__at", "__before")

@@ -282,6 +282,14 @@ def test_renumbering_is_consecutive(spark):
     assert got == [(i + 1, i) for i in range(100)]
 
 
+def test_renumbering_keeps_all_rows_of_ranges_whose_bounds_are_sampled(spark):
+    n = 200_000
+    df = spark.range(0, n, 1, 8).select(((F.col("id") * 7919) % n * 31).alias("row_number"), F.lit("x" * 40).alias("payload"))
+    got = assembly.renumber(df.withColumn("old", F.col("row_number"))).select("row_number", "old").toPandas().sort_values("row_number")
+    assert got["row_number"].tolist() == list(range(1, n + 1))
+    assert got["old"].tolist() == [31 * i for i in range(n)]
+
+
 # --- roles ---------------------------------------------------------------------------------------
 
 METADATA = ["Response ID__idx_0", "email address__idx_1", "Country__idx_2", "teacher name__idx_3", "user_uid__idx_4", "us states__idx_5", "my account id now__idx_6"]
