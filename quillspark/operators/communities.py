@@ -301,7 +301,7 @@ def run(vectors: DataFrame, threshold: float | None = None, k: int = G.NEIGHBOUR
     limit = G.clamp(threshold, low=0.0)
     nodes = vectors.select("node")
     count = vectors.count()
-    edges = G.written(G.similarity_edges(vectors, limit, k, mutual, languages), "edges") if count > 1 else None
+    edges = G.similarity_edges(vectors, limit, k, mutual, languages) if count > 1 else None
     if edges is None or edges.isEmpty():
         empty = vectors.sparkSession.createDataFrame([], "src long, dst long, weight double")
         return nodes.select("node", F.lit(-1).cast("long").alias("community")), edges if edges is not None else empty

@@ -624,6 +624,31 @@ def test_cells_lose_no_pair_above_the_threshold(spark):
     assert neighbours.neighbours_above(v.where("node = 1"), 0.5).count() == 0 and neighbours.neighbours_above(v.where("false"), 0.5).count() == 0
 
 
+def test_vectors_that_may_meet_most_cells_are_read_in_blocks(spark, monkeypatch):
+    """Vectors anywhere aren't shuffled to the cells they ask; many blocks, many copies, and what a cell leaves out give the same."""
+    rng = np.random.default_rng(2)
+    v = unit(spark, np.concatenate([rng.normal(size=(900, 12)), np.repeat(rng.normal(size=(1, 12)), 300, 0)])).repartition(5)
+    v = graph.written(v, "vectors")
+    exact = sorted(rows_of(graph.nearest(v, 7), "a", "b", "rank", "sim"))
+    met, calls = neighbours._met, []
+    monkeypatch.setattr(neighbours, "_met", lambda *a: calls.append(1) or met(*a))
+    for least, read, cell in ((0.1, 4096, 40), (0.4, 100, 40), (0.97, 100, 300)):
+        monkeypatch.setattr(neighbours, "READ", read)
+        found = neighbours.neighbours_above(v, least, 7, cell=cell, **({"most_copies": 0} if least > 0.9 else {}))
+        assert sorted(rows_of(found, "a", "b", "rank")) == [x[:3] for x in exact if x[3] >= least] and not calls
+    far = unit(spark, np.repeat(np.eye(12), 10, 0))
+    assert neighbours.neighbours_above(far, 0.9, 7, cell=10).count() == 120 * 7 and calls
+
+
+def test_edges_are_found_once(spark, monkeypatch):
+    v, calls = unit(spark, np.random.default_rng(3).normal(size=(60, 8))), []
+    find = neighbours.neighbours_above
+    monkeypatch.setattr(neighbours, "neighbours_above", lambda *a: calls.append(1) or find(*a))
+    edges = graph.similarity_edges(v, 0.5)
+    assert "Scan parquet" in edges._jdf.queryExecution().executedPlan().toString() and len(calls) == 1
+    assert graph.degrees(edges).agg(F.sum("neighbours")).first()[0] == 2 * edges.count()
+
+
 @pytest.mark.parametrize("spread", [0.25, 50.0])
 def test_index_reaches_its_recall(spark, spread):
     """Where vectors lie in groups few cells are asked, where they lie anywhere nearly all; similarities are exact."""
