@@ -18,6 +18,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import graph as G
 
@@ -25,6 +26,7 @@ BLOCK_EDGES = 100_000  #: directed edges of a block of nodes, on average
 UNIT = 1 << 26  #: weights are whole numbers of 1 / UNIT, so that sums don't depend on their order
 LEAST_RISE = 1e-6  #: modularity that a round must add
 STALLS = 4  #: rounds in a row that add nothing, each with half the blocks of the one before, after which moves end
+GROWTH = 0.125  #: of its strength that a pair which joins may take up besides in a round
 LEVELS = 30  #: graphs that are condensed in turn at most; each has fewer nodes than the one before
 
 
@@ -268,7 +270,9 @@ def greedy(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0) -> DataF
     """Node, community (named by its smallest node), by joining communities pairwise until no join gains.
 
     In a round every community picks the neighbour that a join with gains most (ties: the smallest names); pairs that pick
-    each other join. The pair that gains most of all is always such a pair, so every round joins one at least, and often a share of all.
+    each other join. The pair that gains most of all is always such a pair, so every round joins one at least. Other
+    communities that pick one of a pair join it too, those that gain most first, for as long as a join with all that came before gains and
+    these add at most GROWTH of the pair's strength; so a community that many pick doesn't take a round for each of them.
     """
     at = edges.select("src", "dst", F.bround(F.col("weight") * UNIT).cast("long").alias("w")).where("w > 0 and src <> dst")
     between = G.written(at.toDF("x", "y", "w").unionByName(at.toDF("y", "x", "w")).groupBy("x", "y").agg(F.sum("w").alias("w")), "between")
@@ -277,10 +281,19 @@ def greedy(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0) -> DataF
     member = strength.select(F.col("c").alias("node"), F.col("c").alias("community"))
     while total:
         gain = F.round(F.col("w") / total - resolution * F.col("kx").cast("double") * F.col("ky") / (2 * total * total), 12)
-        rated = between.join(strength.toDF("x", "kx"), "x").join(strength.toDF("y", "ky"), "y").select("x", "y", gain.alias("gain")).where("gain > 0")
-        key = F.struct("gain", (-F.least("x", "y")).alias("a"), (-F.greatest("x", "y")).alias("b"), "y")
-        best = rated.groupBy("x").agg(F.max(key)["y"].alias("y"))
-        pairs = G.written(best.join(best.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"]).where("x < y").select(F.col("y").alias("c"), F.col("x").alias("to")), "pairs")
+        rated = between.join(strength.toDF("x", "kx"), "x").join(strength.toDF("y", "ky"), "y").select("x", "y", "kx", "ky", gain.alias("gain")).where("gain > 0")
+        key = F.struct("gain", (-F.least("x", "y")).alias("a"), (-F.greatest("x", "y")).alias("b"), "y", "kx", "ky")
+        best = G.written(rated.groupBy("x").agg(F.max(key).alias("b")).select("x", "b.y", "b.gain", "b.kx", "b.ky"), "best")
+        picked = best.join(best.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"])  # both members of each pair
+        ends = picked.select(F.col("x").alias("y"), F.least("x", "y").alias("to"), (F.col("kx") + F.col("ky")).alias("base"))
+        fans = best.join(picked.select("x"), "x", "left_anti").join(ends, "y")
+        before = F.coalesce(F.sum("kx").over(Window.partitionBy("to").orderBy(F.desc("gain"), "x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        fans = fans.withColumn("before", before).where(F.col("before") + F.col("kx") <= F.col("base") * GROWTH)
+        still = F.round(F.col("gain") - resolution * F.col("kx").cast("double") * (F.col("base") + F.col("before") - F.col("ky")) / (2 * total * total), 12)
+        # pairs hold themselves too, as what joins them may have a smaller name
+        joined = ends.select(F.col("y").alias("c"), "to").unionByName(fans.where(still > 0).select(F.col("x").alias("c"), "to"))
+        named = joined.select("c", F.min("c").over(Window.partitionBy("to")).alias("to"))
+        pairs = G.written(named.where("c <> to"), "pairs")
         if pairs.isEmpty():
             break
         renamed = lambda df, c: df.join(pairs.withColumnRenamed("c", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")

@@ -720,6 +720,16 @@ def test_greedy_joins_what_belongs_together(spark):
         assert all(c == min(i for i in found if found[i] == c) for c in set(found.values()))
 
 
+def test_greedy_takes_few_rounds_where_many_pick_one(spark, monkeypatch):
+    """A community that 120 others pick, and whose name isn't the least, takes them in steps; no further join gains."""
+    edges = [(min(i, 60), max(i, 60), 1.0) for i in range(121) if i != 60] + [(200, 201, 1.0), (201, 202, 0.5)]
+    written, rounds = graph.written, []
+    monkeypatch.setattr(graph, "written", lambda df, name: rounds.append(name) or written(df, name))
+    nodes = spark.createDataFrame([(i,) for i in [*range(121), 200, 201, 202]], "node long")
+    found = dict(rows_of(communities.greedy(spark.createDataFrame(edges, "src long, dst long, weight double"), nodes), "node", "community"))
+    assert found == {i: 0 if i < 200 else 200 for i in found} and rounds.count("pairs") < 20
+
+
 def test_communities_partition_the_nodes_whatever_the_partitioning(spark):
     v = graph.unit_vectors(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"), "vec_id", "embedding")
     a = dict(rows_of(communities.run(v, 0.35)[0], "node", "community"))
