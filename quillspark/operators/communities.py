@@ -25,6 +25,7 @@ from . import graph as G
 BLOCK_EDGES = 100_000  #: directed edges of a block of nodes, on average
 UNIT = 1 << 26  #: weights are whole numbers of 1 / UNIT, so that sums don't depend on their order
 LEAST_RISE = 1e-6  #: modularity that a round must add
+LATE = 0.01  #: of what a graph's rounds have added; a round of all blocks that adds less is the last, as the smaller graph goes on from there
 STALLS = 4  #: rounds in a row that add nothing, each with half the blocks of the one before, after which moves end
 GROWTH = 0.125  #: of its strength that a pair which joins may take up besides in a round
 LEVELS = 30  #: graphs that are condensed in turn at most; each has fewer nodes than the one before
@@ -204,11 +205,12 @@ def _round(both: DataFrame, nodes: DataFrame, blocks: int, turn: int, share: int
 
 
 def _settled(both: DataFrame, nodes: DataFrame, blocks: int, total: float, resolution: float, refine: bool = False) -> tuple[DataFrame, bool]:
-    """nodes after rounds for as long as modularity rises, and whether any moved. Of one block a round leaves nothing to gain."""
+    """nodes after rounds for as long as modularity rises by more than little, and whether any moved. Of one block a round leaves nothing to gain."""
     if blocks == 1:
         found = _round(both, nodes, 1, 0, 1, total, resolution, refine)
         return found.drop("moved"), not found.where("moved").isEmpty()
-    value, share, turn, stalls, any_moved = _value(both, nodes, total, resolution), 1, 0, 0, False
+    began = value = _value(both, nodes, total, resolution)
+    share, turn, stalls, any_moved = 1, 0, 0, False
     while stalls < STALLS:
         following = _round(both, nodes, blocks, turn, share, total, resolution, refine)
         turn += 1
@@ -219,7 +221,10 @@ def _settled(both: DataFrame, nodes: DataFrame, blocks: int, total: float, resol
             continue
         now = _value(both, following, total, resolution)
         if now - value >= LEAST_RISE:
+            late = share == 1 and now - value < LATE * (now - began)
             nodes, value, share, stalls, any_moved = following.drop("moved"), now, max(1, share // 2), 0, True
+            if late:
+                break
         else:
             share, stalls = share * 2, stalls + 1
     return nodes, any_moved

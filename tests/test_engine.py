@@ -711,6 +711,19 @@ def test_communities_of_one_block_and_of_many(spark, block):
     assert abs(communities.modularity_of(frame, spark.createDataFrame(list(a.items()), "node long, community long")).first()[0] - q(a)) < 1e-9
 
 
+def test_rounds_end_when_they_add_little(monkeypatch):
+    """Rounds that go on adding a trifle don't keep a graph from being condensed; a round of some blocks only doesn't end them."""
+
+    class Nodes:
+        where = drop = lambda self, *_: self
+        isEmpty = lambda self: False
+
+    values, shares = iter([0.0, 0.4, 0.3, 0.401, 0.5, 0.502, *(0.502 + i * 2e-6 for i in range(1, 90))]), []
+    monkeypatch.setattr(communities, "_value", lambda *_: next(values))
+    monkeypatch.setattr(communities, "_round", lambda both, nodes, blocks, turn, share, *_: shares.append(share) or Nodes())
+    assert communities._settled(None, Nodes(), 5, 1.0, 0.9)[1] and shares == [1, 1, 2, 1, 1]
+
+
 def test_greedy_joins_what_belongs_together(spark):
     e = [(a, b, 1.0) for g in (0, 10) for a, b in ((g, g + 1), (g + 1, g + 2), (g, g + 2))] + [(2, 10, 1.0)]
     for edges, share in ((e, 1.0), (planted(3, 8), 0.97)):
